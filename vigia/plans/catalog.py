@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigia.operators import exposure as ex
-from vigia.sources import tpch
+from vigia.operators import indicators as ind
+from vigia.sources import grid, tpch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,3 +34,91 @@ def board(spark: SparkSession, sf_dir: str, fuente: str = "GENERAL") -> DataFram
 @register
 def rate_by_station(spark, sf_dir):
     return ex.rates_by_station(board(spark, sf_dir))
+
+
+@register
+def exposure_clean(spark, sf_dir):
+    """Both blocks of the board after cleaning (month present, not a repeated
+    header, numeric measures, accident rows only), tagged by ``fuente``."""
+    return ex.clean_exposure(tpch.exposure_raw(spark, sf_dir))
+
+
+@register
+def rate_global(spark, sf_dir):
+    return ex.board_kpis(board(spark, sf_dir))
+
+
+@register
+def rate_by_population_top12(spark, sf_dir):
+    return ex.rates_by_population_topk(board(spark, sf_dir), 12)
+
+
+@register
+def rate_by_month(spark, sf_dir):
+    return ex.rates_by_month(board(spark, sf_dir))
+
+
+@register
+def rate_grouping_sets(spark, sf_dir):
+    return ex.rates_grouping_sets(board(spark, sf_dir))
+
+
+@register
+def rate_what_if(spark, sf_dir):
+    return ex.what_if(board(spark, sf_dir), days=3.0)
+
+
+@register
+def rate_agil_by_station(spark, sf_dir):
+    """The station table of the second block (AGIL)."""
+    return ex.rates_by_station(board(spark, sf_dir, "AGIL"))
+
+
+# --- indicator sheet -------------------------------------------------------
+
+def indicator_tables(spark, sf_dir):
+    """(total, indicator) station x month IF tables of block GENERAL, built
+    from all exposure rows (accident-free months give IF 0) and cleaned like
+    the indicator sheet."""
+    raw = tpch.exposure_raw(spark, sf_dir).filter(F.col("fuente") == F.lit("GENERAL"))
+    total = ind.clean_indicator(ind.wide_from_exposure(raw, "N_AT", with_ytd=True))
+    indicator = ind.clean_indicator(ind.wide_from_exposure(raw, "N_AT_IND", with_ytd=False))
+    return total, indicator
+
+
+@register
+def indicator_melt(spark, sf_dir):
+    total, _ = indicator_tables(spark, sf_dir)
+    return ind.melt_months(total)
+
+
+@register
+def indicator_ytd(spark, sf_dir):
+    total, _ = indicator_tables(spark, sf_dir)
+    return ind.ytd_ranking(total)
+
+
+@register
+def indicator_total_vs_ind(spark, sf_dir):
+    total, indicator = indicator_tables(spark, sf_dir)
+    return ind.total_vs_indicator(total, indicator)
+
+
+# --- sheet grid ------------------------------------------------------------
+
+@register
+def grid_promote_header(spark, sf_dir):
+    return grid.promote_header(tpch.board_grid(spark, sf_dir), "Data", skip_rows=1)
+
+
+@register
+def grid_block_slice(spark, sf_dir):
+    """Both blocks cut out of the grid by position, typed and cleaned: the
+    same table as ``exposure_clean``, reached through the sheet layout."""
+    cells = grid.promote_header(tpch.board_grid(spark, sf_dir), "Data", skip_rows=1)
+    out = None
+    for fuente, col_from in (("GENERAL", 1), ("AGIL", 16)):
+        block = grid.block_slice(cells, col_from, ex.BOARD_COLUMNS).drop(*grid.GRID_KEYS)
+        b = ex.clean_exposure(block, fuente=fuente)
+        out = b if out is None else out.unionByName(b)
+    return out

@@ -20,3 +20,135 @@ SELECT Estacion, N_AT, N_Dias, round(h, 3) AS HHT,
        {sql_sev('N_AT', 'N_Dias')} AS Severidad, {sql_level(sql_if('N_AT', 'h'))} AS Nivel_IF
 FROM g WHERE N_AT > 0
 """)
+
+
+ORACLES["rate_agil_by_station"] = ORACLES["rate_by_station"].replace(
+    "FROM general GROUP BY", "FROM exposure WHERE fuente = 'AGIL' GROUP BY")
+
+ORACLES["exposure_clean"] = with_exposure("SELECT * FROM exposure")
+
+ORACLES["rate_global"] = with_exposure(f"""
+, s AS (SELECT CAST(trunc(coalesce(SUM(N_AT), 0)) AS BIGINT) AS N_AT,
+               CAST(trunc(coalesce(SUM(N_Dias_Total), 0)) AS BIGINT) AS N_Dias,
+               coalesce(SUM(HHT), {d(0.0)}) AS h FROM general),
+r AS (SELECT N_AT, N_Dias, h, {sql_if('N_AT', 'h')} AS "IF", {sql_is('N_Dias', 'h')} AS "IS",
+             {sql_sev('N_AT', 'N_Dias')} AS Severidad FROM s)
+SELECT N_AT, N_Dias, round(h, 3) AS HHT, "IF", "IS", Severidad,
+       round("IF" * "IS" / {d(1000.0)}, 4) AS ILI, {sql_level('"IF"')} AS Nivel_IF FROM r
+""")
+
+ORACLES["rate_by_population_top12"] = with_exposure(f"""
+, g AS ({_station_rates('general', 'Estacion, Poblacion')}),
+r AS (SELECT Estacion, Poblacion, N_AT, N_Dias, h, {sql_if('N_AT', 'h')} AS "IF", {sql_is('N_Dias', 'h')} AS "IS"
+      FROM g WHERE N_AT > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY Estacion ORDER BY "IF" DESC, Poblacion ASC) AS rk FROM r)
+SELECT Estacion, Poblacion, CAST(rk AS INTEGER) AS rank, N_AT, N_Dias, round(h, 3) AS HHT, "IF", "IS"
+FROM k WHERE rk <= 12
+""")
+
+ORACLES["rate_by_month"] = with_exposure(f"""
+, g AS ({_station_rates('general', 'Estacion, Mes')})
+SELECT Estacion, CAST(Mes AS INTEGER) AS Mes, round(N_AT, 3) AS N_AT, round(N_Dias, 3) AS N_Dias,
+       round(h, 3) AS HHT, round({sql_if('N_AT', 'h')}, 3) AS "IF", round({sql_is('N_Dias', 'h')}, 3) AS "IS"
+FROM g
+""")
+
+ORACLES["rate_grouping_sets"] = with_exposure(f"""
+, e AS (SELECT Estacion, Poblacion, CAST(Mes AS INTEGER) AS Mes, N_AT, N_Dias_Total, HHT FROM general),
+g AS (SELECT Estacion, Poblacion, Mes, SUM(N_AT) AS N_AT, SUM(N_Dias_Total) AS N_Dias, SUM(HHT) AS h,
+             GROUPING(Estacion, Poblacion, Mes) AS gid
+      FROM e GROUP BY GROUPING SETS ((), (Estacion), (Estacion, Poblacion), (Estacion, Mes)))
+SELECT CASE gid WHEN 7 THEN 'global' WHEN 3 THEN 'estacion' WHEN 1 THEN 'estacion_poblacion'
+                ELSE 'estacion_mes' END AS grain,
+       Estacion, Poblacion, Mes, N_AT, N_Dias, round(h, 3) AS HHT,
+       {sql_if('N_AT', 'h')} AS "IF", {sql_is('N_Dias', 'h')} AS "IS", {sql_sev('N_AT', 'N_Dias')} AS Severidad,
+       {sql_level(sql_if('N_AT', 'h'))} AS Nivel_IF
+FROM g
+""")
+
+ORACLES["rate_what_if"] = with_exposure(f"""
+, s AS (SELECT Estacion, Mes, SUM(HHT) AS h FROM general GROUP BY Estacion, Mes)
+SELECT Estacion, Mes, round(h, 3) AS HHT, {sql_if(d(1.0), 'h')} AS IF_caso, {sql_is(d(3.0), 'h')} AS IS_caso,
+       round({sql_if(d(1.0), 'h')} - {d(2.54)}, 4) AS delta_meta
+FROM s WHERE h > 0
+""")
+
+# --- indicator sheet ---------------------------------------------------------
+
+MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
+
+
+def _indicator_ctes() -> str:
+    def wide(acc: str, ytd: bool) -> str:
+        cols = []
+        for i, m in enumerate(MONTHS, start=1):
+            n = f"SUM(CASE WHEN CAST(Mes AS INTEGER) = {i} THEN {acc} END)"
+            h = f"SUM(CASE WHEN CAST(Mes AS INTEGER) = {i} THEN HHT END)"
+            cols.append(f"{sql_if(n, h)} AS {m}")
+        if ytd:
+            cols.append(f"{sql_if(f'SUM({acc})', 'SUM(HHT)')} AS ACUM")
+        return (f"SELECT Estacion, {', '.join(cols)} FROM exposure_rated WHERE fuente = 'GENERAL' "
+                f"GROUP BY Estacion HAVING length(Estacion) > 1")
+    return f", ind_total AS ({wide('N_AT', True)}), ind_ind AS ({wide('N_AT_IND', False)})"
+
+
+ORACLES["indicator_melt"] = with_exposure(_indicator_ctes() + f"""
+, u AS (UNPIVOT (SELECT Estacion, {', '.join(MONTHS)} FROM ind_total WHERE ACUM > 0)
+        ON {', '.join(MONTHS)} INTO NAME Mes VALUE "IF")
+SELECT Estacion, Mes, "IF" FROM u WHERE "IF" > 0
+""")
+
+ORACLES["indicator_ytd"] = with_exposure(_indicator_ctes() + f"""
+SELECT Estacion, ACUM AS IF_YTD, {sql_level('ACUM')} AS Nivel FROM ind_total WHERE ACUM > 0
+""")
+
+ORACLES["indicator_total_vs_ind"] = with_exposure(_indicator_ctes() + f"""
+SELECT t.Estacion, {', '.join(f'round(t.{m}, 3) AS IF_{m}' for m in MONTHS)}, round(t.ACUM, 3) AS IF_ACUM,
+       {', '.join(f'round(i.{m}, 3) AS IF_IND_{m}' for m in MONTHS)}
+FROM ind_total t LEFT JOIN ind_ind i ON t.Estacion = i.Estacion
+""")
+
+# --- sheet grid ----------------------------------------------------------------
+
+_BOARD_NAMES = ["Mes", "Meses", "Unidad_Negocio", "Estacion", "Poblacion", "N_AT", "N_AT_IND", "N_Dias_Total",
+                "N_Dias_Ind", "HHT", "IF", "IF_IND", "IS"]
+
+
+def _cell_text(c: str) -> str:
+    if c in ("N_AT", "N_AT_IND", "N_Dias_Total", "N_Dias_Ind"):
+        return f'CAST(CAST("{c}" AS BIGINT) AS VARCHAR)'
+    if c == "HHT":
+        return 'CAST(CAST(HHT AS DECIMAL(20,3)) AS VARCHAR)'
+    if c in ("IF", "IF_IND", "IS"):
+        return f'CAST(CAST("{c}" AS DECIMAL(20,4)) AS VARCHAR)'
+    return f'"{c}"'
+
+
+def _grid_ctes() -> str:
+    data_cells = []
+    for fuente, col_from in (("GENERAL", 1), ("AGIL", 16)):
+        for i, c in enumerate(_BOARD_NAMES):
+            data_cells.append(f"SELECT row_no, {col_from + i} AS col_no, {_cell_text(c)} AS value "
+                              f"FROM grid_rows WHERE fuente = '{fuente}'")
+    head = ["SELECT 0 AS row_no, 0 AS col_no, 'Tablero Accidentalidad' AS value",
+            "SELECT 1, 1, 'GENERAL'", "SELECT 1, 16, 'AGIL'"]
+    for col_from in (1, 16):
+        for i, n in enumerate(_BOARD_NAMES):
+            head.append(f"SELECT 2, {col_from + i}, '{n}'")
+            head.append(f"SELECT (SELECT COUNT(*) FROM grid_rows WHERE fuente = 'GENERAL') + 3, {col_from + i}, '{n}'")
+    return f"""
+, grid_rows AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY fuente ORDER BY Estacion, Poblacion, CAST(Mes AS INTEGER)) + 2
+                 AS INTEGER) AS row_no
+  FROM exposure_rated),
+grid AS (
+  SELECT 'board' AS source, 'Data' AS sheet, CAST(row_no AS INTEGER) AS row_no, CAST(col_no AS INTEGER) AS col_no, value
+  FROM ({' UNION ALL '.join(data_cells + head)}) WHERE value IS NOT NULL),
+header AS (SELECT col_no, value AS name FROM grid WHERE row_no = 2),
+cells AS (SELECT g.source, g.sheet, g.row_no, g.col_no, h.name, g.value
+          FROM grid g LEFT JOIN header h ON g.col_no = h.col_no WHERE g.row_no > 2)
+"""
+
+
+ORACLES["grid_promote_header"] = with_exposure(_grid_ctes() + "SELECT * FROM cells")
+ORACLES["grid_block_slice"] = ORACLES["exposure_clean"]

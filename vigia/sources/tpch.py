@@ -180,3 +180,44 @@ def monthly_accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (per_month.crossJoin(F.broadcast(first))
             .select((F.col("ym") - F.col("ym0") + 1).cast("int").alias("Mes"),
                     F.col("n").cast("double").alias("Accidentes")))
+
+
+def board_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board workbook sheet ``Data`` as a cell grid, laid out like the
+    original: row 0 a title, row 1 block titles, row 2 the column names, data
+    from row 3 with block GENERAL in columns 1-13 and block AGIL in columns
+    16-28 side by side, and the header repeated once below the data."""
+    from vigia.operators.ordering import row_index
+    from vigia.sources.grid import to_cells
+
+    raw = exposure_raw(spark, sf_dir).withColumn("mes_i", F.col("Mes").cast("int"))
+    txt = raw.select(
+        "fuente", "Estacion", "Poblacion", "mes_i",
+        "Mes", "Meses", "Unidad_Negocio", F.col("Estacion").alias("Est"), F.col("Poblacion").alias("Pob"),
+        *[F.col(c).cast("long").cast("string").alias(c) for c in ("N_AT", "N_AT_IND", "N_Dias_Total", "N_Dias_Ind")],
+        F.col("HHT").cast("decimal(20,3)").cast("string").alias("HHT"),
+        *[F.col(c).cast("decimal(20,4)").cast("string").alias(c) for c in ("IF", "IF_IND", "IS")])
+    idx = row_index(txt, ["Estacion", "Poblacion", "mes_i"], group_cols=["fuente"])
+    board_cols = ["Mes", "Meses", "Unidad_Negocio", "Est", "Pob", "N_AT", "N_AT_IND", "N_Dias_Total",
+                  "N_Dias_Ind", "HHT", "IF", "IF_IND", "IS"]
+    names = ["Mes", "Meses", "Unidad_Negocio", "Estacion", "Poblacion", "N_AT", "N_AT_IND", "N_Dias_Total",
+             "N_Dias_Ind", "HHT", "IF", "IF_IND", "IS"]
+    cells = None
+    for block, col_from in (("GENERAL", 1), ("AGIL", 16)):
+        b = idx.filter(F.col("fuente") == F.lit(block)).select(*board_cols, "_idx")
+        # the trailing _idx column becomes one extra cell; keep only the board columns
+        c = to_cells(b, F.col("_idx") + 3, col_from, "board", "Data") \
+            .filter(F.col("col_no") < col_from + len(board_cols))
+        cells = c if cells is None else cells.unionByName(c)
+    n_rows = idx.filter(F.col("fuente") == F.lit("GENERAL")).agg(F.count(F.lit(1)).alias("n"))
+    header = spark.createDataFrame(
+        [(0, 0, "Tablero Accidentalidad"), (1, 1, "GENERAL"), (1, 16, "AGIL")]
+        + [(2, 1 + i, n) for i, n in enumerate(names)] + [(2, 16 + i, n) for i, n in enumerate(names)]
+        + [(-1, 1 + i, n) for i, n in enumerate(names)] + [(-1, 16 + i, n) for i, n in enumerate(names)],
+        "row_no int, col_no int, value string")
+    # row -1 is the repeated header: placed right after the last data row
+    header = header.crossJoin(F.broadcast(n_rows)).select(
+        F.lit("board").alias("source"), F.lit("Data").alias("sheet"),
+        F.when(F.col("row_no") == -1, F.col("n") + 3).otherwise(F.col("row_no")).cast("int").alias("row_no"),
+        "col_no", "value")
+    return cells.unionByName(header)
