@@ -29,6 +29,12 @@ def duck(sf_dir: str):
     return con
 
 
+_TYPE_MAP = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+             "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "array<int>": "INTEGER[]",
+             "array<double>": "DOUBLE[]", "float": "FLOAT", "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE",
+             "timestamp_ntz": "TIMESTAMP", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
 def _norm(v, tol):
     if isinstance(v, float):
         if math.isnan(v):
@@ -65,6 +71,11 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if not res["cols"]:
         res["col_diff"] = (sorted(set(scols) - set(ocols)), sorted(set(ocols) - set(scols)))
         return res
+    stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    otypes = dict(zip(ocols, [str(t) for t in rel.types]))
+    bad_types = {c: (stypes[c], otypes[c]) for c in scols if _TYPE_MAP.get(stypes[c], stypes[c]) != otypes[c]}
+    if bad_types:
+        res["types"] = bad_types
     res["exact"] = _rows(scols, srows, False) == _rows(ocols, orows, False)
     res["tol"] = _rows(scols, srows, True) == _rows(ocols, orows, True)
     if not res["tol"]:
@@ -92,7 +103,7 @@ def main(argv):
             r = compare(spark, con, name, fn, oracles.get(name), sf_dir)
         except Exception as e:  # report and go on
             r = dict(name=name, error=f"{type(e).__name__}: {str(e)[:400]}")
-        if r.get("error") or (r.get("oracle", 1) is not None and not r.get("exact")):
+        if r.get("error") or r.get("types") or (r.get("oracle", 1) is not None and not r.get("exact")):
             bad += 1
         print(r, flush=True)
     print(f"non-exact: {bad}")

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigia.operators import cases as cs
 from vigia.operators import exposure as ex
+from vigia.operators import profile as pf
 from vigia.operators import indicators as ind
 from vigia.sources import grid, tpch
 
@@ -122,3 +124,100 @@ def grid_block_slice(spark, sf_dir):
         b = ex.clean_exposure(block, fuente=fuente)
         out = b if out is None else out.unionByName(b)
     return out
+
+
+# --- case register ---------------------------------------------------------
+
+def cases_plain(spark, sf_dir):
+    return cs.normalize_names(tpch.cases_raw(spark, sf_dir))
+
+
+def cases_model(spark, sf_dir, keep=()):
+    return cs.prepare(tpch.cases_raw(spark, sf_dir), keep=list(keep))
+
+
+@register
+def case_clean(spark, sf_dir):
+    return cases_model(spark, sf_dir)
+
+
+@register
+def case_kpis(spark, sf_dir):
+    return cs.case_kpis(cases_plain(spark, sf_dir))
+
+
+@register
+def class_counts(spark, sf_dir):
+    return cs.value_counts(cases_plain(spark, sf_dir), "Clasificacion del accidente", "Clasificacion")
+
+
+@register
+def type_top7(spark, sf_dir):
+    return cs.value_counts(cases_plain(spark, sf_dir), "Tipo de accidente", "Tipo", top=7)
+
+
+@register
+def nature_top8(spark, sf_dir):
+    return cs.value_counts(cases_plain(spark, sf_dir), "Naturaleza", "Naturaleza", top=8, drop_prefix=True)
+
+
+@register
+def bodypart_top8(spark, sf_dir):
+    return cs.value_counts(cases_plain(spark, sf_dir), "Parte del cuerpo afectada", "Parte", top=8, drop_prefix=True)
+
+
+@register
+def job_mean_days_top10(spark, sf_dir):
+    return cs.mean_days_by_job(cases_plain(spark, sf_dir), 10)
+
+
+CASE_FILTER_CLASSES = ["Graves", "Severos"]
+CASE_FILTER_TYPES = ["PROMO", "STANDARD"]
+
+
+@register
+def case_filter(spark, sf_dir):
+    return cs.filter_cases(cases_plain(spark, sf_dir), CASE_FILTER_CLASSES, CASE_FILTER_TYPES)
+
+
+@register
+def filter_options(spark, sf_dir):
+    return cs.filter_options(cases_plain(spark, sf_dir))
+
+
+@register
+def seniority_median_impute(spark, sf_dir):
+    m = cs.prepare(tpch.cases_raw(spark, sf_dir), seniority_median=True)
+    return m.groupBy("antiguedad").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- profile, series, preview ------------------------------------------------
+
+PROFILE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register
+def profile_numeric(spark, sf_dir):
+    return pf.profile_numeric(tpch.table(spark, sf_dir, "lineitem", PROFILE_COLS), PROFILE_COLS)
+
+
+@register
+def drop_all_null_columns(spark, sf_dir):
+    """The promoted board sheet pivoted to one column per sheet column; the
+    empty separator columns (and the title column) are all null and dropped."""
+    cells = grid.promote_header(tpch.board_grid(spark, sf_dir), "Data", skip_rows=1)
+    cols = list(range(29))
+    wide = cells.groupBy("row_no").pivot("col_no", cols).agg(F.first("value"))
+    wide = wide.select("row_no", *[F.col(str(c)).alias(f"c{c}") for c in cols])
+    return cs.drop_all_null_columns(wide)
+
+
+@register
+def monthly_alert(spark, sf_dir):
+    return pf.monthly_alert(tpch.monthly_accidents(spark, sf_dir))
+
+
+@register
+def preview_rows(spark, sf_dir):
+    m = cases_model(spark, sf_dir, keep=tpch.CASE_KEY)
+    return pf.preview(m, 300, tpch.CASE_KEY).drop("l_shipdate")

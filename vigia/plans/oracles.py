@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigia.plans.sqlparts import d, sql_if, sql_is, sql_level, sql_sev, with_exposure
+from vigia.plans.sqlparts import SENIORITY_SENTINELS, d, sql_if, sql_is, sql_level, sql_sev, with_exposure
 
 ORACLES: dict[str, str] = {}
 
@@ -152,3 +152,92 @@ cells AS (SELECT g.source, g.sheet, g.row_no, g.col_no, h.name, g.value
 
 ORACLES["grid_promote_header"] = with_exposure(_grid_ctes() + "SELECT * FROM cells")
 ORACLES["grid_block_slice"] = ORACLES["exposure_clean"]
+
+# --- case register ---------------------------------------------------------------
+
+from vigia.plans.sqlparts import (MODEL_COLS, sql_num, sql_num_or, sql_prefix_drop, sql_strip,  # noqa: E402
+                                  with_cases)
+
+ORACLES["case_clean"] = with_cases(f"SELECT {', '.join(MODEL_COLS)} FROM cases_model")
+
+ORACLES["case_kpis"] = with_cases(f"""
+, k AS (SELECT {sql_num_or('r_dias', 0.0)} AS dd, r_clas FROM cases_raw)
+SELECT COUNT(*) AS total,
+       round(coalesce(avg(CASE WHEN dd > 0 THEN {d(1.0)} ELSE {d(0.0)} END) * {d(100.0)}, {d(0.0)}), 4) AS pct_incapacidad,
+       round(coalesce(avg(CASE WHEN dd > 0 THEN dd END), {d(0.0)}), 4) AS promedio_dias,
+       CAST(coalesce(SUM(CASE WHEN {sql_strip("coalesce(r_clas, 'nan')")} = 'Graves' THEN 1 ELSE 0 END), 0) AS BIGINT)
+         AS n_graves
+FROM k
+""")
+
+
+def _counts(expr: str, name: str, top: int | None) -> str:
+    lim = f" ORDER BY Cantidad DESC, {name} ASC LIMIT {top}" if top else ""
+    return with_cases(f"SELECT {expr} AS {name}, COUNT(*) AS Cantidad FROM cases_raw GROUP BY 1{lim}")
+
+
+ORACLES["class_counts"] = _counts(sql_strip("coalesce(r_clas, 'nan')"), "Clasificacion", None)
+ORACLES["type_top7"] = _counts(sql_strip("coalesce(r_tipo, 'nan')"), "Tipo", 7)
+ORACLES["nature_top8"] = _counts(sql_prefix_drop("coalesce(r_nat, 'nan')"), "Naturaleza", 8)
+ORACLES["bodypart_top8"] = _counts(sql_prefix_drop("coalesce(r_parte, 'nan')"), "Parte", 8)
+
+ORACLES["job_mean_days_top10"] = with_cases(f"""
+, g AS (SELECT r_cargo AS Cargo, avg({sql_num('r_dias')}) AS m FROM cases_raw WHERE r_cargo IS NOT NULL GROUP BY r_cargo)
+SELECT Cargo, round(m, 2) AS Dias_promedio FROM g ORDER BY m DESC NULLS LAST, Cargo ASC LIMIT 10
+""")
+
+ORACLES["case_filter"] = with_cases("""
+SELECT r_clas AS "Clasificacion del accidente", r_tipo AS "Tipo de accidente", r_gen AS "Genero",
+       r_cargo AS "Puesto/Cargo", r_ant AS "Antiguedad en anos", r_nat AS "Naturaleza",
+       r_parte AS "Parte del cuerpo afectada", r_agente AS "Agente de la lesion",
+       r_mec AS "Mecanismo de accidente/ Tipo de contacto", r_dias AS "Total dias de incapacidad"
+FROM cases_raw WHERE r_clas IN ('Graves', 'Severos') AND r_tipo IN ('PROMO', 'STANDARD')
+""")
+
+ORACLES["filter_options"] = with_cases("""
+SELECT DISTINCT columna, valor FROM (
+  SELECT 'Clasificacion del accidente' AS columna, r_clas AS valor FROM cases_raw
+  UNION ALL SELECT 'Tipo de accidente', r_tipo FROM cases_raw) WHERE valor IS NOT NULL
+""")
+
+ORACLES["seniority_median_impute"] = with_cases(f"""
+, a AS (SELECT CASE WHEN {sql_strip('r_ant')} IN {SENIORITY_SENTINELS} THEN NULL ELSE {sql_num(sql_strip('r_ant'))} END
+               AS v FROM cases_raw),
+m AS (SELECT median(v) AS med FROM a)
+SELECT coalesce(v, med, {d(5.0)}) AS antiguedad, COUNT(*) AS n FROM a, m GROUP BY 1
+""")
+
+# --- profile, series, preview --------------------------------------------------------
+
+ORACLES["profile_numeric"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", COUNT({c}) AS "count", round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+       min({c}) AS "min", round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
+       round(quantile_cont({c}, 0.75), 6) AS p75, max({c}) AS "max" FROM lineitem WHERE NOT isnan({c})"""
+    for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+_KEEP_GRID_COLS = [c for c in range(29) if c not in (0, 14, 15)]
+ORACLES["drop_all_null_columns"] = with_exposure(_grid_ctes() + f"""
+SELECT row_no, {', '.join(f'max(CASE WHEN col_no = {c} THEN value END) AS c{c}' for c in _KEEP_GRID_COLS)}
+FROM cells GROUP BY row_no
+""")
+
+MONTHLY = """
+monthly AS (
+  SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS ym, COUNT(*) AS n
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1
+),
+series AS (
+  SELECT CAST(ym - (SELECT min(ym) FROM monthly) + 1 AS INTEGER) AS Mes, CAST(n AS DOUBLE) AS Accidentes FROM monthly
+)
+"""
+
+ORACLES["monthly_alert"] = "WITH " + MONTHLY.strip() + f"""
+SELECT round(avg(Accidentes), 2) AS Accidentes_promedio,
+       CASE WHEN avg(Accidentes) > {d(10.0)} THEN 'Riesgo alto de accidentalidad' ELSE 'Riesgo controlado' END AS alerta
+FROM series
+"""
+
+ORACLES["preview_rows"] = with_cases(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {', '.join(MODEL_COLS)} FROM cases_model
+ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate LIMIT 300
+""")

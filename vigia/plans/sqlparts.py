@@ -89,3 +89,75 @@ general AS (SELECT * FROM exposure WHERE fuente = 'GENERAL')
 
 def with_exposure(body: str) -> str:
     return "WITH " + EXPOSURE_RAW.strip() + "\n" + body
+
+
+NUMBER_RE = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+
+
+def sql_strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def sql_num(x: str) -> str:
+    """Strict text -> DOUBLE, NULL when not a plain number."""
+    return f"CASE WHEN regexp_matches({x}, '{NUMBER_RE}') THEN TRY_CAST({sql_strip(x)} AS DOUBLE) END"
+
+
+def sql_num_or(x: str, default: float) -> str:
+    return f"coalesce({sql_num(x)}, {d(float(default))})"
+
+
+def sql_cat(x: str) -> str:
+    return sql_strip(f"coalesce({x}, 'Sin informacion')")
+
+
+def sql_prefix_drop(x: str) -> str:
+    return sql_strip(rf"regexp_replace({sql_strip(x)}, '^\d+\.', '')")
+
+
+SENIORITY_SENTINELS = "('Sin informacion', 'Sin información', 'nan', 'None', '')"
+
+
+def sql_seniority(x: str) -> str:
+    s = sql_strip(f"CAST({x} AS VARCHAR)")
+    return f"coalesce(CASE WHEN {s} IN {SENIORITY_SENTINELS} THEN NULL ELSE {sql_num(s)} END, {d(5.0)})"
+
+
+# Case register proxy: raw text columns (short aliases), then the model table.
+CASES = f"""
+cases_raw AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
+         CASE o_orderstatus WHEN 'F' THEN 'Leves' WHEN 'O' THEN 'Severos' WHEN 'P' THEN 'Graves' END AS r_clas,
+         p_type AS r_tipo, n_name AS r_est, l_linestatus AS r_gen, c_mktsegment AS r_cargo,
+         CASE WHEN p_size % 7 = 0 THEN 'Sin información' ELSE CAST(p_size AS VARCHAR) END AS r_ant,
+         '1.' || p_type AS r_nat, '1.' || p_brand AS r_parte, '1.' || o_orderpriority AS r_agente,
+         '1.' || r_name AS r_mec,
+         CAST({LOST_DAYS} AS VARCHAR) AS r_dias
+  FROM lineitem
+  JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey
+  JOIN part ON l_partkey = p_partkey
+),
+cases AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
+         {sql_cat('r_clas')} AS clasificacion, {sql_cat('r_tipo')} AS tipo, {sql_cat('r_est')} AS estacion,
+         {sql_cat('r_gen')} AS genero, {sql_cat('r_cargo')} AS cargo, {sql_seniority('r_ant')} AS antiguedad,
+         {sql_cat('r_nat')} AS naturaleza, {sql_cat('r_parte')} AS parte_cuerpo, {sql_cat('r_agente')} AS agente,
+         {sql_cat('r_mec')} AS mecanismo, {sql_num_or('r_dias', 0.0)} AS dias_incapacidad
+  FROM cases_raw
+),
+cases_model AS (
+  SELECT *, CAST(dias_incapacidad > 0 AS INTEGER) AS con_incapacidad,
+         CAST(dias_incapacidad >= 5 AS INTEGER) AS incapacidad_alta
+  FROM cases
+)
+"""
+
+MODEL_COLS = ["clasificacion", "tipo", "estacion", "genero", "cargo", "antiguedad", "naturaleza", "parte_cuerpo",
+              "agente", "mecanismo", "dias_incapacidad", "con_incapacidad", "incapacidad_alta"]
+
+
+def with_cases(body: str) -> str:
+    return "WITH " + CASES.strip() + "\n" + body
