@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from vigia.operators import cases as cs
 from vigia.operators import exposure as ex
+from vigia.operators import features as ft
+from vigia.operators import metrics as mt
 from vigia.operators import profile as pf
 from vigia.operators import indicators as ind
+from vigia.functions import rules
 from vigia.sources import grid, tpch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,3 +224,105 @@ def monthly_alert(spark, sf_dir):
 def preview_rows(spark, sf_dir):
     m = cases_model(spark, sf_dir, keep=tpch.CASE_KEY)
     return pf.preview(m, 300, tpch.CASE_KEY).drop("l_shipdate")
+
+
+# --- features ----------------------------------------------------------------
+
+TARGET = "con_incapacidad"
+
+
+@register
+def label_dictionary(spark, sf_dir):
+    return ft.label_dictionary(cases_model(spark, sf_dir), cs.CATEGORICAL)
+
+
+def encoded_cases(spark, sf_dir, keep=()):
+    m = cases_model(spark, sf_dir, keep=keep)
+    return ft.encode(m, ft.label_dictionary(m, cs.CATEGORICAL), cs.CATEGORICAL)
+
+
+@register
+def encode_cases(spark, sf_dir):
+    return encoded_cases(spark, sf_dir)
+
+
+def split_cases(spark, sf_dir):
+    m = cases_model(spark, sf_dir, keep=tpch.CASE_KEY)
+    return ft.stratified_split(m, TARGET, tpch.CASE_KEY, test_size=0.25, seed=42)
+
+
+@register
+def stratified_split_sizes(spark, sf_dir):
+    s = split_cases(spark, sf_dir)
+    return s.groupBy(F.when(F.col("is_test"), F.lit("test")).otherwise(F.lit("train")).alias("split"),
+                     F.col(TARGET).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register
+def class_weights(spark, sf_dir):
+    return ft.balanced_weights(split_cases(spark, sf_dir).filter(~F.col("is_test")), TARGET)
+
+
+@register
+def cv_fold_sizes(spark, sf_dir):
+    m = cases_model(spark, sf_dir, keep=tpch.CASE_KEY)
+    f = ft.stratified_folds(m, TARGET, tpch.CASE_KEY, n_folds=5)
+    return f.groupBy("fold", F.col(TARGET).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- evaluation on the deterministic score proxy ----------------------------------
+
+@register
+def roc_auc(spark, sf_dir):
+    return mt.roc_auc(tpch.scored_cases(spark, sf_dir))
+
+
+@register
+def roc_curve(spark, sf_dir):
+    return mt.roc_curve(tpch.scored_cases(spark, sf_dir))
+
+
+@register
+def confusion_matrix(spark, sf_dir):
+    return mt.confusion_matrix(tpch.scored_cases(spark, sf_dir))
+
+
+@register
+def classification_report(spark, sf_dir):
+    return mt.classification_report(tpch.scored_cases(spark, sf_dir))
+
+
+@register
+def probability_band(spark, sf_dir):
+    s = tpch.scored_cases(spark, sf_dir)
+    return s.groupBy(rules.probability_band("score").alias("banda")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
+
+
+# Test binding for the rules: proxy category values renamed to register
+# values the rules look for (the proxy itself has none of them).
+REC_RELABEL = {
+    "naturaleza": {"1.STANDARD": "1.Lesion Lumbar"},
+    "mecanismo": {"1.EUROPE": "1.Sobre-esfuerzo"},
+    "parte_cuerpo": {"1.Brand#1": "1.Espalda", "1.Brand#2": "1.Miembros superiores"},
+    "agente": {"1.1-URGENT": "1.Aeronave y sus componentes", "1.2-HIGH": "1.Cambios de presion brusca"},
+    "tipo": {"PROMO": "Transito", "SMALL": "Violencia"},
+}
+
+
+def relabel(df, mapping):
+    cols = {}
+    for c, m in mapping.items():
+        lookup = F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+        cols[c] = F.coalesce(F.try_element_at(lookup, F.col(c)), F.col(c))
+    return df.withColumns(cols)
+
+
+@register
+def recommendation_rules(spark, sf_dir):
+    m = relabel(cases_model(spark, sf_dir, keep=tpch.CASE_KEY), REC_RELABEL)
+    score = ((F.col("l_partkey") * 37 + F.col("l_suppkey") * 11) % 1000).cast("double") / F.lit(1000.0)
+    m = m.withColumn("banda", rules.probability_band(score))
+    return m.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "banda",
+                    F.array_join(rules.fired_rule_ids(band="banda"), ",").alias("reglas"),
+                    F.size(rules.recommendations(band="banda")).alias("n_recomendaciones"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigia.plans.sqlparts import SENIORITY_SENTINELS, d, sql_if, sql_is, sql_level, sql_sev, with_exposure
+from vigia.plans.sqlparts import LOST_DAYS, SENIORITY_SENTINELS, d, sql_if, sql_is, sql_level, sql_sev, with_exposure
 
 ORACLES: dict[str, str] = {}
 
@@ -241,3 +241,173 @@ ORACLES["preview_rows"] = with_cases(f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {', '.join(MODEL_COLS)} FROM cases_model
 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate LIMIT 300
 """)
+
+# --- features --------------------------------------------------------------------------
+
+CATEGORICAL = ["clasificacion", "tipo", "estacion", "genero", "cargo", "naturaleza", "parte_cuerpo", "agente",
+               "mecanismo"]
+_DICT = ", dict AS (SELECT columna, valor, CAST(row_number() OVER (PARTITION BY columna ORDER BY valor) - 1 AS INTEGER) " \
+        "AS codigo FROM (" + " UNION ".join(
+            f"SELECT DISTINCT '{c}' AS columna, {c} AS valor FROM cases_model" for c in CATEGORICAL) + "))"
+
+ORACLES["label_dictionary"] = with_cases(_DICT + " SELECT * FROM dict")
+
+ORACLES["encode_cases"] = with_cases(_DICT + f"""
+SELECT {', '.join(f'CAST(coalesce(d{i}.codigo, 0) AS DOUBLE) AS {c}' for i, c in enumerate(CATEGORICAL))},
+       m.antiguedad, m.dias_incapacidad, m.con_incapacidad, m.incapacidad_alta,
+       ({' OR '.join(f'd{i}.codigo IS NULL' for i in range(len(CATEGORICAL)))}) AS is_unseen
+FROM cases_model m
+{' '.join(f"LEFT JOIN (SELECT valor, codigo FROM dict WHERE columna = '{c}') d{i} ON m.{c} = d{i}.valor"
+          for i, c in enumerate(CATEGORICAL))}
+""")
+
+_ALLOC = """
+, cc AS (SELECT con_incapacidad AS label, COUNT(*) AS c FROM cases_model GROUP BY 1),
+t1 AS (SELECT label, c, SUM(c) OVER () AS n FROM cc),
+t2 AS (SELECT *, CAST(ceil(CAST(n AS DOUBLE) * 0.25) AS BIGINT) AS n_test FROM t1),
+t3 AS (SELECT *, n - n_test AS n_train, (CAST(c AS HUGEINT) * (n - n_test)) // n AS base,
+              (CAST(c AS HUGEINT) * (n - n_test)) % n AS rem FROM t2),
+t4 AS (SELECT *, n_train - SUM(base) OVER () AS need, row_number() OVER (ORDER BY rem DESC, label ASC) - 1 AS r FROM t3),
+alloc AS (SELECT label, c, CAST(base + CASE WHEN r < need THEN 1 ELSE 0 END AS BIGINT) AS train FROM t4)
+"""
+
+ORACLES["stratified_split_sizes"] = with_cases(_ALLOC + """
+SELECT 'train' AS split, label, train AS n FROM alloc
+UNION ALL SELECT 'test', label, CAST(c - train AS BIGINT) FROM alloc
+""")
+
+ORACLES["class_weights"] = with_cases(_ALLOC + """
+SELECT label, train AS n, CAST(SUM(train) OVER () AS DOUBLE) / (CAST(COUNT(*) OVER () AS DOUBLE) * CAST(train AS DOUBLE))
+       AS weight FROM alloc
+""")
+
+ORACLES["cv_fold_sizes"] = with_cases("""
+, r AS (SELECT con_incapacidad AS label,
+               row_number() OVER (PARTITION BY con_incapacidad
+                                  ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS rn
+        FROM cases_model),
+cc AS (SELECT label, COUNT(*) AS c FROM r GROUP BY label),
+c0 AS (SELECT label, c, coalesce(SUM(c) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c_before
+       FROM cc),
+f AS (SELECT label, fold, floor((c_before + c + 4 - fold) / 5) - floor((c_before + 4 - fold) / 5) AS n
+      FROM c0, (SELECT CAST(range AS INTEGER) AS fold FROM range(5))),
+u AS (SELECT label, fold, SUM(n) OVER (PARTITION BY label ORDER BY fold) AS upto FROM f),
+rf AS (SELECT r.label, (SELECT CAST(COUNT(*) AS INTEGER) FROM u WHERE u.label = r.label AND u.upto <= r.rn) AS fold FROM r)
+SELECT fold, label, COUNT(*) AS n FROM rf GROUP BY fold, label
+""")
+
+# --- evaluation on the score proxy -----------------------------------------------------------
+
+SCORED = f"""WITH scored AS (
+  SELECT CAST({LOST_DAYS} > 0 AS INTEGER) AS label,
+         CAST((l_partkey * 37 + l_suppkey * 11) % 1000 AS DOUBLE) / {d(1000.0)} AS score
+  FROM lineitem),
+sp AS (SELECT *, CAST(score >= {d(0.5)} AS INTEGER) AS pred FROM scored),
+g AS (SELECT score, CAST(SUM(label) AS BIGINT) AS pos, CAST(SUM(1 - label) AS BIGINT) AS neg FROM scored GROUP BY score),
+pts AS (SELECT score, pos, neg,
+               SUM(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tps,
+               SUM(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fps,
+               row_number() OVER (ORDER BY score DESC) - 1 AS idx FROM g),
+tot AS (SELECT SUM(pos) AS P, SUM(neg) AS N, COUNT(*) AS M FROM g)
+"""
+
+ORACLES["roc_auc"] = SCORED + f"""
+SELECT SUM(CAST(pos AS DOUBLE) * (CAST(N - fps AS DOUBLE) + {d(0.5)} * CAST(neg AS DOUBLE)))
+       / (CAST(max(P) AS DOUBLE) * CAST(max(N) AS DOUBLE)) AS auc
+FROM pts, tot
+"""
+
+ORACLES["roc_curve"] = SCORED + f"""
+, nb AS (SELECT *, lag(tps) OVER (ORDER BY idx) AS tp_p, lag(fps) OVER (ORDER BY idx) AS fp_p,
+                lead(tps) OVER (ORDER BY idx) AS tp_n, lead(fps) OVER (ORDER BY idx) AS fp_n FROM pts)
+SELECT CAST('inf' AS DOUBLE) AS threshold, {d(0.0)} AS fpr, {d(0.0)} AS tpr
+UNION ALL
+SELECT score, CAST(fps AS DOUBLE) / CAST(N AS DOUBLE), CAST(tps AS DOUBLE) / CAST(P AS DOUBLE)
+FROM nb, tot
+WHERE idx = 0 OR idx = M - 1 OR coalesce(fp_n - 2 * fps + fp_p <> 0 OR tp_n - 2 * tps + tp_p <> 0, false)
+"""
+
+ORACLES["confusion_matrix"] = SCORED + """
+, cells AS (SELECT a AS actual, p AS predicted FROM (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(p)),
+c AS (SELECT label AS actual, pred AS predicted, COUNT(*) AS n FROM sp GROUP BY 1, 2)
+SELECT CAST(cells.actual AS INTEGER) AS actual, CAST(cells.predicted AS INTEGER) AS predicted,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM cells LEFT JOIN c ON cells.actual = c.actual AND cells.predicted = c.predicted
+"""
+
+
+def _ratio(num: str, den: str) -> str:
+    return f"CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) ELSE {d(0.0)} END"
+
+
+ORACLES["classification_report"] = SCORED + f"""
+, c AS (SELECT CAST(SUM(CASE WHEN label = 0 AND pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS c00,
+               CAST(SUM(CASE WHEN label = 0 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c01,
+               CAST(SUM(CASE WHEN label = 1 AND pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS c10,
+               CAST(SUM(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c11 FROM sp),
+m AS (SELECT {_ratio('c00', 'c00 + c10')} AS p0, {_ratio('c00', 'c00 + c01')} AS r0,
+             {_ratio('2 * c00', '2 * c00 + c10 + c01')} AS f0, c00 + c01 AS s0,
+             {_ratio('c11', 'c11 + c01')} AS p1, {_ratio('c11', 'c11 + c10')} AS r1,
+             {_ratio('2 * c11', '2 * c11 + c01 + c10')} AS f1, c11 + c10 AS s1,
+             c00 + c01 + c10 + c11 AS n, {_ratio('c00 + c11', 'c00 + c01 + c10 + c11')} AS acc FROM c),
+rows AS (
+  SELECT '0' AS clase, p0 AS precision, r0 AS recall, f0 AS f1_score, s0 AS support FROM m
+  UNION ALL SELECT '1', p1, r1, f1, s1 FROM m
+  UNION ALL SELECT 'accuracy', acc, acc, acc, n FROM m
+  UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM m
+  UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / CAST(n AS DOUBLE), (r0 * s0 + r1 * s1) / CAST(n AS DOUBLE),
+                   (f0 * s0 + f1 * s1) / CAST(n AS DOUBLE), n FROM m)
+SELECT clase, round(precision, 3) AS precision, round(recall, 3) AS recall, round(f1_score, 3) AS f1_score,
+       CAST(support AS BIGINT) AS support FROM rows
+"""
+
+_BAND = f"CASE WHEN score >= {d(0.6)} THEN 'Alto' WHEN score >= {d(0.35)} THEN 'Medio' ELSE 'Bajo' END"
+
+ORACLES["probability_band"] = SCORED + f"""
+SELECT {_BAND} AS banda, COUNT(*) AS n, min(score) AS min_score, max(score) AS max_score FROM scored GROUP BY 1
+"""
+
+
+def _relabel(col: str, m: dict) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items())
+    return f"CASE {col} {whens} ELSE {col} END"
+
+
+_REC_RELABEL = {
+    "naturaleza": {"1.STANDARD": "1.Lesion Lumbar"},
+    "mecanismo": {"1.EUROPE": "1.Sobre-esfuerzo"},
+    "parte_cuerpo": {"1.Brand#1": "1.Espalda", "1.Brand#2": "1.Miembros superiores"},
+    "agente": {"1.1-URGENT": "1.Aeronave y sus componentes", "1.2-HIGH": "1.Cambios de presion brusca"},
+    "tipo": {"PROMO": "Transito", "SMALL": "Violencia"},
+}
+
+
+def _has(col: str, *needles: str) -> str:
+    return "(" + " OR ".join(f"coalesce(strpos({col}, '{n}') > 0, false)" for n in needles) + ")"
+
+
+_RULES = [
+    f"{_has('naturaleza', 'Lumbar')} OR {_has('mecanismo', 'esfuerzo')}",
+    _has("parte_cuerpo", "Espalda", "Miembros"),
+    "coalesce(antiguedad <= 2, false)",
+    _has("agente", "Aeronave", "presion"),
+    _has("tipo", "Transito"),
+    _has("tipo", "Violencia"),
+    "banda = 'Alto'",
+]
+
+ORACLES["recommendation_rules"] = with_cases(f"""
+, rl AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, antiguedad,
+         {', '.join(f'{_relabel(c, m)} AS {c}' for c, m in _REC_RELABEL.items())},
+         {_BAND.replace('score', 's')} AS banda
+  FROM (SELECT *, CAST((l_partkey * 37 + l_suppkey * 11) % 1000 AS DOUBLE) / {d(1000.0)} AS s FROM cases_model)),
+fired AS (
+  SELECT *, concat_ws(',', {', '.join(f"CASE WHEN {r} THEN '{i}' END" for i, r in enumerate(_RULES, start=1))}) AS ids
+  FROM rl)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, banda,
+       CASE WHEN ids = '' THEN '0' ELSE ids END AS reglas,
+       CAST(CASE WHEN ids = '' THEN 1 ELSE length(ids) - length(replace(ids, ',', '')) + 1 END AS INTEGER)
+         AS n_recomendaciones
+FROM fired
+""")

@@ -69,3 +69,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in
+    the shared checkpoint folder (survives executor loss, unlike a local
+    checkpoint).  Meant for small derived tables reused several times, such
+    as dictionaries that are size-checked and then broadcast."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
