@@ -92,7 +92,8 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_size:
     allocation gives the class.  Exact class sizes, deterministic membership."""
     alloc = split_allocation(df, label, test_size).select(F.col("label").alias("_lab"), F.col("test").alias("_nt"))
     h = df.withColumn("_h", split_hash(key_cols, seed))
-    idx = row_index(h, ["_h", *key_cols], group_cols=[label], index_col="_r")
+    # a binary target: at most 2 groups, so the offsets table is tiny by construction
+    idx = row_index(h, ["_h", *key_cols], group_cols=[label], index_col="_r", max_groups=2)
     out = idx.join(F.broadcast(alloc), F.col(label) == F.col("_lab"))
     return out.withColumn(flag, F.col("_r") < F.col("_nt")).drop("_h", "_r", "_lab", "_nt")
 
@@ -124,7 +125,7 @@ def stratified_folds(df: DataFrame, label: str, order_cols: list[str], n_folds:
     alloc = fold_allocation(df, label, n_folds)
     bounds = alloc.groupBy(F.col("label").alias("_lab")).agg(
         F.array_sort(F.collect_list("upto")).alias("_ub"))          # k numbers per class
-    idx = row_index(df, order_cols, group_cols=[label], index_col="_r")
+    idx = row_index(df, order_cols, group_cols=[label], index_col="_r", max_groups=2)
     out = idx.join(F.broadcast(bounds), F.col(label) == F.col("_lab"))
     fold = F.size(F.filter(F.col("_ub"), lambda u: u <= F.col("_r")))
     return out.withColumn(fold_col, fold.cast("int")).drop("_r", "_lab", "_ub")

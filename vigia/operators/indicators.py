@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 
 from vigia.functions import rates
 from vigia.functions.text import double_or_zero, number_or
-from vigia.session import bounded_broadcast
 from pyspark.sql.types import StringType
 
 # Month column names of the indicator sheet, in calendar order,
 # and the name of the year-to-date column.
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 YTD = "ACUM"
-# An indicator sheet lists stations; the join side is broadcast while it stays this small.
-STATION_BROADCAST_ROWS = 100_000
 
 
 def wide_from_exposure(exposure: DataFrame, accidents: str = "N_AT", with_ytd: bool = True) -> DataFrame:
@@ -71,6 +68,8 @@ def total_vs_indicator(total: DataFrame, indicator: DataFrame, months: list[str]
     join.  All values rounded to 3 decimals."""
     left = total.select("Estacion", *[F.col(m).alias(f"IF_{m}") for m in months], F.col(YTD).alias("IF_ACUM"))
     right = indicator.select("Estacion", *[F.col(m).alias(f"IF_IND_{m}") for m in months])
-    j = left.join(bounded_broadcast(right, STATION_BROADCAST_ROWS), "Estacion", "left")
+    # the right side is one row per station; no hint — AQE broadcasts it from
+    # runtime sizes when small and keeps a shuffle join otherwise
+    j = left.join(right, "Estacion", "left")
     vals = [c for c in j.columns if c != "Estacion"]
     return j.select("Estacion", *[F.round(c, 3).alias(c) for c in vals])

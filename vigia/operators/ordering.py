@@ -23,8 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, TimestampType, DateType
 
-from vigia.session import bounded_broadcast
-
 _OFFSET_BROADCAST_ROWS = 2_000_000
 
 
@@ -46,13 +44,19 @@ def _bucketed(df: DataFrame, order_cols: list[str], n_buckets: int) -> DataFrame
 
 def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Column] | None = None,
                    group_cols: list[str] | tuple = (), descending: bool = False,
-                   n_buckets: int = 64, index_col: str | None = "_idx") -> DataFrame:
+                   n_buckets: int = 64, index_col: str | None = "_idx",
+                   max_groups: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` (name -> expression) and a 0-based
     row index ``index_col`` within ``group_cols`` in ``order_cols`` order.
 
     ``descending`` orders every order column descending.  Rows with equal
     order keys get distinct, arbitrary-but-stable-per-run consecutive indexes,
     exactly like ``row_number``; callers pass unique keys.
+
+    The offsets table has one row per (group, range).  Without groups, or when
+    the caller knows the number of groups (``max_groups``, e.g. 2 for a
+    binary label), its size is bounded by construction and it is broadcast;
+    otherwise it is joined normally and AQE decides from runtime sizes.
     """
     group_cols = list(group_cols)
     values = dict(values or {})
@@ -77,7 +81,10 @@ def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Colum
     offs = totals.select(*group_cols, "_bucket",
                          *[F.coalesce(F.sum(f"_t_{k}").over(wo), F.lit(0)).alias(f"_o_{k}") for k in values],
                          *([F.coalesce(F.sum("_t__n").over(wo), F.lit(0)).alias("_o__n")] if index_col else []))
-    out = b.join(bounded_broadcast(offs, _OFFSET_BROADCAST_ROWS), [*group_cols, "_bucket"])
+    groups = 1 if not group_cols else max_groups
+    if groups is not None and groups * (n_buckets + 1) <= _OFFSET_BROADCAST_ROWS:
+        offs = F.broadcast(offs)
+    out = b.join(offs, [*group_cols, "_bucket"])
     fixes = {k: F.col(k) + F.col(f"_o_{k}") for k in values}
     if index_col:
         fixes[index_col] = F.col(index_col) + F.col("_o__n")
@@ -87,9 +94,10 @@ def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Colum
 
 
 def row_index(df: DataFrame, order_cols: list[str], group_cols=(), index_col: str = "_idx",
-              n_buckets: int = 64) -> DataFrame:
+              n_buckets: int = 64, max_groups: int | None = None) -> DataFrame:
     """0-based ``row_number() - 1`` within ``group_cols`` ordered by ``order_cols``."""
-    return running_totals(df, order_cols, None, group_cols, n_buckets=n_buckets, index_col=index_col)
+    return running_totals(df, order_cols, None, group_cols, n_buckets=n_buckets, index_col=index_col,
+                          max_groups=max_groups)
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int,

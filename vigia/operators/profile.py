@@ -28,7 +28,8 @@ def profile_numeric(df: DataFrame, cols: list[str], n_buckets: int = 64) -> Data
     moments = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    idx = running_totals(long, ["value"], None, group_cols=["column"], n_buckets=n_buckets, index_col="_i")
+    idx = running_totals(long, ["value"], None, group_cols=["column"], n_buckets=n_buckets, index_col="_i",
+                         max_groups=len(cols))
     with_n = idx.join(F.broadcast(moments.select("column", "count")), "column")
     picks = []
     for q in QUARTILES:

@@ -15,10 +15,13 @@ from vigia.operators import cases as cs
 from vigia.operators import exposure as ex
 from vigia.operators import features as ft
 from vigia.operators import metrics as mt
+from vigia.operators import models as md
 from vigia.operators import profile as pf
 from vigia.operators import indicators as ind
 from vigia.functions import rules
+from vigia.sources import files as io
 from vigia.sources import grid, tpch
+from vigia.streaming import board as board_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,3 +329,96 @@ def recommendation_rules(spark, sf_dir):
     return m.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "banda",
                     F.array_join(rules.fired_rule_ids(band="banda"), ",").alias("reglas"),
                     F.size(rules.recommendations(band="banda")).alias("n_recomendaciones"))
+
+
+# --- MLlib models (rows-only checks) --------------------------------------------
+
+_TRAINED: dict = {}
+
+
+def trained(spark, sf_dir, algo: str, target: str = TARGET):
+    """Fit once per (data, algorithm, target) and session; the fit is an
+    action, the returned frames stay lazy."""
+    key = (id(spark), sf_dir, algo, target)
+    if key not in _TRAINED:
+        enc = encoded_cases(spark, sf_dir, keep=tpch.CASE_KEY).drop("is_unseen")
+        _TRAINED[key] = md.train(enc, target, algo, tpch.CASE_KEY)
+    return _TRAINED[key]
+
+
+@register
+def train_rf_metrics(spark, sf_dir):
+    return md.holdout_metrics(trained(spark, sf_dir, "rf"))
+
+
+@register
+def train_gbt_metrics(spark, sf_dir):
+    return md.holdout_metrics(trained(spark, sf_dir, "gbt"))
+
+
+@register
+def train_lr_metrics(spark, sf_dir):
+    return md.holdout_metrics(trained(spark, sf_dir, "lr"))
+
+
+@register
+def cv_auc(spark, sf_dir):
+    return md.cv_auc(trained(spark, sf_dir, "rf"))
+
+
+@register
+def feature_importance_top10(spark, sf_dir):
+    return md.feature_importance(trained(spark, sf_dir, "rf"), 10)
+
+
+@register
+def score_cases(spark, sf_dir):
+    """The held-out cases scored as a batch of new cases."""
+    t = trained(spark, sf_dir, "rf")
+    m = cases_model(spark, sf_dir, keep=tpch.CASE_KEY)
+    test_keys = t.data.filter(F.col("is_test")).select(*tpch.CASE_KEY)
+    new = m.join(test_keys, tpch.CASE_KEY, "left_semi")
+    return md.score_cases(t, new, ft.label_dictionary(m, cs.CATEGORICAL), tpch.CASE_KEY)
+
+
+@register
+def forecast_months(spark, sf_dir):
+    return md.forecast(tpch.monthly_accidents(spark, sf_dir))
+
+
+# --- sources / sinks ------------------------------------------------------------
+
+@register
+def csv_round_trip(spark, sf_dir):
+    """The cleaned board written as CSV with a header and read back with an
+    explicit schema (no inference pass)."""
+    df = ex.clean_exposure(tpch.exposure_raw(spark, sf_dir))
+    path = io.export(df, io.scratch_path(spark, "board-csv"), fmt="csv")
+    return io.load_table(spark, path, fmt="csv", schema=df.schema)
+
+
+@register
+def export_filtered(spark, sf_dir):
+    """The filtered case view exported as parquet partitioned by class, read back."""
+    view = cs.filter_cases(cases_plain(spark, sf_dir), CASE_FILTER_CLASSES, CASE_FILTER_TYPES)
+    path = io.export(view, io.scratch_path(spark, "cases-export"), partition_by=["Clasificacion del accidente"])
+    return io.load_table(spark, path, fmt="parquet")
+
+
+@register
+def exposure_stream_clean(spark, sf_dir):
+    """Board uploads (one file set per block) ingested by a file stream that
+    applies the board cleaning; the resulting table."""
+    raw = tpch.exposure_raw(spark, sf_dir)
+    src = io.scratch_path(spark, "board-uploads")
+    for block in ("GENERAL", "AGIL"):
+        io.export(raw.filter(F.col("fuente") == F.lit(block)), src, mode="append")
+    return board_stream.ingest_exposure(spark, src, raw.schema, io.scratch_path(spark, "board-table"),
+                                        io.scratch_path(spark, "board-stream-ckpt"), files_per_trigger=1)
+
+
+@register
+def rate_by_station_stream(spark, sf_dir):
+    """The station table computed on the stream-ingested board table."""
+    t = exposure_stream_clean(spark, sf_dir)
+    return ex.rates_by_station(t.filter(F.col("fuente") == F.lit("GENERAL")))

@@ -411,3 +411,10 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, banda,
          AS n_recomendaciones
 FROM fired
 """)
+
+# --- sources / sinks -------------------------------------------------------------------
+
+ORACLES["csv_round_trip"] = ORACLES["exposure_clean"]
+ORACLES["export_filtered"] = ORACLES["case_filter"]
+ORACLES["exposure_stream_clean"] = ORACLES["exposure_clean"]
+ORACLES["rate_by_station_stream"] = ORACLES["rate_by_station"]

@@ -17,8 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GRID_KEYS = ["source", "sheet", "row_no"]
-# A header row holds one name per column: broadcast while the sheet is this wide.
-HEADER_BROADCAST_ROWS = 100_000
 
 
 def header_row(skip_rows: int) -> int:
@@ -30,15 +28,16 @@ def header_row(skip_rows: int) -> int:
 
 def promote_header(grid: DataFrame, sheet: str, skip_rows: int) -> DataFrame:
     """Body cells of ``sheet`` with the column name promoted from the header
-    row: ``(source, sheet, row_no, col_no, name, value)``."""
-    from vigia.session import bounded_broadcast
+    row: ``(source, sheet, row_no, col_no, name, value)``.
 
+    The header map is one row per sheet column — at most 16,384 per sheet by
+    the workbook format — so it is broadcast per source without a size probe."""
     hr = header_row(skip_rows)
     s = grid.filter(F.col("sheet") == F.lit(sheet))
     names = (s.filter(F.col("row_no") == hr)
              .select("source", "sheet", "col_no", F.col("value").alias("name")))
     body = s.filter(F.col("row_no") > hr)
-    return body.join(bounded_broadcast(names, HEADER_BROADCAST_ROWS), ["source", "sheet", "col_no"], "left") \
+    return body.join(F.broadcast(names), ["source", "sheet", "col_no"], "left") \
                .select("source", "sheet", "row_no", "col_no", "name", "value")
 
 

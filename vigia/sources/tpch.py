@@ -197,7 +197,7 @@ def board_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.col(c).cast("long").cast("string").alias(c) for c in ("N_AT", "N_AT_IND", "N_Dias_Total", "N_Dias_Ind")],
         F.col("HHT").cast("decimal(20,3)").cast("string").alias("HHT"),
         *[F.col(c).cast("decimal(20,4)").cast("string").alias(c) for c in ("IF", "IF_IND", "IS")])
-    idx = row_index(txt, ["Estacion", "Poblacion", "mes_i"], group_cols=["fuente"])
+    idx = row_index(txt, ["Estacion", "Poblacion", "mes_i"], group_cols=["fuente"], max_groups=2)
     board_cols = ["Mes", "Meses", "Unidad_Negocio", "Est", "Pob", "N_AT", "N_AT_IND", "N_Dias_Total",
                   "N_Dias_Ind", "HHT", "IF", "IF_IND", "IS"]
     names = ["Mes", "Meses", "Unidad_Negocio", "Estacion", "Poblacion", "N_AT", "N_AT_IND", "N_Dias_Total",
