@@ -26,7 +26,10 @@ def profile_numeric(df: DataFrame, cols: list[str], n_buckets: int = 64) -> Data
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("s")) \
         .select("s.column", "s.value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
     moments = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        # exact mean (DECIMAL sum): a mean that sits on a rounding tie does not
+        # depend on the order in which partitions are added up
+        F.count(F.lit(1)).alias("count"), F.avg(F.col("value").cast("decimal(38,12)")).alias("mean"),
+        F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     idx = running_totals(long, ["value"], None, group_cols=["column"], n_buckets=n_buckets, index_col="_i",
                          max_groups=len(cols))
@@ -48,7 +51,7 @@ def profile_numeric(df: DataFrame, cols: list[str], n_buckets: int = 64) -> Data
         aggs.append((lo + (hi - lo) * frac).alias(f"p{int(q * 100)}"))
     quart = pts.groupBy("column").agg(*aggs)
     out = moments.join(quart, "column", "left")
-    return out.select("column", "count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
+    return out.select("column", "count", F.round("mean", 6).cast("double").alias("mean"), F.round("std", 6).alias("std"),
                       "min", F.round("p25", 6).alias("p25"), F.round("p50", 6).alias("p50"),
                       F.round("p75", 6).alias("p75"), "max")
 

@@ -210,7 +210,7 @@ SELECT coalesce(v, med, {d(5.0)}) AS antiguedad, COUNT(*) AS n FROM a, m GROUP B
 # --- profile, series, preview --------------------------------------------------------
 
 ORACLES["profile_numeric"] = " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", COUNT({c}) AS "count", round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+    f"""SELECT '{c}' AS "column", COUNT({c}) AS "count", round(avg(CAST({c} AS DECIMAL(38,12))), 6) AS mean, round(stddev_samp({c}), 6) AS std,
        min({c}) AS "min", round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
        round(quantile_cont({c}, 0.75), 6) AS p75, max({c}) AS "max" FROM lineitem WHERE NOT isnan({c})"""
     for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
@@ -418,3 +418,8 @@ ORACLES["csv_round_trip"] = ORACLES["exposure_clean"]
 ORACLES["export_filtered"] = ORACLES["case_filter"]
 ORACLES["exposure_stream_clean"] = ORACLES["exposure_clean"]
 ORACLES["rate_by_station_stream"] = ORACLES["rate_by_station"]
+
+# Every oracle rounds like Spark (half-up on the decimal form).
+from vigia.plans.sqlparts import half_up  # noqa: E402
+
+ORACLES = {k: half_up(v) for k, v in ORACLES.items()}

@@ -161,3 +161,41 @@ MODEL_COLS = ["clasificacion", "tipo", "estacion", "genero", "cargo", "antigueda
 
 def with_cases(body: str) -> str:
     return "WITH " + CASES.strip() + "\n" + body
+
+
+def half_up(sql: str) -> str:
+    """Make every two-argument ``round(x, n)`` of an oracle round like Spark:
+    half-up on the decimal form of the double (Spark: 2.0195 -> 2.020,
+    DuckDB's plain ``round`` works on the binary value: 2.019).  The value is
+    first fixed to 12 decimals as DECIMAL, rounded there, and cast back."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 0, j + 6, -1
+        while k < len(sql):
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                comma = k
+            k += 1
+        if comma < 0:                           # one-argument round: keep
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        arg = half_up(sql[j + 6:comma])
+        digits = sql[comma + 1:k].strip()
+        out.append(sql[i:j])
+        out.append(f"CAST(round(CAST({arg} AS DECIMAL(38,12)), {digits}) AS DOUBLE)")
+        i = k + 1
