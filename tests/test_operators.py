@@ -275,7 +275,7 @@ def test_profile_matches_pandas(spark):
     import pandas as pd
     vals = [1.0, 2.0, 2.0, 3.5, 10.0, 7.25, 0.5]
     df = spark.createDataFrame([(v, v * 2) for v in vals], "a double, b double")
-    r = {x.column: x for x in pf.profile_numeric(df, ["a", "b"], n_buckets=4).collect()}
+    r = {x.column: x for x in pf.profile_numeric(df, ["a", "b"], n_bins=4).collect()}
     d = pd.Series(vals).describe()
     assert r["a"]["count"] == 7 and r["a"].p25 == round(d["25%"], 6) and r["a"].p50 == d["50%"]
     assert r["a"].p75 == round(d["75%"], 6) and r["a"].std == round(d["std"], 6)

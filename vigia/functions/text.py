@@ -20,8 +20,9 @@ SENIORITY_DEFAULT = 5.0
 NUMBER_PATTERN = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 # Leading catalogue code such as "1." in "1.Golpe".
 CATALOGUE_PREFIX = r"^\d+\."
-# Whitespace at either end, Unicode-aware (tabs, NBSP) like Python's strip().
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The characters Python's str.strip() removes: every code point for which
+# str.isspace() holds (tab, newline, NBSP, the Unicode spaces, ...).
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
 def _col(c) -> Column:
@@ -29,8 +30,12 @@ def _col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Remove whitespace from both ends, tabs and non-breaking spaces included."""
-    return F.regexp_replace(_col(c), _EDGE_SPACE, "")
+    """Remove whitespace from both ends like Python's ``str.strip()`` (tabs
+    and non-breaking spaces included).  Only values that start or end with
+    whitespace pay for the character-set trim; the rest pass unchanged."""
+    x = _col(c)
+    edge = F.substring(x, 1, 1).isin(*WHITESPACE) | F.substring(x, -1, 1).isin(*WHITESPACE)
+    return F.when(edge, F.btrim(x, F.lit(WHITESPACE))).otherwise(x)
 
 
 def drop_catalogue_prefix(c) -> Column:

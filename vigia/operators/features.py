@@ -6,8 +6,9 @@ aggregate per task) and numbered per column; only the dictionary — bounded by
 the category domains, checked before broadcasting — meets the case table, in
 broadcast hash joins with no shuffle of the cases.  Split and folds need a row
 number within each class; a plain ``row_number() OVER (PARTITION BY label)``
-would sort each class in a single task, so both use the distributed
-running-total helper instead.
+would sort each class in a single task; both select their cut keys from a
+histogram instead (:func:`vigia.operators.ordering.keys_at_ranks`) and then
+mark rows in one map-only pass.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigia.operators.ordering import row_index
+from vigia.operators.ordering import hash_bins, keys_at_ranks
 from vigia.session import bounded_broadcast, materialize
 
 DICT_BROADCAST_ROWS = 5_000_000
@@ -89,13 +90,25 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_size:
                      seed: int = 42, flag: str = "is_test") -> DataFrame:
     """Mark the test rows of a stratified split: within each class, the rows
     with the smallest seeded hash of the unique key, as many as the
-    allocation gives the class.  Exact class sizes, deterministic membership."""
-    alloc = split_allocation(df, label, test_size).select(F.col("label").alias("_lab"), F.col("test").alias("_nt"))
+    allocation gives the class.  Exact class sizes, deterministic membership.
+
+    No sort of the data: the class's cut key (hash, key) is selected from a
+    histogram over the hash's top bits (:func:`keys_at_ranks`), then every row
+    compares its own (hash, key) with its class's cut — a map-only pass
+    against a two-row broadcast table.
+    """
+    alloc = split_allocation(df, label, test_size)
     h = df.withColumn("_h", split_hash(key_cols, seed))
-    # a binary target: at most 2 groups, so the offsets table is tiny by construction
-    idx = row_index(h, ["_h", *key_cols], group_cols=[label], index_col="_r", max_groups=2)
-    out = idx.join(F.broadcast(alloc), F.col(label) == F.col("_lab"))
-    return out.withColumn(flag, F.col("_r") < F.col("_nt")).drop("_h", "_r", "_lab", "_nt")
+    ranks = alloc.select(F.col("label").alias(label), F.col("test").alias("r"))
+    cuts = keys_at_ranks(h, label, ["_h", *key_cols], ranks, bins=hash_bins(F.col("_h")))
+    info = (alloc.select(F.col("label").alias("_lab"), F.col("test").alias("_nt"), F.col("c").alias("_nc"))
+            .join(cuts.withColumnRenamed(label, "_lab"), "_lab", "left"))
+    row_key = F.struct(F.col("_h"), *[F.col(c) for c in key_cols])
+    is_test = (F.when(F.col("_nt") >= F.col("_nc"), F.lit(True))
+               .when(F.col("_nt") <= 0, F.lit(False))
+               .otherwise(row_key < F.col("key")))
+    out = h.join(F.broadcast(info), F.col(label) == F.col("_lab"))        # one row per class
+    return out.withColumn(flag, is_test).drop("_h", "_lab", "_nt", "_nc", "r", "key")
 
 
 def fold_allocation(df: DataFrame, label: str, n_folds: int = 5) -> DataFrame:
@@ -121,14 +134,20 @@ def stratified_folds(df: DataFrame, label: str, order_cols: list[str], n_folds:
                      fold_col: str = "fold") -> DataFrame:
     """Fold id of each row for an unshuffled stratified k-fold: within a
     class, rows in register order (``order_cols``, a unique key) fill fold 0
-    first, then fold 1, ... with the sizes of :func:`fold_allocation`."""
+    first, then fold 1, ... with the sizes of :func:`fold_allocation`.
+
+    The first key of every fold after the first is selected per class with
+    :func:`keys_at_ranks`; a row's fold is the number of those keys that are
+    not greater than its own key (map-only, against a small broadcast)."""
     alloc = fold_allocation(df, label, n_folds)
-    bounds = alloc.groupBy(F.col("label").alias("_lab")).agg(
-        F.array_sort(F.collect_list("upto")).alias("_ub"))          # k numbers per class
-    idx = row_index(df, order_cols, group_cols=[label], index_col="_r", max_groups=2)
-    out = idx.join(F.broadcast(bounds), F.col(label) == F.col("_lab"))
-    fold = F.size(F.filter(F.col("_ub"), lambda u: u <= F.col("_r")))
-    return out.withColumn(fold_col, fold.cast("int")).drop("_r", "_lab", "_ub")
+    starts = alloc.filter(F.col("fold") < n_folds - 1)          # rank of the first row of folds 1..k-1
+    ranks = starts.select(F.col("label").alias(label), F.col("upto").alias("r"))
+    cuts = keys_at_ranks(df, label, order_cols, ranks)
+    per_class = cuts.groupBy(F.col(label).alias("_lab")).agg(F.collect_list("key").alias("_cuts"))
+    out = df.join(F.broadcast(per_class), F.col(label) == F.col("_lab"), "left")
+    row_key = F.struct(*[F.col(c) for c in order_cols])
+    fold = F.size(F.filter(F.coalesce(F.col("_cuts"), F.array()), lambda k: k <= row_key))
+    return out.withColumn(fold_col, fold.cast("int")).drop("_lab", "_cuts")
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:

@@ -1,57 +1,109 @@
 """Global orderings without a single-partition window.
 
 ``row_number()``/running sums over a window with no (or a very coarse)
-``PARTITION BY`` move every row into one task.  These helpers compute the same
-numbers in three distributed steps:
-
-1. cut the order key into ``n_buckets`` contiguous ranges (approximate
-   quantiles of the leading numeric key — one aggregate — or Spark's sampled
-   range partitioning for other types);
-2. number / sum *within* (group, range) with an ordinary window — one shuffle,
-   every task a slice of a group;
-3. add the totals of all earlier ranges of the same group, taken from a small
-   (groups x buckets) aggregate.
-
-Ties of the leading key always fall into the same range, so the result equals
-the single-window result exactly.  A value holding a large share of rows still
-lands in one range: callers order by unique keys or by pre-aggregated values.
+``PARTITION BY`` move every row into one task.  Two distributed replacements:
+
+* :func:`keys_at_ranks` — exact selection.  The rows at given ranks (within
+  each group, in a given order) are found with a histogram: rows are counted
+  per (group, bin) where bins are contiguous ranges of the order, cumulative
+  counts over the small histogram locate the bin of each wanted rank, and only
+  the rows of those few bins are sorted.  No shuffle of the full data; the
+  split, the folds and the quartiles use it (a row's rank is then known by
+  comparing its key with the selected keys).
+* :func:`running_totals` — prefix sums/row index for every row: rows are cut
+  into contiguous ranges (quantile bins), numbered/summed inside each (group,
+  range) with an ordinary window, and shifted by the totals of the earlier
+  ranges.  One shuffle, every window partition a small slice.  Used on
+  already aggregated data (distinct scores of a ROC curve, sheet rows).
+
+Ties of the order key always fall into the same bin, so both give exactly the
+single-window result.  Bin counts scale with ``spark.sql.shuffle.partitions``.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, TimestampType, DateType
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 _OFFSET_BROADCAST_ROWS = 2_000_000
 
 
-def _bucketed(df: DataFrame, order_cols: list[str], n_buckets: int) -> DataFrame:
-    lead = order_cols[0]
-    dt = df.schema[lead].dataType
-    if isinstance(dt, (NumericType, TimestampType, DateType)):
-        num = F.col(lead).cast("double") if not isinstance(dt, NumericType) else F.col(lead)
-        if isinstance(dt, (TimestampType, DateType)):
-            num = F.unix_micros(F.col(lead).cast("timestamp")).cast("double")
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        bounds = df.agg(F.percentile_approx(num, probs, 10_000).alias("_bounds"))
-        # one-row aggregate: broadcasting it is always safe
-        return (df.crossJoin(F.broadcast(bounds))
-                  .withColumn("_bucket", F.size(F.filter(F.col("_bounds"), lambda b: b < num)))
-                  .drop("_bounds"))
-    return df.repartitionByRange(n_buckets, *order_cols).withColumn("_bucket", F.spark_partition_id())
+def default_bins(spark) -> int:
+    """Bins per ordering: a few per shuffle partition, at least 16."""
+    return max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def _as_double(df: DataFrame, col: str) -> Column:
+    dt = df.schema[col].dataType
+    if isinstance(dt, (TimestampType, TimestampNTZType, DateType)):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    if isinstance(dt, NumericType):
+        return F.col(col).cast("double")
+    if isinstance(dt, StringType):
+        # first 6 UTF-8 bytes as a big-endian number: non-decreasing in the
+        # string (byte) order, exact in a double; longer common prefixes tie
+        six = F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(six, 16, 10).cast("double")
+    raise TypeError(f"order column {col} must be numeric, string, date or timestamp")
+
+
+def quantile_bins(df: DataFrame, lead: str, n_bins: int, out: str = "_bin") -> DataFrame:
+    """Contiguous, roughly equal-count bins of ``lead`` (ascending): splits
+    from one approximate-quantile pass, lookup by binary search (JVM)."""
+    tmp = "_lead_d"
+    d = df.withColumn(tmp, _as_double(df, lead))
+    qd = QuantileDiscretizer(numBuckets=n_bins, inputCol=tmp, outputCol=out,
+                             relativeError=1.0 / (4.0 * n_bins), handleInvalid="keep")
+    return qd.fit(d).transform(d).withColumn(out, F.col(out).cast("int")).drop(tmp)
+
+
+def hash_bins(h: Column, bits: int = 20) -> Column:
+    """Bins of a signed 64-bit hash by its top ``bits`` bits (monotone in the
+    hash's signed order; uniform without any pass over the data)."""
+    return F.shiftright(h, 64 - bits) + F.lit(1 << (bits - 1))
+
+
+def keys_at_ranks(df: DataFrame, group_col: str, order_cols: list[str], ranks: DataFrame,
+                  bins: Column | None = None, n_bins: int | None = None) -> DataFrame:
+    """For each ``(group, r)`` row of ``ranks`` (r 0-based), the order key of
+    the row at rank r within the group: ``(group, r, key)`` with ``key`` a
+    struct of ``order_cols``.  ``bins`` must be monotone in the order (equal
+    keys share a bin); by default quantile bins of the leading order column.
+    Ranks outside the group are dropped.  ``df`` is read three times; pass a
+    materialized or cheap-to-read frame.
+    """
+    if bins is None:
+        b = quantile_bins(df, order_cols[0], n_bins or default_bins(df.sparkSession))
+    else:
+        b = df.withColumn("_bin", bins)
+    hist = b.groupBy(group_col, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(group_col).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    cum = hist.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    want = ranks.select(F.col(group_col), F.col("r").cast("long").alias("r"))
+    targets = (want.join(cum, group_col)
+               .filter((F.col("r") >= F.col("_before")) & (F.col("r") < F.col("_before") + F.col("_n")))
+               .select(group_col, "r", "_bin", (F.col("r") - F.col("_before")).alias("_off")))
+    # one row per wanted rank: at most (#groups x #ranks) rows, tiny
+    tb = F.broadcast(targets)
+    cand = b.join(tb.select(group_col, "_bin").distinct(), [group_col, "_bin"], "left_semi")
+    wo = Window.partitionBy(group_col, "_bin").orderBy(*order_cols)
+    ranked = cand.withColumn("_off", F.row_number().over(wo) - 1)
+    key = F.struct(*[F.col(c) for c in order_cols]).alias("key")
+    return ranked.join(tb, [group_col, "_bin", "_off"]).select(group_col, "r", key)
 
 
 def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Column] | None = None,
                    group_cols: list[str] | tuple = (), descending: bool = False,
-                   n_buckets: int = 64, index_col: str | None = "_idx",
+                   n_buckets: int | None = None, index_col: str | None = "_idx",
                    max_groups: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` (name -> expression) and a 0-based
     row index ``index_col`` within ``group_cols`` in ``order_cols`` order.
 
     ``descending`` orders every order column descending.  Rows with equal
-    order keys get distinct, arbitrary-but-stable-per-run consecutive indexes,
-    exactly like ``row_number``; callers pass unique keys.
+    order keys get consecutive indexes in arbitrary order, like
+    ``row_number``; callers pass unique keys.
 
     The offsets table has one row per (group, range).  Without groups, or when
     the caller knows the number of groups (``max_groups``, e.g. 2 for a
@@ -60,9 +112,10 @@ def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Colum
     """
     group_cols = list(group_cols)
     values = dict(values or {})
-    b = _bucketed(df, order_cols, n_buckets)
+    n = n_buckets or default_bins(df.sparkSession)
+    b = quantile_bins(df, order_cols[0], n, "_bucket")
     if descending:
-        b = b.withColumn("_bucket", F.lit(n_buckets) - F.col("_bucket"))
+        b = b.withColumn("_bucket", F.lit(n + 1) - F.col("_bucket"))
     b = b.withColumns({f"_v_{k}": v for k, v in values.items()})
     ocols = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     w = (Window.partitionBy(*group_cols, "_bucket").orderBy(*ocols)
@@ -82,7 +135,7 @@ def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Colum
                          *[F.coalesce(F.sum(f"_t_{k}").over(wo), F.lit(0)).alias(f"_o_{k}") for k in values],
                          *([F.coalesce(F.sum("_t__n").over(wo), F.lit(0)).alias("_o__n")] if index_col else []))
     groups = 1 if not group_cols else max_groups
-    if groups is not None and groups * (n_buckets + 1) <= _OFFSET_BROADCAST_ROWS:
+    if groups is not None and groups * (n + 2) <= _OFFSET_BROADCAST_ROWS:
         offs = F.broadcast(offs)
     out = b.join(offs, [*group_cols, "_bucket"])
     fixes = {k: F.col(k) + F.col(f"_o_{k}") for k in values}
@@ -94,7 +147,7 @@ def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Colum
 
 
 def row_index(df: DataFrame, order_cols: list[str], group_cols=(), index_col: str = "_idx",
-              n_buckets: int = 64, max_groups: int | None = None) -> DataFrame:
+              n_buckets: int | None = None, max_groups: int | None = None) -> DataFrame:
     """0-based ``row_number() - 1`` within ``group_cols`` ordered by ``order_cols``."""
     return running_totals(df, order_cols, None, group_cols, n_buckets=n_buckets, index_col=index_col,
                           max_groups=max_groups)

@@ -7,20 +7,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigia.functions import rates
-from vigia.operators.ordering import running_totals
+from vigia.operators.ordering import keys_at_ranks
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def profile_numeric(df: DataFrame, cols: list[str], n_buckets: int = 64) -> DataFrame:
+def profile_numeric(df: DataFrame, cols: list[str], n_bins: int | None = None) -> DataFrame:
     """One row per column with the statistics of a describe(): count, mean,
     sample standard deviation, min, 25/50/75 % (linear interpolation between
     the two closest ranks, exact), max.
 
-    Exact quartiles without collecting a column anywhere: values are unpivoted
-    to ``(column, value)``, numbered in value order per column with the
-    distributed running-total helper, and only the (at most six) rows at the
-    interpolation ranks are kept and combined.  Moments are plain aggregates.
+    Exact quartiles without sorting or collecting a column: values are
+    unpivoted to ``(column, value)`` and only the (at most six) values at the
+    interpolation ranks are selected per column with
+    :func:`vigia.operators.ordering.keys_at_ranks` (histogram, then a sort of
+    a few bins).  Moments are plain aggregates.
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("s")) \
@@ -29,31 +30,23 @@ def profile_numeric(df: DataFrame, cols: list[str], n_buckets: int = 64) -> Data
         # exact mean (DECIMAL sum): a mean that sits on a rounding tie does not
         # depend on the order in which partitions are added up
         F.count(F.lit(1)).alias("count"), F.avg(F.col("value").cast("decimal(38,12)")).alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    idx = running_totals(long, ["value"], None, group_cols=["column"], n_buckets=n_buckets, index_col="_i",
-                         max_groups=len(cols))
-    with_n = idx.join(F.broadcast(moments.select("column", "count")), "column")
-    picks = []
-    for q in QUARTILES:
-        pos = (F.col("count") - 1) * F.lit(q)
-        picks.append((F.col("_i") == F.floor(pos)) | (F.col("_i") == F.ceil(pos)))
-    cond = picks[0]
-    for p in picks[1:]:
-        cond = cond | p
-    pts = with_n.filter(cond).select("column", "count", "_i", "value")
-    aggs = []
-    for q in QUARTILES:
-        pos = (F.col("count") - 1) * F.lit(q)
-        lo = F.max(F.when(F.col("_i") == F.floor(pos), F.col("value")))
-        hi = F.max(F.when(F.col("_i") == F.ceil(pos), F.col("value")))
-        frac = F.max(pos - F.floor(pos))
-        aggs.append((lo + (hi - lo) * frac).alias(f"p{int(q * 100)}"))
-    quart = pts.groupBy("column").agg(*aggs)
-    out = moments.join(quart, "column", "left")
-    return out.select("column", "count", F.round("mean", 6).cast("double").alias("mean"), F.round("std", 6).alias("std"),
-                      "min", F.round("p25", 6).alias("p25"), F.round("p50", 6).alias("p50"),
-                      F.round("p75", 6).alias("p75"), "max")
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    pos = [(q, (F.col("count") - 1) * F.lit(q)) for q in QUARTILES]
+    ranks = moments.select("column", F.explode(F.array_distinct(F.array(
+        *[F.floor(p) for _, p in pos], *[F.ceil(p) for _, p in pos]))).alias("r"))
+    vals = keys_at_ranks(long, "column", ["value"], ranks, n_bins=n_bins) \
+        .select("column", "r", F.col("key.value").alias("v"))
+    lookup = vals.groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("_m"))
+    out = moments.join(F.broadcast(lookup), "column", "left")       # one row per profiled column
+    quart = {}
+    for q, p in pos:
+        lo = F.element_at(F.col("_m"), F.floor(p).cast("long"))
+        hi = F.element_at(F.col("_m"), F.ceil(p).cast("long"))
+        quart[f"p{int(q * 100)}"] = lo + (hi - lo) * (p - F.floor(p))
+    out = out.withColumns(quart)
+    return out.select("column", "count", F.round("mean", 6).cast("double").alias("mean"),
+                      F.round("std", 6).alias("std"), "min", F.round("p25", 6).alias("p25"),
+                      F.round("p50", 6).alias("p50"), F.round("p75", 6).alias("p75"), "max")
 
 
 def preview(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:

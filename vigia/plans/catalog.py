@@ -19,6 +19,7 @@ from vigia.operators import models as md
 from vigia.operators import profile as pf
 from vigia.operators import indicators as ind
 from vigia.functions import rules
+from vigia.session import materialize
 from vigia.sources import files as io
 from vigia.sources import grid, tpch
 from vigia.streaming import board as board_stream
@@ -240,7 +241,8 @@ def label_dictionary(spark, sf_dir):
 
 
 def encoded_cases(spark, sf_dir, keep=()):
-    m = cases_model(spark, sf_dir, keep=keep)
+    # the dictionary and the encoding both read the case table: compute it once
+    m = materialize(cases_model(spark, sf_dir, keep=keep))
     return ft.encode(m, ft.label_dictionary(m, cs.CATEGORICAL), cs.CATEGORICAL)
 
 
@@ -250,7 +252,8 @@ def encode_cases(spark, sf_dir):
 
 
 def split_cases(spark, sf_dir):
-    m = cases_model(spark, sf_dir, keep=tpch.CASE_KEY)
+    # class counts, the hash histogram and the marking pass all read it
+    m = materialize(cases_model(spark, sf_dir, keep=tpch.CASE_KEY))
     return ft.stratified_split(m, TARGET, tpch.CASE_KEY, test_size=0.25, seed=42)
 
 
@@ -268,7 +271,7 @@ def class_weights(spark, sf_dir):
 
 @register
 def cv_fold_sizes(spark, sf_dir):
-    m = cases_model(spark, sf_dir, keep=tpch.CASE_KEY)
+    m = materialize(cases_model(spark, sf_dir, keep=tpch.CASE_KEY))
     f = ft.stratified_folds(m, TARGET, tpch.CASE_KEY, n_folds=5)
     return f.groupBy("fold", F.col(TARGET).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -94,8 +94,13 @@ def with_exposure(body: str) -> str:
 NUMBER_RE = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
 
+_WS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+_WS_SQL = " || ".join(f"chr({ord(ch)})" for ch in _WS)
+
+
 def sql_strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    """Python's str.strip(): trim every whitespace code point at both ends."""
+    return f"trim({x}, {_WS_SQL})"
 
 
 def sql_num(x: str) -> str:
