@@ -61,3 +61,13 @@ def test_model_queries_run(spark, name):
         assert {r.banda for r in rows} <= {"Alto", "Medio", "Bajo"}
     if name == "cv_auc":
         assert len(rows) == 5 and len({r.cv_mean for r in rows}) == 1
+
+
+def test_model_save_and_load(spark):
+    from vigia.sources.files import scratch_path
+    t = md.train(_separable(spark), "con_incapacidad", "lr", ["k"])
+    path = md.save_model(t, scratch_path(spark, "model"))
+    m = md.load_model("lr", path)
+    a = md.p_class1(m.transform(t.data)).select("p1").collect()
+    b = md.p_class1(t.model.transform(t.data)).select("p1").collect()
+    assert a == b

@@ -127,3 +127,8 @@ def what_if(exposure: DataFrame, days: float = 3.0, keys=("Estacion", "Mes")) ->
     s = exposure.groupBy(*keys).agg(F.sum("HHT").alias("HHT")).filter(F.col("HHT") > 0)
     return s.select(*keys, F.round("HHT", 3).alias("HHT"),
                     *[v.alias(k) for k, v in rates.what_if(F.col("HHT"), F.lit(float(days))).items()])
+
+
+def stations(exposure: DataFrame) -> DataFrame:
+    """The distinct stations, sorted (the station picker's list)."""
+    return exposure.select("Estacion").filter(F.col("Estacion").isNotNull()).distinct().orderBy("Estacion")

@@ -219,3 +219,18 @@ def forecast(series: DataFrame, horizon: int = HORIZON, trees: int = FOREST_TREE
     future = last.select(F.explode(F.sequence(F.col("m") + 1, F.col("m") + horizon)).alias("Mes"))
     pred = model.transform(va.transform(future.withColumn("Mes_d", F.col("Mes").cast("double"))))
     return pred.select(F.col("Mes").cast("int").alias("Mes"), F.round("prediction", 4).alias("Accidentes"))
+
+
+def save_model(t: Trained, path: str) -> str:
+    """Persist the fitted learner (MLlib's own format) so scoring jobs reuse it
+    instead of refitting."""
+    t.model.write().overwrite().save(path)
+    return path
+
+
+def load_model(algo: str, path: str) -> Model:
+    from pyspark.ml.classification import (GBTClassificationModel, LogisticRegressionModel,
+                                           RandomForestClassificationModel)
+    cls = {"rf": RandomForestClassificationModel, "gbt": GBTClassificationModel,
+           "lr": LogisticRegressionModel}[algo]
+    return cls.load(path)

@@ -425,3 +425,19 @@ def rate_by_station_stream(spark, sf_dir):
     """The station table computed on the stream-ingested board table."""
     t = exposure_stream_clean(spark, sf_dir)
     return ex.rates_by_station(t.filter(F.col("fuente") == F.lit("GENERAL")))
+
+
+# --- single-station view ------------------------------------------------------
+
+DETAIL_STATION = "NATION_1"
+
+
+@register
+def station_list(spark, sf_dir):
+    return ex.stations(board(spark, sf_dir))
+
+
+@register
+def station_detail(spark, sf_dir):
+    """KPIs of one selected station (equality filter, then the board KPIs)."""
+    return ex.station_rates(board(spark, sf_dir), DETAIL_STATION)

@@ -423,3 +423,8 @@ ORACLES["rate_by_station_stream"] = ORACLES["rate_by_station"]
 from vigia.plans.sqlparts import half_up  # noqa: E402
 
 ORACLES = {k: half_up(v) for k, v in ORACLES.items()}
+
+ORACLES["station_list"] = with_exposure("SELECT DISTINCT Estacion FROM general WHERE Estacion IS NOT NULL")
+ORACLES["station_detail"] = half_up(ORACLES["rate_global"].replace(
+    "FROM general)", "FROM general WHERE Estacion = 'NATION_1')").replace(
+    "AS Nivel_IF FROM r", "AS Nivel_IF, 'NATION_1' AS Estacion FROM r"))

@@ -19,8 +19,6 @@ _BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # checkpoint files of frames that are no longer referenced are deleted
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
