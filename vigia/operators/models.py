@@ -79,7 +79,7 @@ def build_estimator(algo: str, n_weighted_rows: int | None = None, label: str =
             raise ValueError("logistic regression needs the weighted row count")
         return LogisticRegression(labelCol=label, featuresCol=features, weightCol=weight, maxIter=LR_MAX_ITER,
                                   regParam=1.0 / float(n_weighted_rows), elasticNetParam=0.0,
-                                  standardization=False, tol=1e-8)
+                                  standardization=False, tol=1e-6)
     raise ValueError(f"unknown algorithm {algo!r}; expected one of {ALGOS}")
 
 
