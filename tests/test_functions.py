@@ -107,3 +107,18 @@ def test_rules_case_sensitive(spark):
 
 def test_nan_is_not_positive(spark):
     assert not math.isnan(_one(spark, rates.calc_is("d", "h"), "d double, h double", [(1.0, float("nan"))])[0])
+
+
+def test_rules_v2_variant(spark):
+    schema = ("naturaleza string, mecanismo string, parte_cuerpo string, antiguedad double, agente string, "
+              "tipo string, band string")
+    rows = [("Lesión Lumbar", "x", "Manos", 1.0, "Turbulencia", "Tránsito", "Alto"),
+            ("Lesion Lumbar", "Sobre-esfuerzo", "Miembros", 10.0, "presion", "Violencia", "Bajo"),
+            ("x", "esfuerzo", "x", 10.0, "x", "Transito", "Medio")]
+    df = spark.createDataFrame(rows, schema)
+    out = df.select(rules.fired_rule_ids(variant="v2").alias("ids"),
+                    rules.recommendations(variant="v2").alias("recs")).collect()
+    assert out[0].ids == [1, 2, 3, 4, 5, 7]
+    assert out[1].ids == [1]                       # no violence rule, "Miembros"/"presion" not in this list
+    assert out[2].ids == [0] and out[2].recs == [rules.REC_DEFAULT_V2]
+    assert out[0].recs[-1] == rules.REC_TEXTS_V2[7]

@@ -304,3 +304,24 @@ def test_format_dispatch():
 def test_preview_is_topk(spark):
     df = spark.range(100).withColumn("k", (F.col("id") * 37) % 100)
     assert [r.k for r in pf.preview(df, 3, ["k"]).collect()] == [0, 1, 2]
+
+
+def test_value_counts_raw_v2(spark):
+    df = spark.createDataFrame([("1. Golpe",), ("1. Golpe",), ("1.Corte",), (" Caida",), (None,), (None,),
+                                (None,), ("2. Golpe",)], "Naturaleza string")
+    out = cs.value_counts_raw(df, "Naturaleza", "Naturaleza", top=3, relabel_prefix=True).collect()
+    # nulls dropped, counts on the stored values; only "<digits>. " (with the space) is removed, after the top-N
+    assert [(r.Naturaleza, r.Cantidad) for r in out] == [("Golpe", 2), ("Caida", 1), ("1.Corte", 1)]
+    plain = cs.value_counts_raw(df, "Naturaleza", "N").collect()
+    assert sum(r.Cantidad for r in plain) == 5 and " Caida" in {r.N for r in plain}
+
+
+def test_v2_kpis_and_unrounded_job_mean(spark):
+    rows = [("Leves", "T", "E", "F", "C1", "1", "n", "p", "a", "m", "0")]
+    k = cs.case_kpis(cs.normalize_names(_register(spark, rows)), no_leave_mean=float("nan")).first()
+    assert k.promedio_dias != k.promedio_dias                  # NaN, as the earliest variant shows it
+    rows = [("Leves", "T", "E", "F", "C1", "1", "n", "p", "a", "m", "1"),
+            ("Leves", "T", "E", "F", "C1", "1", "n", "p", "a", "m", "1"),
+            ("Leves", "T", "E", "F", "C1", "1", "n", "p", "a", "m", "2")]
+    j = cs.mean_days_by_job(cs.normalize_names(_register(spark, rows)), digits=None).first()
+    assert j.Dias_promedio == 4 / 3

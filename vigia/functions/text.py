@@ -20,6 +20,8 @@ SENIORITY_DEFAULT = 5.0
 NUMBER_PATTERN = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 # Leading catalogue code such as "1." in "1.Golpe".
 CATALOGUE_PREFIX = r"^\d+\."
+# The earliest variant's pattern: the code must be followed by a space.
+CATALOGUE_PREFIX_SPACED = r"^\d+\. "
 # The characters Python's str.strip() removes: every code point for which
 # str.isspace() holds (tab, newline, NBSP, the Unicode spaces, ...).
 WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())

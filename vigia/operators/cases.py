@@ -131,9 +131,10 @@ def _days_or_zero(df: DataFrame):
     return T.number_or(F.col(f"`{c}`"), 0.0) if c in df.columns else F.lit(0.0)
 
 
-def case_kpis(plain: DataFrame) -> DataFrame:
-    """Row count, % of cases with leave, mean leave days among them (0.0 when
-    none) and the number of cases classed "Graves"."""
+def case_kpis(plain: DataFrame, no_leave_mean: float = 0.0) -> DataFrame:
+    """Row count, % of cases with leave, mean leave days among them and the
+    number of cases classed "Graves".  With no case on leave the mean is
+    ``no_leave_mean``: 0.0 by default, NaN in the earliest variant."""
     days = _days_or_zero(plain)
     cls = "Clasificacion del accidente"
     graves = (T.strip(T.as_text(F.col(f"`{cls}`"))) == F.lit(SEVERE_CLASS)) if cls in plain.columns else F.lit(False)
@@ -143,7 +144,7 @@ def case_kpis(plain: DataFrame) -> DataFrame:
                   F.sum(graves.cast("long")).alias("g"))
     return k.select("total",
                     F.round(F.coalesce(F.col("p") * 100.0, F.lit(0.0)), 4).alias("pct_incapacidad"),
-                    F.round(F.coalesce(F.col("m"), F.lit(0.0)), 4).alias("promedio_dias"),
+                    F.round(F.coalesce(F.col("m"), F.lit(float(no_leave_mean))), 4).alias("promedio_dias"),
                     F.coalesce(F.col("g"), F.lit(0)).cast("long").alias("n_graves"))
 
 
@@ -158,15 +159,32 @@ def value_counts(df: DataFrame, col: str, out_name: str, top: int | None = None,
     return out.limit(top) if top else out
 
 
-def mean_days_by_job(plain: DataFrame, top: int = 10) -> DataFrame:
+def value_counts_raw(df: DataFrame, col: str, out_name: str, top: int | None = None,
+                     relabel_prefix: bool = False) -> DataFrame:
+    """Counts in the earliest overview form: the values as stored (nulls
+    dropped, no stripping), most frequent first (value as tie-breaker), top N.
+    Only then do the kept labels lose a ``<digits>. `` code — the pattern needs
+    the space, so ``1.Golpe`` stays as is — and get stripped; labels are not
+    re-counted, so two kept rows may show the same label."""
+    v = F.col(f"`{col}`").cast("string")
+    out = (df.filter(v.isNotNull()).groupBy(v.alias(out_name)).agg(F.count(F.lit(1)).alias("Cantidad"))
+             .orderBy(F.desc("Cantidad"), F.asc(out_name)))
+    out = out.limit(top) if top else out
+    if relabel_prefix:
+        out = out.withColumn(out_name, T.strip(F.regexp_replace(F.col(out_name), T.CATALOGUE_PREFIX_SPACED, "")))
+    return out
+
+
+def mean_days_by_job(plain: DataFrame, top: int = 10, digits: int | None = 2) -> DataFrame:
     """Mean leave days per job title: unparsable days are ignored (not 0),
-    missing job titles dropped, highest mean first, rounded to 2."""
+    missing job titles dropped, highest mean first, rounded to ``digits``
+    (``None``: unrounded, the earliest variant)."""
     job, days = "Puesto/Cargo", "Total dias de incapacidad"
     g = (plain.filter(F.col(f"`{job}`").isNotNull())
          .groupBy(F.col(f"`{job}`").alias("Cargo"))
          .agg(F.avg(T.parse_number(F.col(f"`{days}`"))).alias("m")))
     return (g.orderBy(F.desc_nulls_last("m"), F.asc("Cargo")).limit(top)
-             .select("Cargo", F.round("m", 2).alias("Dias_promedio")))
+             .select("Cargo", (F.round("m", digits) if digits is not None else F.col("m")).alias("Dias_promedio")))
 
 
 def filter_cases(plain: DataFrame, clasificacion: list[str] | None = None,

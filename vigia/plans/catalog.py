@@ -178,6 +178,31 @@ def job_mean_days_top10(spark, sf_dir):
     return cs.mean_days_by_job(cases_plain(spark, sf_dir), 10)
 
 
+# The earliest variant's overview: raw value counts with nulls
+# dropped, type top 6, the spaced prefix pattern applied after the top-N,
+# unrounded job means.
+
+@register
+def type_top6_v2(spark, sf_dir):
+    return cs.value_counts_raw(cases_plain(spark, sf_dir), "Tipo de accidente", "Tipo", top=6)
+
+
+@register
+def nature_top8_v2(spark, sf_dir):
+    return cs.value_counts_raw(cases_plain(spark, sf_dir), "Naturaleza", "Naturaleza", top=8, relabel_prefix=True)
+
+
+@register
+def bodypart_top8_v2(spark, sf_dir):
+    return cs.value_counts_raw(cases_plain(spark, sf_dir), "Parte del cuerpo afectada", "Parte", top=8,
+                               relabel_prefix=True)
+
+
+@register
+def job_mean_days_top10_v2(spark, sf_dir):
+    return cs.mean_days_by_job(cases_plain(spark, sf_dir), 10, digits=None)
+
+
 CASE_FILTER_CLASSES = ["Graves", "Severos"]
 CASE_FILTER_TYPES = ["PROMO", "STANDARD"]
 
@@ -324,14 +349,36 @@ def relabel(df, mapping):
     return df.withColumns(cols)
 
 
-@register
-def recommendation_rules(spark, sf_dir):
-    m = relabel(cases_model(spark, sf_dir, keep=tpch.CASE_KEY), REC_RELABEL)
+def _rules_table(m, variant):
     score = ((F.col("l_partkey") * 37 + F.col("l_suppkey") * 11) % 1000).cast("double") / F.lit(1000.0)
     m = m.withColumn("banda", rules.probability_band(score))
     return m.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "banda",
-                    F.array_join(rules.fired_rule_ids(band="banda"), ",").alias("reglas"),
-                    F.size(rules.recommendations(band="banda")).alias("n_recomendaciones"))
+                    F.array_join(rules.fired_rule_ids(variant=variant, band="banda"), ",").alias("reglas"),
+                    F.size(rules.recommendations(variant=variant, band="banda")).alias("n_recomendaciones"))
+
+
+@register
+def recommendation_rules(spark, sf_dir):
+    return _rules_table(relabel(cases_model(spark, sf_dir, keep=tpch.CASE_KEY), REC_RELABEL), "last")
+
+
+# Test binding for the earliest variant's rules (its accented spellings).
+REC_RELABEL_V2 = {
+    "naturaleza": {"1.STANDARD": "1.Lesión Lumbar"},
+    "mecanismo": {"1.EUROPE": "1.Sobre-esfuerzo"},
+    "parte_cuerpo": {"1.Brand#1": "1.Espalda", "1.Brand#3": "1.Manos"},
+    "agente": {"1.1-URGENT": "1.Aeronave", "1.3-MEDIUM": "1.Turbulencia"},
+    "tipo": {"PROMO": "Tránsito"},
+}
+
+
+@register
+def recommendation_rules_v2(spark, sf_dir):
+    """The earliest variant end to end: tolerant schema, untrimmed categories,
+    seniority imputed with the median first, then its own rule list."""
+    m = cs.prepare(tpch.cases_raw(spark, sf_dir), keep=tpch.CASE_KEY, trim=False, strict=False,
+                   seniority_median=True)
+    return _rules_table(relabel(m, REC_RELABEL_V2), "v2")
 
 
 # --- MLlib models (rows-only checks) --------------------------------------------

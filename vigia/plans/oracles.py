@@ -181,6 +181,25 @@ ORACLES["type_top7"] = _counts(sql_strip("coalesce(r_tipo, 'nan')"), "Tipo", 7)
 ORACLES["nature_top8"] = _counts(sql_prefix_drop("coalesce(r_nat, 'nan')"), "Naturaleza", 8)
 ORACLES["bodypart_top8"] = _counts(sql_prefix_drop("coalesce(r_parte, 'nan')"), "Parte", 8)
 
+
+
+def _counts_raw(col: str, name: str, top: int, relabel: bool) -> str:
+    label = sql_strip(rf"regexp_replace({name}, '^\d+\. ', '')") if relabel else name
+    return with_cases(f"""
+, t AS (SELECT {col} AS {name}, COUNT(*) AS Cantidad FROM cases_raw WHERE {col} IS NOT NULL GROUP BY 1
+        ORDER BY Cantidad DESC, {name} ASC LIMIT {top})
+SELECT {label} AS {name}, Cantidad FROM t""")
+
+
+ORACLES["type_top6_v2"] = _counts_raw("r_tipo", "Tipo", 6, False)
+ORACLES["nature_top8_v2"] = _counts_raw("r_nat", "Naturaleza", 8, True)
+ORACLES["bodypart_top8_v2"] = _counts_raw("r_parte", "Parte", 8, True)
+
+ORACLES["job_mean_days_top10_v2"] = with_cases(f"""
+, g AS (SELECT r_cargo AS Cargo, avg({sql_num('r_dias')}) AS m FROM cases_raw WHERE r_cargo IS NOT NULL GROUP BY r_cargo)
+SELECT Cargo, m AS Dias_promedio FROM g ORDER BY m DESC NULLS LAST, Cargo ASC LIMIT 10
+""")
+
 ORACLES["job_mean_days_top10"] = with_cases(f"""
 , g AS (SELECT r_cargo AS Cargo, avg({sql_num('r_dias')}) AS m FROM cases_raw WHERE r_cargo IS NOT NULL GROUP BY r_cargo)
 SELECT Cargo, round(m, 2) AS Dias_promedio FROM g ORDER BY m DESC NULLS LAST, Cargo ASC LIMIT 10
@@ -412,6 +431,43 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, banda,
 FROM fired
 """)
 
+_REC_RELABEL_V2 = {
+    "naturaleza": {"1.STANDARD": "1.Lesión Lumbar"},
+    "mecanismo": {"1.EUROPE": "1.Sobre-esfuerzo"},
+    "parte_cuerpo": {"1.Brand#1": "1.Espalda", "1.Brand#3": "1.Manos"},
+    "agente": {"1.1-URGENT": "1.Aeronave", "1.3-MEDIUM": "1.Turbulencia"},
+    "tipo": {"PROMO": "Tránsito"},
+}
+_RULES_V2 = [
+    (1, f"{_has('naturaleza', 'Lesión Lumbar')} OR {_has('mecanismo', 'Sobre-esfuerzo')}"),
+    (2, _has("parte_cuerpo", "Espalda", "Manos")),
+    (3, "coalesce(antiguedad <= 2, false)"),
+    (4, _has("agente", "Turbulencia", "Aeronave")),
+    (5, _has("tipo", "Tránsito")),
+    (7, "banda = 'Alto'"),
+]
+_RAW_COLS = {"naturaleza": "r_nat", "mecanismo": "r_mec", "parte_cuerpo": "r_parte", "agente": "r_agente",
+             "tipo": "r_tipo"}
+
+ORACLES["recommendation_rules_v2"] = with_cases(f"""
+, a AS (SELECT *, CASE WHEN {sql_strip('r_ant')} IN {SENIORITY_SENTINELS} THEN NULL
+                       ELSE {sql_num(sql_strip('r_ant'))} END AS ant_v FROM cases_raw),
+med AS (SELECT median(ant_v) AS med FROM a),
+rl AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(ant_v, med, {d(5.0)}) AS antiguedad,
+         {', '.join(f"{_relabel(f'coalesce({_RAW_COLS[c]}, ' + chr(39) + 'Sin informacion' + chr(39) + ')', m)} AS {c}"
+                    for c, m in _REC_RELABEL_V2.items())},
+         {_BAND.replace('score', 's')} AS banda
+  FROM (SELECT *, CAST((l_partkey * 37 + l_suppkey * 11) % 1000 AS DOUBLE) / {d(1000.0)} AS s FROM a), med),
+fired AS (
+  SELECT *, concat_ws(',', {', '.join(f"CASE WHEN {r} THEN '{i}' END" for i, r in _RULES_V2)}) AS ids FROM rl)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, banda,
+       CASE WHEN ids = '' THEN '0' ELSE ids END AS reglas,
+       CAST(CASE WHEN ids = '' THEN 1 ELSE length(ids) - length(replace(ids, ',', '')) + 1 END AS INTEGER)
+         AS n_recomendaciones
+FROM fired
+""")
+
 # --- sources / sinks -------------------------------------------------------------------
 
 ORACLES["csv_round_trip"] = ORACLES["exposure_clean"]
