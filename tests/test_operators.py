@@ -325,3 +325,21 @@ def test_v2_kpis_and_unrounded_job_mean(spark):
             ("Leves", "T", "E", "F", "C1", "1", "n", "p", "a", "m", "2")]
     j = cs.mean_days_by_job(cs.normalize_names(_register(spark, rows)), digits=None).first()
     assert j.Dias_promedio == 4 / 3
+
+
+def test_fit_encode_on_train_rows(spark):
+    df = spark.createDataFrame([("b", False), ("a", False), ("z", True), ("a", True)], "x string, is_test boolean")
+    out = {(r.is_test, r.x, r.is_unseen) for r in ft.fit_encode(df, ["x"], fit_rows=~F.col("is_test")).collect()}
+    # "z" only occurs in test rows: unseen by the train-fitted dictionary -> code 0 and flagged
+    assert out == {(False, 1.0, False), (False, 0.0, False), (True, 0.0, True), (True, 0.0, False)}
+    leak = {r.x for r in ft.fit_encode(df, ["x"]).collect()}
+    assert leak == {0.0, 1.0, 2.0}          # fitted on all rows: "z" gets its own code
+
+
+def test_encoded_cases_fit_on_train(spark, sf_small):
+    from vigia.plans import catalog
+    e = catalog.encoded_cases(spark, sf_small, fit_on="train")
+    assert {"is_test", "is_unseen"} <= set(e.columns)
+    assert e.count() == catalog.encoded_cases(spark, sf_small).count()
+    with pytest.raises(ValueError):
+        catalog.encoded_cases(spark, sf_small, fit_on="test")

@@ -53,6 +53,16 @@ def encode(df: DataFrame, dictionary: DataFrame, cols: list[str], unseen_flag: s
     return out.drop(*[f"_c{i}" for i in range(len(cols))])
 
 
+def fit_encode(df: DataFrame, cols: list[str], fit_rows: Column | None = None,
+               unseen_flag: str | None = "is_unseen") -> DataFrame:
+    """Fit the dictionaries on the rows where ``fit_rows`` holds and encode
+    every row.  ``None`` fits on all rows, as the reference does (codes then
+    leak the test rows' categories); passing ``~is_test`` fits on the training
+    rows only, and a category seen only in test rows gets code 0 and the flag."""
+    src = df if fit_rows is None else df.filter(fit_rows)
+    return encode(df, label_dictionary(src, cols), cols, unseen_flag)
+
+
 def _class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).cast("long").alias("c"))
 

@@ -265,10 +265,21 @@ def label_dictionary(spark, sf_dir):
     return ft.label_dictionary(cases_model(spark, sf_dir), cs.CATEGORICAL)
 
 
-def encoded_cases(spark, sf_dir, keep=()):
+def encoded_cases(spark, sf_dir, keep=(), fit_on: str = "all"):
+    """Encoded case table.  ``fit_on="all"`` fits the dictionaries on every row
+    (the reference's behaviour); ``"train"`` only on the training rows of the
+    stratified split, which adds ``is_test`` (the split is deterministic, so
+    training later recomputes the same membership)."""
+    if fit_on == "train":
+        keep = list(dict.fromkeys([*keep, *tpch.CASE_KEY]))
+        m = materialize(ft.stratified_split(cases_model(spark, sf_dir, keep=keep), TARGET, tpch.CASE_KEY,
+                                            test_size=0.25, seed=42))
+        return ft.fit_encode(m, cs.CATEGORICAL, fit_rows=~F.col("is_test"))
+    if fit_on != "all":
+        raise ValueError(f"fit_on must be 'all' or 'train', not {fit_on!r}")
     # the dictionary and the encoding both read the case table: compute it once
     m = materialize(cases_model(spark, sf_dir, keep=keep))
-    return ft.encode(m, ft.label_dictionary(m, cs.CATEGORICAL), cs.CATEGORICAL)
+    return ft.fit_encode(m, cs.CATEGORICAL)
 
 
 @register
@@ -386,12 +397,12 @@ def recommendation_rules_v2(spark, sf_dir):
 _TRAINED: dict = {}
 
 
-def trained(spark, sf_dir, algo: str, target: str = TARGET):
-    """Fit once per (data, algorithm, target) and session; the fit is an
-    action, the returned frames stay lazy."""
-    key = (id(spark), sf_dir, algo, target)
+def trained(spark, sf_dir, algo: str, target: str = TARGET, fit_on: str = "all"):
+    """Fit once per (data, algorithm, target, encoder fit) and session; the fit
+    is an action, the returned frames stay lazy."""
+    key = (id(spark), sf_dir, algo, target, fit_on)
     if key not in _TRAINED:
-        enc = encoded_cases(spark, sf_dir, keep=tpch.CASE_KEY).drop("is_unseen")
+        enc = encoded_cases(spark, sf_dir, keep=tpch.CASE_KEY, fit_on=fit_on).drop("is_unseen", "is_test")
         _TRAINED[key] = md.train(enc, target, algo, tpch.CASE_KEY)
     return _TRAINED[key]
 
