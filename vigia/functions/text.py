@@ -33,11 +33,9 @@ def _col(c) -> Column:
 
 def strip(c) -> Column:
     """Remove whitespace from both ends like Python's ``str.strip()`` (tabs
-    and non-breaking spaces included).  Only values that start or end with
-    whitespace pay for the character-set trim; the rest pass unchanged."""
-    x = _col(c)
-    edge = F.substring(x, 1, 1).isin(*WHITESPACE) | F.substring(x, -1, 1).isin(*WHITESPACE)
-    return F.when(edge, F.btrim(x, F.lit(WHITESPACE))).otherwise(x)
+    and non-breaking spaces included): one character-set trim that reads its
+    input once, so nested cleaning steps do not multiply the expression."""
+    return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
 def drop_catalogue_prefix(c) -> Column:
@@ -51,14 +49,15 @@ def sentinel_to_null(c, sentinels) -> Column:
     return F.when(x.isin(list(sentinels)), F.lit(None)).otherwise(x)
 
 
-def parse_number(c) -> Column:
+def parse_number(c, stripped: bool = False) -> Column:
     """Text to double; anything that is not a plain number becomes null.
 
     ANSI-safe: the pattern is checked before ``try_cast`` so no cast can raise,
-    and NaN/Infinity spellings are rejected like unparsable text.
+    and NaN/Infinity spellings are rejected like unparsable text.  Pass
+    ``stripped=True`` when the text is already stripped.
     """
     s = _col(c).cast("string")
-    return F.when(s.rlike(NUMBER_PATTERN), strip(s).try_cast("double"))
+    return F.when(s.rlike(NUMBER_PATTERN), (s if stripped else strip(s)).try_cast("double"))
 
 
 def number_or(c, default: float) -> Column:
@@ -74,7 +73,8 @@ def double_or_zero(c) -> Column:
 
 def seniority(c) -> Column:
     """Seniority in years: trimmed text, sentinels and unparsable values -> 5."""
-    return F.coalesce(parse_number(sentinel_to_null(strip(_col(c).cast("string")), SENIORITY_SENTINELS)),
+    return F.coalesce(parse_number(sentinel_to_null(strip(_col(c).cast("string")), SENIORITY_SENTINELS),
+                                   stripped=True),
                       F.lit(SENIORITY_DEFAULT))
 
 

@@ -105,7 +105,7 @@ def prepare(raw: DataFrame, keep: list[str] | tuple = (), trim: bool = True,
     if "antiguedad" in m.columns:
         if seniority_median:
             cols["antiguedad"] = T.parse_number(T.sentinel_to_null(T.strip(F.col("antiguedad").cast("string")),
-                                                                   T.SENIORITY_SENTINELS))
+                                                                   T.SENIORITY_SENTINELS), stripped=True)
         else:
             cols["antiguedad"] = T.seniority("antiguedad")
     for c in CATEGORICAL:

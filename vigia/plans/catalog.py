@@ -287,9 +287,12 @@ def encode_cases(spark, sf_dir):
     return encoded_cases(spark, sf_dir)
 
 
-def split_cases(spark, sf_dir):
-    # class counts, the hash histogram and the marking pass all read it
-    m = materialize(cases_model(spark, sf_dir, keep=tpch.CASE_KEY))
+def split_cases(spark, sf_dir, cols=()):
+    """Split flag over the case key, the label and ``cols``.  Class counts,
+    the hash histogram and the marking pass all read the table, so it is
+    checkpointed — with only the columns the caller needs (the joins are not
+    repeated, and no unused text column is written)."""
+    m = materialize(cases_model(spark, sf_dir, keep=tpch.CASE_KEY).select(*tpch.CASE_KEY, TARGET, *cols))
     return ft.stratified_split(m, TARGET, tpch.CASE_KEY, test_size=0.25, seed=42)
 
 
@@ -307,7 +310,7 @@ def class_weights(spark, sf_dir):
 
 @register
 def cv_fold_sizes(spark, sf_dir):
-    m = materialize(cases_model(spark, sf_dir, keep=tpch.CASE_KEY))
+    m = materialize(cases_model(spark, sf_dir, keep=tpch.CASE_KEY).select(*tpch.CASE_KEY, TARGET))
     f = ft.stratified_folds(m, TARGET, tpch.CASE_KEY, n_folds=5)
     return f.groupBy("fold", F.col(TARGET).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -78,3 +78,20 @@ def materialize(df: DataFrame) -> DataFrame:
     as dictionaries that are size-checked and then broadcast."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key_cols: list[str], min_partitions: int | None = None) -> DataFrame:
+    """Hash-partition a scan on ``key_cols`` when it yields fewer partitions
+    than the cluster has cores (a file that cannot be split, e.g. one parquet
+    row group), so the row-wise work after it runs on every core.
+
+    Hash partitioning is deterministic on task retry (no sort needed, unlike
+    round-robin), and a later group-by or join on the same key can reuse it.
+    A large input already scans into more partitions than cores and is
+    returned unchanged: no shuffle is added at scale."""
+    spark = df.sparkSession
+    n = min_partitions or max(spark.sparkContext.defaultParallelism,
+                              int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, *[F.col(c) for c in key_cols])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigia.functions import rates
-from vigia.session import bounded_broadcast
+from vigia.session import bounded_broadcast, materialize, spread
 
 # Fixed values of the proxy definition.
 ACCIDENT_FLAG = "R"          # l_returnflag of an accident
@@ -45,9 +45,14 @@ DIM_BROADCAST_ROWS = 100_000
 CASE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = None) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = None,
+          spread_on: list[str] | None = None) -> DataFrame:
+    """Read a shared table with only ``cols``.  ``spread_on`` names the key a
+    fact-table scan is hash-partitioned on when it yields fewer partitions than
+    cores (see ``session.spread``); at scale the scan is returned as is."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    return spread(df, spread_on) if spread_on else df
 
 
 def lost_days(quantity_col: str = "l_quantity"):
@@ -55,9 +60,11 @@ def lost_days(quantity_col: str = "l_quantity"):
 
 
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nation x region (25 rows in the spec), broadcast behind a size check."""
+    """nation x region (25 rows in the spec), broadcast behind one size check
+    of the joined table (region only ever meets the data through it, so it
+    needs no probe of its own)."""
     nation = table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
-    region = bounded_broadcast(table(spark, sf_dir, "region", ["r_regionkey", "r_name"]), DIM_BROADCAST_ROWS)
+    region = table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
     return bounded_broadcast(geo, DIM_BROADCAST_ROWS)
 
@@ -70,7 +77,8 @@ def exposure_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_ind = is_acc & (F.col("l_linestatus") == F.lit(INDICATOR_STATUS))
     days = lost_days()
     li = (table(spark, sf_dir, "lineitem",
-                ["l_orderkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"])
+                ["l_orderkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"],
+                spread_on=["l_orderkey"])
           .groupBy("l_orderkey")
           .agg(F.sum(is_acc.cast("long")).alias("n_at"),
                F.sum(is_ind.cast("long")).alias("n_at_ind"),
@@ -128,14 +136,18 @@ def cases_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The case register (one row per lineitem row) with the register's own
     column names, before cleaning.  Also carries the unique case key."""
     status_map = F.create_map(*[F.lit(x) for kv in STATUS_CLASS.items() for x in kv])
-    orders = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    orders = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+                   spread_on=["o_orderkey"])
     customer = table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
     # orders-sized side first: orders x customer x geo, then the lineitem join.
     ocg = (orders.join(customer, orders.o_custkey == customer.c_custkey)
            .join(_geo(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
            .select("o_orderkey", "o_orderstatus", "o_orderpriority", "c_mktsegment", "n_name", "r_name"))
+    # both sides spread on the order key (when their scans are narrow): the
+    # lineitem join then runs on every core
     li = table(spark, sf_dir, "lineitem",
-               ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_linestatus", "l_quantity"])
+               ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_linestatus", "l_quantity"],
+               spread_on=["l_orderkey"])
     part = table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_type", "p_size"])
     j = (li.join(ocg, li.l_orderkey == ocg.o_orderkey)
            .join(part, F.col("l_partkey") == F.col("p_partkey")))
@@ -169,7 +181,7 @@ def scored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monthly_accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly series (Mes, Accidentes): accidents per calendar month of the
     order date, ``Mes`` a running month index starting at 1."""
-    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"]) \
+    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"], spread_on=["l_orderkey"]) \
         .filter(F.col("l_returnflag") == F.lit(ACCIDENT_FLAG))
     per_order = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     orders = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
@@ -190,7 +202,9 @@ def board_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigia.operators.ordering import row_index
     from vigia.sources.grid import to_cells
 
-    raw = exposure_raw(spark, sf_dir).withColumn("mes_i", F.col("Mes").cast("int"))
+    # the aggregated board (stations x populations x months x 2 blocks) feeds the
+    # quantile-bin fit, the row-index windows and the header's row count: one copy
+    raw = materialize(exposure_raw(spark, sf_dir)).withColumn("mes_i", F.col("Mes").cast("int"))
     txt = raw.select(
         "fuente", "Estacion", "Poblacion", "mes_i",
         "Mes", "Meses", "Unidad_Negocio", F.col("Estacion").alias("Est"), F.col("Poblacion").alias("Pob"),
@@ -220,4 +234,5 @@ def board_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("board").alias("source"), F.lit("Data").alias("sheet"),
         F.when(F.col("row_no") == -1, F.col("n") + 3).otherwise(F.col("row_no")).cast("int").alias("row_no"),
         "col_no", "value")
-    return cells.unionByName(header)
+    # the landed sheet: written once, promotion and slicing read the copy
+    return materialize(cells.unionByName(header))
