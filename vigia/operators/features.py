@@ -111,8 +111,11 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_size:
     h = df.withColumn("_h", split_hash(key_cols, seed))
     ranks = alloc.select(F.col("label").alias(label), F.col("test").alias("r"))
     cuts = keys_at_ranks(h, label, ["_h", *key_cols], ranks, bins=hash_bins(F.col("_h")))
-    info = (alloc.select(F.col("label").alias("_lab"), F.col("test").alias("_nt"), F.col("c").alias("_nc"))
-            .join(cuts.withColumnRenamed(label, "_lab"), "_lab", "left"))
+    # one row per class: computed once and checkpointed, so the marking pass
+    # (and any consumer that reads the result several times) does not re-run
+    # the histogram and the boundary-bin sort
+    info = materialize(alloc.select(F.col("label").alias("_lab"), F.col("test").alias("_nt"), F.col("c").alias("_nc"))
+                       .join(cuts.withColumnRenamed(label, "_lab"), "_lab", "left"))
     row_key = F.struct(F.col("_h"), *[F.col(c) for c in key_cols])
     is_test = (F.when(F.col("_nt") >= F.col("_nc"), F.lit(True))
                .when(F.col("_nt") <= 0, F.lit(False))
@@ -153,7 +156,8 @@ def stratified_folds(df: DataFrame, label: str, order_cols: list[str], n_folds:
     starts = alloc.filter(F.col("fold") < n_folds - 1)          # rank of the first row of folds 1..k-1
     ranks = starts.select(F.col("label").alias(label), F.col("upto").alias("r"))
     cuts = keys_at_ranks(df, label, order_cols, ranks)
-    per_class = cuts.groupBy(F.col(label).alias("_lab")).agg(F.collect_list("key").alias("_cuts"))
+    # one row per class with at most k - 1 keys: computed once (checkpoint)
+    per_class = materialize(cuts.groupBy(F.col(label).alias("_lab")).agg(F.collect_list("key").alias("_cuts")))
     out = df.join(F.broadcast(per_class), F.col(label) == F.col("_lab"), "left")
     row_key = F.struct(*[F.col(c) for c in order_cols])
     fold = F.size(F.filter(F.coalesce(F.col("_cuts"), F.array()), lambda k: k <= row_key))
