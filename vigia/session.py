@@ -90,8 +90,9 @@ def spread(df: DataFrame, key_cols: list[str], min_partitions: int | None = None
     A large input already scans into more partitions than cores and is
     returned unchanged: no shuffle is added at scale."""
     spark = df.sparkSession
-    n = min_partitions or max(spark.sparkContext.defaultParallelism,
-                              int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    if df.rdd.getNumPartitions() >= n:
+    # the target equals the shuffle width of the group-by/join on the same key
+    # that follows, so that exchange is reused instead of added
+    n = min_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if df.rdd.getNumPartitions() >= min(n, spark.sparkContext.defaultParallelism):
         return df
     return df.repartition(n, *[F.col(c) for c in key_cols])
