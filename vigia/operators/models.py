@@ -36,6 +36,7 @@ RF_PARAMS = dict(numTrees=200, maxDepth=8)
 GBT_PARAMS = dict(maxIter=150, maxDepth=5, stepSize=0.05)
 LR_MAX_ITER = 1000
 FOREST_TREES = 100          # monthly forecast forest
+CV_PARALLELISM = 2          # fold fits in flight at once
 HORIZON = 6                 # months forecast after the last observed one
 ALGOS = ("rf", "gbt", "lr")
 
@@ -69,7 +70,7 @@ def build_estimator(algo: str, n_weighted_rows: int | None = None, label: str =
     C = 1 objective of a weighted L2 logistic regression."""
     if algo == "rf":
         return RandomForestClassifier(labelCol=label, featuresCol=features, weightCol=weight, seed=SEED,
-                                      featureSubsetStrategy="sqrt", maxMemoryInMB=2048, cacheNodeIds=True,
+                                      featureSubsetStrategy="sqrt", maxMemoryInMB=512, cacheNodeIds=True,
                                       **RF_PARAMS)
     if algo == "gbt":
         return GBTClassifier(labelCol=label, featuresCol=features, seed=SEED, checkpointInterval=10,
@@ -133,7 +134,9 @@ def train(encoded: DataFrame, target: str, algo: str, key_cols: list[str]) -> Tr
     if classes < 2:
         raise ValueError("the target has a single class; both classes are needed to train")
     model = fit(data, algo, ~F.col("is_test"), feats)
-    test_pred = p_class1(model.transform(data.filter(F.col("is_test"))))
+    # scored once: AUC, the report and the confusion cells all read these rows
+    test_pred = materialize(p_class1(model.transform(data.filter(F.col("is_test"))))
+                            .select(*key_cols, "label", "p1", "prediction"))
     return Trained(model, feats, data, test_pred, algo, target)
 
 
@@ -162,9 +165,12 @@ def cv_auc(t: Trained, n_folds: int = 5) -> DataFrame:
         a = mt.roc_auc(pred.select(F.col("label").cast("int").alias("label"), F.col("p1").alias("score")))
         return a.select(F.lit(f).alias("fold"), "auc")
 
-    # the fold fits are independent Spark jobs: submit them concurrently so
-    # the scheduler interleaves their tasks (like CrossValidator's parallelism)
-    with ThreadPoolExecutor(max_workers=n_folds) as pool:
+    # the fold fits are independent Spark jobs: submit a few concurrently so
+    # the scheduler interleaves their tasks (like CrossValidator's parallelism);
+    # each fit holds its own split statistics, so the number is bounded
+    # (setting ``vigia.cv.parallelism``, default 2) to keep the heap safe
+    par = int(t.data.sparkSession.conf.get("vigia.cv.parallelism", str(CV_PARALLELISM)))
+    with ThreadPoolExecutor(max_workers=max(1, min(n_folds, par))) as pool:
         parts = list(pool.map(one_fold, range(n_folds)))
     out = parts[0]
     for p in parts[1:]:
