@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigia.functions import text as T
+from vigia.session import attach_row
 
 # Register column names as exported (accented), their plain
 # spelling, and the model column names, in register order.
@@ -114,7 +115,7 @@ def prepare(raw: DataFrame, keep: list[str] | tuple = (), trim: bool = True,
     m = m.withColumns(cols)
     if seniority_median and "antiguedad" in m.columns:
         med = m.agg(F.median("antiguedad").alias("_med"))       # one-row aggregate
-        m = (m.crossJoin(F.broadcast(med))
+        m = (attach_row(m, med)
               .withColumn("antiguedad", F.coalesce("antiguedad", "_med", F.lit(T.SENIORITY_DEFAULT)))
               .drop("_med"))
     m = m.withColumns({"con_incapacidad": (F.col(DAYS) > 0).cast("int"),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigia.operators.ordering import hash_bins, keys_at_ranks
-from vigia.session import bounded_broadcast, materialize
+from vigia.session import attach_row, bounded_broadcast, materialize
 
 DICT_BROADCAST_ROWS = 5_000_000
 
@@ -76,7 +76,7 @@ def split_allocation(df: DataFrame, label: str, test_size: float = 0.25) -> Data
     Works on the (classes)-row count table only."""
     cc = _class_counts(df, label)
     tot = cc.agg(F.sum("c").alias("n"))
-    t = cc.crossJoin(F.broadcast(tot)).withColumn(
+    t = attach_row(cc, tot).withColumn(
         "n_test", F.ceil(F.col("n").cast("double") * F.lit(float(test_size))).cast("long"))
     t = t.withColumn("n_train", F.col("n") - F.col("n_test"))
     prod = F.col("c").cast("decimal(38,0)") * F.col("n_train").cast("decimal(38,0)")
@@ -132,7 +132,7 @@ def fold_allocation(df: DataFrame, label: str, n_folds: int = 5) -> DataFrame:
     cc = _class_counts(df, label)
     w = Window.partitionBy(F.lit(0)).orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
     cc = cc.withColumn("c_before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-    folds = cc.crossJoin(F.broadcast(cc.sparkSession.range(n_folds).select(F.col("id").cast("int").alias("fold"))))
+    folds = cc.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))   # k rows per class
     k = F.lit(n_folds)
 
     def cnt(x):
@@ -168,7 +168,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """``(label, n, weight)``: weight = rows / (classes * rows of the class)."""
     cc = _class_counts(df, label)
     tot = cc.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"))
-    return (cc.crossJoin(F.broadcast(tot))
+    return (attach_row(cc, tot)
               .select("label", F.col("c").alias("n"),
                       (F.col("n").cast("double") / (F.col("k").cast("double") * F.col("c").cast("double")))
                       .alias("weight")))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from vigia.functions import rules
 from vigia.operators import features as ft
 from vigia.operators import metrics as mt
-from vigia.session import materialize
+from vigia.session import attach_row, materialize
 
 SEED = 42
 # Learner settings of the three algorithms.
@@ -151,7 +151,7 @@ def holdout_metrics(t: Trained) -> DataFrame:
     acc = rep.filter(F.col("clase") == "accuracy").select(F.col("precision").alias("accuracy"))
     sizes = t.data.agg(F.sum((~F.col("is_test")).cast("long")).alias("n_train"),
                        F.sum(F.col("is_test").cast("long")).alias("n_test"))
-    return (sizes.crossJoin(auc).crossJoin(acc).crossJoin(one)
+    return (attach_row(attach_row(attach_row(sizes, auc), acc), one)
             .select(F.lit(t.algo).alias("algo"), F.lit(t.target).alias("target"), "n_train", "n_test",
                     F.round("auc", 6).alias("auc"), "accuracy", "precision_1", "recall_1", "f1_1"))
 
@@ -177,7 +177,7 @@ def cv_auc(t: Trained, n_folds: int = 5) -> DataFrame:
         out = out.unionByName(p)
     out = materialize(out)                    # n_folds rows; computed once
     s = out.agg(F.avg("auc").alias("cv_mean"), F.stddev_pop("auc").alias("cv_std"))
-    return out.crossJoin(F.broadcast(s)).select("fold", F.round("auc", 6).alias("auc"),
+    return attach_row(out, s).select("fold", F.round("auc", 6).alias("auc"),
                                                 F.round("cv_mean", 6).alias("cv_mean"),
                                                 F.round("cv_std", 6).alias("cv_std"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Defaults that matter at scale: AQE re-plans joins and coalesces/splits
@@ -96,3 +96,21 @@ def spread(df: DataFrame, key_cols: list[str], min_partitions: int | None = None
     if df.rdd.getNumPartitions() >= min(n, spark.sparkContext.defaultParallelism):
         return df
     return df.repartition(n, *[F.col(c) for c in key_cols])
+
+
+def one_row(df: DataFrame) -> Column:
+    """A one-row DataFrame (an aggregate without grouping keys) as a single
+    scalar subquery returning a struct of its columns.  Spark computes it once
+    before the outer query and substitutes the value: no join with the outer
+    rows, and nothing but that one row reaches the driver.  Read fields with
+    ``one_row(df)["name"]``."""
+    return df.select(F.struct(*[F.col(c) for c in df.columns]).alias("v")).scalar()
+
+
+def attach_row(df: DataFrame, row_df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Add the columns of the one-row frame ``row_df`` to every row of ``df``
+    through one scalar subquery (see :func:`one_row`) instead of a cross join."""
+    tmp = "_one_row"
+    cols = list(cols or row_df.columns)
+    out = df.withColumn(tmp, one_row(row_df))
+    return out.withColumns({c: F.col(tmp).getField(c) for c in cols}).drop(tmp)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigia.functions import rates
-from vigia.session import bounded_broadcast, materialize, spread
+from vigia.session import attach_row, bounded_broadcast, materialize, spread
 
 # Fixed values of the proxy definition.
 ACCIDENT_FLAG = "R"          # l_returnflag of an accident
@@ -189,7 +189,7 @@ def monthly_accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_month = (per_order.join(orders, per_order.l_orderkey == orders.o_orderkey)
                  .groupBy(ym.alias("ym")).agg(F.sum("n").alias("n")))
     first = per_month.agg(F.min("ym").alias("ym0"))
-    return (per_month.crossJoin(F.broadcast(first))
+    return (attach_row(per_month, first)
             .select((F.col("ym") - F.col("ym0") + 1).cast("int").alias("Mes"),
                     F.col("n").cast("double").alias("Accidentes")))
 
@@ -230,7 +230,7 @@ def board_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         + [(-1, 1 + i, n) for i, n in enumerate(names)] + [(-1, 16 + i, n) for i, n in enumerate(names)],
         "row_no int, col_no int, value string")
     # row -1 is the repeated header: placed right after the last data row
-    header = header.crossJoin(F.broadcast(n_rows)).select(
+    header = attach_row(header, n_rows).select(
         F.lit("board").alias("source"), F.lit("Data").alias("sheet"),
         F.when(F.col("row_no") == -1, F.col("n") + 3).otherwise(F.col("row_no")).cast("int").alias("row_no"),
         "col_no", "value")
