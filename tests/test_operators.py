@@ -343,3 +343,23 @@ def test_encoded_cases_fit_on_train(spark, sf_small):
     assert e.count() == catalog.encoded_cases(spark, sf_small).count()
     with pytest.raises(ValueError):
         catalog.encoded_cases(spark, sf_small, fit_on="test")
+
+
+def test_spread_only_narrow_scans(spark):
+    from vigia.session import spread
+    one = spark.range(1000).coalesce(1)
+    s = spread(one, ["id"])
+    assert s.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r.id for r in s.collect()) == list(range(1000))          # rows kept whole
+    wide = spark.range(0, 1000, 1, 16)
+    assert spread(wide, ["id"]) is wide                                    # enough splits: unchanged
+
+
+def test_attach_row_single_subquery(spark):
+    from vigia.session import attach_row
+    df = spark.createDataFrame([(1,), (2,), (3,)], "x int")
+    tot = df.agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    out = attach_row(df, tot)
+    assert sorted((r.x, r.s, r.n) for r in out.collect()) == [(1, 6, 3), (2, 6, 3), (3, 6, 3)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
