@@ -14,7 +14,7 @@ def spark():
     from vigia.session import checkpoint_dir, get_session
 
     os.environ.setdefault("VIGIA_SCRATCH", tempfile.mkdtemp(prefix="vigia-tests-"))
-    s = get_session("local[*]", 8)
+    s = get_session("local[*]", 8, extra={"spark.driver.memory": "4g"})
     checkpoint_dir(s)
     yield s
 

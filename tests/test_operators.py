@@ -363,3 +363,22 @@ def test_attach_row_single_subquery(spark):
     assert sorted((r.x, r.s, r.n) for r in out.collect()) == [(1, 6, 3), (2, 6, 3), (3, 6, 3)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("limit", [3, 1_000_000])
+def test_keys_at_ranks_hot_key_refinement(spark, limit):
+    from pyspark.sql import Window
+    from vigia.operators.ordering import keys_at_ranks
+    # label 0 has one hot leading value (a third of its rows) with ties broken by the second column
+    rows = [(0, 7, i) for i in range(30)] + [(0, k, 0) for k in range(60)] + [(1, k % 5, k) for k in range(40)] \
+        + [(0, 7, 99)] * 4                           # full-key duplicates inside the hot value
+    df = spark.createDataFrame(rows, "label int, a int, b int")
+    ranks = spark.createDataFrame([(0, r) for r in range(0, 94, 7)] + [(1, r) for r in (0, 13, 39, 40)],
+                                  "label int, r long")
+    got = {(r.label, r.r): (r.key.a, r.key.b)
+           for r in keys_at_ranks(df, "label", ["a", "b"], ranks, n_bins=4, max_sort_rows=limit).collect()}
+    w = Window.partitionBy("label").orderBy("a", "b")
+    brute = {(r.label, r.rn): (r.a, r.b)
+             for r in df.withColumn("rn", F.row_number().over(w) - 1).collect()}
+    want = {(l, r): brute[(l, r)] for l, r in [(0, r) for r in range(0, 94, 7)] + [(1, 0), (1, 13), (1, 39)]}
+    assert got == want

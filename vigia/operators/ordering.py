@@ -65,15 +65,50 @@ def hash_bins(h: Column, bits: int = 20) -> Column:
     return F.shiftright(h, 64 - bits) + F.lit(1 << (bits - 1))
 
 
+# Rows one task may sort to find a key inside a boundary bin; larger bins are
+# refined first (see keys_at_ranks).
+MAX_SORT_ROWS = 1_000_000
+_MAX_REFINE_DEPTH = 6
+
+
+def _pick_sorted(b: DataFrame, targets: DataFrame, group_col: str, order_cols: list[str],
+                 key_cols: list[str]) -> DataFrame:
+    """Sort only the target bins and take the rows at the wanted offsets."""
+    tb = F.broadcast(targets.select(group_col, "r", "_bin", "_off"))
+    cand = b.join(tb.select(group_col, "_bin").distinct(), [group_col, "_bin"], "left_semi")
+    wo = Window.partitionBy(group_col, "_bin").orderBy(*(order_cols or key_cols))
+    ranked = cand.withColumn("_off", F.row_number().over(wo) - 1)
+    key = F.struct(*[F.col(c) for c in key_cols]).alias("key")
+    return ranked.join(tb, [group_col, "_bin", "_off"]).select(group_col, "r", key)
+
+
 def keys_at_ranks(df: DataFrame, group_col: str, order_cols: list[str], ranks: DataFrame,
-                  bins: Column | None = None, n_bins: int | None = None) -> DataFrame:
+                  bins: Column | None = None, n_bins: int | None = None,
+                  max_sort_rows: int | None = None, key_cols: list[str] | None = None,
+                  _depth: int = 0) -> DataFrame:
     """For each ``(group, r)`` row of ``ranks`` (r 0-based), the order key of
     the row at rank r within the group: ``(group, r, key)`` with ``key`` a
     struct of ``order_cols``.  ``bins`` must be monotone in the order (equal
     keys share a bin); by default quantile bins of the leading order column.
     Ranks outside the group are dropped.  ``df`` is read three times; pass a
     materialized or cheap-to-read frame.
+
+    Skew: equal leading values share a bin, so one hot value can make a
+    boundary bin hold a large share of the rows.  A boundary bin above
+    ``max_sort_rows`` is not sorted; it is refined instead: every leading
+    value that alone exceeds the limit becomes its own sub-bin, ordered further
+    by the next order column (the leading value is constant there), and the
+    ranges between those values are re-binned by fresh quantiles.  When no
+    order column is left, all rows of a bin share the key and none is sorted.
     """
+    key_cols = list(key_cols or order_cols)
+    limit = max_sort_rows or MAX_SORT_ROWS
+    want = ranks.select(F.col(group_col), F.col("r").cast("long").alias("r"))
+    if not order_cols:
+        # the whole key is constant inside each group: every rank maps to it
+        per = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"),
+                                        F.min(F.struct(*[F.col(c) for c in key_cols])).alias("key"))
+        return want.join(per, group_col).filter(F.col("r") < F.col("_n")).select(group_col, "r", "key")
     if bins is None:
         b = quantile_bins(df, order_cols[0], n_bins or default_bins(df.sparkSession))
     else:
@@ -81,17 +116,59 @@ def keys_at_ranks(df: DataFrame, group_col: str, order_cols: list[str], ranks: D
     hist = b.groupBy(group_col, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(group_col).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     cum = hist.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    want = ranks.select(F.col(group_col), F.col("r").cast("long").alias("r"))
+    # one row per wanted rank: at most (#groups x #ranks) rows, tiny
     targets = (want.join(cum, group_col)
                .filter((F.col("r") >= F.col("_before")) & (F.col("r") < F.col("_before") + F.col("_n")))
-               .select(group_col, "r", "_bin", (F.col("r") - F.col("_before")).alias("_off")))
-    # one row per wanted rank: at most (#groups x #ranks) rows, tiny
-    tb = F.broadcast(targets)
-    cand = b.join(tb.select(group_col, "_bin").distinct(), [group_col, "_bin"], "left_semi")
-    wo = Window.partitionBy(group_col, "_bin").orderBy(*order_cols)
-    ranked = cand.withColumn("_off", F.row_number().over(wo) - 1)
-    key = F.struct(*[F.col(c) for c in order_cols]).alias("key")
-    return ranked.join(tb, [group_col, "_bin", "_off"]).select(group_col, "r", key)
+               .select(group_col, "r", "_bin", (F.col("r") - F.col("_before")).alias("_off"), "_n"))
+    if _depth >= _MAX_REFINE_DEPTH:
+        return _pick_sorted(b, targets, group_col, order_cols, key_cols)
+    from vigia.session import materialize
+    targets = materialize(targets)
+    small = _pick_sorted(b, targets.filter(F.col("_n") <= limit), group_col, order_cols, key_cols)
+    large = targets.filter(F.col("_n") > limit)
+    if large.isEmpty():
+        return small
+
+    # rows of the large bins, regrouped by (group, bin); ranks become offsets in the bin
+    gb = F.struct(F.col(group_col).alias("g"), F.col("_bin").alias("b"))
+    sub = (b.join(F.broadcast(large.select(group_col, "_bin").distinct()), [group_col, "_bin"], "left_semi")
+           .withColumn("_gb", gb).drop("_bin"))
+    lead = order_cols[0]
+    hot = materialize(sub.groupBy("_gb", lead).agg(F.count(F.lit(1)).alias("_c"))
+                      .filter(F.col("_c") > limit)
+                      .groupBy("_gb").agg(F.array_sort(F.collect_list(lead)).alias("_hot")))
+    sub = (sub.join(F.broadcast(hot), "_gb", "left")
+           .withColumn("_hot", F.coalesce(F.col("_hot"), F.array().cast(hot.schema["_hot"].dataType))))
+    is_hot = F.array_contains(F.col("_hot"), F.col(lead))
+    below = F.size(F.filter(F.col("_hot"), lambda h: h < F.col(lead)))
+    sub = sub.withColumn("_is_hot", is_hot).withColumn("_sb", below * 2 + is_hot.cast("int")).drop("_hot")
+    sub_ranks = large.select(gb.alias("_gb"), F.col("_off").alias("r"), F.col(group_col).alias("_g0"),
+                             F.col("r").alias("_r0"))
+    # second-level targets: which sub-bin of (group, bin) holds each wanted offset
+    h2 = sub.groupBy("_gb", "_sb", "_is_hot").agg(F.count(F.lit(1)).alias("_n"))
+    w2 = Window.partitionBy("_gb").orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
+    c2 = h2.withColumn("_before", F.coalesce(F.sum("_n").over(w2), F.lit(0)))
+    t2 = materialize(sub_ranks.join(c2, "_gb")
+                     .filter((F.col("r") >= F.col("_before")) & (F.col("r") < F.col("_before") + F.col("_n")))
+                     .select(F.struct("_gb", "_sb").alias("_g2"), (F.col("r") - F.col("_before")).alias("r"),
+                             "_is_hot", "_g0", "_r0"))
+    sub = sub.withColumn("_g2", F.struct("_gb", "_sb"))
+    parts = []
+    for hot_part in (True, False):
+        t = t2.filter(F.col("_is_hot") == F.lit(hot_part))
+        if t.isEmpty():
+            continue
+        rows = sub.filter(F.col("_is_hot") == F.lit(hot_part)).join(
+            F.broadcast(t.select("_g2").distinct()), "_g2", "left_semi")
+        cols = order_cols[1:] if hot_part else order_cols     # the leading value is constant in a hot sub-bin
+        got = keys_at_ranks(rows, "_g2", cols, t.select("_g2", "r"), n_bins=n_bins, max_sort_rows=limit,
+                            key_cols=key_cols, _depth=_depth + 1)
+        parts.append(got.join(F.broadcast(t.select("_g2", "r", "_g0", "_r0")), ["_g2", "r"])
+                     .select(F.col("_g0").alias(group_col), F.col("_r0").alias("r"), "key"))
+    out = small
+    for p_ in parts:
+        out = out.unionByName(p_)
+    return out
 
 
 def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Column] | None = None,
