@@ -10,8 +10,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.session import materialize
-
 #: Texts are handed to numpy in chunks of about this many bytes, whatever the Arrow batch size, so that a worker's
 #: memory does not depend on the length of the texts (one text is never cut: a longer one is a chunk of its own).
 CHUNK_BYTES = 1 << 21
@@ -32,28 +30,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> _S29)) * _MUL ^ (h >> _S32)
 
 
-class WordHasher:
-    """64-bit hashes of words.  Repeated words come from a dictionary, which is emptied when it holds ``limit``
-    entries; the hash of a word never depends on what the dictionary holds."""
-
-    def __init__(self, limit: int = 1_000_000):
-        self.limit, self.seen = limit, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > self.limit:
-            seen.clear()
-        out = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = seen.get(w)
-            if h is None:
-                h = seen[w] = xxhash.xxh3_64_intdigest(w)
-            out[i] = h
-        return out
+#: Words kept in a task's dictionary of word hashes.
+SEEN_WORDS = 1_000_000
 
 
 def hash_words(words: list[bytes], seen: dict) -> np.ndarray:
-    """Hashes of ``words`` through the dictionary ``seen`` (see :class:`WordHasher`)."""
+    """64-bit hashes of ``words``.  ``seen`` saves hashing words again; it is emptied when it is full, and the hash of
+    a word does not depend on it."""
+    if len(seen) > SEEN_WORDS:
+        seen.clear()
     try:
         return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
     except KeyError:
@@ -101,12 +86,9 @@ def map_chunks(df: DataFrame, schema: str, make: Callable[[], Callable[[pd.DataF
     """``mapInPandas`` with bounded pieces: ``make()`` runs once per task and returns the function that turns one
     piece into an output frame."""
     def run(frames):
-        f, seen = make(), False
+        f = make()
         for pdf in chunks(frames, column, limit):
-            seen = True
             yield f(pdf)
-        if not seen:
-            return
     return df.mapInPandas(run, schema)
 
 
@@ -115,35 +97,3 @@ def size_of(df: DataFrame, columns: list[str]) -> tuple[int, ...]:
     row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_s{i}")
                                                   for i, c in enumerate(columns)]).first()
     return tuple(int(x) for x in row)
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``edges`` (a, b: long), as (node, component) with the smallest node of the
-    component; nodes without an edge do not occur.
-
-    Alternating large-star and small-star rounds: each is one aggregate and one join, each round's edges are a
-    checkpoint in the shared folder, and the number of rounds grows with the logarithm of the component's size.  No
-    edge list reaches the driver or a single task: a star's minimum is a partial aggregate, and the join that hands
-    it out is one that AQE can split."""
-    e = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                    .filter("a <> b").distinct())
-    for _ in range(max_rounds):
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")) \
-            .filter("a <> b").distinct()
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b")
-        small = small.select(F.col("m").alias("a"), F.col("b")).unionByName(
-            small.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-        new = materialize(small)
-        same = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if _ > 0 and (same.n, same.h) == last:
-            e = new
-            break
-        e, last = new, (same.n, same.h)
-    else:
-        raise RuntimeError("connected components did not settle")
-    return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
-        e.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()

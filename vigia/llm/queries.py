@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.llm import packing, sharding, tokens
+from vigia.llm import language, ngram_join, packing, phrase_dedup, quality, sharding, suffix_dedup, tokens, toxicity
 from vigia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,22 @@ def register(fn):
     return fn
 
 
+def fold(doc_id, n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+
+
+@register
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@register
+def op2_suffix_dedup(spark, sf_dir):
+    rows = suffix_dedup.cut(suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"), window=200))
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @register
 def op3_sharding(spark, sf_dir):
     placed = sharding.shard(table(spark, sf_dir, "documents"), N_SHARDS)
@@ -34,8 +50,38 @@ def op5_token_counts(spark, sf_dir):
     return tokens.context_report(tokens.length_histogram(table(spark, sf_dir, "documents")))
 
 
+@register
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    model = language.learn(docs, ~held_out)
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rate")
+
+
+@register
+def op7_phrase_dedup(spark, sf_dir):
+    rows = phrase_dedup.cut(phrase_dedup.repeated_phrases(table(spark, sf_dir, "documents"), window=13))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@register
+def op8_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.references(docs))
+
+
 @register
 def op9_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), size=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                          "offset")
+
+
+@register
+def op10_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    scorer = toxicity.learn(docs, labels.filter(~held_out))
+    scored = toxicity.score(docs, scorer)
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
