@@ -53,18 +53,29 @@ def _as_double(df: DataFrame, col: str) -> Column:
 
 def quantile_bins(df: DataFrame, lead: str, n_bins: int, out: str = "_bin") -> DataFrame:
     """Contiguous, roughly equal-count bins of ``lead`` (ascending): splits
-    from one approximate-quantile pass, lookup by binary search (JVM)."""
+    from one approximate-quantile pass, lookup by binary search (JVM).  A null
+    has the bin -1, below all others, as nulls come first in ascending order;
+    NaN has the highest bin."""
     tmp = "_lead_d"
     d = df.withColumn(tmp, _as_double(df, lead))
     qd = QuantileDiscretizer(numBuckets=n_bins, inputCol=tmp, outputCol=out,
                              relativeError=1.0 / (4.0 * n_bins), handleInvalid="keep")
-    return qd.fit(d).transform(d).withColumn(out, F.col(out).cast("int")).drop(tmp)
+    if d.select(tmp).filter(F.col(tmp).isNotNull()).isEmpty():
+        return d.withColumn(out, F.lit(-1)).drop(tmp)      # nothing to take quantiles of
+    binned = qd.fit(d).transform(d)
+    return binned.withColumn(out, F.when(F.col(tmp).isNull(), F.lit(-1)).otherwise(F.col(out).cast("int"))).drop(tmp)
 
 
-def hash_bins(h: Column, bits: int = 20) -> Column:
-    """Bins of a signed 64-bit hash by its top ``bits`` bits (monotone in the
-    hash's signed order; uniform without any pass over the data)."""
-    return F.shiftright(h, 64 - bits) + F.lit(1 << (bits - 1))
+# Bins of a hash order: few enough that the histogram is small for every task
+# (one row per bin and class), while a bin holds 1/4096 of the rows.
+HASH_BIN_BITS = 12
+
+
+def hash_bins(h: Column, bits: int) -> Column:
+    """Bins of a non-negative hash of ``bits`` bits by its top bits (monotone
+    in the hash; uniform without any pass over the data).  A bin too large to
+    sort is refined by :func:`keys_at_ranks`."""
+    return F.shiftright(h, bits - HASH_BIN_BITS)
 
 
 # Rows one task may sort to find a key inside a boundary bin; larger bins are
@@ -213,9 +224,15 @@ def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Colum
                          *[F.coalesce(F.sum(f"_t_{k}").over(wo), F.lit(0)).alias(f"_o_{k}") for k in values],
                          *([F.coalesce(F.sum("_t__n").over(wo), F.lit(0)).alias("_o__n")] if index_col else []))
     groups = 1 if not group_cols else max_groups
-    if groups is not None and groups * (n + 2) <= _OFFSET_BROADCAST_ROWS:
+    if groups is not None and groups * (n + 3) <= _OFFSET_BROADCAST_ROWS:
         offs = F.broadcast(offs)
-    out = b.join(offs, [*group_cols, "_bucket"])
+    # null group values are groups like others, so the join is null-safe
+    offs = offs.select(*[F.col(c).alias(f"_g_{c}") for c in [*group_cols, "_bucket"]],
+                       *[c for c in offs.columns if c.startswith("_o_")])
+    same = F.lit(True)
+    for c in [*group_cols, "_bucket"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    out = b.join(offs, same).drop(*[f"_g_{c}" for c in [*group_cols, "_bucket"]])
     fixes = {k: F.col(k) + F.col(f"_o_{k}") for k in values}
     if index_col:
         fixes[index_col] = F.col(index_col) + F.col("_o__n")
