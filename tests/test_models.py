@@ -67,7 +67,57 @@ def test_model_save_and_load(spark):
     from vigia.sources.files import scratch_path
     t = md.train(_separable(spark), "con_incapacidad", "lr", ["k"])
     path = md.save_model(t, scratch_path(spark, "model"))
-    m = md.load_model("lr", path)
+    m = md.load_model(path).model
     a = md.p_class1(m.transform(t.data)).select("p1").collect()
     b = md.p_class1(t.model.transform(t.data)).select("p1").collect()
     assert a == b
+
+
+def test_artefact_scores_other_data_with_its_own_codes(spark):
+    from vigia.operators import features as ft
+    from vigia.sources.files import scratch_path
+    cats = ["clasificacion", "tipo", "estacion", "genero", "cargo", "naturaleza", "parte_cuerpo", "agente", "mecanismo"]
+    cols = ", ".join(f"{c} string" for c in cats)
+    rows = [(i, *[f"{c}{(i + j) % 3}" for j, c in enumerate(cats)], float(i % 9) if i % 7 else None,
+             float(i % 2), i % 2) for i in range(200)]
+    cases = spark.createDataFrame(rows, f"k long, {cols}, antiguedad double, dias_incapacidad double, con_incapacidad int")
+    dictionary = ft.label_dictionary(cases, cats)
+    enc = ft.encode(cases, dictionary, cats).drop("is_unseen")
+    t = md.train(enc, "con_incapacidad", "rf", ["k"], dictionary)
+    art = md.load_model(md.save_model(t, scratch_path(spark, "artefact")))
+    assert (art.feats, art.algo, art.target) == (t.feats, "rf", "con_incapacidad")
+    new = cases.filter("k < 4").withColumn("tipo", F.when(F.col("k") == 1, "never seen").otherwise(F.col("tipo")))
+    got = {r.k: r for r in md.code_cases(art, new, ["k"]).collect()}
+    want = {r.k: r for r in enc.filter("k < 4").collect()}
+    for k, r in got.items():
+        assert r.is_unseen == (k == 1) and r.tipo == (0.0 if k == 1 else want[k].tipo)
+        assert all(r[c] == want[k][c] for c in cats if c != "tipo") and r.antiguedad == (want[k].antiguedad or 0.0)
+    scored = md.score_cases(art, new, ["k"]).collect()
+    assert [r.is_unseen for r in sorted(scored, key=lambda r: r.k)] == [False, True, False, False]
+
+
+@pytest.mark.parametrize("algo", ["rf", "gbt", "lr"])
+def test_second_target_trains_with_each_algorithm(spark, algo, monkeypatch):
+    monkeypatch.setattr(md, "RF_PARAMS", dict(numTrees=10, maxDepth=4))
+    monkeypatch.setattr(md, "GBT_PARAMS", dict(maxIter=5, maxDepth=3, stepSize=0.1))
+    rows = [(i, float(i % 50), float((i * 7) % 45), int(i % 50 > 30)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, incapacidad_alta int")
+    t = md.train(df, "incapacidad_alta", algo, ["k"])
+    assert t.max_bins == 50 and md.holdout_metrics(t).first().auc > 0.9
+
+
+def test_forecast_forest_splits_at_every_month(spark):
+    series = spark.createDataFrame([(m, float((m * 37) % 101)) for m in range(1, 81)], "Mes int, Accidentes double")
+    assert md.distinct_values(series, ["Mes"]) == 80
+    got = [r.Accidentes for r in md.forecast(series).collect()]
+    assert len(got) == 6 and len(set(got)) == 1
+    last = float((80 * 37) % 101)
+    # a forest that can set the last month apart follows it more than one that cannot
+    assert abs(got[0] - last) < 30
+
+
+def test_null_features_count_as_zero(spark):
+    rows = [(i, None if i % 5 == 0 else float(i % 10), i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, a double, con_incapacidad int")
+    data, feats, _ = md.assemble(df, "con_incapacidad", ["k"])
+    assert feats == ["a"] and all(r.features[0] == 0.0 for r in data.filter("k % 5 = 0").collect())

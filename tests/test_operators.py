@@ -382,3 +382,48 @@ def test_keys_at_ranks_hot_key_refinement(spark, limit):
              for r in df.withColumn("rn", F.row_number().over(w) - 1).collect()}
     want = {(l, r): brute[(l, r)] for l, r in [(0, r) for r in range(0, 94, 7)] + [(1, 0), (1, 13), (1, 39)]}
     assert got == want
+
+
+def test_row_index_keeps_null_keys_and_groups(spark):
+    from vigia.operators.ordering import row_index
+    for kind, rows in (("string", [("b",), (None,), ("a",)]), ("double", [(2.0,), (None,), (1.0,)])):
+        got = row_index(spark.createDataFrame(rows, f"k {kind}"), ["k"]).collect()
+        assert [r.k for r in sorted(got, key=lambda r: r._idx)] == [None, *sorted(x[0] for x in rows if x[0])]
+    df = spark.createDataFrame([("g", 1), (None, 5), (None, 3), ("g", None), (None, None)], "g string, k int")
+    got = {(r.g, r.k): r._idx for r in row_index(df, ["k"], ["g"]).collect()}
+    assert got == {("g", None): 0, ("g", 1): 1, (None, None): 0, (None, 3): 1, (None, 5): 2}
+    assert row_index(df.filter("k is null"), ["k"]).count() == 2
+
+
+def test_auc_and_curve_leave_null_scores_out(spark):
+    from vigia.operators import metrics as mt
+    rows = [(1, 0.2), (0, None), (1, None), (0, 0.1), (None, 0.9)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    assert mt.roc_auc(df).first().auc == 1.0
+    assert [(r.fpr, r.tpr) for r in mt.roc_curve(df).orderBy(mt.F.desc("threshold")).collect()] == [(0, 0), (0, 1), (1, 1)]
+
+
+def test_auc_and_curve_of_one_class_are_null(spark):
+    from vigia.operators import metrics as mt
+    one = spark.createDataFrame([(1, 0.2), (1, 0.7)], "label int, score double")
+    assert mt.roc_auc(one).first().auc is None
+    assert all(r.fpr is None for r in mt.roc_curve(one).filter("threshold < 1").collect())
+    assert mt.roc_auc(one.limit(0)).first().auc is None
+
+
+def test_split_leaves_rows_without_label_unmarked(spark):
+    from vigia.operators import features as ft
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else i % 2) for i in range(100)], "k long, y int")
+    got = ft.stratified_split(df, "y", ["k"]).collect()
+    assert len(got) == 100 and all((r.is_test is None) == (r.y is None) for r in got)
+    assert sum(bool(r.is_test) for r in got) == 23
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(spark):
+    import types
+
+    from vigia.session import checkpoint_dir
+    conf = types.SimpleNamespace(get=lambda k, d=None: d)
+    far = types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(far)

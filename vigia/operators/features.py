@@ -64,7 +64,8 @@ def fit_encode(df: DataFrame, cols: list[str], fit_rows: Column | None = None,
 
 
 def _class_counts(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).cast("long").alias("c"))
+    """Rows per class; rows without a label belong to no class."""
+    return df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).cast("long").alias("c"))
 
 
 def split_allocation(df: DataFrame, label: str, test_size: float = 0.25) -> DataFrame:
@@ -91,9 +92,16 @@ def split_allocation(df: DataFrame, label: str, test_size: float = 0.25) -> Data
                     (F.col("c") - F.col("train")).cast("long").alias("test"))
 
 
+# Bits of the split order.
+SPLIT_BITS = 60
+
+
 def split_hash(key_cols: list[str], seed: int) -> Column:
-    """Deterministic pseudo-random order of the rows for the split."""
-    return F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
+    """Deterministic pseudo-random order of the rows for the split: the first
+    15 hex digits of the md5 of the key and the seed, joined by ``|``, as a
+    number (any engine with md5 gives the same order)."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, SPLIT_BITS // 4), 16, 10).cast("long")
 
 
 def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_size: float = 0.25,
@@ -101,6 +109,7 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_size:
     """Mark the test rows of a stratified split: within each class, the rows
     with the smallest seeded hash of the unique key, as many as the
     allocation gives the class.  Exact class sizes, deterministic membership.
+    Rows with a null label belong to neither part: their flag is null.
 
     No sort of the data: the class's cut key (hash, key) is selected from a
     histogram over the hash's top bits (:func:`keys_at_ranks`), then every row
@@ -110,17 +119,18 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_size:
     alloc = split_allocation(df, label, test_size)
     h = df.withColumn("_h", split_hash(key_cols, seed))
     ranks = alloc.select(F.col("label").alias(label), F.col("test").alias("r"))
-    cuts = keys_at_ranks(h, label, ["_h", *key_cols], ranks, bins=hash_bins(F.col("_h")))
+    cuts = keys_at_ranks(h, label, ["_h", *key_cols], ranks, bins=hash_bins(F.col("_h"), SPLIT_BITS))
     # one row per class: computed once and checkpointed, so the marking pass
     # (and any consumer that reads the result several times) does not re-run
     # the histogram and the boundary-bin sort
     info = materialize(alloc.select(F.col("label").alias("_lab"), F.col("test").alias("_nt"), F.col("c").alias("_nc"))
                        .join(cuts.withColumnRenamed(label, "_lab"), "_lab", "left"))
     row_key = F.struct(F.col("_h"), *[F.col(c) for c in key_cols])
-    is_test = (F.when(F.col("_nt") >= F.col("_nc"), F.lit(True))
+    is_test = (F.when(F.col("_nt").isNull(), F.lit(None).cast("boolean"))
+               .when(F.col("_nt") >= F.col("_nc"), F.lit(True))
                .when(F.col("_nt") <= 0, F.lit(False))
                .otherwise(row_key < F.col("key")))
-    out = h.join(F.broadcast(info), F.col(label) == F.col("_lab"))        # one row per class
+    out = h.join(F.broadcast(info), F.col(label) == F.col("_lab"), "left")        # one row per class
     return out.withColumn(flag, is_test).drop("_h", "_lab", "_nt", "_nc", "r", "key")
 
 

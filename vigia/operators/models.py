@@ -22,7 +22,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigia.functions import rules
@@ -37,6 +37,7 @@ GBT_PARAMS = dict(maxIter=150, maxDepth=5, stepSize=0.05)
 LR_MAX_ITER = 1000
 FOREST_TREES = 100          # monthly forecast forest
 CV_PARALLELISM = 2          # fold fits in flight at once
+MIN_BINS = 32               # MLlib's default number of split candidates
 HORIZON = 6                 # months forecast after the last observed one
 ALGOS = ("rf", "gbt", "lr")
 
@@ -63,18 +64,20 @@ def feature_columns(df: DataFrame, targets=("con_incapacidad", "incapacidad_alta
 
 
 def build_estimator(algo: str, n_weighted_rows: int | None = None, label: str = "label",
-                    features: str = "features", weight: str = "w"):
+                    features: str = "features", weight: str = "w", max_bins: int = MIN_BINS):
     """The learner for ``algo``: random forest and logistic regression use the
     balanced class weights, boosting does not.  Logistic regression: L2 with
     ``regParam = 1 / sum(weights)`` and no standardisation, which is the
-    C = 1 objective of a weighted L2 logistic regression."""
+    C = 1 objective of a weighted L2 logistic regression.  ``max_bins`` is the
+    number of values a tree may split between; with fewer than a feature has,
+    codes are merged."""
     if algo == "rf":
         return RandomForestClassifier(labelCol=label, featuresCol=features, weightCol=weight, seed=SEED,
                                       featureSubsetStrategy="sqrt", maxMemoryInMB=512, cacheNodeIds=True,
-                                      **RF_PARAMS)
+                                      maxBins=max_bins, **RF_PARAMS)
     if algo == "gbt":
         return GBTClassifier(labelCol=label, featuresCol=features, seed=SEED, checkpointInterval=10,
-                             maxMemoryInMB=1024, cacheNodeIds=True, **GBT_PARAMS)
+                             maxMemoryInMB=1024, cacheNodeIds=True, maxBins=max_bins, **GBT_PARAMS)
     if algo == "lr":
         if not n_weighted_rows:
             raise ValueError("logistic regression needs the weighted row count")
@@ -96,48 +99,76 @@ def p_class1(pred: DataFrame, prob: str = "probability") -> DataFrame:
 
 
 @dataclass
-class Trained:
+class Artefact:
+    """What scoring needs: the learner with its feature list and dictionary."""
+
     model: Model
     feats: list[str]
-    data: DataFrame          # assembled rows with is_test and fold
-    test_pred: DataFrame     # test rows with label, p1, prediction
     algo: str
     target: str
+    dictionary: DataFrame | None = None
+
+
+@dataclass
+class Trained(Artefact):
+    data: DataFrame | None = None          # assembled rows with is_test and fold
+    test_pred: DataFrame | None = None     # test rows with label, p1, prediction
+    max_bins: int = MIN_BINS
+
+
+def as_numbers(df: DataFrame, feats: list[str]) -> DataFrame:
+    """Every feature as a double, null as 0."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feats})
+
+
+def distinct_values(df: DataFrame, feats: list[str]) -> int:
+    """Largest number of distinct values of a feature, at least ``MIN_BINS``
+    (one aggregate row)."""
+    row = df.agg(*[F.countDistinct(c).alias(c) for c in feats]).first()
+    return max([MIN_BINS, *row])
 
 
 def assemble(encoded: DataFrame, target: str, key_cols: list[str], feats: list[str] | None = None,
-             test_size: float = 0.25, n_folds: int = 5) -> tuple[DataFrame, list[str]]:
-    """Encoded cases -> label, split flag, fold, feature vector (checkpointed)."""
+             test_size: float = 0.25, n_folds: int = 5) -> tuple[DataFrame, list[str], int]:
+    """Encoded cases -> (label, split flag, fold, feature vector) as a
+    checkpointed table, the feature list, and the bins that trees need.  Cases
+    without a label are left out."""
     feats = feats or feature_columns(encoded, exclude=[*key_cols, "is_unseen"])
     # the case table (joins + encoding) is computed once; split and folds read the copy
-    base = materialize(encoded.select(*key_cols, *feats, F.col(target).cast("double").alias("label")))
+    base = materialize(as_numbers(encoded.select(*key_cols, *feats, F.col(target).cast("double").alias("label")), feats))
     d = ft.stratified_split(base, "label", key_cols, test_size=test_size, seed=SEED)
-    d = ft.stratified_folds(d, "label", key_cols, n_folds=n_folds)
-    va = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
-    d = va.transform(d).select(*key_cols, "label", "is_test", "fold", "features")
-    # spread the training set over every core before the learners cache it
-    d = d.repartition(max(d.sparkSession.sparkContext.defaultParallelism, 1))
-    return materialize(d), feats
+    d = ft.stratified_folds(d.filter(F.col("is_test").isNotNull()), "label", key_cols, n_folds=n_folds)
+    va = VectorAssembler(inputCols=feats, outputCol="features")
+    d = materialize(va.transform(d).select(*key_cols, "label", "is_test", "fold", "features"))
+    # a table of fewer partitions than cores is spread before the learners cache it; a wider one stays as it is
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    if d.rdd.getNumPartitions() < cores:
+        d = d.repartition(cores)
+    return d, feats, distinct_values(base, feats)
 
 
-def fit(data: DataFrame, algo: str, train_rows, feats: list[str]) -> Model:
+def fit(data: DataFrame, algo: str, train_rows, feats: list[str], max_bins: int = MIN_BINS) -> Model:
     d = data if algo == "gbt" else with_weights(data, "label", train_rows)
     n = None
     if algo == "lr":
         n = d.filter(train_rows).agg(F.sum("w")).first()[0]     # one number
-    return build_estimator(algo, n).fit(d.filter(train_rows))
+    return build_estimator(algo, n, max_bins=max_bins).fit(d.filter(train_rows))
 
 
-def train(encoded: DataFrame, target: str, algo: str, key_cols: list[str]) -> Trained:
-    data, feats = assemble(encoded, target, key_cols)
+def train(encoded: DataFrame, target: str, algo: str, key_cols: list[str],
+          dictionary: DataFrame | None = None) -> Trained:
+    """Fit ``algo`` on the encoded cases.  ``dictionary`` is the one that
+    encoded them; it becomes part of the result, so that later cases get the
+    same codes."""
+    data, feats, bins = assemble(encoded, target, key_cols)
     classes = data.agg(F.countDistinct("label")).first()[0]
     if classes < 2:
         raise ValueError("the target has a single class; both classes are needed to train")
-    model = fit(data, algo, ~F.col("is_test"), feats)
+    model = fit(data, algo, ~F.col("is_test"), feats, bins)
     # scored once: AUC, the report and the confusion cells all read these rows
     test_pred = materialize(p_class1(model.transform(data.filter(F.col("is_test"))))
                             .select(*key_cols, "label", "p1", "prediction"))
-    return Trained(model, feats, data, test_pred, algo, target)
+    return Trained(model, feats, algo, target, dictionary, data, test_pred, bins)
 
 
 def holdout_metrics(t: Trained) -> DataFrame:
@@ -160,7 +191,7 @@ def cv_auc(t: Trained, n_folds: int = 5) -> DataFrame:
     """AUC of each fold scored by a model fitted on the other folds (weights
     recomputed per fit), with the mean and the population std of the AUCs."""
     def one_fold(f):
-        m = fit(t.data, t.algo, F.col("fold") != f, t.feats)
+        m = fit(t.data, t.algo, F.col("fold") != f, t.feats, t.max_bins)
         pred = p_class1(m.transform(t.data.filter(F.col("fold") == f)))
         a = mt.roc_auc(pred.select(F.col("label").cast("int").alias("label"), F.col("p1").alias("score")))
         return a.select(F.lit(f).alias("fold"), "auc")
@@ -195,18 +226,28 @@ def feature_importance(t: Trained, top: int = 10) -> DataFrame:
                       "importancia", F.round(F.col("importancia") * 100, 1).alias("Pct")))
 
 
-def score_cases(t: Trained, new_cases: DataFrame, dictionary: DataFrame, key_cols: list[str]) -> DataFrame:
+def code_cases(t: Artefact, new_cases: DataFrame, key_cols: list[str], dictionary: DataFrame | None = None) -> DataFrame:
+    """The inputs of the model for cleaned cases: the keys, the codes of the
+    artefact's own dictionary (unseen -> 0), ``antiguedad`` (null -> 0),
+    ``is_unseen``, and the values as they were in ``_txt_<column>``."""
+    cats = [c for c in t.feats if c != "antiguedad"]
+    dictionary = t.dictionary if dictionary is None else dictionary
+    if dictionary is None:
+        raise ValueError("the model has no dictionary; pass the one that encoded its training cases")
+    raw = new_cases.select(*key_cols, *[F.col(c).alias(f"_txt_{c}") for c in t.feats], *t.feats)
+    return as_numbers(ft.encode(raw, dictionary, cats), t.feats)
+
+
+def score_cases(t: Artefact, new_cases: DataFrame, key_cols: list[str], dictionary: DataFrame | None = None) -> DataFrame:
     """Score a batch of cleaned cases: encode (unseen -> 0, flagged), predict
     P(class 1), band it and attach the fired rules and recommendations.  The
     rules read the case's own (text) values."""
-    cats = [c for c in t.feats if c != "antiguedad"]
-    raw = new_cases.select(*key_cols, *[F.col(c).alias(f"_txt_{c}") for c in cats], "antiguedad", *cats)
-    enc = ft.encode(raw, dictionary, cats)
-    va = VectorAssembler(inputCols=t.feats, outputCol="features", handleInvalid="keep")
+    enc = code_cases(t, new_cases, key_cols, dictionary)
+    va = VectorAssembler(inputCols=t.feats, outputCol="features")
     pred = p_class1(t.model.transform(va.transform(enc)))
     pred = pred.withColumn("banda", rules.probability_band("p1"))
     rule_cols = dict(naturaleza="_txt_naturaleza", mecanismo="_txt_mecanismo", parte_cuerpo="_txt_parte_cuerpo",
-                     antiguedad="antiguedad", agente="_txt_agente", tipo="_txt_tipo", band="banda")
+                     antiguedad="_txt_antiguedad", agente="_txt_agente", tipo="_txt_tipo", band="banda")
     return pred.select(*key_cols, F.round("p1", 6).alias("probabilidad"), "banda",
                        F.upper("banda").alias("nivel"), "is_unseen",
                        F.array_join(rules.fired_rule_ids(**rule_cols), ",").alias("reglas"),
@@ -215,11 +256,13 @@ def score_cases(t: Trained, new_cases: DataFrame, dictionary: DataFrame, key_col
 
 def forecast(series: DataFrame, horizon: int = HORIZON, trees: int = FOREST_TREES) -> DataFrame:
     """Random-forest regression of the monthly count on the month index,
-    scored for the ``horizon`` months after the last one.  Trees do not
-    extrapolate: beyond the data every month gets the same value."""
+    scored for the ``horizon`` months after the last one.  Trees may split
+    between any two months.  They do not extrapolate: beyond the data every
+    month gets the same value."""
     va = VectorAssembler(inputCols=["Mes_d"], outputCol="features")
     train = va.transform(series.withColumn("Mes_d", F.col("Mes").cast("double")))
-    model = RandomForestRegressor(labelCol="Accidentes", featuresCol="features", numTrees=trees, maxDepth=30,
+    bins = distinct_values(train, ["Mes"])
+    model = RandomForestRegressor(maxBins=bins, labelCol="Accidentes", featuresCol="features", numTrees=trees, maxDepth=30,
                                   minInstancesPerNode=1, featureSubsetStrategy="all", seed=SEED).fit(train)
     last = series.agg(F.max("Mes").alias("m"))
     future = last.select(F.explode(F.sequence(F.col("m") + 1, F.col("m") + horizon)).alias("Mes"))
@@ -227,16 +270,27 @@ def forecast(series: DataFrame, horizon: int = HORIZON, trees: int = FOREST_TREE
     return pred.select(F.col("Mes").cast("int").alias("Mes"), F.round("prediction", 4).alias("Accidentes"))
 
 
-def save_model(t: Trained, path: str) -> str:
-    """Persist the fitted learner (MLlib's own format) so scoring jobs reuse it
-    instead of refitting."""
-    t.model.write().overwrite().save(path)
+def save_model(t: Artefact, path: str) -> str:
+    """Persist the artefact under ``path``: the learner in MLlib's own format,
+    the dictionary as Parquet, and one row with algorithm, target and feature
+    list.  A scoring job needs nothing else."""
+    spark = SparkSession.getActiveSession()
+    t.model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(t.algo, t.target, t.feats, t.dictionary is not None)],
+                          "algo string, target string, feats array<string>, has_dictionary boolean") \
+        .coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    if t.dictionary is not None:
+        t.dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
     return path
 
 
-def load_model(algo: str, path: str) -> Model:
+def load_model(path: str) -> Artefact:
+    """The artefact that :func:`save_model` wrote under ``path``."""
     from pyspark.ml.classification import (GBTClassificationModel, LogisticRegressionModel,
                                            RandomForestClassificationModel)
+    spark = SparkSession.getActiveSession()
+    meta = spark.read.parquet(f"{path}/meta").first()
     cls = {"rf": RandomForestClassificationModel, "gbt": GBTClassificationModel,
-           "lr": LogisticRegressionModel}[algo]
-    return cls.load(path)
+           "lr": LogisticRegressionModel}[meta["algo"]]
+    dictionary = spark.read.parquet(f"{path}/dictionary") if meta["has_dictionary"] else None
+    return Artefact(cls.load(f"{path}/model"), list(meta["feats"]), meta["algo"], meta["target"], dictionary)

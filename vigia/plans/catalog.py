@@ -7,6 +7,7 @@ computed from the shared test tables through the bindings in
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -265,21 +266,27 @@ def label_dictionary(spark, sf_dir):
     return ft.label_dictionary(cases_model(spark, sf_dir), cs.CATEGORICAL)
 
 
-def encoded_cases(spark, sf_dir, keep=(), fit_on: str = "all"):
-    """Encoded case table.  ``fit_on="all"`` fits the dictionaries on every row
-    (the reference's behaviour); ``"train"`` only on the training rows of the
-    stratified split, which adds ``is_test`` (the split is deterministic, so
-    training later recomputes the same membership)."""
+def encoded_with_dictionary(spark, sf_dir, keep=(), fit_on: str = "all"):
+    """(encoded case table, dictionary).  ``fit_on="all"`` fits the
+    dictionaries on every row (the reference's behaviour); ``"train"`` only on
+    the training rows of the stratified split, which adds ``is_test`` (the
+    split is deterministic, so training later recomputes the same membership)."""
     if fit_on == "train":
         keep = list(dict.fromkeys([*keep, *tpch.CASE_KEY]))
         m = materialize(ft.stratified_split(cases_model(spark, sf_dir, keep=keep), TARGET, tpch.CASE_KEY,
                                             test_size=0.25, seed=42))
-        return ft.fit_encode(m, cs.CATEGORICAL, fit_rows=~F.col("is_test"))
-    if fit_on != "all":
+        src = m.filter(~F.col("is_test"))
+    elif fit_on == "all":
+        # the dictionary and the encoding both read the case table: compute it once
+        src = m = materialize(cases_model(spark, sf_dir, keep=keep))
+    else:
         raise ValueError(f"fit_on must be 'all' or 'train', not {fit_on!r}")
-    # the dictionary and the encoding both read the case table: compute it once
-    m = materialize(cases_model(spark, sf_dir, keep=keep))
-    return ft.fit_encode(m, cs.CATEGORICAL)
+    dictionary = materialize(ft.label_dictionary(src, cs.CATEGORICAL))
+    return ft.encode(m, dictionary, cs.CATEGORICAL), dictionary
+
+
+def encoded_cases(spark, sf_dir, keep=(), fit_on: str = "all"):
+    return encoded_with_dictionary(spark, sf_dir, keep, fit_on)[0]
 
 
 @register
@@ -303,6 +310,12 @@ def stratified_split_sizes(spark, sf_dir):
                      F.col(TARGET).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@register
+def split_membership(spark, sf_dir):
+    """Which part of the split every case is in."""
+    return split_cases(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "is_test")
+
+
 @register
 def class_weights(spark, sf_dir):
     return ft.balanced_weights(split_cases(spark, sf_dir).filter(~F.col("is_test")), TARGET)
@@ -397,17 +410,19 @@ def recommendation_rules_v2(spark, sf_dir):
 
 # --- MLlib models (rows-only checks) --------------------------------------------
 
-_TRAINED: dict = {}
+# Fitted models by session; the entry goes with the session.
+_TRAINED: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def trained(spark, sf_dir, algo: str, target: str = TARGET, fit_on: str = "all"):
     """Fit once per (data, algorithm, target, encoder fit) and session; the fit
     is an action, the returned frames stay lazy."""
-    key = (id(spark), sf_dir, algo, target, fit_on)
-    if key not in _TRAINED:
-        enc = encoded_cases(spark, sf_dir, keep=tpch.CASE_KEY, fit_on=fit_on).drop("is_unseen", "is_test")
-        _TRAINED[key] = md.train(enc, target, algo, tpch.CASE_KEY)
-    return _TRAINED[key]
+    mine = _TRAINED.setdefault(spark, {})
+    key = (sf_dir, algo, target, fit_on)
+    if key not in mine:
+        enc, dictionary = encoded_with_dictionary(spark, sf_dir, keep=tpch.CASE_KEY, fit_on=fit_on)
+        mine[key] = md.train(enc.drop("is_unseen", "is_test"), target, algo, tpch.CASE_KEY, dictionary)
+    return mine[key]
 
 
 @register
@@ -437,12 +452,21 @@ def feature_importance_top10(spark, sf_dir):
 
 @register
 def score_cases(spark, sf_dir):
-    """The held-out cases scored as a batch of new cases."""
-    t = trained(spark, sf_dir, "rf")
-    m = cases_model(spark, sf_dir, keep=tpch.CASE_KEY)
-    test_keys = t.data.filter(F.col("is_test")).select(*tpch.CASE_KEY)
-    new = m.join(test_keys, tpch.CASE_KEY, "left_semi")
-    return md.score_cases(t, new, ft.label_dictionary(m, cs.CATEGORICAL), tpch.CASE_KEY)
+    """Every case of the register scored as a batch of new cases with the
+    model's own dictionary."""
+    return md.score_cases(trained(spark, sf_dir, "rf"), cases_model(spark, sf_dir, keep=tpch.CASE_KEY), tpch.CASE_KEY)
+
+
+@register
+def score_inputs(spark, sf_dir):
+    """What the scoring of every case reads: its codes by the dictionary of a
+    model encoded on the training cases only, and the unseen flag."""
+    m = materialize(ft.stratified_split(cases_model(spark, sf_dir, keep=tpch.CASE_KEY), TARGET, tpch.CASE_KEY,
+                                        test_size=0.25, seed=42))
+    dictionary = ft.label_dictionary(m.filter(~F.col("is_test")), cs.CATEGORICAL)
+    art = md.Artefact(None, [*cs.CATEGORICAL, "antiguedad"], "rf", TARGET, dictionary)
+    coded = md.code_cases(art, m, tpch.CASE_KEY)
+    return coded.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *art.feats, "is_unseen")
 
 
 @register

@@ -135,13 +135,14 @@ def _grid_ctes() -> str:
     for col_from in (1, 16):
         for i, n in enumerate(_BOARD_NAMES):
             head.append(f"SELECT 2, {col_from + i}, '{n}'")
-            head.append(f"SELECT (SELECT COUNT(*) FROM grid_rows WHERE fuente = 'GENERAL') + 3, {col_from + i}, '{n}'")
+            head.append(f"SELECT n + 3, {col_from + i}, '{n}' FROM general_rows")
     return f"""
-, grid_rows AS (
+, grid_rows AS MATERIALIZED (
   SELECT *, CAST(row_number() OVER (PARTITION BY fuente ORDER BY Estacion, Poblacion, CAST(Mes AS INTEGER)) + 2
                  AS INTEGER) AS row_no
   FROM exposure_rated),
-grid AS (
+general_rows AS MATERIALIZED (SELECT COUNT(*) AS n FROM grid_rows WHERE fuente = 'GENERAL'),
+grid AS MATERIALIZED (
   SELECT 'board' AS source, 'Data' AS sheet, CAST(row_no AS INTEGER) AS row_no, CAST(col_no AS INTEGER) AS col_no, value
   FROM ({' UNION ALL '.join(data_cells + head)}) WHERE value IS NOT NULL),
 header AS (SELECT col_no, value AS name FROM grid WHERE row_no = 2),
@@ -295,6 +296,29 @@ SELECT 'train' AS split, label, train AS n FROM alloc
 UNION ALL SELECT 'test', label, CAST(c - train AS BIGINT) FROM alloc
 """)
 
+_SPLIT = _ALLOC + """
+, drawn AS (SELECT *, row_number() OVER (PARTITION BY con_incapacidad ORDER BY
+              CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, '42')), 1, 15)
+                   AS BIGINT), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS nth FROM cases_model),
+member AS (SELECT d.*, d.nth <= a.c - a.train AS is_test FROM drawn d JOIN alloc a ON d.con_incapacidad = a.label)
+"""
+
+ORACLES["split_membership"] = with_cases(_SPLIT + """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, is_test FROM member
+""")
+
+ORACLES["score_inputs"] = with_cases(_SPLIT + ", dict AS (SELECT columna, valor, CAST(row_number() OVER (PARTITION BY "
+                                     "columna ORDER BY valor) - 1 AS INTEGER) AS codigo FROM (" + " UNION ".join(
+    f"SELECT DISTINCT '{c}' AS columna, {c} AS valor FROM member WHERE NOT is_test" for c in CATEGORICAL) + f"""))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       {', '.join(f'CAST(coalesce(d{i}.codigo, 0) AS DOUBLE) AS {c}' for i, c in enumerate(CATEGORICAL))},
+       CAST(coalesce(m.antiguedad, 0) AS DOUBLE) AS antiguedad,
+       ({' OR '.join(f'd{i}.codigo IS NULL' for i in range(len(CATEGORICAL)))}) AS is_unseen
+FROM member m
+{' '.join(f"LEFT JOIN (SELECT valor, codigo FROM dict WHERE columna = '{c}') d{i} ON m.{c} = d{i}.valor"
+          for i, c in enumerate(CATEGORICAL))}
+""")
+
 ORACLES["class_weights"] = with_cases(_ALLOC + """
 SELECT label, train AS n, CAST(SUM(train) OVER () AS DOUBLE) / (CAST(COUNT(*) OVER () AS DOUBLE) * CAST(train AS DOUBLE))
        AS weight FROM alloc

@@ -47,11 +47,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster names a shared (HDFS/object-store) folder in that setting and it
-    is used as is.  Only when it is unset — local tests — a scratch folder is
-    created and registered, so reliable ``checkpoint()`` works everywhere.
+    is used as is.  Only when it is unset and the master is ``local`` — tests —
+    a scratch folder is created and registered; on a cluster a folder of the
+    driver's machine would lose data late, so an unset folder is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {master}")
         path = tempfile.mkdtemp(prefix="vigia-ckpt-", dir=os.environ.get("VIGIA_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
