@@ -202,9 +202,7 @@ def filter_cases(plain: DataFrame, clasificacion: list[str] | None = None,
 
 def filter_options(plain: DataFrame, cols=("Clasificacion del accidente", "Tipo de accidente")) -> DataFrame:
     """Distinct non-null values of the filter columns, long form."""
-    parts = [plain.select(F.lit(c).alias("columna"), F.col(f"`{c}`").cast("string").alias("valor"))
-             for c in cols if c in plain.columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    pairs = F.array(*[F.struct(F.lit(c).alias("columna"), F.col(f"`{c}`").cast("string").alias("valor"))
+                      for c in cols if c in plain.columns])
+    out = plain.select(F.explode(pairs).alias("s")).select("s.columna", "s.valor")    # one pass for all columns
     return out.filter(F.col("valor").isNotNull()).distinct()

@@ -86,11 +86,14 @@ def rate_agil_by_station(spark, sf_dir):
 
 # --- indicator sheet -------------------------------------------------------
 
-def indicator_tables(spark, sf_dir):
+def indicator_tables(spark, sf_dir, shared: bool = False):
     """(total, indicator) station x month IF tables of block GENERAL, built
     from all exposure rows (accident-free months give IF 0) and cleaned like
-    the indicator sheet."""
+    the indicator sheet.  With ``shared`` both read one copy of the aggregated
+    exposure, for callers that use both."""
     raw = tpch.exposure_raw(spark, sf_dir).filter(F.col("fuente") == F.lit("GENERAL"))
+    if shared:
+        raw = materialize(raw.select("Estacion", "Mes", "N_AT", "N_AT_IND", "HHT"))
     total = ind.clean_indicator(ind.wide_from_exposure(raw, "N_AT", with_ytd=True))
     indicator = ind.clean_indicator(ind.wide_from_exposure(raw, "N_AT_IND", with_ytd=False))
     return total, indicator
@@ -110,7 +113,7 @@ def indicator_ytd(spark, sf_dir):
 
 @register
 def indicator_total_vs_ind(spark, sf_dir):
-    total, indicator = indicator_tables(spark, sf_dir)
+    total, indicator = indicator_tables(spark, sf_dir, shared=True)
     return ind.total_vs_indicator(total, indicator)
 
 

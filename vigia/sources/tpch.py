@@ -17,7 +17,7 @@ pruning).  The exposure proxy aggregates lineitem per order *before* joining,
 so the biggest shuffle carries one partial row per order instead of per line,
 and the aggregate's hash partitioning on the order key is reused by the
 sort-merge join with orders (no second shuffle of that side).  Dimension
-tables are broadcast only behind a row-count proof (``bounded_broadcast``).
+tables are broadcast by Spark from their sizes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigia.functions import rates
-from vigia.session import attach_row, bounded_broadcast, materialize, spread
+from vigia.session import attach_row, materialize, spread
 
 # Fixed values of the proxy definition.
 ACCIDENT_FLAG = "R"          # l_returnflag of an accident
@@ -38,9 +38,6 @@ STATUS_CLASS = {"F": "Leves", "O": "Severos", "P": "Graves"}
 SENIORITY_UNKNOWN_MOD = 7    # p_size % 7 == 0 -> "Sin información"
 MONTH_NAMES = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 
-# Small dimensions: broadcast only while they provably stay this small.
-DIM_BROADCAST_ROWS = 100_000
-
 # Unique key of a case row (the order key and line number alone are not unique).
 CASE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 
@@ -60,13 +57,11 @@ def lost_days(quantity_col: str = "l_quantity"):
 
 
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nation x region (25 rows in the spec), broadcast behind one size check
-    of the joined table (region only ever meets the data through it, so it
-    needs no probe of its own)."""
+    """nation x region (25 rows in the spec).  No hint and no probe: Spark
+    broadcasts it from the files' sizes, or from runtime sizes."""
     nation = table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    geo = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
-    return bounded_broadcast(geo, DIM_BROADCAST_ROWS)
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
 
 
 def exposure_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
