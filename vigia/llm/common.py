@@ -6,13 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in chunks of about this many bytes, whatever the Arrow batch size, so that a worker's
 #: memory does not depend on the length of the texts (one text is never cut: a longer one is a chunk of its own).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -30,22 +29,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> _S29)) * _MUL ^ (h >> _S32)
 
 
-#: Words kept in a task's dictionary of word hashes.
-SEEN_WORDS = 1_000_000
+_BASE = _MUL
+_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: A random 64-bit number for each byte.
+BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Byte tables for words: as they are, and with A-Z in lower case.
+AS_IS = bytes(range(256))
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def hash_words(words: list[bytes], seen: dict) -> np.ndarray:
-    """64-bit hashes of ``words``.  ``seen`` saves hashing words again; it is emptied when it is full, and the hash of
-    a word does not depend on it."""
-    if len(seen) > SEEN_WORDS:
-        seen.clear()
-    try:
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in words:
-            if w not in seen:
-                seen[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+def powers(n: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0..n of the hash base and of its inverse, kept in ``cache`` for the next chunk."""
+    if len(cache.get("power", ())) <= n:
+        one = np.ones(1, np.uint64)
+        for name, x in (("power", _BASE), ("inverse", _INV)):
+            cache[name] = np.concatenate([one, np.cumprod(np.full(n + n // 4 + 1, x))])
+    return cache["power"], cache["inverse"]
+
+
+def span_hashes(codes: np.ndarray, cache: dict):
+    """A function (lo, hi) -> hash of the codes in [lo, hi), for arrays of bounds: a polynomial hash from running sums
+    (equal stretches have equal hashes wherever they stand; mix before use)."""
+    power, inverse = powers(len(codes), cache)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power[:len(codes)])])
+    return lambda lo, hi: (total[hi] - total[lo]) * inverse[lo]
+
+
+def split_words(texts: list[bytes | None], cache: dict, letters: bytes = AS_IS) -> tuple[np.ndarray, ...]:
+    """Words (runs of anything but ASCII white space, after ``letters``) of all texts, end to end: 64-bit hash, first
+    and last + 1 byte within the text, and the number of the first word of each text and of the end."""
+    size = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
+    start = np.cumsum(size + 1) - size - 1
+    raw = np.frombuffer(b" ".join(t or b"" for t in texts).translate(letters) + b" ", np.uint8)
+    solid = np.concatenate([[False], ~((raw == 32) | ((raw >= 9) & (raw <= 13)))])
+    begin = np.flatnonzero(solid[1:] & ~solid[:-1])
+    end = np.flatnonzero(solid[:-1] & ~solid[1:])  # the last byte is a space
+    h = mix(span_hashes(BYTE_CODES[raw], cache)(begin, end) + (end - begin).astype(np.uint64))
+    first = np.append(np.searchsorted(begin, start), len(begin))
+    base = np.repeat(start, np.diff(first))
+    return h, begin - base, end - base, first
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
@@ -59,14 +81,18 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(g + np.uint64(n))
 
 
-def shingles(text: bytes | None, n: int, seen: dict) -> np.ndarray:
-    """Sorted distinct hashes of the ``n``-word shingles of ``text`` with A-Z in lower case; with fewer words the
-    whole sequence is one shingle, without words there is none."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hash_words(words, seen)
-    return np.unique(ngrams(h, n if len(h) >= n else len(h)))
+def shingle_sets(texts: list[bytes | None], n: int, cache: dict) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its ``n``-word shingles, with A-Z in lower case; with fewer words
+    the whole sequence is one shingle, without words there is none."""
+    h, _, _, first = split_words(texts, cache, LOWER)
+    g = ngrams(h, n)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if b - a >= n:
+            out.append(np.unique(g[a:b - n + 1]))
+        else:
+            out.append(ngrams(h[a:b], b - a) if b > a else h[:0])
+    return out
 
 
 def chunks(frames: Iterator[pd.DataFrame], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pd.DataFrame]:

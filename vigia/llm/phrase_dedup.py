@@ -16,36 +16,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import hash_words, map_chunks
+from vigia.llm.common import map_chunks, split_words
 from vigia.llm.repeats import Units, covered, keyed, repeated_spans, with_spans
 
-WINDOW, ANCHOR = 13, 2
+WINDOW, ANCHOR = 13, 3
 
 
-def word_units() -> callable:
-    """Words as units; the anchor order puts long words first, which recur by chance less often than short ones."""
-    seen: dict = {}
-
-    def units(texts: list[bytes]) -> Units:
-        words, first, begin = [], [0], []
-        for t in texts:
-            w = t.split()
-            words += w
-            first.append(len(words))
-            begin.append(word_starts(t))
-        h = hash_words(words, seen)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        begin = np.concatenate(begin) if begin else np.empty(0, np.int64)
-        pair = np.minimum(size + np.append(size[1:], 0), 255)
-        return Units(h, (255 - pair).astype(np.uint8), np.array(first, np.int64), begin, begin + size)
-    return units
-
-
-def word_starts(text: bytes) -> np.ndarray:
-    """Byte at which each word of ``text`` begins."""
-    raw = np.frombuffer(text, np.uint8)
-    solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    return np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]])) if len(raw) else np.empty(0, np.int64)
+def word_units(texts: list[bytes], cache: dict) -> Units:
+    """Words as units; the anchor order puts k-grams that begin with a long word first, which recur by chance less
+    often than others."""
+    h, begin, end, first = split_words(texts, cache)
+    return Units(h, (255 - np.minimum(end - begin, 255)).astype(np.uint8), first, begin, end)
 
 
 def resolve_phrases(pdf: pd.DataFrame, window: int = WINDOW) -> list:
@@ -105,8 +86,7 @@ def repeated_phrases(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     have no spans.  A null id is neither smaller nor larger: such rows keep everything and repeat nothing.  Repeated
     rows have one id, so neither removes the other; an empty table gives no rows; other columns are not read."""
     rows = keyed(docs, doc_id, text)
-    shared = word_units()
-    spans = repeated_spans(rows, shared, window, anchor, lambda pdf: resolve_phrases(pdf, window), earlier_only=True)
+    spans = repeated_spans(rows, word_units, window, anchor, lambda pdf: resolve_phrases(pdf, window), earlier_only=True)
     return with_spans(rows, spans, ["key", "id", "text"])
 
 

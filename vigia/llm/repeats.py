@@ -3,7 +3,7 @@
 A window is W consecutive units (bytes or words) of one document.  To find windows that occur in more than one place
 without shuffling every window, each window names one anchor: its k-gram that comes first in an order that depends on
 the k-gram alone (a minimizer).  Equal windows name the same anchor at the same place, so only anchors that occur
-twice can lie in repeated windows.  An anchor's context is everything that a window around it can reach.
+twice can lie in repeated windows.  An anchor's context is the stretch of the windows that name it.
 
 1. Anchors are counted (one row of two numbers per anchor goes through the shuffle, summed on the way).
 2. Occurrences of the anchors that recur are kept, with the hash of their context.  Occurrences with an equal context
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import CHUNK_BYTES, map_chunks, mix
+from vigia.llm.common import CHUNK_BYTES, map_chunks, mix, span_hashes
 from vigia.llm.scratch import save, vector_sum
 
 #: Cells of the bit filter on documents (a power of two).
@@ -32,8 +32,6 @@ FILTER_CELLS = 1 << 23
 GROUP_BYTES = 3 << 19
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -49,28 +47,19 @@ class Units:
     end: np.ndarray
 
 
-def _powers(n: int, cache: list) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and _INV ** i for i = 0..n, kept for the next chunk."""
-    if not cache or len(cache[0]) <= n:
-        one = np.ones(1, _U)
-        cache[:] = [np.concatenate([one, np.cumprod(np.full(n + n // 4 + 1, x))]) for x in (_BASE, _INV)]
-    return cache[0], cache[1]
-
-
 #: Bits of the place in a sort key; longer chunks are searched in slices.
 _PLACE_BITS = 21
 
 
-def find_anchors(u: Units, window: int, k: int, cache: list) -> dict[str, np.ndarray]:
-    """Anchors of all windows: doc (number in the chunk), f (hash of the k-gram), c (hash of the context), lo and hi
-    (units of the context in the document), b_lo and b_hi (its bytes)."""
+def find_anchors(u: Units, window: int, k: int, cache: dict) -> dict[str, np.ndarray]:
+    """Anchors of all windows: doc (number in the chunk), f (hash of the k-gram), c (hash of the context and of the
+    anchor's place in it), lo and hi (units of the context in the document), b_lo and b_hi (its bytes)."""
     n = len(u.hashes)
     if n < window:
         return {x: np.empty(0, np.int64) for x in ("doc", "f", "c", "lo", "hi", "b_lo", "b_hi")}
-    power, inverse = _powers(n, cache)
-    prefix = np.concatenate([np.zeros(1, _U), np.cumsum(u.hashes * power[:n])])
     m = n - k + 1
-    gram = mix((prefix[k:] - prefix[:m]) * inverse[:m])
+    span = span_hashes(u.hashes, cache)
+    gram = mix(span(slice(0, m), slice(k, n + 1)))
     # the order of a k-gram: its rank, then a hash; k-grams across two documents come last
     order = (u.rank[:m].astype(_U) << _U(56)) | (mix(gram) >> _U(8)) & ~_U((1 << _PLACE_BITS) - 1)
     for j in range(1, k):
@@ -82,7 +71,7 @@ def find_anchors(u: Units, window: int, k: int, cache: list) -> dict[str, np.nda
     np.add.at(edge, u.first[long], 1)
     np.add.at(edge, u.first[long + 1] - window + 1, -1)
     fits = np.cumsum(edge[:n]) > 0
-    width, size, found = window - k + 1, 1 << _PLACE_BITS, []
+    width, size, found, begun = window - k + 1, 1 << _PLACE_BITS, [], []
     for a in range(0, max(1, m - width + 1), size - width + 1):
         low = order[a:a + size]
         low = low | np.arange(len(low), dtype=_U)  # the first of equal k-grams wins
@@ -92,34 +81,44 @@ def find_anchors(u: Units, window: int, k: int, cache: list) -> dict[str, np.nda
             step *= 2
         if width > step:
             low = np.minimum(low[:len(low) - (width - step)], low[width - step:])
-        places = (low & _U((1 << _PLACE_BITS) - 1)).astype(np.int64)[fits[a:a + len(low)]] + a
-        found.append(places)
-    where = np.unique(np.concatenate(found))
+        starts = np.flatnonzero(fits[a:a + len(low)])
+        found.append((low[starts] & _U((1 << _PLACE_BITS) - 1)).astype(np.int64) + a)
+        begun.append(starts + a)
+    # the windows that name one place start one after the other
+    places, starts = np.concatenate(found), np.concatenate(begun)
+    new = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])) if len(places) else np.empty(0, np.int64)
+    where, lo = places[new], starts[new]
+    hi = starts[np.append(new[1:], len(places)) - 1] + window if len(new) else lo
     d = np.searchsorted(u.first, where, side="right") - 1
     base = u.first[d]
-    lo = np.maximum(where - (window - k), base)
-    hi = np.minimum(where + window, u.first[d + 1])
-    c = mix((prefix[hi] - prefix[lo]) * inverse[lo] + ((where - lo).astype(_U) << _U(32)) + (hi - lo).astype(_U))
+    c = mix(span(lo, hi) + ((where - lo).astype(_U) << _U(32)) + (hi - lo).astype(_U))
     return {"doc": d, "f": gram[where].view(np.int64), "c": c.view(np.int64), "lo": lo - base, "hi": hi - base,
             "b_lo": u.begin[lo], "b_hi": u.end[hi - 1]}
 
 
-def _rows_of(docs: DataFrame, units: Callable[[list], Units], window: int, k: int, full: bool) -> DataFrame:
+def _rows_of(docs: DataFrame, units: Callable[[list, dict], Units], window: int, k: int, full: bool) -> DataFrame:
+    """Anchors as rows: f and id, and with ``full`` also c, key, and the context's bounds in units and in bytes (two
+    numbers below 2**31 in one long each, to keep the shuffle narrow)."""
     def make():
-        cache: list = []
+        cache: dict = {}
 
         def read(pdf):
-            a = find_anchors(units(list(pdf["text"])), window, k, cache)
+            a = find_anchors(units(list(pdf["text"]), cache), window, k, cache)
             ids = pdf["id"].to_numpy()[a["doc"]]
             if not full:
                 return pd.DataFrame({"f": a["f"], "id": ids})
             return pd.DataFrame({"f": a["f"], "id": ids, "c": a["c"], "key": pdf["key"].to_numpy()[a["doc"]],
-                                 **{x: a[x].astype(np.int32) for x in ("lo", "hi", "b_lo", "b_hi")}})
+                                 "u": (a["lo"] << 32) | a["hi"], "b": (a["b_lo"] << 32) | a["b_hi"]})
         return read
-    schema = "f long, id long" + (", c long, key long, lo int, hi int, b_lo int, b_hi int" if full else "")
+    schema = "f long, id long" + (", c long, key long, u long, b long" if full else "")
     return map_chunks(docs, schema, make, limit=CHUNK_BYTES // 2)
 
 
+def _pair(column: str, lo: str, hi: str) -> list[Column]:
+    """The two numbers of a packed pair."""
+    return [F.shiftright(column, 32).cast("int").alias(lo), F.col(column).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias(hi)]
+
+
 def id_filter(ids: DataFrame, column: str = "key") -> np.ndarray:
     """Bits of a filter of fixed size over the long values of ``column``."""
     return np.packbits(vector_sum(ids.select(column), FILTER_CELLS, lambda: lambda pdf: _cells(pdf[column].to_numpy())) > 0)
@@ -129,8 +128,8 @@ def _cells(values: np.ndarray) -> np.ndarray:
     return (mix(values.astype(np.int64).view(_U)) >> _U(64 - (FILTER_CELLS.bit_length() - 1))).astype(np.int64)
 
 
-def maybe_in(bits: np.ndarray, column: str, spark) -> Column:
-    """Whether a long may be among the values of the filter; values that are always pass."""
+def maybe_in(bits: np.ndarray, column: str | Column, spark) -> Column:
+    """Whether a long may be among the values of the filter; values that are among them always pass."""
     shared = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
@@ -140,15 +139,17 @@ def maybe_in(bits: np.ndarray, column: str, spark) -> Column:
     return test(column)
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def keyed(docs: DataFrame, doc_id: str, text: str, carry: bool = False) -> DataFrame:
     """(key, id, text) with the text as bytes (null: empty).  ``key`` hashes id and text, so that rows which are equal
-    in both share their spans, and rows which only share an id do not."""
+    in both share their spans, and rows which only share an id do not.  With ``carry`` all columns of ``docs`` come
+    along in the struct ``doc``."""
     body = F.coalesce(F.col(text), F.lit(""))
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
     return docs.select(F.xxhash64(F.col(doc_id), body).alias("key"), F.col(doc_id).cast("long").alias("id"),
-                       body.cast("binary").alias("text"))
+                       body.cast("binary").alias("text"), *whole)
 
 
-def repeated_spans(docs: DataFrame, units: Callable[[list], Units], window: int, k: int,
+def repeated_spans(docs: DataFrame, units: Callable[[list, dict], Units], window: int, k: int,
                    resolve: Callable[[pd.DataFrame], list], earlier_only: bool) -> DataFrame:
     """(key, spans): for each key the units covered by repeated windows, as a list of structs (lo, hi).
 
@@ -166,10 +167,13 @@ def repeated_spans(docs: DataFrame, units: Callable[[list], Units], window: int,
     found = _rows_of(docs, units, window, k, full=True)
     found = save(found.join(recur.select("f"), "f"), "anchors")
     classes = found.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n"),
-                                          F.min(F.struct("id", "key", "lo", "hi", "b_lo", "b_hi")).alias("x"))
-    classes = save(classes.select("f", "c", "n", "x.*"), "classes")
-    mixed = classes.groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("b_hi") - F.col("b_lo")).alias("bytes"))
-    mixed = mixed.filter("k > 1")
+                                          F.min(F.struct("id", "key", "u", "b")).alias("x"))
+    classes = save(classes.select("f", "c", "n", "x.id", "x.key", *_pair("x.u", "lo", "hi"), *_pair("x.b", "b_lo", "b_hi")),
+                   "classes")
+    # with several contexts, unless each is repeated as a whole anyway
+    mixed = classes.groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"),
+                                     F.sum(F.col("b_hi") - F.col("b_lo")).alias("bytes"))
+    mixed = mixed.filter("k > 1" if earlier_only else "k > 1 and least = 1")
     open_classes = classes.join(mixed.select("f"), "f")
     total = mixed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     groups = max(1, int(total // GROUP_BYTES))
@@ -192,10 +196,11 @@ def repeated_spans(docs: DataFrame, units: Callable[[list], Units], window: int,
     # a whole class is repeated: all its members, or all but those of the smallest id
     whole = (F.col("id") > F.col("first_id")) if earlier_only else (F.col("n") > 1)
     span = F.when(whole, F.array(F.array(F.lit(0), F.col("hi") - F.col("lo")))).otherwise(F.col("spans"))
-    spans = found.join(own.filter("n > 1 or spans is not null"), ["f", "c"]).select("key", F.transform(
+    members = found.select("f", "c", "id", "key", *_pair("u", "lo", "hi"))
+    spans = members.join(own.filter("n > 1 or spans is not null"), ["f", "c"]).select("key", F.transform(
         span, lambda s: F.struct((s[0] + F.col("lo")).alias("lo"), (s[1] + F.col("lo")).alias("hi"))).alias("s"))
-    # equal rows give equal spans; a document's spans are merged before they leave
-    return spans.filter(F.size("s") > 0).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
+    # equal rows give equal spans, which count once
+    return spans.filter(F.size("s") > 0).groupBy("key").agg(F.flatten(F.collect_set("s")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import map_chunks, mix
+from vigia.llm.common import BYTE_CODES, map_chunks, mix
 from vigia.llm.repeats import Units, covered, keyed, repeated_spans, with_spans
 
 WINDOW, ANCHOR = 200, 32
@@ -24,49 +24,52 @@ WINDOW, ANCHOR = 200, 32
 SHARD_SYMBOLS = (1 << 21) - (1 << 18)
 
 _U = np.uint64
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
-def byte_units(texts: list[bytes]) -> Units:
+def byte_units(texts: list[bytes], cache: dict) -> Units:
     size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     first = np.concatenate([[0], np.cumsum(size)])
     raw = np.frombuffer(b"".join(texts), np.uint8)
     at = np.arange(len(raw)) - np.repeat(first[:-1], size)
-    return Units(_TABLE[raw], np.zeros(len(raw), np.uint8), first, at, at + 1)
+    return Units(BYTE_CODES[raw], np.zeros(len(raw), np.uint8), first, at, at + 1)
+
+
+#: Bits of a position, of a symbol, and of a rank in a sort key.
+_BITS, _SYMBOL_BITS = 21, 14
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks.  Symbols are integers; ends of stretches carry distinct symbols, so that no two
-    suffixes are equal.  At most 2**21 - 1 symbols."""
+    """Suffix array and ranks.  Symbols are integers below 2**14; ends of stretches carry distinct symbols, so that no
+    two suffixes are equal.  At most 2**21 - 1 symbols.
+
+    A rank is the place at which a suffix's group of equal prefixes begins.  Each round doubles the prefix: a group is
+    sorted by the ranks that its suffixes have one prefix further on, and suffixes alone in their group are done."""
     n = len(symbols)
-    if n == 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     index = np.arange(n, dtype=np.int64)
-    order = np.sort((symbols.astype(np.int64) << 21) | index)
-    sa = order & ((1 << 21) - 1)
-    value = order >> 21
-    fresh = np.concatenate([[True], value[1:] != value[:-1]])
-    # a rank is the place at which its group of equal prefixes begins
-    start = np.maximum.accumulate(np.where(fresh, index, 0))
-    rank = np.empty(n, np.int64)
-    rank[sa] = start
-    h = 1
+    if n == 0:
+        return index, index
+    mask = (1 << _BITS) - 1
+    two = np.concatenate([symbols[1:], [0]]).astype(np.int64) + 1
+    key = np.sort((((symbols.astype(np.int64) + 1) << _SYMBOL_BITS | two) << _BITS) | index)
+    h, group = 2, np.zeros(n, np.int64)
+    rank, todo = np.empty(n, np.int64), np.ones(n, bool)
     while True:
-        alone = fresh & np.append(fresh[1:], True)
-        open_places = np.flatnonzero(~alone)  # places in the array whose groups are not settled
-        if not len(open_places):
-            return sa, rank
-        who = sa[open_places]
-        ahead = who + h
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        key = np.sort((start[open_places] << 42) | (second << 21) | who)
-        who = key & ((1 << 21) - 1)
-        sa[open_places] = who
-        pair = key >> 21
+        who, pair = key & mask, key >> _BITS
+        place = index[:len(who)]
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
-        fresh[open_places] = new
-        start = np.maximum.accumulate(np.where(fresh, index, 0))
-        rank[who] = start[open_places]
+        border = np.concatenate([[True], group[1:] != group[:-1]])
+        run = np.maximum.accumulate(np.where(new, place, 0))
+        run -= np.maximum.accumulate(np.where(border, place, 0))
+        rank[who] = group + run
+        todo[who[new & np.append(new[1:], True)]] = False
+        left = np.flatnonzero(todo)
+        if not len(left):
+            sa = np.empty(n, np.int64)
+            sa[rank] = index
+            return sa, rank
+        ahead = np.concatenate([rank[h:] + 1, np.zeros(min(h, n), np.int64)])[:n]
+        key = np.sort((rank[left] << 2 * _BITS) | (ahead[left] << _BITS) | left)
+        group = key >> 2 * _BITS
         h *= 2
 
 
@@ -110,7 +113,7 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, rank: np.ndarray, begin: np
 
 def _window_hashes(raw: np.ndarray, window: int) -> np.ndarray:
     """Hash of the ``window`` bytes from each position."""
-    h, width, out, done = _TABLE[raw], 1, None, 0
+    h, width, out, done = BYTE_CODES[raw], 1, None, 0
     parts = []
     while width <= window:
         if window & width:
@@ -198,16 +201,42 @@ def resolve_bytes(pdf: pd.DataFrame, window: int = WINDOW, limit: int = SHARD_SY
 
 
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, doc_id: str = "doc_id",
-                   text: str = "text") -> DataFrame:
+                   text: str = "text", carry: bool = False) -> DataFrame:
     """Every row of ``docs`` (key, id, text as bytes) with ``spans``: the bytes covered by a ``window``-byte string
-    that also starts anywhere else, in this document or another.
+    that also starts anywhere else, in this document or another.  With ``carry`` the struct ``doc`` holds the whole row.
 
     Null and empty texts, and texts shorter than ``window``, have no spans.  Repeated rows are separate documents, so
     all of a repeated row of ``window`` bytes or more is covered; null ids are ids like others; an empty table gives
     no rows; other columns are not read."""
     rows = keyed(docs, doc_id, text)
     spans = repeated_spans(rows, byte_units, window, anchor, lambda pdf: resolve_bytes(pdf, window), earlier_only=False)
-    return with_spans(rows, spans, ["key", "id", "text"])
+    return with_spans(keyed(docs, doc_id, text, carry), spans, ["key", "id", "text", *(["doc"] if carry else [])])
+
+
+def _remaining():
+    @F.pandas_udf("string")
+    def remaining(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, s in zip(text, spans):
+            gone = covered(s, len(t))
+            # a character that loses some of its bytes goes whole
+            out.append(np.frombuffer(t, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+    return remaining
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, doc_id: str = "doc_id",
+                    text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The rows of ``docs``, with all their columns, less the repeated bytes (see :func:`repeated_bytes`).  Where bytes
+    go, ``n_chars`` (if there is such a column) is counted again; rows of which nothing is left but white space go,
+    rows that lose nothing stay as they are."""
+    rows = repeated_bytes(docs, window, anchor, doc_id, text, carry=True)
+    same = rows.filter("spans is null").select("doc.*")
+    less = rows.filter("spans is not null").select("doc", _remaining()("text", "spans").alias("left")).filter(
+        F.regexp_replace("left", r"\s+", "") != "")
+    fixed = {text: F.col("left"), n_chars: F.char_length("left").cast("long")}
+    return same.unionByName(less.select(*[fixed[c].alias(c) if c in fixed else F.col(f"doc.`{c}`").alias(c)
+                                          for c in docs.columns]))
 
 
 def cut(rows: DataFrame) -> DataFrame:
