@@ -9,12 +9,12 @@ fall as more shared tokens are required.  Two documents with different l are hel
 Steps
 1. Sets that are equal are one class from the start, so exact copies are never compared.
 2. Frequencies come from a count sketch of a fixed size over all documents (it orders tokens; it decides no link).
-3. Leader round: each class is verified against the one class it shares most leading tokens with, where a token's
-   leader is the class with the most frequent tokens, which is the centre of a group of near copies.  Verified links
-   give components.
-4. Remaining candidates are pairs in different components that share enough prefix tokens; all of them are verified.
-   Pairs inside a component need not be: their links cannot change it.  So a group of k near copies costs about k
-   verifications, not k * k.
+3. Leader rounds: each class is verified against the one class it shares most leading tokens with, if they are
+   enough, where a token's leader is the class with the most frequent tokens, which is the centre of a group of near
+   copies.  Verified links give components.
+4. Remaining candidates are pairs in different components that share enough prefix tokens; all that were not compared
+   yet are verified.  Pairs inside a component need not be: their links cannot change it.  So a group of k near copies
+   costs about k verifications, not k * k.
 5. Components of all verified links.
 
 Verification compares whole sets exactly and is dealt out by leader, split into parts of bounded size.
@@ -25,14 +25,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import CHUNK_BYTES, map_chunks, shingles
+from vigia.llm.common import CHUNK_BYTES, map_chunks, shingle_sets
+from vigia.llm.repeats import id_filter, maybe_in
 from vigia.llm.scratch import components, save, vector_sum
 
-#: Cells of the frequency sketch and of the filter on candidate classes (powers of two).
-SKETCH_CELLS, FILTER_CELLS = 1 << 20, 1 << 23
+#: Cells of the frequency sketch (a power of two).
+SKETCH_CELLS = 1 << 20
 #: Largest l, and the cost of verifying a candidate in units of reading a posting.
 MAX_MATCHES, VERIFY_COST = 6, 30.0
 #: Members of one leader that are verified in one group.
@@ -76,10 +77,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _classes(rows: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, cls) of every row."""
     def make():
-        seen: dict = {}
+        cache: dict = {}
 
         def read(pdf):
-            sets = [shingles(t, n, seen) for t in pdf["text"]]
+            sets = shingle_sets(list(pdf["text"]), n, cache)
             return pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets],
                                  "cls": [_class_of(s) if len(s) else 0 for s in sets]})
         return read
@@ -88,10 +89,10 @@ def _classes(rows: DataFrame, n: int) -> DataFrame:
 
 def _sketch(rows: DataFrame, n: int) -> np.ndarray:
     def make():
-        seen: dict = {}
+        cache: dict = {}
 
         def read(pdf):
-            parts = [shingles(t, n, seen) for t in pdf["text"]]
+            parts = shingle_sets(list(pdf["text"]), n, cache)
             return (np.concatenate(parts) >> _U(64 - (SKETCH_CELLS.bit_length() - 1))).astype(np.int64)
         return read
     return vector_sum(rows, SKETCH_CELLS, make, "text", CHUNK_BYTES)
@@ -105,13 +106,12 @@ def _postings(rows: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Data
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def make():
-        seen: dict = {}
+        cache: dict = {}
         est = shared.value
 
         def read(pdf):
             out = []
-            for t in pdf["text"]:
-                s = shingles(t, n, seen)
+            for s in shingle_sets(list(pdf["text"]), n, cache):
                 if not len(s):
                     continue
                 f = est[(s >> shift).astype(np.int64)]
@@ -132,53 +132,28 @@ def _postings(rows: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Data
     return map_chunks(rows, "token long, cls long, size int, matches short, pos int, centre float", make)
 
 
-def _texts_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, text): the text of one document of each class in ``wanted`` (cls).
+def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold, by comparing the whole sets.
 
-    A bit filter of fixed size over the wanted ids drops most other texts before the join, so the shuffle carries
-    little more than the texts asked for; a false hit of the filter is dropped by the join."""
-    ids = save(classes.join(wanted.distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "wanted")
-
-    def cells(doc_id: pd.Series) -> np.ndarray:
-        return np.fromiter((xxhash.xxh3_64_intdigest(str(x)) & (FILTER_CELLS - 1) for x in doc_id), np.int64, len(doc_id))
-
-    bits = np.packbits(vector_sum(ids.select(F.col("doc_id").cast("string").alias("doc_id")), FILTER_CELLS,
-                                  lambda: lambda pdf: cells(pdf["doc_id"])) > 0)
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def maybe(doc_id: pd.Series) -> pd.Series:
-        c = cells(doc_id)
-        return pd.Series((shared.value[c >> 3] >> (7 - (c & 7)) & 1).astype(bool))
-
-    texts = rows.filter(maybe("doc_id")).join(ids.select(F.col("doc_id").cast("string").alias("doc_id"), "cls"), "doc_id")
-    return texts.select("cls", "text")
-
-
-def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold, by comparing the whole sets."""
+    ``reps`` (cls, doc_id) names one document of each class.  The members of a leader b are cut into groups of about
+    ``GROUP_MEMBERS``, and the leader's text goes to each.  A bit filter of fixed size over the wanted ids drops most
+    other documents before the shuffle; a false hit of the filter is dropped by the join."""
     members = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k"))
     dealt = pairs.join(members, "b").select(
         "a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / GROUP_MEMBERS)).cast("int").alias("part"))
     ask = dealt.select("b", "part", F.col("a").alias("cls")).unionByName(
         dealt.select("b", "part", F.col("b").alias("cls")).distinct())
-    # a member's text is wanted once for each leader it is compared with
-    got = ask.join(texts, "cls")
+    wanted = save(ask.join(reps, "cls").select("b", "part", "cls", F.col("doc_id").cast("string").alias("doc_id")), "wanted")
+    maybe = maybe_in(id_filter(wanted.select(F.xxhash64("doc_id").alias("key"))), F.xxhash64("doc_id"), rows.sparkSession)
+    got = rows.filter(maybe).join(wanted, "doc_id").select("b", "part", "cls", "text")
 
     def compare(key, pdf):
-        seen: dict = {}
         b = int(key[0])
-        own, out = None, []
-        for t in pdf.loc[pdf["cls"] == b, "text"]:
-            s = shingles(t, n, seen)
-            if _class_of(s) == b:  # rows that repeat an id with another text are not of the class
-                own = s
-        for c, t in zip(pdf["cls"], pdf["text"]):
-            if c == b or own is None:
-                continue
-            s = shingles(t, n, seen)
-            if _class_of(s) != c:
-                continue
+        sets = shingle_sets(list(pdf["text"]), n, {})
+        # rows that repeat an id with another text are not of the class
+        sets = {c: s for c, s in zip(pdf["cls"].tolist(), sets) if _class_of(s) == c}
+        own, out = sets.pop(b, None), []
+        for c, s in sets.items() if own is not None else ():
             small, large = (s, own) if len(s) <= len(own) else (own, s)
             if 100 * len(small) < percent * len(large):
                 continue
@@ -210,19 +185,19 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     shared = posts.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("token")
     posts = save(posts.join(shared, "token").groupBy("token", "cls").agg(
         *[F.first(c).alias(c) for c in ("size", "matches", "pos", "centre")]), "shared")
-    texts = save(_texts_of(named, known, posts.select("cls")), "texts")
-    links, comp = None, None
+    reps = save(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "reps")
+    links, comp, tested = None, None, None
     for _ in range(LEADER_ROUNDS):
-        at = posts.withColumn("comp", F.col("cls")) if comp is None else _with_component(posts, comp)
-        at = _across(at)
-        lead = at.groupBy("token").agg(F.max(F.struct("centre", "cls", "comp", "size")).alias("x"))
-        near = at.join(lead, "token").filter(
-            (F.col("x.comp") != F.col("comp"))
-            & (F.least("size", "x.size") * 100 >= F.greatest("size", "x.size") * percent))
-        best = near.groupBy("cls", F.col("x.cls").alias("b")).agg(F.count(F.lit(1)).alias("k")).groupBy("cls").agg(
-            F.max(F.struct("k", "b")).alias("x"))
-        found = save(verify(best.select(F.col("cls").alias("a"), F.col("x.b").alias("b")), texts, n, percent), "links")
+        at = _across(_with_component(posts, comp))
+        lead = at.groupBy("token").agg(F.max(F.struct("centre", "cls", "comp", "size", "matches")).alias("x"))
+        near = at.join(lead, "token").filter((F.col("x.comp") != F.col("comp")) & _sizes("size", "x.size", percent))
+        best = near.groupBy(F.col("cls").alias("a"), F.col("x.cls").alias("b")).agg(
+            F.count(F.lit(1)).alias("k"), F.first(F.least("matches", "x.matches")).alias("least")).filter("k >= least")
+        best = _untested(best, tested).groupBy("a").agg(F.max(F.struct("k", "b")).alias("x"))
+        pairs = save(best.select("a", F.col("x.b").alias("b")), "pairs")
+        found = save(verify(pairs, named, reps, n, percent), "links")
         links = found if links is None else links.unionByName(found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
         comp = save(components(links), "components")
     at = _across(_with_component(posts, comp))
     one = at.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "comp", "size", "matches", "pos")])
@@ -234,13 +209,13 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
         return F.col(f"pos_{x}") < F.col(f"size_{x}") - need + least
     pairs = one.join(two, "token").filter(
         (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b"))
-        & (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & inside("a") & inside("b"))
+        & _sizes("size_a", "size_b", percent) & inside("a") & inside("b"))
     pairs = pairs.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(
         F.count(F.lit(1)).alias("k"), F.first(least).alias("least")).filter("k >= least").select("a", "b")
-    found = save(verify(pairs, texts, n, percent), "links")
-    comp = save(components(links.unionByName(found)), "components")
-    first = known.groupBy("cls").agg(F.min("doc_id").alias("first"))
-    joined = first.join(comp, F.col("cls") == F.col("node"), "left").withColumn(
+    pairs = save(_untested(pairs, tested), "pairs")
+    links = links.unionByName(save(verify(pairs, named, reps, n, percent), "links"))
+    comp = save(components(links), "components")
+    joined = reps.withColumnRenamed("doc_id", "first").join(comp, F.col("cls") == F.col("node"), "left").withColumn(
         "component", F.coalesce("component", "cls")).select("cls", "first", "component")
     joined = save(joined, "members")
     least_id = joined.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -251,7 +226,44 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     return linked.unionByName(alone)
 
 
-def _with_component(posts: DataFrame, comp: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, less those whose group has a smaller id.  Of rows that repeat an
+    id, one stays (the one with the smallest hash of its text); rows without n-grams or id stay.
+
+    Only rows that a bit filter suspects are shuffled; the others leave as they were read."""
+    groups = save(similar_components(docs, n, percent, doc_id, text), "groups")
+    gone = groups.filter("doc_id <> component_id").select("doc_id")
+    again = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    suspects = save(gone.unionByName(again.select("doc_id")).distinct().select(
+        F.xxhash64("doc_id").alias("key"), "doc_id"), "suspects")
+    maybe = F.coalesce(maybe_in(id_filter(suspects), F.xxhash64(F.col(doc_id)), docs.sparkSession), F.lit(True))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("doc"), F.col(doc_id).alias("doc_id"), maybe.alias("maybe"),
+                       F.xxhash64(F.col(text)).alias("h"))
+    seen = rows.filter("maybe").join(gone.distinct(), "doc_id", "left_anti")
+    many = seen.join(again.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min_by("doc", "h").alias("doc"))
+    single = seen.join(again.select("doc_id"), "doc_id", "left_anti")
+    out = single.select("doc").unionByName(many.select("doc")).unionByName(
+        rows.filter("not maybe").select("doc"))
+    return out.select("doc.*")
+
+
+def _sizes(a: str, b: str, percent: int) -> Column:
+    """Whether two sets are close enough in size to link."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Pairs that were not compared yet, in either direction."""
+    if tested is None:
+        return pairs
+    both = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(both.distinct(), ["a", "b"], "left_anti")
+
+
+def _with_component(posts: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return posts.withColumn("comp", F.col("cls"))
     return posts.join(comp.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn(
         "comp", F.coalesce("comp", "cls"))
 
