@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigia.session import materialize
+
 MIN_LANG_SHARE = 0.001
 #: Common words: the most frequent words of at most this many letters.
 COMMON_WORDS, COMMON_LENGTH = 32, 5
@@ -35,16 +37,18 @@ def let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE + "+"), "")
+
 
+def windows_of(words: Column) -> Column:
+    """Hash of each window of three words."""
+    return F.when(F.size(words) < 3, F.array().cast("array<bigint>")).otherwise(let(words, lambda w: F.transform(
+        F.sequence(F.lit(2), F.size(w) - 1), lambda i: F.xxhash64(w[i - 2], w[i - 1], w[i]))))
 
-def repeat_words(words: Column) -> Column:
-    """Words inside a 3-word window whose words occur as a window twice or more in the text."""
-    def count(w):
-        grams = F.transform(F.sequence(F.lit(2), F.size(w) - 1), lambda i: F.xxhash64(w[i - 2], w[i - 1], w[i]))
-        return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(
-            let(F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), covered)))
 
+def repeat_words(windows: Column) -> Column:
+    """Words inside a 3-word window that occurs twice or more in the text (``windows`` from :func:`windows_of`).  Only
+    texts that have such a window sort theirs."""
     def covered(s):
         twice = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: F.coalesce(
             (j > 0) & (F.get(s, j - 1)["x"] == F.get(s, j)["x"]), F.lit(False)) | F.coalesce(
@@ -54,18 +58,20 @@ def repeat_words(words: Column) -> Column:
         return let(starts, lambda p: F.aggregate(
             F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))),
             F.lit(0), lambda a, x: a + x))
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, count)).cast("long")
+    by_hash = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(
+        let(by_hash, covered)).cast("long")
 
 
-def base_counts(text: Column, words: Column) -> dict[str, Column]:
+def base_counts(text: Column, words: Column, windows: Column) -> dict[str, Column]:
     """The plain counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    lines = F.filter(F.split(text, "\n"), lambda s: F.regexp_replace(s, SPACE + "+", "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda s: F.rlike(s, F.lit(f"[^{SPACE[1:-1]}]")))
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.char_length(F.regexp_replace(text, SPACE + "+", "")).cast("long"),
+        "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
         "n_symbols": F.char_length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long"),
         "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        "n_repeat_words": repeat_words(words),
+        "n_repeat_words": repeat_words(windows),
     }
 
 
@@ -87,7 +93,21 @@ N_CLASSES = 7
 
 def plain_words(text: Column) -> Column:
     """Words in lower case with punctuation taken as space."""
-    return F.filter(F.split(F.lower(text), r"""[\s.,;:!?'"()|-]+"""), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"""[\s.,;:!?'"()|-]+"""), "")
+
+
+#: One character for each common word, and how often each occurs in a string of them.
+LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[:COMMON_WORDS]
+
+
+def common_counts(words: Column, common: Column) -> Column:
+    """How often each of the ``common`` words occurs in ``words``, and last the count of all others."""
+    short = F.filter(words, lambda w: F.char_length(w) <= COMMON_LENGTH)
+    spelt = let(common, lambda ref: F.array_join(F.transform(short, lambda w: F.substring(
+        F.lit("_" + LETTERS), F.coalesce(F.array_position(ref, w), F.lit(0)).cast("int") + 1, F.lit(1))), ""))
+    each = lambda s: [F.octet_length(s) - F.octet_length(F.replace(s, F.lit(x), F.lit(""))) for x in LETTERS]
+    return let(spelt, lambda s: F.array(*[c.cast("long") for c in each(s)],
+                                        (F.size(words) - F.octet_length(F.translate(s, "_", ""))).cast("long")))
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -130,17 +150,23 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
         pool = df.groupBy(*by).agg(*[F.sum(s).alias(s) for s in sums]).withColumn("lang", F.lit(POOLED))
         return known.unionByName(pool.select(known.columns))
 
-    c = with_pool(cls, [], [f"c{i}" for i in range(N_CLASSES)])
-    w = with_pool(words, ["word"], ["n"])
+    # sums by language and by word, read several times below
+    c = materialize(with_pool(materialize(cls), [], [f"c{i}" for i in range(N_CLASSES)]))
+    w = materialize(with_pool(materialize(words), ["word"], ["n"]))
     top = w.filter("word <> ''").withColumn("r", F.row_number().over(
         Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= COMMON_WORDS)
     every = w.groupBy("lang").agg(F.sum("n").alias("all"))
     top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("t"))
     return (c.select("lang", F.array(*[F.col(f"c{i}") for i in range(N_CLASSES)]).alias("ref_chars"))
             .join(top, "lang", "left").join(every, "lang", "left")
+            .withColumn("t", F.coalesce("t", F.array().cast("array<struct<r:int,word:string,n:bigint>>")))
+            .withColumn("all", F.coalesce("all", F.lit(0)))
             .select("lang", "ref_chars", F.transform("t", lambda x: x["word"]).alias("ref_words"),
-                    F.concat(F.transform("t", lambda x: x["n"]), F.array(F.col("all") - F.aggregate(
-                        "t", F.lit(0).cast("long"), lambda s, x: s + x["n"]))).alias("ref_counts")))
+                    # as many counts as LETTERS, then that of all other words
+                    F.concat(F.transform("t", lambda x: x["n"]),
+                             F.array_repeat(F.lit(0).cast("long"), F.lit(COMMON_WORDS) - F.size("t")),
+                             F.array(F.col("all") - F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x["n"])))
+                    .alias("ref_counts")))
 
 
 def judge(docs: DataFrame, refs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -156,17 +182,13 @@ def judge(docs: DataFrame, refs: DataFrame, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.col(lang).alias("lang"))
     rows = rows.join(known, F.col("lang") == F.col("_known"), "left")
     rows = rows.withColumn("_ref", F.coalesce("_known", F.lit(POOLED))).join(refs, "_ref", "left")
-    words = F.col("words")
-    rows = rows.withColumn("words", words_of(F.col("text")))
+    # each array is a column of its own, computed once and read by several expressions
+    rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("windows", windows_of(F.col("words")))
     rows = rows.select("doc_id", "text", "ref_chars", "ref_words", "ref_counts",
-                       *[c.alias(k) for k, c in base_counts(F.col("text"), words).items()])
-    codes = let(F.col("ref_words"), lambda ref: F.transform(plain_words(F.col("text")),
-                                                            lambda w: F.array_position(ref, w)))
-    counts = let(codes, lambda c: F.concat(
-        F.transform(F.sequence(F.lit(1), F.size("ref_words")), lambda k: (
-            F.size(c) - F.size(F.array_remove(c, k.cast("long")))).cast("long")),
-        F.array((F.size(c) - F.size(F.array_remove(c, F.lit(0).cast("long")))).cast("long"))))
-    rows = rows.select("*", char_classes(F.col("text")).alias("chars"), counts.alias("counts"))
+                       *[c.alias(k) for k, c in base_counts(F.col("text"), F.col("words"), F.col("windows")).items()])
+    rows = rows.withColumn("words", plain_words(F.col("text")))
+    rows = rows.withColumn("chars", char_classes(F.col("text"))).withColumn(
+        "counts", common_counts(F.col("words"), F.coalesce("ref_words", F.array().cast("array<string>"))))
     n_chars, n_plain = F.char_length("text"), F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
     rows = rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
