@@ -12,14 +12,14 @@ does not cross a block's end, which adds at most one phrase per block and langua
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.llm.common import map_chunks
+from vigia.llm.common import CHUNK_BYTES, chunks
 
 #: Labelled texts taken per language (about; drawn by a hash of the id) and the symbols used of them.
 SAMPLE_DOCS, SAMPLE_SYMBOLS = 200, 40_000
@@ -27,7 +27,7 @@ SAMPLE_DOCS, SAMPLE_SYMBOLS = 200, 40_000
 BLOCK, MAX_ALPHABET = 512, 200
 UNKNOWN = "und"
 #: A document whose best rate (phrases per symbol) is above this resembles none of the languages.
-MAX_RATE = 0.60
+MAX_RATE = 0.50
 
 _FLAG = 1 << 30
 
@@ -69,16 +69,14 @@ def suffix_automaton(symbols: np.ndarray) -> tuple[list[dict[int, int]], int]:
 
 def parse_table(symbols: np.ndarray, size: int) -> np.ndarray:
     """Flat table over (state, symbol): next state times ``size``; where the phrase ends, the state that the symbol
-    begins the next phrase with, plus a flag.  Symbol 1 stands for letters that no labelled text has."""
+    begins the next phrase with, plus a flag.  A symbol that the labelled text lacks is a phrase of its own: it leads
+    to the last state, from which every symbol begins a phrase."""
     go, n = suffix_automaton(symbols)
-    begin = np.zeros(size, np.int32)
+    begin = np.full(size, n * size, np.int32)
     for c, t in go[0].items():
         begin[c] = t * size
-    out = np.tile(begin + _FLAG, n).reshape(n, size)
+    out = np.tile(begin + _FLAG, n + 1).reshape(n + 1, size)
     out[0] = begin
-    absent = np.ones(size, bool)
-    absent[list(go[0])] = False
-    out[0, absent] = _FLAG
     for s, row in enumerate(go):
         for c, t in row.items():
             out[s, c] = t * size
@@ -141,7 +139,7 @@ def phrase_rates(texts: list[str], model: Model, codes: np.ndarray) -> tuple[np.
         sym, owner = sym[keep], owner[keep]
     n = np.bincount(owner, minlength=len(rows)).astype(np.int64)
     counts = np.zeros((len(rows), len(model.langs)))
-    if len(sym) == 0:
+    if len(sym) == 0 or not model.langs:
         return counts, n
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
     per = -(-n // BLOCK)
@@ -168,14 +166,15 @@ def phrase_rates(texts: list[str], model: Model, codes: np.ndarray) -> tuple[np.
     return counts / scale / np.maximum(n, 1)[:, None], n
 
 
-def learn(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+def learn(docs: DataFrame, train: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
           sample_docs: int = SAMPLE_DOCS, sample_symbols: int = SAMPLE_SYMBOLS) -> Model:
-    """Fit a model on labelled rows (``train`` and a non-null label).
+    """Fit a model on the labelled rows (a non-null label, and ``train`` if given).
 
     One aggregate counts the labelled rows of each language; a second pass draws about ``sample_docs`` whole texts of
     each by a hash of the id, in place of all of them.  The sample is bounded by ``sample_docs`` and, after that, by
     ``sample_symbols`` letters a language."""
-    rows = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = docs if train is None else docs.filter(train)
+    rows = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     per = rows.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     draw = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(11)), F.lit(1 << 40))
     got = (rows.select(F.col(lang).alias("_l"), F.col(text).alias("_t"), draw.alias("_h"))
@@ -189,6 +188,36 @@ def learn(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     return Model(texts, sample_symbols)
 
 
+def _predict(texts: list[str], m: Model, codes: np.ndarray) -> pd.DataFrame:
+    rates, n = phrase_rates(texts, m, codes)
+    out = pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0, "rate": 0.0, "symbols": n})
+    known = n > 0
+    if m.langs and known.any():
+        best = rates.argmin(axis=1)
+        low = rates[np.arange(len(rates)), best]
+        second = np.partition(rates, 1, axis=1)[:, 1] if len(m.langs) > 1 else np.full(len(rates), np.inf)
+        score = np.where(np.isinf(second), 1.0, 1.0 - low / np.maximum(second, 1e-12))
+        out["lang_pred"] = np.where(known, np.array(m.langs, dtype=object)[best], UNKNOWN)
+        out["score"] = np.where(known, np.clip(score, 0.0, 1.0), 0.0)
+        out["rate"] = np.where(known, low, 0.0)
+    return out
+
+
+def prediction(model: Model, spark: SparkSession, limit: int = CHUNK_BYTES):
+    """Column function text -> struct (lang_pred, score, rate, symbols); see :func:`identify`."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double, rate double, symbols long")
+    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        codes = m.codes()
+        for batch in texts:
+            parts = [_predict([t or "" for t in pdf["t"]], m, codes)
+                     for pdf in chunks([batch.to_frame("t")], "t", limit)]
+            yield pd.concat(parts, ignore_index=True) if parts else _predict([], m, codes)
+    return predict
+
+
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred, score, rate, symbols.
 
@@ -196,34 +225,12 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     minus the ratio of the best to the second rate (1 if there is a single language).  A null text, an empty one and
     one without letters get ``und``, score 0 and rate 0; so does every text if nothing was learned.  Repeated rows are
     predicted alike, an empty table gives no rows, other columns are not read."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    p = prediction(model, docs.sparkSession)
+    return docs.select(F.col(doc_id).alias("doc_id"), p(F.col(text)).alias("p")).select("doc_id", "p.*")
 
-    def make() -> Callable[[pd.DataFrame], pd.DataFrame]:
-        m = shared.value
-        codes = m.codes()
 
-        def predict(pdf):
-            texts = [t or "" for t in pdf["text"]]
-            rates, n = phrase_rates(texts, m, codes)
-            out = pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": UNKNOWN, "score": 0.0, "rate": 0.0, "symbols": n})
-            known = n > 0
-            if m.langs and known.any():
-                best = rates.argmin(axis=1)
-                low = rates[np.arange(len(rates)), best]
-                second = np.partition(rates, 1, axis=1)[:, 1] if len(m.langs) > 1 else np.full(len(rates), np.inf)
-                score = np.where(np.isinf(second), 1.0, 1.0 - low / np.maximum(second, 1e-12))
-                out["lang_pred"] = np.where(known, np.array(m.langs, dtype=object)[best], UNKNOWN)
-                out["score"] = np.where(known, np.clip(score, 0.0, 1.0), 0.0)
-                out["rate"] = np.where(known, low, 0.0)
-            return out
-        return predict
-
-    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
-    out = map_chunks(rows, "doc_id string, lang_pred string, score double, rate double, symbols long", make)
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
-
-
-def accepted(predicted: DataFrame, max_rate: float = MAX_RATE) -> Column:
-    """Whether a prediction names a language the text really resembles."""
-    return (predicted["lang_pred"] != UNKNOWN) & (predicted["rate"] <= max_rate)
+def accepted(docs: DataFrame, model: Model, text: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text resembles a language that was learned: rows without
+    letters and rows whose best phrase rate is above ``max_rate`` go."""
+    p = prediction(model, docs.sparkSession)(F.col(text))
+    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["rate"] <= max_rate))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.llm import language, ngram_join, packing, phrase_dedup, quality, sharding, suffix_dedup, tokens, toxicity
+from vigia.llm import decontaminate, language, ngram_join, packing, phrase_dedup, quality, sharding, suffix_dedup, tokens, toxicity
 from vigia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op3_sharding(spark, sf_dir):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register
 def op5_token_counts(spark, sf_dir):
     return tokens.context_report(tokens.length_histogram(table(spark, sf_dir, "documents")))
