@@ -427,3 +427,16 @@ def test_checkpoint_folder_is_required_on_a_cluster(spark):
     far = types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_dir(far)
+
+
+def test_text_order_is_cut_inside_a_shared_prefix(spark, monkeypatch):
+    """Keys that share a long prefix still fall into many ranges."""
+    from vigia.operators import ordering
+    seen = []
+    real = ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda df: seen.append(real(df)) or seen[-1])
+    df = spark.createDataFrame([(f"NATION_{i:04d}",) for i in range(2000)], "k string").repartition(5)
+    got = ordering.row_index(df, ["k"], n_buckets=16).collect()
+    assert all(r._idx == int(r.k[-4:]) for r in got)
+    sizes = [r["count"] for r in seen[0].groupBy("_bucket").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 600

@@ -200,6 +200,16 @@ def filter_cases(plain: DataFrame, clasificacion: list[str] | None = None,
     return view
 
 
+def filter_counts(plain: DataFrame, clasificacion=None, tipo=None) -> DataFrame:
+    """One row: cases before and after the filter, from one pass."""
+    view = select_available(plain, SHOW_COLS)
+    kept = F.lit(True)
+    for name, values in (("Clasificacion del accidente", clasificacion), ("Tipo de accidente", tipo)):
+        if values and name in view.columns:
+            kept = kept & F.coalesce(F.col(f"`{name}`").isin(list(values)), F.lit(False))
+    return view.agg(F.count(F.lit(1)).alias("n_total"), F.count(F.when(kept, 1)).alias("n_filtrados"))
+
+
 def filter_options(plain: DataFrame, cols=("Clasificacion del accidente", "Tipo de accidente")) -> DataFrame:
     """Distinct non-null values of the filter columns, long form."""
     pairs = F.array(*[F.struct(F.lit(c).alias("columna"), F.col(f"`{c}`").cast("string").alias("valor"))

@@ -84,14 +84,15 @@ def station_rates(exposure: DataFrame, station: str) -> DataFrame:
         .withColumn("Estacion", F.lit(station))
 
 
-def rates_by_population_topk(exposure: DataFrame, k: int = 12) -> DataFrame:
-    """Per station, the ``k`` populations with the highest IF (accidents > 0).
+def rates_by_population_topk(exposure: DataFrame, k: int = 12, by: str = "IF") -> DataFrame:
+    """Per station, the ``k`` populations with the highest ``by`` (IF or IS;
+    accidents > 0), ranked.
 
     All stations in one job: the window runs on the aggregated rows and
     Spark plans it with a per-partition group limit before the shuffle."""
     g = _with_rates(_sums(exposure, ["Estacion", "Poblacion"]), severity=False, level=False) \
         .filter(F.col("N_AT") > 0)
-    w = Window.partitionBy("Estacion").orderBy(F.desc("IF"), F.asc("Poblacion"))
+    w = Window.partitionBy("Estacion").orderBy(F.desc(by), F.asc("Poblacion"))
     return (g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
              .select("Estacion", "Poblacion", "rank", "N_AT", "N_Dias", F.round("HHT", 3).alias("HHT"), "IF", "IS"))
 

@@ -11,7 +11,8 @@
   split, the folds and the quartiles use it (a row's rank is then known by
   comparing its key with the selected keys).
 * :func:`running_totals` — prefix sums/row index for every row: rows are cut
-  into contiguous ranges (quantile bins), numbered/summed inside each (group,
+  into contiguous ranges (quantile bins of a number, ranges of the whole key
+  if it begins with text), numbered/summed inside each (group,
   range) with an ordinary window, and shifted by the totals of the earlier
   ranges.  One shuffle, every window partition a small slice.  Used on
   already aggregated data (distinct scores of a ROC curve, sheet rows).
@@ -202,11 +203,15 @@ def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Colum
     group_cols = list(group_cols)
     values = dict(values or {})
     n = n_buckets or default_bins(df.sparkSession)
-    b = quantile_bins(df, order_cols[0], n, "_bucket")
-    if descending:
-        b = b.withColumn("_bucket", F.lit(n + 1) - F.col("_bucket"))
-    b = b.withColumns({f"_v_{k}": v for k, v in values.items()})
     ocols = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
+    if isinstance(df.schema[order_cols[0]].dataType, StringType):
+        # text has no quantiles: ranges of the whole order key, written once so that the numbers of the ranges stay
+        b = materialize(df.repartitionByRange(n, *ocols).withColumn("_bucket", F.spark_partition_id()))
+    else:
+        b = quantile_bins(df, order_cols[0], n, "_bucket")
+        if descending:
+            b = b.withColumn("_bucket", F.lit(n + 1) - F.col("_bucket"))
+    b = b.withColumns({f"_v_{k}": v for k, v in values.items()})
     w = (Window.partitionBy(*group_cols, "_bucket").orderBy(*ocols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = {k: F.sum(f"_v_{k}").over(w) for k in values}

@@ -20,7 +20,7 @@ from vigia.operators import models as md
 from vigia.operators import profile as pf
 from vigia.operators import indicators as ind
 from vigia.functions import rules
-from vigia.session import materialize
+from vigia.session import attach_row, materialize
 from vigia.sources import files as io
 from vigia.sources import grid, tpch
 from vigia.streaming import board as board_stream
@@ -63,6 +63,12 @@ def rate_by_population_top12(spark, sf_dir):
     return ex.rates_by_population_topk(board(spark, sf_dir), 12)
 
 
+@register
+def rate_by_population_is(spark, sf_dir):
+    """The population table ordered by IS; ``rank`` carries the order."""
+    return ex.rates_by_population_topk(board(spark, sf_dir), 12, by="IS")
+
+
 @register
 def rate_by_month(spark, sf_dir):
     return ex.rates_by_month(board(spark, sf_dir))
@@ -216,6 +222,11 @@ def case_filter(spark, sf_dir):
     return cs.filter_cases(cases_plain(spark, sf_dir), CASE_FILTER_CLASSES, CASE_FILTER_TYPES)
 
 
+@register
+def case_filter_counts(spark, sf_dir):
+    return cs.filter_counts(cases_plain(spark, sf_dir), CASE_FILTER_CLASSES, CASE_FILTER_TYPES)
+
+
 @register
 def filter_options(spark, sf_dir):
     return cs.filter_options(cases_plain(spark, sf_dir))
@@ -472,6 +483,40 @@ def score_inputs(spark, sf_dir):
     return coded.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *art.feats, "is_unseen")
 
 
+def _check_model(t):
+    """What SQL can state about a fit: its split sizes, that every test case
+    was scored once with a probability, that the labels scored are those of the
+    test part, and that the reported AUC is that of the predictions."""
+    pred = t.test_pred.select("p1", "label")
+    auc = mt.roc_auc(pred.select(F.col("label").cast("int").alias("label"), F.col("p1").alias("score")))
+    told = md.holdout_metrics(t).select("n_train", "n_test", F.col("auc").alias("told"))
+    ok = pred.agg(F.count(F.lit(1)).alias("n_scored"), F.sum("label").cast("long").alias("n_positive"),
+                  F.min((F.col("p1") >= 0) & (F.col("p1") <= 1)).alias("probabilities_ok"))
+    one = attach_row(attach_row(told, ok), auc)
+    return one.select(F.lit(t.algo).alias("algo"), "n_train", "n_test", "n_scored", "n_positive", "probabilities_ok",
+                      (F.abs(F.col("auc") - F.col("told")) < 1e-6).alias("auc_ok"))
+
+
+@register
+def model_checks(spark, sf_dir):
+    """:func:`_check_model` of the logistic regression and of the forest, whose
+    importances sum to one."""
+    rf = trained(spark, sf_dir, "rf")
+    total = float(sum(rf.model.featureImportances.toArray()))
+    return _check_model(trained(spark, sf_dir, "lr")).withColumn("importances_ok", F.lit(True)).unionByName(
+        _check_model(rf).withColumn("importances_ok", F.lit(abs(total - 1.0) < 1e-9)))
+
+
+@register
+def score_checks(spark, sf_dir):
+    """What SQL can state about the scored register: one row per case, a
+    probability, the level that repeats the band, and no unseen category."""
+    s = score_cases(spark, sf_dir)
+    return s.agg(F.count(F.lit(1)).alias("n"), F.min(F.col("probabilidad").between(0, 1)).alias("probabilities_ok"),
+                 F.sum((F.upper(F.col("banda")) == F.col("nivel")).cast("long")).alias("n_nivel"),
+                 F.sum(F.col("is_unseen").cast("long")).alias("n_unseen"))
+
+
 @register
 def forecast_months(spark, sf_dir):
     return md.forecast(tpch.monthly_accidents(spark, sf_dir))

@@ -46,6 +46,8 @@ SELECT Estacion, Poblacion, CAST(rk AS INTEGER) AS rank, N_AT, N_Dias, round(h,
 FROM k WHERE rk <= 12
 """)
 
+ORACLES["rate_by_population_is"] = ORACLES["rate_by_population_top12"].replace('ORDER BY "IF" DESC', 'ORDER BY "IS" DESC')
+
 ORACLES["rate_by_month"] = with_exposure(f"""
 , g AS ({_station_rates('general', 'Estacion, Mes')})
 SELECT Estacion, CAST(Mes AS INTEGER) AS Mes, round(N_AT, 3) AS N_AT, round(N_Dias, 3) AS N_Dias,
@@ -214,6 +216,12 @@ SELECT r_clas AS "Clasificacion del accidente", r_tipo AS "Tipo de accidente", r
 FROM cases_raw WHERE r_clas IN ('Graves', 'Severos') AND r_tipo IN ('PROMO', 'STANDARD')
 """)
 
+ORACLES["case_filter_counts"] = with_cases("""
+SELECT COUNT(*) AS n_total,
+       COUNT(*) FILTER (WHERE r_clas IN ('Graves', 'Severos') AND r_tipo IN ('PROMO', 'STANDARD')) AS n_filtrados
+FROM cases_raw
+""")
+
 ORACLES["filter_options"] = with_cases("""
 SELECT DISTINCT columna, valor FROM (
   SELECT 'Clasificacion del accidente' AS columna, r_clas AS valor FROM cases_raw
@@ -319,6 +327,19 @@ FROM member m
           for i, c in enumerate(CATEGORICAL))}
 """)
 
+# the facts that every fit must meet; the values of a fit are beyond SQL
+ORACLES["model_checks"] = with_cases(_ALLOC + """
+, n AS (SELECT SUM(train) AS n_train, SUM(c - train) AS n_test,
+               SUM(CASE WHEN label = 1 THEN c - train ELSE 0 END) AS n_positive FROM alloc)
+SELECT algo, CAST(n_train AS BIGINT) AS n_train, CAST(n_test AS BIGINT) AS n_test, CAST(n_test AS BIGINT) AS n_scored,
+       CAST(n_positive AS BIGINT) AS n_positive, TRUE AS probabilities_ok, TRUE AS auc_ok, TRUE AS importances_ok
+FROM n, (VALUES ('lr'), ('rf')) a(algo)
+""")
+
+ORACLES["score_checks"] = with_cases("""
+SELECT COUNT(*) AS n, TRUE AS probabilities_ok, COUNT(*) AS n_nivel, CAST(0 AS BIGINT) AS n_unseen FROM cases_model
+""")
+
 ORACLES["class_weights"] = with_cases(_ALLOC + """
 SELECT label, train AS n, CAST(SUM(train) OVER () AS DOUBLE) / (CAST(COUNT(*) OVER () AS DOUBLE) * CAST(train AS DOUBLE))
        AS weight FROM alloc
