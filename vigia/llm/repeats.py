@@ -27,9 +27,9 @@ from vigia.llm.common import CHUNK_BYTES, map_chunks, mix, span_hashes
 from vigia.llm.scratch import save, vector_sum
 
 #: Cells of the bit filter on documents (a power of two).
-FILTER_CELLS = 1 << 23
+FILTER_CELLS = 1 << 22
 #: Context bytes that are resolved together in one group, on average.
-GROUP_BYTES = 3 << 19
+GROUP_BYTES = 3 << 18
 
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
@@ -164,8 +164,9 @@ def repeated_spans(docs: DataFrame, units: Callable[[list, dict], Units], window
         recur = seen.groupBy("f").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
     else:
         recur = seen.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = _rows_of(docs, units, window, k, full=True)
-    found = save(found.join(recur.select("f"), "f"), "anchors")
+    # a table of its own, so that the join below has fresh exchanges and a frequent anchor's rows can be split
+    recur = save(recur.select("f"), "recurring")
+    found = save(_rows_of(docs, units, window, k, full=True).join(recur, "f"), "anchors")
     classes = found.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n"),
                                           F.min(F.struct("id", "key", "u", "b")).alias("x"))
     classes = save(classes.select("f", "c", "n", "x.id", "x.key", *_pair("x.u", "lo", "hi"), *_pair("x.b", "b_lo", "b_hi")),

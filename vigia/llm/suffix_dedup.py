@@ -21,7 +21,7 @@ from vigia.llm.repeats import Units, covered, keyed, repeated_spans, with_spans
 
 WINDOW, ANCHOR = 200, 32
 #: Symbols of one shard's suffix array: positions and two ranks share a 63-bit sort key.
-SHARD_SYMBOLS = (1 << 21) - (1 << 18)
+SHARD_SYMBOLS = 1 << 20
 
 _U = np.uint64
 
@@ -133,8 +133,9 @@ def _window_hashes(raw: np.ndarray, window: int) -> np.ndarray:
     return mix(out)
 
 
-def _shard_runs(texts: list[bytes], many: np.ndarray, place: np.ndarray, window: int):
-    """Runs of one shard: (run of each position or -1, hash, repeated?, lowest place, highest place of each run)."""
+def _shard_runs(texts: list[bytes], many: np.ndarray, place: np.ndarray, window: int, hashed: bool):
+    """Runs of one shard: the run of each position (-1 where no whole window begins), the stretches, and for each run
+    its string's hash, whether a whole class repeats it, and its lowest and highest place."""
     size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
@@ -143,24 +144,25 @@ def _shard_runs(texts: list[bytes], many: np.ndarray, place: np.ndarray, window:
     symbols[stop] = np.arange(len(texts))
     sa, rank = suffix_array(symbols)
     lcp = common_prefixes(raw, sa, rank, begin, stop, window)
-    owner = np.repeat(np.arange(len(texts)), size + 1)
-    fits = np.arange(len(raw)) + window <= stop[owner]
-    head = np.cumsum(lcp < window) - 1  # run of each place in the array
-    run = np.where(fits, head[rank], -1)
-    pos = np.flatnonzero(fits)
-    r = run[pos]
-    n = int(head[-1]) + 1
+    lcp = lcp < window
+    head = np.cumsum(lcp, dtype=np.int32) - 1  # run of each place in the array
+    # whole windows, and the runs that hold one, numbered anew
+    pos = np.concatenate([np.arange(b, e - window + 1) for b, e in zip(begin.tolist(), stop.tolist())])
+    which, r = np.unique(head[rank[pos]], return_inverse=True)
+    n = len(which)
+    run = np.full(len(raw), -1, np.int32)
+    run[pos] = r
+    owner = np.searchsorted(begin, pos, side="right") - 1
     low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1, np.int64)
-    where = place[owner[pos]] + pos - begin[owner[pos]]
+    where = place[owner] + pos - begin[owner]
     np.minimum.at(low, r, where)
     np.maximum.at(high, r, where)
     twice = np.zeros(n, bool)
-    twice[r[many[owner[pos]]]] = True
+    twice[r[many[owner]]] = True
     keys = np.zeros(n, _U)
-    if len(pos):
+    if hashed and n:
         keys[r] = _window_hashes(raw, window)[pos]
-    used = high >= 0
-    return run, begin, size, keys, used, twice, low, high
+    return run, begin, size, keys, twice, low, high
 
 
 def resolve_bytes(pdf: pd.DataFrame, window: int = WINDOW, limit: int = SHARD_SYMBOLS) -> list:
@@ -173,23 +175,20 @@ def resolve_bytes(pdf: pd.DataFrame, window: int = WINDOW, limit: int = SHARD_SY
     size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     cut = np.cumsum(size) // limit
     shards = [np.flatnonzero(cut == x) for x in np.unique(cut)]
-    runs = [_shard_runs([texts[i] for i in s], many[s], place[s], window) for s in shards]
-    repeated = [used & (twice | (low != high)) for _, _, _, _, used, twice, low, high in runs]
-    if len(runs) > 1:
-        sorted_keys = [(np.argsort(np.where(x[4], x[3], 0), kind="stable")) for x in runs]
-        for a, x in enumerate(runs):
-            for b, y in enumerate(runs):
-                if a == b:
-                    continue
-                by = sorted_keys[b]
-                ks = np.where(y[4], y[3], 0)[by]
-                at = np.minimum(np.searchsorted(ks, x[3]), len(ks) - 1)
-                other = by[at]
-                hit = x[4] & (ks[at] == x[3]) & y[4][other]
-                repeated[a] |= hit & (y[5][other] | (y[6][other] != x[6]) | (y[7][other] != x[7]))
+    runs = [_shard_runs([texts[i] for i in s], many[s], place[s], window, len(shards) > 1) for s in shards]
+    repeated = [twice | (low != high) for *_, twice, low, high in runs]
+    order = [np.argsort(x[3], kind="stable") for x in runs] if len(runs) > 1 else []
+    for a, (_, _, _, keys, _, low, high) in enumerate(runs):
+        for b, by in enumerate(order):
+            own, twice_b, low_b, high_b = runs[b][3][by], runs[b][4], runs[b][5], runs[b][6]
+            if a == b or not len(own):
+                continue
+            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+            other = by[at]
+            repeated[a] |= (own[at] == keys) & (twice_b[other] | (low_b[other] != low) | (high_b[other] != high))
     out: list = [None] * len(texts)
     for s, (run, begin, size_, *_), again in zip(shards, runs, repeated):
-        hit = (run >= 0) & again[np.maximum(run, 0)]
+        hit = (run >= 0) & np.append(again, False)[run]
         for i, b, n in zip(s.tolist(), begin.tolist(), size_.tolist()):
             starts = np.flatnonzero(hit[b:b + n])
             if not len(starts):
