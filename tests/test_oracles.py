@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.oracle_check import compare, duck
+from vigia.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 QUERIES = E.queries()
@@ -34,6 +35,6 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_a_model():
-    no_oracle = set(QUERIES) - set(ORACLES)
+    no_oracle = set(catalog.QUERIES) - set(ORACLES)
     assert no_oracle <= {"train_rf_metrics", "train_gbt_metrics", "train_lr_metrics", "cv_auc",
                          "feature_importance_top10", "score_cases", "forecast_months"}
