@@ -1,5 +1,5 @@
 """The registered queries of this subpackage: each applies one operator, with production parameters, to its whole
-table.  ``ORACLES`` holds DuckDB SQL for those that SQL can express; the others are tested against brute force."""
+table.  ``ORACLES`` holds DuckDB SQL for those whose rows SQL can express; the others are tested against brute force."""
 
 from __future__ import annotations
 
@@ -90,3 +90,58 @@ def op10_toxicity(spark, sf_dir):
     scored = toxicity.score(docs, scorer)
     return scored.select("doc_id", held_out.alias("held_out"), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+# --- SQL ---------------------------------------------------------------------
+
+#: Words of every whole text; a null text has none.
+_WORDS = """WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce({text}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents)"""
+
+ORACLES["op1_ngram_join"] = _WORDS.format(
+    text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").replace("WITH", "WITH RECURSIVE", 1) + """,
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [ws]
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, COUNT(*) AS k FROM s x JOIN s y ON x.g = y.g
+                        WHERE x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * k >= 90 * (na.n + nb.n - k)),
+reach AS (SELECT a AS doc_id, a AS other FROM (SELECT DISTINCT a FROM links)
+          UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT doc_id, MIN(other) AS c FROM reach GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(least.c, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.doc_id = w.doc_id
+"""
+
+# bytes as pairs of hexadecimal digits; a run of starts at most 200 bytes apart is one removed span
+ORACLES["op2_suffix_dedup"] = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 400)) AS g FROM (SELECT doc_id, x, unnest(range(1, n - 198)) AS i FROM h)),
+twice AS (SELECT g FROM win GROUP BY g HAVING COUNT(*) > 1),
+starts AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM win WHERE g IN (SELECT g FROM twice)),
+runs AS (SELECT doc_id, MIN(i) AS a, MAX(i) + 200 AS b FROM (
+           SELECT doc_id, i, SUM(CASE WHEN before IS NULL OR i - before > 200 THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY doc_id ORDER BY i) AS r FROM starts) GROUP BY doc_id, r),
+gone AS (SELECT doc_id, SUM(b - a) AS n_removed, COUNT(*) AS n_spans FROM runs GROUP BY doc_id),
+edge AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM runs),
+parts AS (SELECT h.doc_id, string_agg(substr(x, 2 * e.p - 1, 2 * (e.q - e.p)), '' ORDER BY e.p) AS kept FROM h JOIN (
+            SELECT doc_id, b AS p, coalesce(next, 1000000000) AS q FROM edge
+            UNION ALL SELECT doc_id, 1, MIN(a) FROM runs GROUP BY doc_id) e ON e.doc_id = h.doc_id GROUP BY h.doc_id)
+SELECT h.doc_id, CAST(h.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM h LEFT JOIN gone ON gone.doc_id = h.doc_id LEFT JOIN parts ON parts.doc_id = h.doc_id
+"""
+
+ORACLES["op7_phrase_dedup"] = _WORDS.format(text="text") + """,
+win AS (SELECT doc_id, i, ws[i:i + 12] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+low AS (SELECT g, MIN(doc_id) AS m FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM win JOIN low USING (g) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS k FROM w),
+kept AS (SELECT word.doc_id, COUNT(*) AS n_words, COUNT(gone.k) AS n_removed,
+                coalesce(string_agg(x, ' ' ORDER BY word.k) FILTER (WHERE gone.k IS NULL), '') AS kept
+         FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.k = word.k GROUP BY word.doc_id)
+SELECT w.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
