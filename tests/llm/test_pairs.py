@@ -53,7 +53,7 @@ def near_copies(seed, n_docs=70):
     return list(enumerate(texts, 1))
 
 
-@pytest.mark.parametrize("seed,n,percent", [(1, 3, 90), (2, 2, 60), (3, 5, 80)])
+@pytest.mark.parametrize("seed,n,percent", [(1, 3, 90), (2, 2, 60), (3, 5, 80), (4, 1, 50), (5, 2, 70)])
 def test_components_equal_brute_force(docs_of, seed, n, percent):
     rows = near_copies(seed)
     got = ngram_join.similar_components(docs_of([(i, t, None, None, 0) for i, t in rows]), n, percent).collect()

@@ -4,7 +4,9 @@ Two documents link when the Jaccard similarity of their sets of word n-grams rea
 hashes) have one global order, rarest first by an estimated document frequency.  Of a set with n tokens, the first
 ``n - ceil(t n) + l`` in that order are its l-prefix; two sets that link share at least l tokens of their l-prefixes.
 Each document picks the l whose prefix promises the least work: the postings read plus the estimated candidates, which
-fall as more shared tokens are required.  Two documents with different l are held to the smaller one.
+fall as more shared tokens are required.  For a pair of sizes n, m that links, the overlap is at least
+``t (n + m) / (1 + t)``, and a prefix leaves out ``ceil(t n) - l`` tokens; so their prefixes share at least the overlap
+less the larger of the two remainders (:func:`required`), which is l or more.
 
 Steps
 1. Sets that are equal are one class from the start, so exact copies are never compared.
@@ -39,7 +41,7 @@ MAX_MATCHES, VERIFY_COST = 6, 30.0
 #: Members of one leader that are verified in one group.
 GROUP_MEMBERS = 256
 #: Rounds of leaders before the remaining pairs are listed.
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 
 _U = np.uint64
 
@@ -49,6 +51,19 @@ def prefix_size(n: int, matches: int, percent: int) -> int:
     return n - (-(-n * percent // 100)) + matches
 
 
+def required(n: int, m: int, ln: int, lm: int, percent: int) -> int:
+    """Prefix tokens that two sets of n and m tokens with ``ln`` and ``lm`` share at least if they link."""
+    overlap = -(-percent * (n + m) // (100 + percent))
+    return max(1, overlap - max(-(-n * percent // 100) - ln, -(-m * percent // 100) - lm))
+
+
+def _required(a: str, b: str, la: str, lb: str, percent: int) -> Column:
+    """:func:`required` of columns."""
+    part = lambda n, l: F.ceil(F.col(n) * percent / 100) - F.col(l)
+    overlap = F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent))
+    return F.greatest(F.lit(1), overlap - F.greatest(part(a, la), part(b, lb)))
+
+
 def choose_prefix(freq: np.ndarray, percent: int, max_matches: int = MAX_MATCHES) -> int:
     """The l of least estimated cost for a set whose tokens, in global order, have these frequencies."""
     n = len(freq)
@@ -70,10 +85,6 @@ def _class_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens)) - (1 << 63)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 def _classes(rows: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, cls) of every row."""
     def make():
@@ -99,7 +110,8 @@ def _sketch(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def _postings(rows: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(token, cls, size, matches, pos, centre) for the prefix tokens of every document."""
+    """(token, cls, size, pcm) for the prefix tokens of every document: pcm holds the token's place in the prefix, how
+    frequent the set's tokens are (thousandths), and its l."""
     shift = _U(64 - (SKETCH_CELLS.bit_length() - 1))
     # what other tokens add to a cell, on average; only the order and the estimated cost depend on it
     noise = float(np.median(sketch))
@@ -119,17 +131,19 @@ def _postings(rows: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Data
                 freq = np.maximum(f[order] - noise, 0.0)
                 l = choose_prefix(freq, percent)
                 p = prefix_size(len(s), l, percent)
-                out.append((s[order[:p]], _class_of(s), len(s), l, float(np.log1p(freq).mean())))
+                centre = min(32_000, round(1000 * float(np.log1p(freq).mean())))
+                out.append((s[order[:p]], _class_of(s), len(s), centre << 8 | l))
             k = [len(x[0]) for x in out]
+            if not out:
+                return pd.DataFrame({"token": [], "cls": [], "size": [], "pcm": []}).astype("int64")
             return pd.DataFrame({
-                "token": _signed(np.concatenate([x[0] for x in out])) if out else np.empty(0, np.int64),
+                "token": np.concatenate([x[0] for x in out]).view(np.int64),
                 "cls": np.repeat(np.array([x[1] for x in out], np.int64), k),
                 "size": np.repeat(np.array([x[2] for x in out], np.int32), k),
-                "matches": np.repeat(np.array([x[3] for x in out], np.int16), k),
-                "pos": np.concatenate([np.arange(j, dtype=np.int32) for j in k]) if out else np.empty(0, np.int32),
-                "centre": np.repeat(np.array([x[4] for x in out], np.float32), k)})
+                "pcm": np.repeat(np.array([x[3] for x in out], np.int64), k)
+                + (np.concatenate([np.arange(j) for j in k]) << 32)})
         return read
-    return map_chunks(rows, "token long, cls long, size int, matches short, pos int, centre float", make)
+    return map_chunks(rows, "token long, cls long, size int, pcm long", make)
 
 
 def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
@@ -183,16 +197,28 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     posts = save(_postings(named, n, percent, _sketch(named, n)), "postings")
     # tokens of two classes or more; the leader of a token is its class with the most frequent tokens
     shared = posts.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("token")
-    posts = save(posts.join(shared, "token").groupBy("token", "cls").agg(
-        *[F.first(c).alias(c) for c in ("size", "matches", "pos", "centre")]), "shared")
+    shared = save(shared, "tokens")  # so that the join has fresh exchanges and a frequent token's rows can be split
+    posts = posts.join(shared, "token").groupBy("token", "cls").agg(F.first("size").alias("size"), F.first("pcm").alias("pcm"))
+    # one row per class: its prefix tokens that some other class has too, in order; a pair cannot share more than
+    # either class has left
+    heads = posts.groupBy("cls").agg(
+        F.first("size").alias("size"), F.first("pcm").alias("pcm"),
+        F.sort_array(F.collect_list(F.struct(F.shiftright("pcm", 32).alias("pos"), "token"))).alias("tokens"))
+    heads = save(heads.select(
+        "cls", "size", F.shiftright(F.col("pcm").bitwiseAND(F.lit((1 << 32) - 1)), 8).cast("int").alias("centre"),
+        F.col("pcm").bitwiseAND(F.lit(255)).cast("int").alias("matches"), F.size("tokens").alias("left"),
+        F.transform("tokens", lambda t: t["token"]).alias("tokens")), "heads")
+    posts = heads.select("cls", "size", "centre", "matches", "left", F.posexplode("tokens").alias("nth", "token"))
     reps = save(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "reps")
     links, comp, tested = None, None, None
     for _ in range(LEADER_ROUNDS):
         at = _across(_with_component(posts, comp))
         lead = at.groupBy("token").agg(F.max(F.struct("centre", "cls", "comp", "size", "matches")).alias("x"))
-        near = at.join(lead, "token").filter((F.col("x.comp") != F.col("comp")) & _sizes("size", "x.size", percent))
+        need = _required("size", "x.size", "matches", "x.matches", percent)
+        near = at.join(lead, "token").filter((F.col("x.comp") != F.col("comp")) & _sizes("size", "x.size", percent)
+                                             & (F.col("left") >= need))
         best = near.groupBy(F.col("cls").alias("a"), F.col("x.cls").alias("b")).agg(
-            F.count(F.lit(1)).alias("k"), F.first(F.least("matches", "x.matches")).alias("least")).filter("k >= least")
+            F.count(F.lit(1)).alias("k"), F.first(need).alias("need")).filter("k >= need")
         best = _untested(best, tested).groupBy("a").agg(F.max(F.struct("k", "b")).alias("x"))
         pairs = save(best.select("a", F.col("x.b").alias("b")), "pairs")
         found = save(verify(pairs, named, reps, n, percent), "links")
@@ -200,18 +226,18 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
         tested = pairs if tested is None else tested.unionByName(pairs)
         comp = save(components(links), "components")
     at = _across(_with_component(posts, comp))
-    one = at.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "comp", "size", "matches", "pos")])
-    two = at.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "comp", "size", "matches", "pos")])
-    least = F.least("matches_a", "matches_b")
-
-    def inside(x):
-        need = F.ceil(F.col(f"size_{x}") * percent / 100)
-        return F.col(f"pos_{x}") < F.col(f"size_{x}") - need + least
+    one = at.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "comp", "size", "matches", "left", "nth")])
+    two = at.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "comp", "size", "matches", "left", "nth")])
+    need = _required("size_a", "size_b", "matches_a", "matches_b", percent)
+    # the first shared token of a pair that shares enough stands early in both lists
+    early = (F.col("nth_a") <= F.col("left_a") - need) & (F.col("nth_b") <= F.col("left_b") - need)
     pairs = one.join(two, "token").filter(
-        (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b"))
-        & _sizes("size_a", "size_b", percent) & inside("a") & inside("b"))
-    pairs = pairs.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(
-        F.count(F.lit(1)).alias("k"), F.first(least).alias("least")).filter("k >= least").select("a", "b")
+        (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & _sizes("size_a", "size_b", percent)
+        & early)
+    pairs = pairs.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.first(need).alias("need"))
+    for x in ("a", "b"):
+        pairs = pairs.join(heads.select(F.col("cls").alias(x), F.col("tokens").alias(f"tokens_{x}")), x)
+    pairs = pairs.filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("need")).select("a", "b")
     pairs = save(_untested(pairs, tested), "pairs")
     links = links.unionByName(save(verify(pairs, named, reps, n, percent), "links"))
     comp = save(components(links), "components")

@@ -85,7 +85,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.filter("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b")
         small = small.select(F.col("m").alias("a"), F.col("b")).unionByName(
