@@ -102,9 +102,10 @@ LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[:COMM
 
 def common_counts(words: Column, common: Column) -> Column:
     """How often each of the ``common`` words occurs in ``words``, and last the count of all others."""
-    short = F.filter(words, lambda w: F.char_length(w) <= COMMON_LENGTH)
-    spelt = let(common, lambda ref: F.array_join(F.transform(short, lambda w: F.substring(
-        F.lit("_" + LETTERS), F.coalesce(F.array_position(ref, w), F.lit(0)).cast("int") + 1, F.lit(1))), ""))
+    def letter(ref, w):
+        at = F.array_position(ref, w).cast("int") + 1
+        return F.when(F.char_length(w) > COMMON_LENGTH, F.lit("")).otherwise(F.substring(F.lit("_" + LETTERS), at, F.lit(1)))
+    spelt = let(common, lambda ref: F.array_join(F.transform(words, lambda w: letter(ref, w)), ""))
     each = lambda s: [F.octet_length(s) - F.octet_length(F.replace(s, F.lit(x), F.lit(""))) for x in LETTERS]
     return let(spelt, lambda s: F.array(*[c.cast("long") for c in each(s)],
                                         (F.size(words) - F.octet_length(F.translate(s, "_", ""))).cast("long")))
