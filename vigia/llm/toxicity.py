@@ -19,13 +19,18 @@ import re
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigia.llm.common import map_chunks
+from vigia.llm.quality import windows_of, words_of
+from vigia.llm.scratch import save
+from vigia.session import materialize
 
 #: Bound of the labelled sample, in documents of each label (drawn by a hash of the id).
 SAMPLE_TOXIC, SAMPLE_OTHER = 8_000, 24_000
+#: Seeds by which copies in the sample are told.
+COPY_HASHES = 4
 #: Lengths of the stems tried besides whole words, and the least number of toxic texts that hold a term.
 STEM_LENGTHS, MIN_SUPPORT = (4, 5, 6), 3
 #: Words of the grammar's closed classes and seeds of the threat class.
@@ -33,7 +38,7 @@ NEGATORS = frozenset("not no never none isn't aren't wasn't don't doesn't nicht
 TARGETS = frozenset("you your you're they them he she him her these those people everyone du dich dein ihr euch sie tu toi vous ton votre ils elles tú usted ustedes ellos ellas".split())
 REPORTERS = frozenset("said says say wrote writes called calls claimed reported quoted according told sagte sagt schrieb nannte dit dis écrit appelé selon dijo dice escribió llamó según".split())
 THREATS = frozenset("kill killed murder hurt destroy shoot stab strangle töten umbringen erschießen tuer tuerai matar mataré".split())
-THREAT_WEIGHT = 3.0
+THREAT_WEIGHT, MAX_WEIGHT = 3.0, 6.0
 
 SCOPE = 3
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»„]")
@@ -194,7 +199,28 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: s
     part = F.when(F.col("y") == 1, F.lit(SAMPLE_TOXIC / max(n.get(1, 0), 1))).otherwise(
         F.lit(SAMPLE_OTHER / max(sum(n.values()) - n.get(1, 0), 1)))
     few = F.broadcast(marks.filter(draw < part))  # at most about the two bounds together
-    return docs.select(F.col(doc_id).alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(few, "_d")
+    rows = docs.select(F.col(doc_id).alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(few, "_d")
+    return save(_without_copies(save(rows, "labelled")), "labelled")
+
+
+def _stems(words: Column, n: int) -> Column:
+    return F.transform(F.filter(words, lambda w: F.char_length(w) >= n), lambda w: F.substring(w, 1, n))
+
+
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """The sampled texts less copies and most near copies, whose words would look like evidence from many texts: of
+    the texts that share the smallest hash of their 3-word windows under one of ``COPY_HASHES`` seeds, one stays."""
+    windows = windows_of(words_of(F.col("text")))
+    sigs = [F.array_min(F.transform(windows, _seeded(k))) for k in range(COPY_HASHES)]
+    left = materialize(rows.select("_d", F.array(*sigs).alias("sig"), F.xxhash64("text").alias("h")))
+    for k in range(COPY_HASHES):
+        own = F.coalesce(F.get("sig", F.lit(k)), F.col("h"))
+        left = left.groupBy(own.alias("g")).agg(F.min(F.struct("_d", "sig", "h")).alias("x")).select("x.*")
+    return rows.join(F.broadcast(left.select("_d")), "_d")
+
+
+def _seeded(k: int):
+    return lambda x: F.xxhash64(x, F.lit(k))
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -204,8 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = _sample(docs, labels, doc_id, text, toxic)
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.char_length(w) >= min(STEM_LENGTHS))
     # a term is a stem (first letters) or a whole word (marked by a closing =), counted once a text
-    stems = [F.transform(F.filter("w", lambda w, n=n: F.char_length(w) >= n), lambda w, n=n: F.substring(w, 1, n))
-             for n in STEM_LENGTHS]
+    stems = [_stems(F.col("w"), n) for n in STEM_LENGTHS]
     terms = F.array_distinct(F.concat(F.transform("w", lambda w: F.concat(w, F.lit("="))), *stems))
     counts = (rows.select("y", F.array_distinct(words).alias("w")).select("y", F.explode(terms).alias("term"))
               .groupBy("term").agg(F.sum(F.col("y").cast("long")).alias("n1"),
@@ -236,8 +261,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def _lexicon(counts: DataFrame, n1: int, n0: int) -> dict[str, tuple[float, bool]]:
     """Terms whose counts among toxic texts cannot be chance: the likelihood ratio of the counts is above twice the
-    logarithm of the number of terms tried, so that less than one chance term is expected.  The shortest stem that
-    passes stands for all its extensions."""
+    logarithm of the number of terms tried, so that less than one chance term is expected.  Heavier terms come first,
+    then shorter ones: a stem stands for all its extensions, unless a heavier extension holds most of its texts."""
     if not n1 or not n0:
         return {}
     tried = max(2, counts.count())
@@ -246,14 +271,18 @@ def _lexicon(counts: DataFrame, n1: int, n0: int) -> dict[str, tuple[float, bool
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     ratio = 2 * (part(a, (a + b) * share) + part(b, (a + b) * (1 - share)))
     weight = F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0))
-    rows = counts.select("term", ratio.alias("g"), weight.alias("weight")).filter(
+    rows = counts.select("term", "n1", ratio.alias("g"), weight.alias("weight")).filter(
         (F.col("g") > 2 * math.log(tried)) & (F.col("weight") > 3.0)).orderBy(F.desc("g"), "term").limit(5000).collect()
     out: dict[str, tuple[float, bool]] = {}
-    for r in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
+    held: dict[str, int] = {}
+    top = lambda r: min(float(r["weight"]), MAX_WEIGHT)
+    for r in sorted(rows, key=lambda r: (-top(r), len(r["term"]), r["term"])):
         whole = r["term"].endswith("=")
         t = r["term"].rstrip("=")
-        if not any(t[:n] in out and not out[t[:n]][1] for n in STEM_LENGTHS if n <= len(t)):
-            out[t] = (min(float(r["weight"]), 6.0), whole)
+        covered = any(t[:n] in out and not out[t[:n]][1] for n in range(1, len(t) + 1))
+        blurred = any(x.startswith(t) and n >= 0.8 * r["n1"] for x, n in held.items())
+        if not covered and not blurred:
+            out[t], held[t] = (top(r), whole), int(r["n1"])
     return out
 
 
