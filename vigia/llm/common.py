@@ -107,10 +107,25 @@ def chunks(frames: Iterator[pd.DataFrame], column: str = "text", limit: int = CH
             yield pdf.iloc[a:b].reset_index(drop=True)
 
 
+#: Rows that travel to Python at once.  Spark's default of 10,000 whole texts is more than two workers and their JVM
+#: should hold.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send at most ``BATCH_ROWS`` rows to Python at once; a smaller setting stays.  The setting is read
+    when a plan runs, after the operator has returned it, so it is not put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_chunks(df: DataFrame, schema: str, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
                column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """``mapInPandas`` with bounded pieces: ``make()`` runs once per task and returns the function that turns one
     piece into an output frame."""
+    bound_batches(df.sparkSession)
+
     def run(frames):
         f = make()
         for pdf in chunks(frames, column, limit):

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import chunks, map_chunks, mix, ngrams, split_words
+from vigia.llm.common import bound_batches, chunks, map_chunks, mix, ngrams, split_words
 
 #: Words per shingle, the least weighted containment of an item, and the Hamming radius of the search.
 SHINGLE, MIN_SIMILARITY, RADIUS = 3, 0.6, 15
@@ -214,6 +214,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_S
 def clean(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY, text: str = "text",
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text holds no benchmark item (see :func:`matches`)."""
+    bound_batches(docs.sparkSession)
     for shared in blocks(benchmark, item_id, item_text):
         docs = docs.filter(~_holds(shared, min_similarity)(F.col(text)))
     return docs

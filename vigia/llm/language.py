@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.llm.common import CHUNK_BYTES, chunks
+from vigia.llm.common import CHUNK_BYTES, bound_batches, chunks
 
 #: Labelled texts taken per language (about; drawn by a hash of the id) and the symbols used of them.
 SAMPLE_DOCS, SAMPLE_SYMBOLS = 200, 40_000
@@ -115,8 +115,7 @@ class Model:
 
     def codes(self) -> np.ndarray:
         """Symbol of every code point: 0 for what is no letter, 1 for unknown letters."""
-        out = np.zeros(0x110000, np.uint8)
-        out[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
+        out = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
         for i, c in enumerate(self.alphabet):
             out[ord(c)] = i + 2
         return out
@@ -205,6 +204,7 @@ def _predict(texts: list[str], m: Model, codes: np.ndarray) -> pd.DataFrame:
 
 def prediction(model: Model, spark: SparkSession, limit: int = CHUNK_BYTES):
     """Column function text -> struct (lang_pred, score, rate, symbols); see :func:`identify`."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rate double, symbols long")

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import chunks
+from vigia.llm.common import bound_batches, chunks
 from vigia.llm.tokens import JSON, RANKS, Encoder
 
 #: Tokens packed together by one task (4 bytes each).
@@ -116,6 +116,7 @@ def pack(docs: DataFrame, size: int = 1024, end_id: int = 0, doc_id: str = "doc_
         if held:
             yield flush()
 
+    bound_batches(docs.sparkSession)
     # ids travel as text: pandas would turn a column of integers with nulls into floats
     out = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
