@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +123,17 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return freed memory to the system.  Spark keeps Python workers for later tasks, and what their allocators hold
+    on to counts against the executor until then."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_chunks(df: DataFrame, schema: str, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
                column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """``mapInPandas`` with bounded pieces: ``make()`` runs once per task and returns the function that turns one
@@ -130,6 +144,8 @@ def map_chunks(df: DataFrame, schema: str, make: Callable[[], Callable[[pd.DataF
         f = make()
         for pdf in chunks(frames, column, limit):
             yield f(pdf)
+        f = pdf = None
+        give_back()
     return df.mapInPandas(run, schema)
 
 

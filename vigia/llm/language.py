@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.llm.common import CHUNK_BYTES, bound_batches, chunks
+from vigia.llm.common import CHUNK_BYTES, bound_batches, chunks, give_back
 
 #: Labelled texts taken per language (about; drawn by a hash of the id) and the symbols used of them.
 SAMPLE_DOCS, SAMPLE_SYMBOLS = 200, 40_000
@@ -215,6 +215,8 @@ def prediction(model: Model, spark: SparkSession, limit: int = CHUNK_BYTES):
             parts = [_predict([t or "" for t in pdf["t"]], m, codes)
                      for pdf in chunks([batch.to_frame("t")], "t", limit)]
             yield pd.concat(parts, ignore_index=True) if parts else _predict([], m, codes)
+        batch = parts = m = codes = None
+        give_back()
     return predict
 
 

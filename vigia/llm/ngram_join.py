@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import CHUNK_BYTES, map_chunks, shingle_sets
+from vigia.llm.common import CHUNK_BYTES, give_back, map_chunks, shingle_sets
 from vigia.llm.repeats import id_filter, maybe_in
 from vigia.llm.scratch import components, save, vector_sum
 
@@ -176,6 +176,8 @@ def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, percent:
             both = int((large[at] == small).sum())
             if 100 * both >= percent * (len(s) + len(own) - both):
                 out.append(c)
+        sets = own = s = None
+        give_back()
         return pd.DataFrame({"a": np.array(out, np.int64), "b": np.full(len(out), b, np.int64)})
     return got.groupBy("b", "part").applyInPandas(compare, "a long, b long")
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import bound_batches, chunks
+from vigia.llm.common import bound_batches, chunks, give_back
 from vigia.llm.tokens import JSON, RANKS, Encoder
 
 #: Tokens packed together by one task (4 bytes each).
@@ -115,6 +115,8 @@ def pack(docs: DataFrame, size: int = 1024, end_id: int = 0, doc_id: str = "doc_
                     held, tokens = [], 0
         if held:
             yield flush()
+        held = enc = None
+        give_back()
 
     bound_batches(docs.sparkSession)
     # ids travel as text: pandas would turn a column of integers with nulls into floats

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import CHUNK_BYTES, map_chunks, mix, span_hashes
+from vigia.llm.common import CHUNK_BYTES, give_back, map_chunks, mix, span_hashes
 from vigia.llm.scratch import save, vector_sum
 
 #: Cells of the bit filter on documents (a power of two).
@@ -188,8 +188,9 @@ def repeated_spans(docs: DataFrame, units: Callable[[list, dict], Units], window
         F.expr("substring(text, w.b_lo + 1, w.b_hi - w.b_lo)").alias("text"))
 
     def settle(pdf):
-        spans = resolve(pdf)
-        return pd.DataFrame({"f": pdf["f"], "c": pdf["c"], "spans": spans})
+        out = pd.DataFrame({"f": pdf["f"], "c": pdf["c"], "spans": resolve(pdf)})
+        give_back()
+        return out
     solved = pieces.withColumn("g", F.pmod(F.xxhash64("f"), F.lit(groups))).groupBy("g").applyInPandas(
         settle, "f long, c long, spans array<array<int>>")
     solved = save(solved.filter(F.size("spans") > 0), "solved")

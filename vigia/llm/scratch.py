@@ -35,7 +35,7 @@ def vector_sum(df: DataFrame, cells: int, make: Callable[[], Callable[[pd.DataFr
     ``make()`` gives a function that turns a piece of ``df`` (of at most ``limit`` bytes of ``column``, if given) into
     the cells it adds one to, repeats included.  Each task keeps one dense vector; vectors are added block by block in two rounds of streaming tasks, so no task holds more
     than its blocks and the driver receives one vector of a fixed size."""
-    from vigia.llm.common import bound_batches, chunks
+    from vigia.llm.common import bound_batches, chunks, give_back
     bound_batches(df.sparkSession)
     block = min(cells, VECTOR_BLOCK)
 
@@ -50,6 +50,8 @@ def vector_sum(df: DataFrame, cells: int, make: Callable[[], Callable[[pd.DataFr
                 part = total[b:b + block]
                 if part.any():
                     yield pd.DataFrame({"block": [b], "salt": [salt], "v": [zlib.compress(part.tobytes(), 1)]})
+        f = total = None
+        give_back()
 
     def add(frames):
         held: dict[tuple[int, int], np.ndarray] = {}
