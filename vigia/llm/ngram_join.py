@@ -177,7 +177,8 @@ def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, percent:
             if 100 * both >= percent * (len(s) + len(own) - both):
                 out.append(c)
         sets = own = s = None
-        give_back()
+        if len(pdf) > GROUP_MEMBERS // 4:  # most groups are a few texts, for which it costs more than it frees
+            give_back()
         return pd.DataFrame({"a": np.array(out, np.int64), "b": np.full(len(out), b, np.int64)})
     return got.groupBy("b", "part").applyInPandas(compare, "a long, b long")
 
