@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from vigia.llm import ngram_join, phrase_dedup, suffix_dedup
+from vigia.llm import ngram_join, phrase_dedup, repeats, suffix_dedup
 from vigia.llm.common import table
 from vigia.llm.repeats import find_anchors
 from vigia.llm.scratch import components
@@ -252,3 +252,49 @@ def test_registered_queries_equal_brute_force(spark, sf_small):
     assert got == brute_phrases(docs, 13)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op1_ngram_join"](spark, sf_small).collect()}
     assert got == brute_components(docs, 3, 90)
+
+
+# --- an anchor with a context in every document ------------------------------
+
+def footers(n):
+    """A footer shorter than the window in every text, with other text around it; some neighbourhoods occur twice."""
+    r = random.Random(12)
+    own = [[f"x{r.randrange(10**6)}" for _ in range(30)] for _ in range(n)]
+    for i in range(0, n, 9):
+        own[i][8:22] = own[(i + 5) % n][8:22]
+    foot = "all copyrights of this common footer belong".split()
+    return [" ".join(w[:15] + foot + w[15:]) for w in own]
+
+
+def small_groups(monkeypatch, module, name, limit):
+    """Groups of a few contexts, and an error where more than ``limit`` bytes are resolved at once."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", limit // 8)
+    monkeypatch.setattr(repeats, "ANCHOR_BYTES", limit // 4, raising=False)
+    resolve = getattr(module, name)
+
+    def bounded(pdf, window):
+        if pdf["text"].map(len).sum() > limit:
+            raise ValueError("too many contexts at once")
+        return resolve(pdf, window)
+    monkeypatch.setattr(module, name, bounded)
+
+
+def test_bytes_of_an_anchor_in_every_document(docs_of, monkeypatch):
+    small_groups(monkeypatch, suffix_dedup, "resolve_bytes", 8_000)
+    texts = footers(200)
+    texts += texts[:3]
+    docs = docs_of([(i, t, None, None, 0) for i, t in enumerate(texts)])
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+           for r in suffix_dedup.cut(suffix_dedup.repeated_bytes(docs, 60, 16)).collect()}
+    want = dict(enumerate(brute_bytes(texts, 60)))
+    assert got == want and sum(0 < x[1] < x[0] for x in want.values()) > 30
+
+
+def test_phrases_of_an_anchor_in_every_document(docs_of, monkeypatch):
+    small_groups(monkeypatch, phrase_dedup, "resolve_phrases", 8_000)
+    texts = footers(300)
+    rows = list(enumerate(texts + texts[:3], 5))
+    got = phrase_dedup.cut(phrase_dedup.repeated_phrases(docs_of([(i, t, None, None, 0) for i, t in rows]), 13))
+    want = brute_phrases(rows, 13)
+    assert {x.id: (x.n_words, x.n_removed, x.kept_sha256) for x in got.collect()} == want
+    assert sum(0 < x[1] < x[0] for x in want.values()) > 20

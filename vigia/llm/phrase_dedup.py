@@ -3,7 +3,8 @@
 Phrases are windows of ``window`` words.  Stretches of documents in which a phrase may recur (see ``repeats``) are
 dealt to shards by anchor.  A shard confirms the phrases that occur in documents of different ids, compiles one
 automaton of them with pyahocorasick (a word is one letter of the automaton), and streams the stretches through it to
-locate every occurrence; a phrase's payload is the smallest document id that holds it.
+locate every occurrence; a phrase's payload is the smallest document id that holds it.  The phrases of an anchor with
+very many contexts are confirmed across its shards by their hashes.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import map_chunks, split_words
+from vigia.llm.common import map_chunks, ngrams, split_words
 from vigia.llm.repeats import Units, covered, keyed, repeated_spans, with_spans
 
 WINDOW, ANCHOR = 13, 3
@@ -29,8 +30,8 @@ def word_units(texts: list[bytes], cache: dict) -> Units:
     return Units(h, (255 - np.minimum(end - begin, 255)).astype(np.uint8), first, begin, end)
 
 
-def resolve_phrases(pdf: pd.DataFrame, window: int = WINDOW) -> list:
-    """Covered spans of each context in ``pdf`` (id, text): its windows that a context of a smaller id holds too."""
+def _spell(texts: list[bytes]) -> list[str]:
+    """Each text with one letter for each word."""
     letters: dict[bytes, str] = {}
 
     def spell(text: bytes) -> str:
@@ -42,9 +43,13 @@ def resolve_phrases(pdf: pd.DataFrame, window: int = WINDOW) -> list:
                 x = letters[w] = chr(n if n < 0xD800 else n + 0x800)  # no surrogates
             out.append(x)
         return "".join(out)
+    return [spell(t) for t in texts]
 
+
+def resolve_phrases(pdf: pd.DataFrame, window: int = WINDOW) -> list:
+    """Covered spans of each context in ``pdf`` (id, text): its windows that a context of a smaller id holds too."""
     ids = pdf["id"].tolist()
-    spelt = [spell(t) for t in pdf["text"]]
+    spelt = _spell(list(pdf["text"]))
     low: dict[str, int] = {}
     twice: set[str] = set()
     for d, s in zip(ids, spelt):
@@ -57,11 +62,16 @@ def resolve_phrases(pdf: pd.DataFrame, window: int = WINDOW) -> list:
                 twice.add(p)
                 if d < was:
                     low[p] = d
-    if not twice:
+    return _stream(ids, spelt, {p: low[p] for p in twice}, window)
+
+
+def _stream(ids: list[int], spelt: list[str], low: dict[str, int], window: int) -> list:
+    """Covered spans of each spelt context: the phrases of ``low`` whose smallest id is below its own."""
+    if not low:
         return [[] for _ in ids]
     automaton = ahocorasick.Automaton()
-    for p in twice:
-        automaton.add_word(p, low[p])
+    for p, first in low.items():
+        automaton.add_word(p, first)
     automaton.make_automaton()
     out = []
     for d, s in zip(ids, spelt):
@@ -77,6 +87,35 @@ def resolve_phrases(pdf: pd.DataFrame, window: int = WINDOW) -> list:
     return out
 
 
+def _phrases(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and first word of each phrase."""
+    h, _, _, first = split_words(texts, {})
+    g = ngrams(h, window).view(np.int64)
+    n = np.maximum(np.diff(first) - window + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    return g[first[:-1][owner] + at], owner, at
+
+
+def tally_phrases(pdf: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
+    """(h, low, high) of each distinct phrase of the contexts in ``pdf`` (id, text): hash, smallest and largest id."""
+    h, owner, _ = _phrases(list(pdf["text"]), window)
+    rows = pd.DataFrame({"h": h, "id": pdf["id"].to_numpy()[owner]}).groupby("h")["id"]
+    return rows.agg(low="min", high="max").reset_index()
+
+
+def locate_phrases(pdf: pd.DataFrame, again: pd.DataFrame, window: int = WINDOW) -> list:
+    """Covered spans of each context in ``pdf`` (id, text): its phrases among those of ``again`` (h, low) whose
+    smallest id is below its own."""
+    texts = list(pdf["text"])
+    spelt = _spell(texts)
+    h, owner, at = _phrases(texts, window)
+    known = dict(zip(again["h"].tolist(), again["low"].tolist()))
+    hit = np.flatnonzero(np.isin(h, again["h"].to_numpy()))
+    low = {spelt[o][a:a + window]: known[x] for x, o, a in zip(h[hit].tolist(), owner[hit].tolist(), at[hit].tolist())}
+    return _stream(pdf["id"].tolist(), spelt, low, window)
+
+
 def repeated_phrases(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, doc_id: str = "doc_id",
                      text: str = "text") -> DataFrame:
     """Every row of ``docs`` (key, id, text as bytes) with ``spans``: the words covered by a window of ``window``
@@ -86,7 +125,9 @@ def repeated_phrases(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     have no spans.  A null id is neither smaller nor larger: such rows keep everything and repeat nothing.  Repeated
     rows have one id, so neither removes the other; an empty table gives no rows; other columns are not read."""
     rows = keyed(docs, doc_id, text)
-    spans = repeated_spans(rows, word_units, window, anchor, lambda pdf: resolve_phrases(pdf, window), earlier_only=True)
+    spans = repeated_spans(rows, word_units, window, anchor, lambda pdf: resolve_phrases(pdf, window),
+                           lambda pdf: tally_phrases(pdf, window), lambda pdf, again: locate_phrases(pdf, again, window),
+                           earlier_only=True)
     return with_spans(rows, spans, ["key", "id", "text"])
 
 

@@ -10,6 +10,8 @@ twice can lie in repeated windows.  An anchor's context is the stretch of the wi
    form a class, in which every window around the anchor is repeated.
 3. Where one anchor has several contexts, one text per class is fetched and the caller's method (suffix arrays or
    automata) tells which windows the classes share.  Classes are dealt out by anchor, so equal windows meet.
+   An anchor with more context bytes than one task should hold is dealt out by context as well: each part tells its
+   windows' hashes with the lowest and highest place, these are merged by hash, and the repeated ones go back.
 4. The classes' spans go back to all occurrences, and from there to the documents.
 """
 
@@ -30,6 +32,8 @@ from vigia.llm.scratch import save, vector_sum
 FILTER_CELLS = 1 << 22
 #: Context bytes that are resolved together in one group, on average.
 GROUP_BYTES = 3 << 18
+#: Context bytes of one anchor beyond which its contexts are dealt to several groups, and of what is resolved at once.
+ANCHOR_BYTES = 3 << 19
 
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
@@ -150,13 +154,16 @@ def keyed(docs: DataFrame, doc_id: str, text: str, carry: bool = False) -> DataF
 
 
 def repeated_spans(docs: DataFrame, units: Callable[[list, dict], Units], window: int, k: int,
-                   resolve: Callable[[pd.DataFrame], list], earlier_only: bool) -> DataFrame:
+                   resolve: Callable[[pd.DataFrame], list], tally: Callable[[pd.DataFrame], pd.DataFrame],
+                   locate: Callable[[pd.DataFrame, pd.DataFrame], list], earlier_only: bool) -> DataFrame:
     """(key, spans): for each key the units covered by repeated windows, as a list of structs (lo, hi).
 
     ``docs`` comes from :func:`keyed`.  With ``earlier_only`` a window counts as repeated in a document only if it
     starts in a document of a smaller id as well, otherwise if it starts anywhere else.  ``resolve`` gets the classes
-    of a few anchors as a frame (f, n, id, key, at, length, text) and returns for each row the list of covered (lo,
-    hi) units of its context."""
+    of a few anchors as a frame (f, c, n, id, key, lo, hi, text) and returns for each row the list of covered (lo,
+    hi) units of its context.  Of an anchor with many contexts, ``tally`` gets a part and returns one row for each
+    distinct window (h, low, high: its hash, lowest and highest place), and ``locate`` gets the part with the windows
+    of it that have two places in all (h, low) and returns what ``resolve`` does."""
     spark = docs.sparkSession
     docs = docs.filter("id is not null") if earlier_only else docs.withColumn("id", F.lit(0).cast("long"))
     seen = _rows_of(docs, units, window, k, full=False)
@@ -175,24 +182,49 @@ def repeated_spans(docs: DataFrame, units: Callable[[list, dict], Units], window
     mixed = classes.groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"),
                                      F.sum(F.col("b_hi") - F.col("b_lo")).alias("bytes"))
     mixed = mixed.filter("k > 1" if earlier_only else "k > 1 and least = 1")
-    open_classes = classes.join(mixed.select("f"), "f")
-    total = mixed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    groups = max(1, int(total // GROUP_BYTES))
+    large = F.col("bytes") > ANCHOR_BYTES
+    total, most = (int(x) for x in mixed.agg(*[F.coalesce(F.sum(F.when(x, F.col("bytes"))), F.lit(0))
+                                               for x in (~large, large)]).first())
+    # groups of whole anchors from 0 up, groups of parts of large anchors from -1 down
+    salt = F.pmod(F.xxhash64("c"), F.ceil(F.col("bytes") / GROUP_BYTES))
+    group = F.when(large, -1 - F.pmod(F.xxhash64("f", salt), F.lit(max(1, most // GROUP_BYTES)))).otherwise(
+        F.pmod(F.xxhash64("f"), F.lit(max(1, total // GROUP_BYTES))))
+    open_classes = classes.join(mixed.select("f", "bytes"), "f").withColumn("g", group.cast("int"))
     # the texts of the classes' representatives; the bit filter keeps most other documents out of the shuffle
-    wanted = open_classes.groupBy("key").agg(F.collect_list(F.struct("f", "c", "n", "id", "lo", "hi", "b_lo", "b_hi")).alias("w"))
+    wanted = open_classes.groupBy("key").agg(
+        F.collect_list(F.struct("g", "f", "c", "n", "id", "lo", "hi", "b_lo", "b_hi")).alias("w"))
     wanted = save(wanted, "wanted")
     bits = id_filter(wanted)
     one = docs.filter(maybe_in(bits, "key", spark)).select("key", "text").join(wanted, "key").dropDuplicates(["key"])
     pieces = one.select("key", "text", F.explode("w").alias("w")).select(
-        "key", "w.f", "w.c", "w.n", "w.id", "w.lo", "w.hi",
+        "key", "w.g", "w.f", "w.c", "w.n", "w.id", "w.lo", "w.hi",
         F.expr("substring(text, w.b_lo + 1, w.b_hi - w.b_lo)").alias("text"))
+    if most:
+        pieces = save(pieces, "pieces")
+    schema, limit = "f long, c long, spans array<array<int>>", ANCHOR_BYTES
 
     def settle(pdf):
-        out = pd.DataFrame({"f": pdf["f"], "c": pdf["c"], "spans": resolve(pdf)})
+        out = pd.concat([pd.DataFrame({"f": x["f"], "c": x["c"], "spans": resolve(x)}) for x in _by_anchor(pdf, limit)])
         give_back()
         return out
-    solved = pieces.withColumn("g", F.pmod(F.xxhash64("f"), F.lit(groups))).groupBy("g").applyInPandas(
-        settle, "f long, c long, spans array<array<int>>")
+    solved = pieces.filter("g >= 0").groupBy("g").applyInPandas(settle, schema)
+    if most:
+        parts = pieces.filter("g < 0")
+
+        def count(pdf):
+            out = tally(pdf).assign(g=pdf["g"].iloc[0])[["h", "low", "high", "g"]]
+            give_back()
+            return out
+
+        def settle_part(pdf, again):
+            out = pd.DataFrame({"f": pdf["f"], "c": pdf["c"], "spans": locate(pdf, again) if len(pdf) else []})
+            give_back()
+            return out
+        tallies = parts.groupBy("g").applyInPandas(count, "h long, low long, high long, g int")
+        again = tallies.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"),
+                                         F.collect_set("g").alias("gs")).filter("low < high")
+        again = save(again.select("h", "low", F.explode("gs").alias("g")), "again")
+        solved = solved.unionByName(parts.groupBy("g").cogroup(again.groupBy("g")).applyInPandas(settle_part, schema))
     solved = save(solved.filter(F.size("spans") > 0), "solved")
     own = classes.select("f", "c", "n", F.col("id").alias("first_id")).join(solved, ["f", "c"], "left")
     # a whole class is repeated: all its members, or all but those of the smallest id
@@ -205,6 +237,21 @@ def repeated_spans(docs: DataFrame, units: Callable[[list, dict], Units], window
     return spans.filter(F.size("s") > 0).groupBy("key").agg(F.flatten(F.collect_set("s")).alias("spans"))
 
 
+def _by_anchor(pdf: pd.DataFrame, limit: int) -> list[pd.DataFrame]:
+    """The rows of ``pdf`` in frames of whole anchors, each of at most ``limit`` bytes of text (or one anchor)."""
+    size = pdf["text"].map(len)
+    if size.sum() <= limit:
+        return [pdf]
+    out, held = [[]], 0
+    for f, n in size.groupby(pdf["f"]).sum().items():
+        if out[-1] and held + n > limit:
+            out.append([])
+            held = 0
+        out[-1].append(f)
+        held += n
+    return [pdf[pdf["f"].isin(fs)].reset_index(drop=True) for fs in out]
+
+
 def with_spans(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of every row of ``docs`` (which has ``key``) with its spans, null where there are none.  Rows that
     the bit filter rules out are not shuffled."""

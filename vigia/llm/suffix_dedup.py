@@ -4,7 +4,7 @@ Candidate stretches (see ``repeats``) are dealt to shards.  Each shard concatena
 array by prefix doubling (Larsson-Sadakane refinement, in numpy), then the longest common prefixes of neighbouring
 suffixes by Kasai's method, all stretches in step.  Neighbours that share at least ``window`` bytes form a run: one
 repeated string and all its places in the shard.  Runs of different shards of one group are merged by binary search
-of their string hashes.
+of their string hashes, those of a large anchor's groups by a shuffle of them.
 """
 
 from __future__ import annotations
@@ -190,15 +190,51 @@ def resolve_bytes(pdf: pd.DataFrame, window: int = WINDOW, limit: int = SHARD_SY
     for s, (run, begin, size_, *_), again in zip(shards, runs, repeated):
         hit = (run >= 0) & np.append(again, False)[run]
         for i, b, n in zip(s.tolist(), begin.tolist(), size_.tolist()):
-            starts = np.flatnonzero(hit[b:b + n])
-            if not len(starts):
-                out[i] = []
-                continue
-            breaks = np.flatnonzero(np.diff(starts) > window) + 1
-            out[i] = [[int(p[0]), int(p[-1]) + window] for p in np.split(starts, breaks)]
+            out[i] = _spans(hit[b:b + n], window)
     return out
 
 
+def _spans(hit: np.ndarray, window: int) -> list[list[int]]:
+    """The bytes covered by the windows that begin where ``hit`` is set."""
+    starts = np.flatnonzero(hit)
+    if not len(starts):
+        return []
+    breaks = np.flatnonzero(np.diff(starts) > window) + 1
+    return [[int(p[0]), int(p[-1]) + window] for p in np.split(starts, breaks)]
+
+
+def tally_bytes(pdf: pd.DataFrame, window: int = WINDOW, limit: int = SHARD_SYMBOLS) -> pd.DataFrame:
+    """(h, low, high) of each distinct window of the contexts in ``pdf`` (n, key, lo, text).  A place is a hash of the
+    document and the window's start; a window of a class with several members has the least and the greatest place."""
+    texts = list(pdf["text"])
+    many = pdf["n"].to_numpy() > 1
+    key, lo = pdf["key"].to_numpy().view(_U), pdf["lo"].to_numpy().astype(_U)
+    size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    cut, out, ends = np.cumsum(size) // limit, [], np.iinfo(np.int64)
+    for x in np.unique(cut):
+        s = np.flatnonzero(cut == x)
+        run, begin, _, keys, twice, *_ = _shard_runs([texts[i] for i in s], many[s], np.zeros(len(s), np.int64), window, True)
+        pos = np.flatnonzero(run >= 0)
+        owner = np.searchsorted(begin, pos, side="right") - 1
+        at = mix(mix(key[s])[owner] + lo[s][owner] + (pos - begin[owner]).astype(_U)).view(np.int64)
+        low, high = np.full(len(keys), ends.max), np.full(len(keys), ends.min)
+        np.minimum.at(low, run[pos], at)
+        np.maximum.at(high, run[pos], at)
+        low[twice], high[twice] = ends.min, ends.max
+        out.append(pd.DataFrame({"h": keys.view(np.int64), "low": low, "high": high}))
+    return pd.concat(out, ignore_index=True)
+
+
+def locate_bytes(pdf: pd.DataFrame, again: pd.DataFrame, window: int = WINDOW) -> list:
+    """Covered spans of each context in ``pdf`` (text): its windows whose hash is in ``again`` (h)."""
+    texts = list(pdf["text"])
+    size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    hit = np.isin(_window_hashes(np.frombuffer(b"".join(texts), np.uint8), window).view(np.int64), again["h"].to_numpy())
+    # no window runs from one context into the next
+    return [_spans(hit[b:b + n - window + 1], window) for b, n in zip(begin.tolist(), size.tolist())]
+
+
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, doc_id: str = "doc_id",
                    text: str = "text", carry: bool = False) -> DataFrame:
     """Every row of ``docs`` (key, id, text as bytes) with ``spans``: the bytes covered by a ``window``-byte string
@@ -208,7 +244,9 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     all of a repeated row of ``window`` bytes or more is covered; null ids are ids like others; an empty table gives
     no rows; other columns are not read."""
     rows = keyed(docs, doc_id, text)
-    spans = repeated_spans(rows, byte_units, window, anchor, lambda pdf: resolve_bytes(pdf, window), earlier_only=False)
+    spans = repeated_spans(rows, byte_units, window, anchor, lambda pdf: resolve_bytes(pdf, window),
+                           lambda pdf: tally_bytes(pdf, window), lambda pdf, again: locate_bytes(pdf, again, window),
+                           earlier_only=False)
     return with_spans(keyed(docs, doc_id, text, carry), spans, ["key", "id", "text", *(["doc"] if carry else [])])
 
 
