@@ -219,6 +219,14 @@ def test_language_of_odd_rows(odd_docs, no_docs, docs_of):
     assert language.identify(no_docs, model).count() == 0
 
 
+def test_draw_of_a_language_with_many_rows(docs_of, monkeypatch):
+    monkeypatch.setattr(language.F, "count", lambda _: F.max(F.lit(1 << 24)))
+    monkeypatch.setattr(language, "Model", lambda texts, _: texts)
+    docs = docs_of([f"text number {i}" for i in range(300)])
+    assert 100 < len(language.learn(docs, sample_docs=1 << 23)["en"]) < 200
+    assert language.learn(docs, sample_docs=1) == {}
+
+
 # --- quality ---------------------------------------------------------------
 
 def brute_counts(text):

@@ -178,7 +178,8 @@ def learn(docs: DataFrame, train: Column | None = None, doc_id: str = "doc_id",
     draw = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(11)), F.lit(1 << 40))
     got = (rows.select(F.col(lang).alias("_l"), F.col(text).alias("_t"), draw.alias("_h"))
            .join(F.broadcast(per), "_l")
-           .filter(F.col("_h") * F.col("_n") < F.lit(float(1 << 40)) * sample_docs))
+           # as doubles: the product of the longs overflows beyond 2**23 rows of a language
+           .filter(F.col("_h").cast("double") * F.col("_n") < F.lit(float(1 << 40)) * sample_docs))
     # equal texts once; no text is cut, texts beyond the bound of symbols are not used
     got = got.groupBy("_l", "_t").agg(F.min("_h").alias("_h")).orderBy("_l", "_h")
     texts: dict[str, list[str]] = {}
