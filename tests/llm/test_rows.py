@@ -417,3 +417,21 @@ def test_registered_decontamination_is_exact_on_planted_passages(spark, sf_small
     want = {(d.doc_id, i.item_id) for d in docs for i in items if i.text in d.text}
     got = {(r.doc_id, r.item_id) for r in QUERIES["op4_decontamination"](spark, sf_small).collect()}
     assert want and got >= want and len(got) <= len(want) + 1
+
+
+def test_truncated_items_as_whole_texts(spark, sf_small):
+    items = [(r.item_id, r.text) for r in table(spark, sf_small, "benchmark").collect() if len(r.text.split()) > 20]
+    docs, want = [], set()
+    for i, t in items:
+        words = t.split()
+        for n, cut in enumerate((words[:-1], words[1:], words[:-2])):
+            docs.append((10 * i + n, " ".join(cut)))
+            want.add((10 * i + n, i, len(cut)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(frame, bench).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    # the fingerprint of a few may lie beyond the radius
+    assert len(items) > 10 and len({(d, i) for d, i, _ in want} - found) <= 0.03 * len(want)
+    assert all(r.similarity >= 0.6 and r.start_word == 0 for r in got if r.doc_id // 10 == r.item_id)
+    assert {d for d, _, _ in want} - {r.doc_id for r in decontaminate.clean(frame, bench).collect()} == {d for d, _ in found}

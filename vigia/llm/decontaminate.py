@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming search.
 
-For each benchmark item, windows of the item's length slide over every text.  A window's SimHash is the sign of the
+For each benchmark item, windows of the item's length slide over every text (a shorter text is one window).  A window's SimHash is the sign of the
 weighted sum of its words' hash bits, taken from running sums.  Items are indexed by the eight bytes of their
 fingerprint: two fingerprints that differ in at most ``RADIUS`` = 15 bits differ in at most one bit in some byte, so
 looking up each byte and its eight neighbours finds every item within the radius.  Candidates are verified by the
@@ -135,7 +135,8 @@ def scan(h: np.ndarray, place: np.ndarray, index: Index, min_similarity: float =
     sums, by_k = None, {SHINGLE: (place, index.weights(place))}
     for m, (who, known, tables, least) in index.by_length.items():
         k = min(SHINGLE, m)
-        if m > len(h):
+        m = min(m, len(h))  # a shorter text is its own window
+        if m < k:
             continue
         if k not in by_k:
             own = index.places(h, k)
