@@ -435,3 +435,26 @@ def test_truncated_items_as_whole_texts(spark, sf_small):
     assert len(items) > 10 and len({(d, i) for d, i, _ in want} - found) <= 0.03 * len(want)
     assert all(r.similarity >= 0.6 and r.start_word == 0 for r in got if r.doc_id // 10 == r.item_id)
     assert {d for d, _, _ in want} - {r.doc_id for r in decontaminate.clean(frame, bench).collect()} == {d for d, _ in found}
+
+
+def test_items_with_a_replaced_block_are_found(spark):
+    sf = "/root/testdata/sf0.1"
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect() if r.text]
+    prose = [r.text.split() for r in table(spark, sf, "documents").filter("lang = 'en'").limit(300).collect()]
+    prose = [w for w in prose if len(w) > 60]
+    index, r, texts, want = decontaminate.Index(items), random.Random(5), [], []
+    number = {i: n for n, i in enumerate(index.ids.tolist())}
+    for i, t in items:
+        w = t.split()
+        if len(w) < 20:
+            continue
+        at, p = r.randrange(len(w) - 5), r.choice(prose)
+        w[at:at + 5] = r.choice(prose)[10:15]
+        own = index.grams[number[i]]
+        held = np.isin(own, index.places(decontaminate.plain_words([" ".join(w)], {})[0], decontaminate.SHINGLE))
+        if index.weight[own[held]].sum() >= decontaminate.MIN_SIMILARITY * index.total[number[i]]:
+            texts.append(" ".join(p[:25] + w + p[25:50]))
+            want.append(i)
+    got = decontaminate.scan_all(texts, index, {})
+    missed = sum(i not in [m[0] for m in ms] for i, ms in zip(want, got))
+    assert len(want) > 100 and missed <= 0.02 * len(want)

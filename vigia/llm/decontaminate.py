@@ -2,8 +2,8 @@
 
 For each benchmark item, windows of the item's length slide over every text (a shorter text is one window).  A window's SimHash is the sign of the
 weighted sum of its words' hash bits, taken from running sums.  Items are indexed by the eight bytes of their
-fingerprint: two fingerprints that differ in at most ``RADIUS`` = 15 bits differ in at most one bit in some byte, so
-looking up each byte and its eight neighbours finds every item within the radius.  Candidates are verified by the
+fingerprint: two fingerprints that differ in at most ``RADIUS`` = 23 bits differ in at most two bits in some byte, so
+looking up each byte among all values up to two bits away finds every item within the radius.  Candidates are verified by the
 weighted containment of the item's word shingles in the window, where rare shingles weigh more.
 
 Windows whose shingles weigh too little to reach the least containment of any item of their length get no fingerprint
@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from vigia.llm.common import bound_batches, chunks, map_chunks, mix, ngrams, split_words
 
 #: Words per shingle, the least weighted containment of an item, and the Hamming radius of the search.
-SHINGLE, MIN_SIMILARITY, RADIUS = 3, 0.6, 15
+SHINGLE, MIN_SIMILARITY, RADIUS = 3, 0.6, 23
 #: Items that are sent to the tasks at once.
 BLOCK_ITEMS = 20_000
-#: Windows fingerprinted at a time.
-BATCH = 1 << 14
+#: Windows fingerprinted at a time, and windows times items of their length.
+BATCH, BATCH_PAIRS = 1 << 14, 1 << 24
 
 _U = np.uint64
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -100,13 +100,13 @@ class Index:
 
 
 def _byte_tables(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each byte, the items by byte value, each also under the eight values one bit away: (offsets, items)."""
+    """For each byte, the items by byte value, each also under all values one or two bits away: (offsets, items)."""
     out = []
-    flips = np.array([0] + [1 << i for i in range(8)], np.int64)
+    flips = np.flatnonzero(_BITS[:256] <= 2)
     for j in range(8):
         own = ((prints >> _U(8 * j)) & _U(255)).astype(np.int64)
         value = (own[:, None] ^ flips[None, :]).reshape(-1)
-        item = np.repeat(np.arange(len(prints)), 9)
+        item = np.repeat(np.arange(len(prints)), len(flips))
         by = np.argsort(value, kind="stable")
         out.append((np.concatenate([[0], np.cumsum(np.bincount(value, minlength=256))]), item[by]))
     return out
@@ -149,8 +149,9 @@ def scan(h: np.ndarray, place: np.ndarray, index: Index, min_similarity: float =
             continue
         if sums is None:
             sums = index.bits(h)
-        for a in range(0, len(starts), BATCH):
-            s = starts[a:a + BATCH]
+        step = max(1, min(BATCH, BATCH_PAIRS // len(known)))
+        for a in range(0, len(starts), step):
+            s = starts[a:a + step]
             win, it, dist = _near(index.fingerprints(h, s, m, sums), known, tables, RADIUS)
             for w, i, d in zip(win.tolist(), it.tolist(), dist.tolist()):
                 start, item = int(s[w]), int(who[i])
