@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.llm import decontaminate, language, ngram_join, packing, phrase_dedup, quality, sharding, suffix_dedup, tokens, toxicity
+from vigia.llm import decontaminate, language, ngram_join, packing, phrase_dedup, quality, sharding, suffix_dedup, tokens, toxicity, whitening
 from vigia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,12 @@ def op10_toxicity(spark, sf_dir):
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@register
+def op12_embedding_whitening(spark, sf_dir):
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 # --- SQL ---------------------------------------------------------------------
 
 #: Words of every whole text; a null text has none.
