@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.llm import decontaminate, language, ngram_join, packing, phrase_dedup, quality, sharding, suffix_dedup, tokens, toxicity, whitening
+from vigia.llm import (decontaminate, language, merkle, ngram_join, packing, phrase_dedup, quality, sharding, suffix_dedup,
+                       tokens, toxicity, whitening)
 from vigia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +99,13 @@ def op12_embedding_whitening(spark, sf_dir):
     return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+@register
+def op13_merkle_manifest(spark, sf_dir):
+    tampered = F.coalesce(fold("doc_id", 2) == 0, F.lit(False))
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), {"text": text})
+
+
 # --- SQL ---------------------------------------------------------------------
 
 #: Words of every whole text; a null text has none.
@@ -151,3 +159,34 @@ SELECT w.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen(CAST({0} AS VARCHAR)), ':', {0}) END"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + "))"
+_PARENTS = "list_transform(range(0, (len(hs) + 2) // 3), lambda j: sha256(array_to_string(hs[3 * j + 1:3 * j + 3], '')))"
+_LEFT, _RIGHT = ("array_to_string(hs[i - i % 3 + 1:i], '')", "array_to_string(hs[i + 2:i - i % 3 + 3], '')")
+
+# CRC-32 of the decimal digits of an id, bit by bit (unsigned); a list_reduce begins with the first of its list
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+  list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda j: CAST(ascii(substr(CAST(doc_id AS VARCHAR), j, 1)) AS BIGINT))),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))))"""
+
+# the siblings of place i (from 0) are those of its run of three, in lists that begin with 1
+ORACLES["op13_merkle_manifest"] = f"""WITH RECURSIVE
+leaves AS (SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf, {_LEAF.format(text="got")} AS other FROM (
+    SELECT *, CASE WHEN {_CRC32} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS got FROM documents)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+levels AS (SELECT source, 0 AS l, list(leaf ORDER BY i) AS hs FROM placed GROUP BY source
+           UNION ALL SELECT source, l + 1, {_PARENTS} FROM levels WHERE len(hs) > 1),
+tops AS (SELECT source, hs[1] AS subroot, l AS top, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM levels WHERE len(hs) = 1),
+upper AS (SELECT 0 AS l, list(subroot ORDER BY i) AS hs FROM tops
+          UNION ALL SELECT l + 1, {_PARENTS} FROM upper WHERE len(hs) > 1),
+walk AS (SELECT doc_id, source, leaf, i, 0 AS l, other AS h, '' AS proof FROM placed
+         UNION ALL SELECT doc_id, w.source, leaf, i // 3, w.l + 1, sha256(concat({_LEFT}, h, {_RIGHT})), concat(proof, {_LEFT}, {_RIGHT})
+         FROM walk w JOIN levels v ON v.source IS NOT DISTINCT FROM w.source AND v.l = w.l WHERE len(hs) > 1),
+climb AS (SELECT doc_id, leaf, subroot, tops.i, 0 AS l, h, proof FROM walk
+          JOIN tops ON tops.source IS NOT DISTINCT FROM walk.source AND tops.top = walk.l
+          UNION ALL SELECT doc_id, leaf, subroot, i // 3, c.l + 1, sha256(concat({_LEFT}, h, {_RIGHT})), concat(proof, {_LEFT}, {_RIGHT})
+          FROM climb c JOIN upper u ON u.l = c.l WHERE len(hs) > 1)
+SELECT doc_id, leaf, subroot, hs[1] AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = hs[1] AS verified
+FROM climb c JOIN upper u ON u.l = c.l WHERE len(hs) = 1
+"""
