@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.llm import (decontaminate, language, merkle, ngram_join, packing, phrase_dedup, quality, sharding, suffix_dedup,
-                       tokens, toxicity, whitening)
+from vigia.llm import (decontaminate, katz, language, merkle, ngram_join, packing, phrase_dedup, quality, sharding,
+                       suffix_dedup, tokens, toxicity, whitening)
 from vigia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,15 @@ def op10_toxicity(spark, sf_dir):
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@register
+def op11_lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 10) == 0, F.lit(False))
+    model = katz.learn(docs.filter(~held_out))
+    return katz.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+                                          F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @register
 def op12_embedding_whitening(spark, sf_dir):
     rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
