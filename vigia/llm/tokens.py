@@ -2,7 +2,8 @@
 
 Ids are those of ``tokenizers`` with ``byte_bpe_50k.json``.  They are computed by tiktoken from the same vocabulary in
 rank form, which gives the same ids about three times as fast (tests compare the two); a text that holds the string of
-a special token is encoded by ``tokenizers`` itself, since only that library turns the string into the special id.
+a special token is encoded by ``tokenizers`` itself, since only that library turns the string into the special id, and
+so is a text with a run of white space too long for tiktoken's pattern.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigia.llm.common import map_chunks
+from vigia.llm.scratch import save
 
 #: Vocabulary files (names for ``public_tokenizers.path`` or absolute paths).
 RANKS, JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -43,11 +45,17 @@ class Encoder:
         if not text:
             return np.empty(0, np.uint32)
         if SPECIAL in text:
-            if self.slow is None:
-                from tokenizers import Tokenizer
-                self.slow = Tokenizer.from_file(_path(self.json_file))
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+            return self.by_tokenizers(text)
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # the pattern's search for the end of a very long run ran out of stack
+            return self.by_tokenizers(text)
+
+    def by_tokenizers(self, text: str) -> np.ndarray:
+        if self.slow is None:
+            from tokenizers import Tokenizer
+            self.slow = Tokenizer.from_file(_path(self.json_file))
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def length_histogram(docs: DataFrame, text: str = "text", ranks: str = RANKS, json_file: str = JSON) -> DataFrame:
@@ -76,6 +84,7 @@ def context_report(histogram: DataFrame) -> DataFrame:
     row of the next lower length plus (limit - L) * docs_over truncated tokens.
 
     The sums run within blocks of ``BLOCK`` lengths and over one row per block, so no task orders all lengths."""
+    histogram = save(histogram, "lengths")  # read twice below; the texts are encoded once
     h = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     per = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
