@@ -16,18 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigia.llm.common import CHUNK_BYTES, bound_batches, chunks, give_back
 
 #: Labelled texts taken per language (about; drawn by a hash of the id) and the symbols used of them.
 SAMPLE_DOCS, SAMPLE_SYMBOLS = 200, 40_000
-#: Symbols per lane, and distinct symbols of an alphabet (rarer letters share the remaining codes).
+#: Symbols per lane, and distinct symbols of an alphabet.  With more letters than symbols the most frequent
+#: ``SINGLE`` keep one of their own; the others are spelt with a first symbol and one (``PAIRS`` first symbols) or two
+#: symbols out of ``TRAIL``, enough for all letters of Unicode.
 BLOCK, MAX_ALPHABET = 512, 200
+SINGLE, PAIRS, TRAIL = 92, 8, 64
 UNKNOWN = "und"
-#: A document whose best rate (phrases per symbol) is above this resembles none of the languages.
-MAX_RATE = 0.50
+#: A document with more phrases than this times its symbols, and ``SPARE`` more, resembles none of the languages: the
+#: first phrases of a text are short in its own language too.
+MAX_RATE, SPARE = 0.50, 4
 
 _FLAG = 1 << 30
 
@@ -83,8 +87,19 @@ def parse_table(symbols: np.ndarray, size: int) -> np.ndarray:
     return out.reshape(-1).astype(np.int32)
 
 
+def spelling(rank: int, letters: int) -> tuple[int, ...]:
+    """Symbols (from 2 up) of the letter of this rank by frequency, out of ``letters``."""
+    if letters <= MAX_ALPHABET or rank < SINGLE:
+        return (rank + 2,)
+    trail, rank = 2 + MAX_ALPHABET - TRAIL, rank - SINGLE
+    if rank < PAIRS * TRAIL:
+        return 2 + SINGLE + rank // TRAIL, trail + rank % TRAIL
+    rank -= PAIRS * TRAIL
+    return 2 + SINGLE + PAIRS + rank // TRAIL ** 2, trail + rank // TRAIL % TRAIL, trail + rank % TRAIL
+
+
 class Model:
-    """Alphabet and parse tables by language."""
+    """Alphabet and parse tables by language.  Every letter of the labelled texts has a spelling."""
 
     def __init__(self, texts: dict[str, list[str]], sample_symbols: int = SAMPLE_SYMBOLS):
         joined = {}
@@ -101,23 +116,23 @@ class Model:
                 joined[lang] = " ".join(got)
         chars, counts = np.unique(np.array(list("".join(joined.values()).replace(" ", "")), dtype="U1"), return_counts=True)
         ranked = chars[np.argsort(-counts, kind="stable")].tolist()
-        self.alphabet = ranked[:MAX_ALPHABET]
-        self.size = len(self.alphabet) + 2
+        self.alphabet = {c: spelling(i, len(ranked)) for i, c in enumerate(ranked)}
+        self.size = min(len(ranked), MAX_ALPHABET) + 2
         self.langs = list(joined)
-        code = {c: i + 2 for i, c in enumerate(self.alphabet)}
-        code[" "] = 0
+        code = {**self.alphabet, " ": (0,)}
         self.tables, self.logs = [], []
         for lang in self.langs:
-            seq = np.array([code.get(c, 1) for c in joined[lang]], np.int64)
-            table = parse_table(seq[seq != 1], self.size)
-            self.tables.append(table)
+            seq = np.array([x for c in joined[lang] for x in code[c]], np.int64)
+            self.tables.append(parse_table(seq, self.size))
             self.logs.append(float(np.log2(max(2, len(seq)))))
 
     def codes(self) -> np.ndarray:
-        """Symbol of every code point: 0 for what is no letter, 1 for unknown letters."""
-        out = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
-        for i, c in enumerate(self.alphabet):
-            out[ord(c)] = i + 2
+        """First symbol of every code point (0 for what is no letter, 1 for unknown letters), and the second and third
+        (0: none) where letters have them."""
+        out = np.zeros((max(map(len, self.alphabet.values()), default=1), 0x110000), np.uint8)
+        out[0] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
+        for c, spelt in self.alphabet.items():
+            out[:len(spelt), ord(c)] = spelt
         return out
 
 
@@ -126,7 +141,12 @@ def phrase_rates(texts: list[str], model: Model, codes: np.ndarray) -> tuple[np.
     rows = [np.frombuffer(t.lower().encode("utf-32-le", "replace"), np.uint32) for t in texts]
     owner = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])
     points = np.concatenate([x for r in rows for x in (r, np.zeros(1, np.uint32))]) if rows else np.zeros(0, np.uint32)
-    sym = codes[points]
+    sym = codes[0][points]
+    if len(codes) > 1:  # letters of several symbols
+        more = codes[:, points].T
+        some = more > 0
+        some[:, 0] = True
+        owner, sym = np.repeat(owner, some.sum(axis=1)), more[some]
     # one space for each run of other characters, none before the first letter of a text
     space = sym == 0
     keep = ~space
@@ -181,7 +201,11 @@ def learn(docs: DataFrame, train: Column | None = None, doc_id: str = "doc_id",
            # as doubles: the product of the longs overflows beyond 2**23 rows of a language
            .filter(F.col("_h").cast("double") * F.col("_n") < F.lit(float(1 << 40)) * sample_docs))
     # equal texts once; no text is cut, texts beyond the bound of symbols are not used
-    got = got.groupBy("_l", "_t").agg(F.min("_h").alias("_h")).orderBy("_l", "_h")
+    got = got.groupBy("_l", "_t").agg(F.min("_h").alias("_h"))
+    # the draw is small; what lies behind more than enough letters stays where it is
+    before = Window.partitionBy("_l").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    got = got.withColumn("_b", F.coalesce(F.sum(F.length("_t")).over(before), F.lit(0)))
+    got = got.filter(F.col("_b") < 4 * sample_symbols).orderBy("_l", "_h")
     texts: dict[str, list[str]] = {}
     for r in got.toLocalIterator():
         texts.setdefault(r["_l"], []).append(r["_t"])
@@ -234,6 +258,6 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text resembles a language that was learned: rows without
-    letters and rows whose best phrase rate is above ``max_rate`` go."""
+    letters and rows with more phrases in the best language than ``max_rate`` times their symbols and ``SPARE`` go."""
     p = prediction(model, docs.sparkSession)(F.col(text))
-    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["rate"] <= max_rate))
+    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["rate"] * p["symbols"] <= p["symbols"] * max_rate + SPARE))
