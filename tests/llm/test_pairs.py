@@ -105,6 +105,15 @@ def test_one_of_each_keeps_whole_rows(odd_docs, no_docs):
     assert ngram_join.one_of_each(no_docs).count() == 0
 
 
+def test_a_row_goes_for_its_own_text_only(docs_of):
+    a = " ".join(f"word{i}" for i in range(60))
+    b = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, a, "en", "s", 1), (2, a + " end", "en", "s", 2), (2, b, "en", "s", 3), (3, b + " end", "en", "t", 4),
+            (4, "", "en", "s", 0), (4, "", "en", "s", 0), (5, a[:50], "en", "s", 5), (5, a[:50], "en", "s", 5)]
+    kept = sorted((r.doc_id, r.text) for r in ngram_join.one_of_each(docs_of(rows)).collect())
+    assert kept == sorted([(1, a), (2, b), (4, ""), (4, ""), (5, a[:50])])
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -86,16 +86,17 @@ def _class_of(tokens: np.ndarray) -> int:
 
 
 def _classes(rows: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, cls) of every row."""
+    """(doc_id, n_shingles, cls, text_hash) of every row."""
     def make():
         cache: dict = {}
 
         def read(pdf):
             sets = shingle_sets(list(pdf["text"]), n, cache)
             return pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets],
-                                 "cls": [_class_of(s) if len(s) else 0 for s in sets]})
+                                 "cls": [_class_of(s) if len(s) else 0 for s in sets], "text_hash": pdf["text_hash"]})
         return read
-    return map_chunks(rows, "doc_id string, n_shingles long, cls long", make)
+    return map_chunks(rows.withColumn("text_hash", F.xxhash64("text")),
+                      "doc_id string, n_shingles long, cls long, text_hash long", make)
 
 
 def _sketch(rows: DataFrame, n: int) -> np.ndarray:
@@ -189,7 +190,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
 
     Words are runs of anything but ASCII white space, with A-Z in lower case; a text of fewer than ``n`` words has its
     whole sequence as its one n-gram.  Returns one row per input row with a non-null id: doc_id, n_shingles,
-    component_id (smallest id of the group).  Null and empty texts have no n-grams and are groups of their own.  Rows
+    component_id (smallest id of the group), component (a number of the group), text_hash.  Null and empty texts have no n-grams and are groups of their own.  Rows
     with a null id are returned with a null component and link nothing; repeated rows are equal sets and share a
     component; an empty table gives no rows; other columns are not read."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -248,31 +249,33 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
         "component", F.coalesce("component", "cls")).select("cls", "first", "component")
     joined = save(joined, "members")
     least_id = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    final = joined.join(least_id, "component").select("cls", "component_id")
-    linked = known.join(final, "cls").select("doc_id", "n_shingles", "component_id")
+    final = joined.join(least_id, "component").select("cls", "component_id", "component")
+    linked = known.join(final, "cls").select("doc_id", "n_shingles", "component_id", "component", "text_hash")
     alone = classes.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"), "text_hash")
     return linked.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, less those whose group has a smaller id.  Of rows that repeat an
-    id, one stays (the one with the smallest hash of its text); rows without n-grams or id stay.
+    """The rows of ``docs``, with all their columns, less those whose group has a row of a smaller id (or of the same id
+    with a smaller hash of the text).  A row goes for its own text only: rows that repeat an id with an unrelated text
+    stay.  Of rows with the same id and text one stays; rows without n-grams or id stay.
 
     Only rows that a bit filter suspects are shuffled; the others leave as they were read."""
-    groups = save(similar_components(docs, n, percent, doc_id, text), "groups")
-    gone = groups.filter("doc_id <> component_id").select("doc_id")
-    again = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    suspects = save(gone.unionByName(again.select("doc_id")).distinct().select(
-        F.xxhash64("doc_id").alias("key"), "doc_id"), "suspects")
-    maybe = F.coalesce(maybe_in(id_filter(suspects), F.xxhash64(F.col(doc_id)), docs.sparkSession), F.lit(True))
+    groups = save(similar_components(docs, n, percent, doc_id, text).filter("component is not null").select(
+        "component", "doc_id", "text_hash"), "groups")
+    first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"),
+                                            F.count(F.lit(1)).alias("k")).filter("k > 1")
+    shared = save(groups.join(first, "component").select(
+        "doc_id", "text_hash", (F.struct("doc_id", "text_hash") != F.col("first")).alias("goes")).distinct(), "suspects")
+    key = F.xxhash64("doc_id", "text_hash")
+    maybe = F.coalesce(maybe_in(id_filter(shared.select(key.alias("key"))), key, docs.sparkSession), F.lit(True))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(whole.alias("doc"), F.col(doc_id).alias("doc_id"), maybe.alias("maybe"),
-                       F.xxhash64(F.col(text)).alias("h"))
-    seen = rows.filter("maybe").join(gone.distinct(), "doc_id", "left_anti")
-    many = seen.join(again.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min_by("doc", "h").alias("doc"))
-    single = seen.join(again.select("doc_id"), "doc_id", "left_anti")
-    out = single.select("doc").unionByName(many.select("doc")).unionByName(
+    rows = docs.select(whole.alias("doc"), F.xxhash64(whole).alias("h"), F.col(doc_id).alias("doc_id"),
+                       F.xxhash64(F.col(text).cast("binary")).alias("text_hash")).withColumn("maybe", maybe)
+    seen = rows.filter("maybe").join(shared, ["doc_id", "text_hash"], "left").filter("not coalesce(goes, false)")
+    firsts = seen.filter("goes is not null").groupBy("doc_id", "text_hash").agg(F.min_by("doc", "h").alias("doc"))
+    out = seen.filter("goes is null").select("doc").unionByName(firsts.select("doc")).unionByName(
         rows.filter("not maybe").select("doc"))
     return out.select("doc.*")
 

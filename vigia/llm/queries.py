@@ -30,7 +30,8 @@ def fold(doc_id, n: int):
 
 @register
 def op1_ngram_join(spark, sf_dir):
-    return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    found = ngram_join.similar_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @register
