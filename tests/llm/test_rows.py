@@ -69,6 +69,19 @@ def test_ids_equal_those_of_tokenizers(spark, sf_small):
         assert enc(t).tolist() == reference_ids(t)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t"])
+def test_very_long_white_space(docs_of, run):
+    texts = ["a" + run * 1_000_000 + "b", run * 5_000_000]
+    enc = tokens.Encoder()
+    for t in texts:
+        assert enc(t).tolist() == reference_ids(t)
+    n = [len(enc(t)) for t in texts]
+    rows = tokens.length_histogram(docs_of(texts)).collect()
+    assert sum(r.n_tokens * r.n_docs for r in rows) == sum(n)
+    pieces = packing.pack(docs_of(texts)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in pieces} == {1: n[0] + 1, 2: n[1] + 1}
+
+
 def test_context_report(spark, sf_small):
     docs = table(spark, sf_small, "documents")
     enc = tokens.Encoder()
@@ -219,6 +232,31 @@ def test_language_of_odd_rows(odd_docs, no_docs, docs_of):
     assert language.identify(no_docs, model).count() == 0
 
 
+def test_letters_beyond_the_alphabet_are_spelt():
+    for letters in (100, 200, 201, 3_000, 140_000):
+        spelt = [language.spelling(i, letters) for i in range(letters)]
+        flat = {x for s in spelt for x in s}
+        assert min(flat) == 2 and max(flat) < language.MAX_ALPHABET + 2
+        assert len(set(spelt)) == letters and len({s[:k] for s in spelt for k in range(1, len(s))} & set(spelt)) == 0
+
+
+def test_language_of_many_signs_and_short_texts_are_kept(docs_of):
+    r = random.Random(8)
+    signs = [chr(0x4E00 + i) for i in range(3_000)]
+    weight = [1 / (i + 20) for i in range(3_000)]
+    signed = ["".join(r.choices(signs, weight, k=300)) for _ in range(140)]
+    prose = ["the quick brown fox jumps over a lazy dog and " * 3 + f"number {i}" for i in range(60)]
+    rows = [(i, t, "zh", "s", 1) for i, t in enumerate(signed[:120])] + [(1000 + i, t, "en", "s", 1) for i, t in enumerate(prose)]
+    model = language.learn(docs_of(rows))
+    short = ["ok", "hi you", "A.", "signed", "thanks dog", "z"]
+    new = docs_of(signed[120:] + short)
+    assert language.accepted(new, model).count() == 26
+    pred = {p.doc_id: p.lang_pred for p in language.identify(new, model).collect()}
+    assert all(pred[i] == "zh" for i in range(1, 21))
+    soup = docs_of(["".join(r.choice("бвгджз") for _ in range(200)), " ".join("qzxvkj"[r.randrange(6)] for _ in range(300))])
+    assert language.accepted(soup, model).count() == 0
+
+
 def test_draw_of_a_language_with_many_rows(docs_of, monkeypatch):
     monkeypatch.setattr(language.F, "count", lambda _: F.max(F.lit(1 << 24)))
     monkeypatch.setattr(language, "Model", lambda texts, _: texts)
@@ -402,6 +440,18 @@ def test_items_in_several_blocks(spark, docs_of, monkeypatch):
     assert {(x.doc_id, x.item_id) for x in decontaminate.matches(docs, bench).collect()} == {(1, 0), (1, 3), (3, 6), (4, 10)}
 
 
+def test_memory_does_not_grow_with_the_running_sums(spark, sf_small):
+    import tracemalloc
+    items = [(r.item_id, r.text) for r in table(spark, sf_small, "benchmark").collect()]
+    index = decontaminate.Index(items)
+    prose = " ".join(f"plain{i % 5000} prose{i % 77}" for i in range(400_000))
+    text = prose[:2_500_000] + " " + items[3][1] + " " + prose[:2_500_000]
+    tracemalloc.start()
+    found = decontaminate.scan_all([text], index, {})[0]
+    assert [m[0] for m in found] == [items[3][0]] and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 def test_decontamination_of_odd_rows(spark, odd_docs, no_docs, docs_of):
     bench = spark.createDataFrame([(1, "plain sentence stands here again and again for the test of ties")], "item_id long, text string")
     ids = [x.doc_id for x in decontaminate.matches(odd_docs, bench).collect()]
