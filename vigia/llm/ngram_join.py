@@ -190,9 +190,15 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
 
     Words are runs of anything but ASCII white space, with A-Z in lower case; a text of fewer than ``n`` words has its
     whole sequence as its one n-gram.  Returns one row per input row with a non-null id: doc_id, n_shingles,
-    component_id (smallest id of the group), component (a number of the group), text_hash.  Null and empty texts have no n-grams and are groups of their own.  Rows
+    component_id (smallest id of the group).  Null and empty texts have no n-grams and are groups of their own.  Rows
     with a null id are returned with a null component and link nothing; repeated rows are equal sets and share a
     component; an empty table gives no rows; other columns are not read."""
+    return grouped_rows(docs, n, percent, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped_rows(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """:func:`similar_components` with ``component``, a number of the group (null without n-grams or id), and
+    ``text_hash``."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     named = rows.filter(F.col("doc_id").isNotNull())
@@ -262,7 +268,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "d
     stay.  Of rows with the same id and text one stays; rows without n-grams or id stay.
 
     Only rows that a bit filter suspects are shuffled; the others leave as they were read."""
-    groups = save(similar_components(docs, n, percent, doc_id, text).filter("component is not null").select(
+    groups = save(grouped_rows(docs, n, percent, doc_id, text).filter("component is not null").select(
         "component", "doc_id", "text_hash"), "groups")
     first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"),
                                             F.count(F.lit(1)).alias("k")).filter("k > 1")

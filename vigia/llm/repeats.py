@@ -123,24 +123,25 @@ def _pair(column: str, lo: str, hi: str) -> list[Column]:
     return [F.shiftright(column, 32).cast("int").alias(lo), F.col(column).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias(hi)]
 
 
-def id_filter(ids: DataFrame, column: str = "key") -> np.ndarray:
-    """Bits of a filter of fixed size over the long values of ``column``."""
-    return np.packbits(vector_sum(ids.select(column), FILTER_CELLS, lambda: lambda pdf: _cells(pdf[column].to_numpy())) > 0)
+def _cell(value: str | Column) -> Column:
+    """The cell of the filter that a value belongs to."""
+    return F.shiftrightunsigned(F.xxhash64(value), 64 - (FILTER_CELLS.bit_length() - 1))
 
 
-def _cells(values: np.ndarray) -> np.ndarray:
-    return (mix(values.astype(np.int64).view(_U)) >> _U(64 - (FILTER_CELLS.bit_length() - 1))).astype(np.int64)
+def id_filter(ids: DataFrame, column: str = "key") -> np.ndarray:
+    """Bits of a filter of fixed size over the values of ``column``."""
+    cells = ids.select(_cell(column).alias("cell"))
+    return np.packbits(vector_sum(cells, FILTER_CELLS, lambda: lambda pdf: pdf["cell"].to_numpy()) > 0)
 
 
 def maybe_in(bits: np.ndarray, column: str | Column, spark) -> Column:
-    """Whether a long may be among the values of the filter; values that are among them always pass."""
-    shared = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def test(v: pd.Series) -> pd.Series:
-        c = _cells(v.to_numpy())
-        return pd.Series((shared.value[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool))
-    return test(column)
+    """Whether a value may be among those of the filter; values that are among them always pass.
+
+    The bits are a scalar subquery over one row, tested by built-in functions: no row travels to Python for it."""
+    whole = spark.createDataFrame([(bytearray(bits.tobytes()),)], "bits binary").scalar()
+    cell = _cell(column)
+    byte = F.conv(F.hex(F.substring(whole, (F.shiftright(cell, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.bit_get(byte, (7 - cell.bitwiseAND(7)).cast("int")) == 1
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str, carry: bool = False) -> DataFrame:
