@@ -119,6 +119,59 @@ def test_grid_promote_and_slice(spark):
     assert [(r.first, r.second) for r in wide] == [("1", "2"), (None, "4")]
 
 
+def test_slice_catalogue_cuts_all_blocks_in_one_pass(spark):
+    """Two sources, two sheets, overlapping blocks, a row range and a missing cell."""
+    cells = []
+    for src in ("s", "t"):
+        for row in range(6):
+            cells += [(src, "Data", row, c, f"{src}{row}{c}") for c in range(1, 5) if (row, c) != (4, 2)]
+            cells += [(src, "Two", row, c, f"{src}-{row}{c}") for c in (1, 2)]
+    g = spark.createDataFrame(cells, "source string, sheet string, row_no int, col_no int, value string")
+    cat = grid.slice_catalogue(spark, [grid.Slice("Data", "L", 1, 1, ("a", "b")), grid.Slice("Data", "R", 1, 2, ("x", "y", "z")),
+                                       grid.Slice("Two", "L", 0, 1, ("k",), first_row=1, n_rows=2)])
+    rows = grid.slice_blocks(g, cat)
+    assert rows.count() == 2 * (3 * 2 - 1 + 3 * 3 - 1 + 2)
+    wide = grid.wide_blocks(rows, 3)
+    left = grid.block_table(wide, "L", ["a", "b"]).filter("sheet = 'Data' and source = 't'").orderBy("row_no").collect()
+    assert [(r.row_no, r.a, r.b) for r in left] == [(3, "t31", "t32"), (4, "t41", None), (5, "t51", "t52")]
+    two = wide.filter("sheet = 'Two'").orderBy("source", "row_no").collect()
+    assert [(r.source, r.row_no, r.c0, r.c1) for r in two] == [("s", 3, "s-31", None), ("s", 4, "s-41", None),
+                                                              ("t", 3, "t-31", None), ("t", 4, "t-41", None)]
+    with pytest.raises(ValueError, match="twice"):
+        grid.slice_catalogue(spark, [grid.Slice("Data", "L", 1, 1, ("a",))] * 2)
+
+
+def test_population_order_does_not_change_the_set(spark):
+    """14 populations: ordered by IS the table still holds the twelve of the highest IF."""
+    rows = [("s", f"p{i:02d}", float(i + 1), float(100 - 7 * i), 1000.0) for i in range(14)]
+    df = spark.createDataFrame(rows, "Estacion string, Poblacion string, N_AT double, N_Dias_Total double, HHT double")
+    by_if = ex.rates_by_population_topk(df, 12).orderBy("rank").collect()
+    by_is = ex.rates_by_population_topk(df, 12, by="IS").orderBy("rank").collect()
+    assert [r.Poblacion for r in by_if] == [f"p{i:02d}" for i in range(13, 1, -1)]
+    assert {r.Poblacion for r in by_is} == {r.Poblacion for r in by_if}
+    assert [r.IS for r in by_is] == sorted((r.IS for r in by_if), reverse=True)
+
+
+def test_view_without_display_columns_is_the_whole_table(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
+    view = cs.filter_cases(df, ["Graves"], ["PROMO"])
+    assert view.columns == ["x", "y"] and view.count() == 2
+
+
+def test_what_if_scenario_table(spark):
+    b = spark.createDataFrame([("A", "1", 1000.0), ("A", "2", 0.0), ("B", "1", 500.0), ("B", "1", 500.0)],
+                              "Estacion string, Mes string, HHT double")
+    cols = "escenario string, Estacion string, Mes string, horas double, factor_horas double, dias double"
+    sc = spark.createDataFrame([("all", None, None, None, None, 1.0), ("twice", None, None, None, 2.0, 3.0), ("A", "A", None, None, 1.0, 9.0),
+                                ("fixed", "B", "1", 240000.0, None, 4.0), ("none", None, None, 0.0, 1.0, 4.0), ("no such", "Z", None, None, 1.0, 1.0),
+                                ("january", None, "1", None, 1.0, 2.0)], cols)
+    got = {(r.escenario, r.Estacion, r.Mes): (r.HHT, r.IF_caso, r.IS_caso) for r in ex.what_if_scenarios(b, sc).collect()}
+    assert got == {("all", "A", "1"): (1000, 240, 240), ("all", "B", "1"): (1000, 240, 240), ("twice", "A", "1"): (2000, 120, 360),
+                   ("twice", "B", "1"): (2000, 120, 360), ("A", "A", "1"): (1000, 240, 2160), ("fixed", "B", "1"): (240000, 1, 4),
+                   ("january", "A", "1"): (1000, 240, 480), ("january", "B", "1"): (1000, 240, 480)}
+    assert ex.what_if_scenarios(b, sc.limit(0)).count() == 0
+
+
 def test_drop_all_null_columns(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, None, None)], "a int, b string, c string")
     assert cs.drop_all_null_columns(df).columns == ["a", "c"]

@@ -190,9 +190,11 @@ def mean_days_by_job(plain: DataFrame, top: int = 10, digits: int | None = 2) ->
 
 def filter_cases(plain: DataFrame, clasificacion: list[str] | None = None,
                  tipo: list[str] | None = None) -> DataFrame:
-    """Data view: display columns, optional multi-select filters (an empty
-    selection filters nothing), both ANDed."""
+    """Data view: display columns (the whole table if it has none of them),
+    optional multi-select filters (an empty selection filters nothing), both
+    ANDed."""
     view = select_available(plain, SHOW_COLS)
+    view = view if view.columns else plain
     if clasificacion and "Clasificacion del accidente" in view.columns:
         view = view.filter(F.col("`Clasificacion del accidente`").isin(list(clasificacion)))
     if tipo and "Tipo de accidente" in view.columns:

@@ -85,16 +85,19 @@ def station_rates(exposure: DataFrame, station: str) -> DataFrame:
 
 
 def rates_by_population_topk(exposure: DataFrame, k: int = 12, by: str = "IF") -> DataFrame:
-    """Per station, the ``k`` populations with the highest ``by`` (IF or IS;
-    accidents > 0), ranked.
+    """Per station, the ``k`` populations with the highest IF (accidents > 0),
+    ranked by ``by`` (IF or IS): the order of the view never changes which
+    populations it shows.
 
     All stations in one job: the window runs on the aggregated rows and
     Spark plans it with a per-partition group limit before the shuffle."""
     g = _with_rates(_sums(exposure, ["Estacion", "Poblacion"]), severity=False, level=False) \
         .filter(F.col("N_AT") > 0)
-    w = Window.partitionBy("Estacion").orderBy(F.desc(by), F.asc("Poblacion"))
-    return (g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-             .select("Estacion", "Poblacion", "rank", "N_AT", "N_Dias", F.round("HHT", 3).alias("HHT"), "IF", "IS"))
+    w = Window.partitionBy("Estacion").orderBy(F.desc("IF"), F.asc("Poblacion"))
+    top = g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if by != "IF":      # at most k rows a station
+        top = top.withColumn("rank", F.row_number().over(Window.partitionBy("Estacion").orderBy(F.desc(by), F.asc("Poblacion"))))
+    return (top.select("Estacion", "Poblacion", "rank", "N_AT", "N_Dias", F.round("HHT", 3).alias("HHT"), "IF", "IS"))
 
 
 def rates_by_month(exposure: DataFrame) -> DataFrame:
@@ -125,11 +128,41 @@ def rates_grouping_sets(exposure: DataFrame) -> DataFrame:
 def what_if(exposure: DataFrame, days: float = 3.0, keys=("Estacion", "Mes")) -> DataFrame:
     """What-if per scenario row: IF of one accident and IS of ``days`` lost days
     for the scenario's hours, and the gap to the IF target (hours > 0 only)."""
-    s = exposure.groupBy(*keys).agg(F.sum("HHT").alias("HHT")).filter(F.col("HHT") > 0)
+    s = _hours(exposure, keys)
     return s.select(*keys, F.round("HHT", 3).alias("HHT"),
                     *[v.alias(k) for k, v in rates.what_if(F.col("HHT"), F.lit(float(days))).items()])
 
 
+def _hours(exposure: DataFrame, keys) -> DataFrame:
+    return exposure.groupBy(*keys).agg(F.sum("HHT").alias("HHT")).filter(F.col("HHT") > 0)
+
+
+def what_if_scenarios(exposure: DataFrame, scenarios: DataFrame, keys=("Estacion", "Mes")) -> DataFrame:
+    """What-if of a whole scenario table: rows (escenario, the columns of ``keys`` or null for all, horas or null for the
+    group's own, factor_horas, dias) against every group of the exposure that they name.
+
+    A scenario that names the keys meets its group in an equi-join; one that leaves a key null is listed for each value of
+    that key, from the groups themselves, so no row pairs are made but the wanted ones.  Hours are the scenario's, or
+    the group's, times the factor; rows without hours are left out, like the single form."""
+    keys = list(keys)
+    groups = _hours(exposure, keys)
+    out = None
+    for n in range(1 << len(keys)):
+        named = [k for i, k in enumerate(keys) if n >> i & 1]
+        some = scenarios.filter(" and ".join(f"`{k}` is {'not ' if k in named else ''}null" for k in keys))
+        some = some.select("escenario", "horas", "factor_horas", "dias", *named)
+        if named:
+            part = groups.join(some, named)
+        else:   # scenarios for all groups: the list goes along as one value
+            every = some.agg(F.collect_list(F.struct("escenario", "horas", "factor_horas", "dias")).alias("s")).scalar()
+            part = groups.withColumn("s", F.explode(every)).select(*keys, "HHT", "s.*")
+        part = part.select("escenario", *keys, "HHT", "horas", "factor_horas", "dias")
+        out = part if out is None else out.unionByName(part)
+    out = out.withColumn("HHT", F.coalesce("horas", "HHT") * F.coalesce("factor_horas", F.lit(1.0))).filter(F.col("HHT") > 0)
+    return out.select("escenario", *keys, F.round("HHT", 3).alias("HHT"), F.col("dias").cast("double").alias("dias"),
+                      *[v.alias(k) for k, v in rates.what_if(F.col("HHT"), F.col("dias").cast("double")).items()])
+
+
 def stations(exposure: DataFrame) -> DataFrame:
     """The distinct stations, sorted (the station picker's list)."""
     return exposure.select("Estacion").filter(F.col("Estacion").isNotNull()).distinct().orderBy("Estacion")

@@ -38,6 +38,7 @@ LR_MAX_ITER = 1000
 FOREST_TREES = 100          # monthly forecast forest
 CV_PARALLELISM = 2          # fold fits in flight at once
 MIN_BINS = 32               # MLlib's default number of split candidates
+SERIES_DEPTH = 15           # depth of the many-series forest
 HORIZON = 6                 # months forecast after the last observed one
 ALGOS = ("rf", "gbt", "lr")
 
@@ -87,6 +88,11 @@ def build_estimator(algo: str, n_weighted_rows: int | None = None, label: str =
     raise ValueError(f"unknown algorithm {algo!r}; expected one of {ALGOS}")
 
 
+def settings(algo: str) -> dict:
+    """The fixed settings that a fit of ``algo`` depends on."""
+    return {"seed": SEED, **{"rf": RF_PARAMS, "gbt": GBT_PARAMS, "lr": {"maxIter": LR_MAX_ITER}}.get(algo, {})}
+
+
 def with_weights(df: DataFrame, label: str, fit_rows) -> DataFrame:
     """Attach the balanced weight of each row's class, computed on ``fit_rows``."""
     w = ft.balanced_weights(df.filter(fit_rows), label).select(F.col("label").alias("_wl"), F.col("weight").alias("w"))
@@ -140,11 +146,13 @@ def assemble(encoded: DataFrame, target: str, key_cols: list[str], feats: list[s
     d = ft.stratified_folds(d.filter(F.col("is_test").isNotNull()), "label", key_cols, n_folds=n_folds)
     va = VectorAssembler(inputCols=feats, outputCol="features")
     d = materialize(va.transform(d).select(*key_cols, "label", "is_test", "fold", "features"))
-    # a table of fewer partitions than cores is spread before the learners cache it; a wider one stays as it is
+    return over_cores(d), feats, distinct_values(base, feats)
+
+
+def over_cores(d: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores is spread before the learners cache it; a wider one stays as it is."""
     cores = d.sparkSession.sparkContext.defaultParallelism
-    if d.rdd.getNumPartitions() < cores:
-        d = d.repartition(cores)
-    return d, feats, distinct_values(base, feats)
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
 
 
 def fit(data: DataFrame, algo: str, train_rows, feats: list[str], max_bins: int = MIN_BINS) -> Model:
@@ -270,6 +278,62 @@ def forecast(series: DataFrame, horizon: int = HORIZON, trees: int = FOREST_TREE
     return pred.select(F.col("Mes").cast("int").alias("Mes"), F.round("prediction", 4).alias("Accidentes"))
 
 
+def forecast_series(series: DataFrame, group: str = "Estacion", horizon: int = HORIZON, trees: int = FOREST_TREES,
+                    max_depth: int = SERIES_DEPTH) -> DataFrame:
+    """Forecast of many series by one forest: rows (``group``, Mes, Accidentes) give the ``horizon`` months after the
+    last one of each series.  See :func:`fit_series` for the model."""
+    model, dictionary = fit_series(series, group, trees, max_depth)
+    future = future_months(series, group, dictionary, horizon)
+    pred = model.transform(VectorAssembler(inputCols=SERIES_FEATURES, outputCol="features").transform(future))
+    return pred.select(group, "Mes", F.round("prediction", 4).alias("Accidentes"))
+
+
+SERIES_FEATURES = ["serie", "Mes_d"]
+
+
+def fit_series(series: DataFrame, group: str = "Estacion", trees: int = FOREST_TREES,
+               max_depth: int = SERIES_DEPTH) -> tuple[Model, DataFrame]:
+    """One regression forest over all series, with the series' code and the month as features, and the dictionary of
+    the codes.  Trees may split between any two codes and months."""
+    text = series.select(F.col(group).cast("string").alias(group), "Mes", "Accidentes").filter(F.col(group).isNotNull())
+    dictionary = materialize(ft.label_dictionary(text, [group]))
+    coded = materialize(_series_rows(text, group, dictionary).select(*SERIES_FEATURES, F.col("Accidentes").cast("double").alias("Accidentes")))
+    train = VectorAssembler(inputCols=SERIES_FEATURES, outputCol="features").transform(coded)
+    model = RandomForestRegressor(maxBins=distinct_values(coded, SERIES_FEATURES), labelCol="Accidentes",
+                                  featuresCol="features", numTrees=trees, maxDepth=max_depth, minInstancesPerNode=1,
+                                  featureSubsetStrategy="all", seed=SEED).fit(train)
+    return model, dictionary
+
+
+def _series_rows(rows: DataFrame, group: str, dictionary: DataFrame) -> DataFrame:
+    coded = ft.encode(rows.withColumn("serie", F.col(group)), dictionary.withColumn("columna", F.lit("serie")), ["serie"], None)
+    return coded.withColumn("Mes_d", F.col("Mes").cast("double"))
+
+
+def future_months(series: DataFrame, group: str, dictionary: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """The months after the last one of each series, with the model's features."""
+    last = series.filter(F.col(group).isNotNull()).groupBy(F.col(group).cast("string").alias(group)).agg(F.max("Mes").alias("m"))
+    rows = last.select(group, F.explode(F.sequence(F.col("m") + 1, F.col("m") + horizon)).alias("Mes"))
+    rows = rows.withColumn("Mes", F.col("Mes").cast("int"))
+    return _series_rows(rows, group, dictionary)
+
+
+def save_trained(t: Trained, path: str) -> str:
+    """:func:`save_model` and the rows of the fit: the assembled cases and the scored test cases."""
+    save_model(t, path)
+    t.data.write.parquet(f"{path}/data")
+    t.test_pred.write.parquet(f"{path}/test_pred")
+    t.data.sparkSession.createDataFrame([(t.max_bins,)], "max_bins int").coalesce(1).write.parquet(f"{path}/bins")
+    return path
+
+
+def load_trained(path: str) -> Trained:
+    """What :func:`save_trained` wrote under ``path``."""
+    a, spark = load_model(path), SparkSession.getActiveSession()
+    data, test_pred, bins = (spark.read.parquet(f"{path}/{x}") for x in ("data", "test_pred", "bins"))
+    return Trained(a.model, a.feats, a.algo, a.target, a.dictionary, over_cores(data), test_pred, bins.first()[0])
+
+
 def save_model(t: Artefact, path: str) -> str:
     """Persist the artefact under ``path``: the learner in MLlib's own format,
     the dictionary as Parquet, and one row with algorithm, target and feature

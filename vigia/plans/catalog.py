@@ -7,15 +7,17 @@ computed from the shared test tables through the bindings in
 from __future__ import annotations
 
 from collections.abc import Callable
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from vigia.operators import cases as cs
 from vigia.operators import exposure as ex
 from vigia.operators import features as ft
 from vigia.operators import metrics as mt
+from vigia import memo
+from vigia.operators import model_tables as mtab
 from vigia.operators import models as md
 from vigia.operators import profile as pf
 from vigia.operators import indicators as ind
@@ -84,6 +86,21 @@ def rate_what_if(spark, sf_dir):
     return ex.what_if(board(spark, sf_dir), days=3.0)
 
 
+@register
+def rate_what_if_scenarios(spark, sf_dir):
+    """A scenario table against the board: for every group, for every month of the station with the most hours of its
+    unit, and with fixed hours."""
+    b = board(spark, sf_dir)
+    every = "escenario string, Estacion string, Mes string, horas double, factor_horas double, dias double"
+    rows = spark.createDataFrame([("leve", None, None, None, 1.0, 1.0), ("grave", None, None, None, 1.0, 30.0),
+                                  ("doble turno", None, None, None, 2.0, 3.0), ("sin horas", None, None, 0.0, 1.0, 3.0),
+                                  ("enero", None, "1", None, 1.0, 15.0), ("mes de 20000 h", None, "6", 20000.0, 1.0, 6.0)], every)
+    first = b.groupBy("Unidad_Negocio").agg(F.min("Estacion").alias("Estacion"))
+    named = first.select(F.lit("estacion").alias("escenario"), "Estacion", F.lit(None).cast("string").alias("Mes"),
+                         F.lit(None).cast("double").alias("horas"), F.lit(0.5).alias("factor_horas"), F.lit(10.0).alias("dias"))
+    return ex.what_if_scenarios(b, rows.unionByName(named))
+
+
 @register
 def rate_agil_by_station(spark, sf_dir):
     """The station table of the second block (AGIL)."""
@@ -130,17 +147,42 @@ def grid_promote_header(spark, sf_dir):
     return grid.promote_header(tpch.board_grid(spark, sf_dir), "Data", skip_rows=1)
 
 
+#: The blocks of the board workbook by position.
+BOARD_SLICES = [
+    grid.Slice("Data", "GENERAL", 1, 1, tuple(ex.BOARD_COLUMNS)),
+    grid.Slice("Data", "AGIL", 1, 16, tuple(ex.BOARD_COLUMNS)),
+]
+INDICATOR_SLICES = [
+    grid.Slice("Data Indicadores", "TOTAL", 0, 1, ("Estacion", *ind.MONTHS, ind.YTD), n_rows=12),
+    grid.Slice("Data Indicadores", "INDICADOR", 0, 16, ("Estacion", *ind.MONTHS), n_rows=12),
+]
+
+
 @register
 def grid_block_slice(spark, sf_dir):
     """Both blocks cut out of the grid by position, typed and cleaned: the
     same table as ``exposure_clean``, reached through the sheet layout."""
-    cells = grid.promote_header(tpch.board_grid(spark, sf_dir), "Data", skip_rows=1)
-    out = None
-    for fuente, col_from in (("GENERAL", 1), ("AGIL", 16)):
-        block = grid.block_slice(cells, col_from, ex.BOARD_COLUMNS).drop(*grid.GRID_KEYS)
-        b = ex.clean_exposure(block, fuente=fuente)
-        out = b if out is None else out.unionByName(b)
-    return out
+    rows = grid.slice_blocks(tpch.board_grid(spark, sf_dir), grid.slice_catalogue(spark, BOARD_SLICES))
+    wide = grid.wide_blocks(rows, len(ex.BOARD_COLUMNS)).toDF(*grid.GRID_KEYS, "fuente", *ex.BOARD_COLUMNS)
+    return ex.clean_exposure(wide.drop(*grid.GRID_KEYS))
+
+
+@register
+def grid_slices(spark, sf_dir):
+    """All four blocks of both sheets in one pass over the workbook's cells, long form."""
+    rows = grid.slice_blocks(tpch.workbook_grid(spark, sf_dir), grid.slice_catalogue(spark, BOARD_SLICES + INDICATOR_SLICES))
+    return rows.drop("position")
+
+
+@register
+def indicator_sheet(spark, sf_dir):
+    """The indicator tables as the sheet gives them: the first 12 body rows of each block, by position, typed and
+    cleaned; ``ACUM`` only in the total table."""
+    rows = grid.slice_blocks(tpch.indicator_grid(spark, sf_dir), grid.slice_catalogue(spark, INDICATOR_SLICES))
+    wide = materialize(grid.wide_blocks(rows, len(INDICATOR_SLICES[0].names)))
+    total, indicator = (ind.clean_indicator(grid.block_table(wide, s.block, s.names).drop(*grid.GRID_KEYS))
+                        .withColumn("bloque", F.lit(s.block)) for s in INDICATOR_SLICES)
+    return total.unionByName(indicator, allowMissingColumns=True)
 
 
 # --- case register ---------------------------------------------------------
@@ -424,19 +466,18 @@ def recommendation_rules_v2(spark, sf_dir):
 
 # --- MLlib models (rows-only checks) --------------------------------------------
 
-# Fitted models by session; the entry goes with the session.
-_TRAINED: WeakKeyDictionary = WeakKeyDictionary()
+CASE_TABLES = ["lineitem", "orders", "customer", "nation", "region", "part"]
 
 
 def trained(spark, sf_dir, algo: str, target: str = TARGET, fit_on: str = "all"):
-    """Fit once per (data, algorithm, target, encoder fit) and session; the fit
-    is an action, the returned frames stay lazy."""
-    mine = _TRAINED.setdefault(spark, {})
-    key = (sf_dir, algo, target, fit_on)
-    if key not in mine:
+    """The model of (input files, algorithm, target, encoder fit): fitted once and kept by the content of the case
+    tables (see :mod:`vigia.memo`), so a rewritten folder gets a new fit and another session finds the old one."""
+    def fit():
         enc, dictionary = encoded_with_dictionary(spark, sf_dir, keep=tpch.CASE_KEY, fit_on=fit_on)
-        mine[key] = md.train(enc.drop("is_unseen", "is_test"), target, algo, tpch.CASE_KEY, dictionary)
-    return mine[key]
+        return md.train(enc.drop("is_unseen", "is_test"), target, algo, tpch.CASE_KEY, dictionary)
+    paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in CASE_TABLES]
+    return memo.remembered(spark, paths, {"algo": algo, "target": target, "fit_on": fit_on, "settings": md.settings(algo)},
+                           fit, md.save_trained, md.load_trained)
 
 
 @register
@@ -522,6 +563,106 @@ def forecast_months(spark, sf_dir):
     return md.forecast(tpch.monthly_accidents(spark, sf_dir))
 
 
+@register
+def forecast_by_station(spark, sf_dir):
+    """Six months ahead for every station, from one forest over all stations' series.  ``from_table``: the same number
+    comes out of the forest's node table."""
+    series = materialize(tpch.monthly_accidents_by_station(spark, sf_dir))
+    model, dictionary = md.fit_series(series)
+    future = md.future_months(series, "Estacion", dictionary)
+    pred = model.transform(md.VectorAssembler(inputCols=md.SERIES_FEATURES, outputCol="features").transform(future))
+    nodes = materialize(mtab.node_table(model, md.SERIES_FEATURES))
+    both = mtab.predict(pred, nodes, "mean", md.SERIES_FEATURES, md.SERIES_DEPTH, "again")
+    low, high = (series.agg(f("Accidentes")).scalar() for f in (F.min, F.max))
+    return both.select("Estacion", "Mes", (F.abs(F.col("again") - F.col("prediction")) < 1e-9).alias("from_table"),
+                       F.col("prediction").between(low, high).alias("in_range"))
+
+
+# --- models as tables -----------------------------------------------------------
+
+@register
+def model_node_checks(spark, sf_dir):
+    """What holds for any node table: one root a tree, every other node the child of one node, and the rows of a node
+    those of its children (up to rounding of weights)."""
+    out = None
+    for algo in ("rf", "gbt"):
+        t = trained(spark, sf_dir, algo)
+        nodes = materialize(mtab.node_table(t.model, t.feats))
+        inner = nodes.filter("feature >= 0")
+        child = inner.select("tree", F.col("node").alias("parent"), F.explode(F.array("left", "right")).alias("node"))
+        below = child.join(nodes.select("tree", "node", F.col("rows").alias("r")), ["tree", "node"]).groupBy("tree", "parent").agg(
+            F.sum("r").alias("r"), F.count(F.lit(1)).alias("n"))
+        both = inner.join(below, (inner["tree"] == below["tree"]) & (inner["node"] == below["parent"]), "left")
+        fits = both.agg(F.min((F.col("n") == 2) & (F.abs(F.col("r") - F.col("rows")) < 1e-6 * (1 + F.col("rows")))).alias("rows_ok"))
+        once = child.agg((F.count(F.lit(1)) == F.count_distinct("tree", "node")).alias("once"))
+        row = nodes.agg(F.lit(algo).alias("algo"), F.count_distinct("tree").alias("n_trees"),
+                        F.sum((F.col("node") == 0).cast("long")).alias("n_roots"),
+                        (F.sum((F.col("feature") < 0).cast("long")) == F.sum((F.col("feature") >= 0).cast("long"))
+                         + F.count_distinct("tree")).alias("leaves_ok"))
+        row = attach_row(attach_row(row, fits), once).withColumnRenamed("once", "children_ok")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _scored_from_table(spark, t, cases):
+    """``cases`` (codes and features) with ``p1`` by the learner and ``again`` from its table."""
+    table = materialize(mtab.model_table(t.model, t.feats))
+    depth = {"rf": md.RF_PARAMS["maxDepth"], "gbt": md.GBT_PARAMS["maxDepth"], "lr": 0}[t.algo]
+    return mtab.predict(cases, table, mtab.kind_of(t.model), t.feats, depth, "again")
+
+
+@register
+def score_cases_from_table(spark, sf_dir):
+    """Every case scored from the node table of the forest, without the learner: ``agrees`` with the learner's
+    probability, and ``same_band`` as the scored register."""
+    t = trained(spark, sf_dir, "rf")
+    coded = md.code_cases(t, cases_model(spark, sf_dir, keep=tpch.CASE_KEY), tpch.CASE_KEY)
+    by_model = md.p_class1(t.model.transform(md.VectorAssembler(inputCols=t.feats, outputCol="features").transform(coded)))
+    both = _scored_from_table(spark, t, by_model)
+    return both.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                       (F.abs(F.col("again") - F.col("p1")) < 1e-9).alias("agrees"),
+                       (rules.probability_band("again") == rules.probability_band("p1")).alias("same_band"))
+
+
+@register
+def metrics_from_table(spark, sf_dir):
+    """The holdout metrics of all three learners computed again from their tables and the coded test cases, beside
+    what the learners report: sizes, and whether AUC, accuracy, precision, recall and F1 agree."""
+    out = None
+    for algo in md.ALGOS:
+        t = trained(spark, sf_dir, algo)
+        rows = t.data.filter("is_test").select("label", *[vector_to_array("features")[i].alias(f) for i, f in enumerate(t.feats)])
+        again = materialize(_scored_from_table(spark, t, rows).select(
+            F.col("label").cast("int").alias("label"), F.col("again").alias("score"), (F.col("again") > 0.5).cast("int").alias("pred")))
+        rep = mt.classification_report(again)
+        one = rep.filter("clase = '1'").select(F.col("precision").alias("p"), F.col("recall").alias("r"), F.col("f1_score").alias("f"))
+        acc = rep.filter("clase = 'accuracy'").select(F.col("precision").alias("a"))
+        whole = attach_row(attach_row(attach_row(md.holdout_metrics(t), mt.roc_auc(again).select(F.col("auc").alias("u"))), one), acc)
+        near = lambda x, y: F.abs(F.col(x) - F.col(y)) < 1e-6
+        row = whole.select("algo", "n_train", "n_test", near("auc", "u").alias("auc_ok"), near("accuracy", "a").alias("accuracy_ok"),
+                           near("precision_1", "p").alias("precision_ok"), near("recall_1", "r").alias("recall_ok"),
+                           near("f1_1", "f").alias("f1_ok"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register
+def importances_from_table(spark, sf_dir):
+    """The importances of forest and booster from their node tables: per learner the number of features with a split,
+    whether they agree with the learner's, and whether they add up to one."""
+    out = None
+    for algo in ("rf", "gbt"):
+        t = trained(spark, sf_dir, algo)
+        got = mtab.importances(mtab.node_table(t.model, t.feats), mtab.kind_of(t.model))
+        told = spark.createDataFrame([(i, float(v)) for i, v in enumerate(t.model.featureImportances.toArray())], "feature int, told double")
+        both = told.join(got, "feature", "left").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
+        row = both.agg(F.lit(algo).alias("algo"), F.count(F.lit(1)).alias("n_features"),
+                       F.min(F.abs(F.col("importance") - F.col("told")) < 1e-9).alias("agrees"),
+                       (F.abs(F.sum("importance") - 1) < 1e-9).alias("adds_up"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- sources / sinks ------------------------------------------------------------
 
 @register

@@ -46,7 +46,9 @@ SELECT Estacion, Poblacion, CAST(rk AS INTEGER) AS rank, N_AT, N_Dias, round(h,
 FROM k WHERE rk <= 12
 """)
 
-ORACLES["rate_by_population_is"] = ORACLES["rate_by_population_top12"].replace('ORDER BY "IF" DESC', 'ORDER BY "IS" DESC')
+# the same twelve populations, ranked by IS
+ORACLES["rate_by_population_is"] = ORACLES["rate_by_population_top12"].replace("CAST(rk AS INTEGER) AS rank", """CAST(row_number()
+       OVER (PARTITION BY Estacion ORDER BY "IS" DESC, Poblacion ASC) AS INTEGER) AS rank""")
 
 ORACLES["rate_by_month"] = with_exposure(f"""
 , g AS ({_station_rates('general', 'Estacion, Mes')})
@@ -75,6 +77,21 @@ SELECT Estacion, Mes, round(h, 3) AS HHT, {sql_if(d(1.0), 'h')} AS IF_caso, {sql
 FROM s WHERE h > 0
 """)
 
+ORACLES["rate_what_if_scenarios"] = with_exposure(f"""
+, s AS (SELECT Estacion, Mes, SUM(HHT) AS h FROM general GROUP BY Estacion, Mes),
+first_of AS (SELECT MIN(Estacion) AS Estacion FROM general GROUP BY Unidad_Negocio),
+x AS (SELECT 'leve' AS escenario, Estacion, Mes, h, 1 AS dias FROM s WHERE h > 0
+      UNION ALL SELECT 'grave', Estacion, Mes, h, 30 FROM s WHERE h > 0
+      UNION ALL SELECT 'doble turno', Estacion, Mes, 2 * h, 3 FROM s WHERE h > 0
+      UNION ALL SELECT 'enero', Estacion, Mes, h, 15 FROM s WHERE h > 0 AND Mes = '1'
+      UNION ALL SELECT 'mes de 20000 h', Estacion, Mes, 20000, 6 FROM s WHERE h > 0 AND Mes = '6'
+      UNION ALL SELECT 'estacion', Estacion, Mes, {d(0.5)} * h, 10 FROM s WHERE h > 0 AND Estacion IN (SELECT Estacion FROM first_of)),
+y AS (SELECT escenario, Estacion, Mes, CAST(h AS DOUBLE) AS h, CAST(dias AS DOUBLE) AS dias FROM x)
+SELECT escenario, Estacion, Mes, round(h, 3) AS HHT, dias, {sql_if(d(1.0), 'h')} AS IF_caso, {sql_is('dias', 'h')} AS IS_caso,
+       round({sql_if(d(1.0), 'h')} - {d(2.54)}, 4) AS delta_meta
+FROM y
+""")
+
 # --- indicator sheet ---------------------------------------------------------
 
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
@@ -156,6 +173,30 @@ cells AS (SELECT g.source, g.sheet, g.row_no, g.col_no, h.name, g.value
 ORACLES["grid_promote_header"] = with_exposure(_grid_ctes() + "SELECT * FROM cells")
 ORACLES["grid_block_slice"] = ORACLES["exposure_clean"]
 
+
+def _indicator_cells(table: str, block: str, names: list[str]) -> str:
+    """The first 12 rows of an indicator table as cells of its sheet."""
+    text = ["Estacion", *[f"CAST(CAST({n} AS DECIMAL(20,4)) AS VARCHAR)" for n in names[1:]]]
+    cells = ", ".join(f"{{'name': '{n}', 'value': {v}}}" for n, v in zip(names, text))
+    return (f"SELECT 'board' AS source, 'Data Indicadores' AS sheet, '{block}' AS block, row_no, c.name AS name, c.value AS value "
+            f"FROM (SELECT row_no, unnest([{cells}]) AS c FROM (SELECT *, CAST(row_number() OVER (ORDER BY Estacion) + 1 AS INTEGER) "
+            f"AS row_no FROM {table}) WHERE row_no < 14) WHERE c.value IS NOT NULL")
+
+
+ORACLES["grid_slices"] = with_exposure(_indicator_ctes() + _grid_ctes() + f"""
+SELECT source, sheet, CASE WHEN col_no < 14 THEN 'GENERAL' ELSE 'AGIL' END AS block, row_no, name, value
+FROM cells WHERE col_no BETWEEN 1 AND 13 OR col_no BETWEEN 16 AND 28
+UNION ALL {_indicator_cells('ind_total', 'TOTAL', ['Estacion', *MONTHS, 'ACUM'])}
+UNION ALL {_indicator_cells('ind_ind', 'INDICADOR', ['Estacion', *MONTHS])}
+""")
+
+_AS_SHOWN = ", ".join(f"CAST(CAST({m} AS DECIMAL(20,4)) AS DOUBLE) AS {m}" for m in MONTHS)
+ORACLES["indicator_sheet"] = with_exposure(_indicator_ctes() + f"""
+SELECT Estacion, {_AS_SHOWN}, CAST(CAST(ACUM AS DECIMAL(20,4)) AS DOUBLE) AS ACUM, 'TOTAL' AS bloque
+FROM ind_total QUALIFY row_number() OVER (ORDER BY Estacion) <= 12
+UNION ALL SELECT Estacion, {_AS_SHOWN}, NULL, 'INDICADOR' FROM ind_ind QUALIFY row_number() OVER (ORDER BY Estacion) <= 12
+""")
+
 # --- case register ---------------------------------------------------------------
 
 from vigia.plans.sqlparts import (MODEL_COLS, sql_num, sql_num_or, sql_prefix_drop, sql_strip,  # noqa: E402
@@ -529,3 +570,34 @@ ORACLES["station_list"] = with_exposure("SELECT DISTINCT Estacion FROM general W
 ORACLES["station_detail"] = half_up(ORACLES["rate_global"].replace(
     "FROM general)", "FROM general WHERE Estacion = 'NATION_1')").replace(
     "AS Nivel_IF FROM r", "AS Nivel_IF, 'NATION_1' AS Estacion FROM r"))
+
+
+# --- models as tables ------------------------------------------------------------
+
+ORACLES["score_cases_from_table"] = with_cases("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, TRUE AS agrees, TRUE AS same_band FROM cases_model
+""")
+
+ORACLES["metrics_from_table"] = with_cases(_ALLOC + """
+, n AS (SELECT SUM(train) AS n_train, SUM(c - train) AS n_test FROM alloc)
+SELECT algo, CAST(n_train AS BIGINT) AS n_train, CAST(n_test AS BIGINT) AS n_test, TRUE AS auc_ok, TRUE AS accuracy_ok,
+       TRUE AS precision_ok, TRUE AS recall_ok, TRUE AS f1_ok
+FROM n, (VALUES ('lr'), ('rf'), ('gbt')) a(algo)
+""")
+
+ORACLES["model_node_checks"] = """
+SELECT algo, CAST(n AS BIGINT) AS n_trees, CAST(n AS BIGINT) AS n_roots, TRUE AS leaves_ok, TRUE AS rows_ok, TRUE AS children_ok
+FROM (VALUES ('rf', 200), ('gbt', 150)) a(algo, n)
+"""
+
+ORACLES["importances_from_table"] = """
+SELECT algo, CAST(10 AS BIGINT) AS n_features, TRUE AS agrees, TRUE AS adds_up FROM (VALUES ('rf'), ('gbt')) a(algo)
+"""
+
+ORACLES["forecast_by_station"] = """
+WITH acc AS (SELECT n_name AS Estacion, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS ym
+             FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+             JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_returnflag = 'R'),
+last AS (SELECT Estacion, MAX(ym) - (SELECT MIN(ym) FROM acc) + 1 AS m FROM acc GROUP BY Estacion)
+SELECT Estacion, CAST(m + k AS INTEGER) AS Mes, TRUE AS from_table, TRUE AS in_range FROM last, range(1, 7) r(k)
+"""

@@ -176,17 +176,34 @@ def scored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monthly_accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly series (Mes, Accidentes): accidents per calendar month of the
     order date, ``Mes`` a running month index starting at 1."""
+    per_month = _accidents(spark, sf_dir).groupBy("ym").agg(F.sum("n").alias("n"))
+    return _month_index(per_month).select("Mes", F.col("n").cast("double").alias("Accidentes"))
+
+
+def monthly_accidents_by_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly series of every station (Estacion, Mes, Accidentes), with one month index for all; months without
+    an accident have no row."""
+    customer = table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
+    per_cust = _accidents(spark, sf_dir).groupBy("o_custkey", "ym").agg(F.sum("n").alias("n"))
+    rows = (per_cust.join(customer, per_cust.o_custkey == customer.c_custkey)
+            .join(_geo(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+            .groupBy(F.col("n_name").alias("Estacion"), "ym").agg(F.sum("n").alias("n")))
+    return _month_index(rows).select("Estacion", "Mes", F.col("n").cast("double").alias("Accidentes"))
+
+
+def _accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accidents per order (n) with the order's customer and its months since year 0 (ym)."""
     li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"], spread_on=["l_orderkey"]) \
         .filter(F.col("l_returnflag") == F.lit(ACCIDENT_FLAG))
     per_order = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    orders = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
+    orders = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     ym = F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1
-    per_month = (per_order.join(orders, per_order.l_orderkey == orders.o_orderkey)
-                 .groupBy(ym.alias("ym")).agg(F.sum("n").alias("n")))
-    first = per_month.agg(F.min("ym").alias("ym0"))
-    return (attach_row(per_month, first)
-            .select((F.col("ym") - F.col("ym0") + 1).cast("int").alias("Mes"),
-                    F.col("n").cast("double").alias("Accidentes")))
+    return per_order.join(orders, per_order.l_orderkey == orders.o_orderkey).select("o_custkey", ym.alias("ym"), "n")
+
+
+def _month_index(rows: DataFrame) -> DataFrame:
+    first = rows.agg(F.min("ym").alias("ym0"))
+    return attach_row(rows, first).withColumn("Mes", (F.col("ym") - F.col("ym0") + 1).cast("int"))
 
 
 def board_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,3 +248,31 @@ def board_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "col_no", "value")
     # the landed sheet: written once, promotion and slicing read the copy
     return materialize(cells.unionByName(header))
+
+
+def indicator_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet ``Data Indicadores`` of the workbook as a cell grid: row 0 a title, row 1 the column names, data from row
+    2 in the order of the stations, the total table (station, months, ACUM) in columns 1-14 and the indicator table
+    (station, months) in columns 16-28."""
+    from vigia.operators import indicators as ind
+    from vigia.operators.ordering import row_index
+    from vigia.sources.grid import to_cells
+
+    raw = exposure_raw(spark, sf_dir).filter(F.col("fuente") == F.lit("GENERAL"))
+    raw = materialize(raw.select("Estacion", "Mes", "N_AT", "N_AT_IND", "HHT"))
+    cells = None
+    for accidents, ytd, col_from in (("N_AT", True, 1), ("N_AT_IND", False, 16)):
+        names = ["Estacion", *MONTH_NAMES, *(["ACUM"] if ytd else [])]
+        wide = row_index(ind.wide_from_exposure(raw, accidents, with_ytd=ytd), ["Estacion"])
+        text = wide.select("Estacion", *[F.col(c).cast("decimal(20,4)").cast("string").alias(c) for c in names[1:]], "_idx")
+        part = to_cells(text, F.col("_idx") + 2, col_from, "board", "Data Indicadores").filter(F.col("col_no") < col_from + len(names))
+        head = spark.createDataFrame([(1, col_from + i, n) for i, n in enumerate(names)], "row_no int, col_no int, value string")
+        head = head.select(F.lit("board").alias("source"), F.lit("Data Indicadores").alias("sheet"), "row_no", "col_no", "value")
+        part = part.unionByName(head)
+        cells = part if cells is None else cells.unionByName(part)
+    return materialize(cells)
+
+
+def workbook_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sheets of the board workbook."""
+    return board_grid(spark, sf_dir).unionByName(indicator_grid(spark, sf_dir))
