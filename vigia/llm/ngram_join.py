@@ -153,7 +153,8 @@ def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, percent:
     ``reps`` (cls, doc_id) names one document of each class.  The members of a leader b are cut into groups of about
     ``GROUP_MEMBERS``, and the leader's text goes to each.  A bit filter of fixed size over the wanted ids drops most
     other documents before the shuffle; a false hit of the filter is dropped by the join."""
-    members = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k"))
+    # a table of its own, so that the join has fresh exchanges and a leader of very many members can be split
+    members = save(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k")), "leaders")
     dealt = pairs.join(members, "b").select(
         "a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / GROUP_MEMBERS)).cast("int").alias("part"))
     ask = dealt.select("b", "part", F.col("a").alias("cls")).unionByName(

@@ -228,11 +228,13 @@ def repeated_spans(docs: DataFrame, units: Callable[[list, dict], Units], window
         solved = solved.unionByName(parts.groupBy("g").cogroup(again.groupBy("g")).applyInPandas(settle_part, schema))
     solved = save(solved.filter(F.size("spans") > 0), "solved")
     own = classes.select("f", "c", "n", F.col("id").alias("first_id")).join(solved, ["f", "c"], "left")
+    # a table of its own, so that the join with the members has fresh exchanges and a class of very many can be split
+    own = save(own.filter("n > 1 or spans is not null"), "own")
     # a whole class is repeated: all its members, or all but those of the smallest id
     whole = (F.col("id") > F.col("first_id")) if earlier_only else (F.col("n") > 1)
     span = F.when(whole, F.array(F.array(F.lit(0), F.col("hi") - F.col("lo")))).otherwise(F.col("spans"))
     members = found.select("f", "c", "id", "key", *_pair("u", "lo", "hi"))
-    spans = members.join(own.filter("n > 1 or spans is not null"), ["f", "c"]).select("key", F.transform(
+    spans = members.join(own, ["f", "c"]).select("key", F.transform(
         span, lambda s: F.struct((s[0] + F.col("lo")).alias("lo"), (s[1] + F.col("lo")).alias("hi"))).alias("s"))
     # equal rows give equal spans, which count once
     return spans.filter(F.size("s") > 0).groupBy("key").agg(F.flatten(F.collect_set("s")).alias("spans"))
