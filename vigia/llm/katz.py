@@ -33,7 +33,7 @@ from vigia.llm.common import LOWER, bound_batches, chunks, give_back, mix, size_
 from vigia.llm.scratch import save
 
 #: Tokens counted together by one task, and tokens of the corpus per bucket.
-BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 4_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
 #: Counts above this are not discounted (fewer, where the counts of counts do not allow it).
 MOST_DISCOUNTED = 5
 #: The history of a first word, and the token behind the last one.
