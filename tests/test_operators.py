@@ -493,3 +493,100 @@ def test_text_order_is_cut_inside_a_shared_prefix(spark, monkeypatch):
     assert all(r._idx == int(r.k[-4:]) for r in got)
     sizes = [r["count"] for r in seen[0].groupBy("_bucket").count().collect()]
     assert len(sizes) >= 12 and max(sizes) < 600
+
+
+# --- exact quantiles, neighbours of running totals, reader with bad records -----------
+
+@settings(max_examples=6, deadline=None)
+@given(values=st.lists(st.one_of(st.none(), st.just(float("nan")), st.sampled_from([1.0, 2.0, 7.5]),
+                                 st.floats(-1e6, 1e6)), max_size=60),
+       accuracy=st.sampled_from([3, 50, 10_000]), limit=st.sampled_from([1, 5, 1_000_000]))
+def test_exact_quantiles_property(spark, values, accuracy, limit):
+    """Any sketch accuracy and any limit of a last step give numpy's quantiles."""
+    import numpy as np
+
+    from vigia.operators.quantiles import exact_quantiles
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(2)
+    fractions = (0.0, 0.25, 0.5, 0.9, 1.0)
+    row, got = exact_quantiles(df, ["v"], fractions, {"n": F.count}, accuracy=accuracy, max_sort_rows=limit)
+    real = [v for v in values if v is not None and v == v]
+    assert row["n0"] == len(real)
+    for f in fractions:
+        if real:
+            assert got["v", f] == pytest.approx(float(np.quantile(real, f)), rel=1e-12, abs=1e-9)
+        else:
+            assert got["v", f] is None
+
+
+def test_exact_quantiles_hot_value_and_refinement(spark):
+    """A value with a third of all rows, and stretches that must be cut again."""
+    import numpy as np
+
+    from vigia.operators.quantiles import exact_quantiles
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(5_000.0)).otherwise(F.col("id").cast("double")).alias("a b"),
+                                    F.sqrt(F.col("id").cast("double")).alias("w"))
+    pdf = df.toPandas()
+    _, got = exact_quantiles(df, ["a b", "w"], (0.1, 0.25, 0.5, 0.75), accuracy=20, max_sort_rows=40)
+    for c in ("a b", "w"):
+        for f in (0.1, 0.25, 0.5, 0.75):
+            assert got[c, f] == pytest.approx(float(np.quantile(pdf[c], f)), rel=1e-12)
+
+
+def test_profile_skips_columns_without_values(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
+    rows = pf.profile_numeric(df, ["a", "b"]).collect()
+    assert [(r.column, r["count"], r.p50) for r in rows] == [("a", 2, 2.0)]
+    assert pf.profile_numeric(df.limit(0), ["a", "b"]).collect() == []
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_following(spark, descending):
+    rows = [(g, float(v), i) for i, (g, v) in enumerate((i % 2, (i * 37) % 101) for i in range(101))]
+    rows = list({(g, v): (g, v, i) for g, v, i in rows}.values())
+    df = spark.createDataFrame(rows, "g int, v double, x int")
+    out = running_totals(df, ["v"], {"s": F.col("x")}, ["g"], descending=descending, n_buckets=7, max_groups=2,
+                         following={"nx": F.col("x")})
+    got = {(r.g, r.v): (r.s, r.nx) for r in out.collect()}
+    assert set(out.columns) == {"g", "v", "x", "s", "_idx", "nx"}
+    for g in (0, 1):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: r[1], reverse=descending)
+        total = 0
+        for k, (_, v, x) in enumerate(mine):
+            total += x
+            assert got[g, v] == (total, mine[k + 1][2] if k + 1 < len(mine) else None)
+
+
+@settings(max_examples=10, deadline=None)
+@given(rows=st.lists(st.tuples(st.integers(0, 1), st.integers(0, 12)), min_size=1, max_size=60))
+def test_roc_curve_drops_collinear_points_only(spark, rows):
+    df = spark.createDataFrame([(y, s / 12) for y, s in rows], "label int, score double")
+    pos, neg = sum(y for y, _ in rows), sum(1 - y for y, _ in rows)
+    pts, tp, fp = [], 0, 0
+    for s in sorted({s for _, s in rows}, reverse=True):
+        tp += sum(y for y, t in rows if t == s)
+        fp += sum(1 - y for y, t in rows if t == s)
+        pts.append((s / 12, fp, tp))
+    keep = [p for k, p in enumerate(pts) if k in (0, len(pts) - 1) or
+            any(pts[k + 1][c] - 2 * p[c] + pts[k - 1][c] for c in (1, 2))]
+    want = [(t, f / neg if neg else None, p / pos if pos else None) for t, f, p in keep]
+    got = [tuple(r) for r in mt.roc_curve(df).filter("threshold < 2").orderBy(F.desc("threshold")).collect()]
+    assert got == want
+
+
+def test_load_checked_routes_bad_records(spark, tmp_path):
+    schema = "a int, b double, c string"
+    (tmp_path / "x.csv").write_text("a,b,c\n1,2.5,u\nx,1,v\n3,,\n4\n\n5,6,w,extra\n")
+    good, bad = io.load_checked(spark, str(tmp_path / "x.csv"), schema)
+    assert sorted(tuple(r) for r in good.collect()) == [(1, 2.5, "u"), (3, None, None)]
+    assert sorted(r.line for r in bad.collect()) == ["4", "5,6,w,extra", "x,1,v"]
+    assert all(r.file.endswith("/x.csv") for r in bad.collect())
+    (tmp_path / "y.json").write_text('{"a":1,"b":2.5,"c":"u"}\n{"a":"x"}\n{"a":2\n\n{"c":"only"}\n[1,2]\n')
+    good, bad = io.load_checked(spark, str(tmp_path / "y.json"), schema)
+    assert sorted((tuple(r) for r in good.collect()), key=repr) == [(1, 2.5, "u"), (None, None, "only")]
+    assert {'{"a":"x"}', '{"a":2'} <= {r.line for r in bad.collect()}
+    spark.createDataFrame([(1, 2.0, "p")], schema).write.parquet(str(tmp_path / "z.parquet"))
+    good, bad = io.load_checked(spark, str(tmp_path / "z.parquet"), schema)
+    assert good.count() == 1 and bad.count() == 0 and bad.columns == ["file", "line"]
+    (tmp_path / "none.csv").write_text("a,b,c\n")
+    good, bad = io.load_checked(spark, str(tmp_path / "none.csv"), schema)
+    assert good.count() == 0 and bad.count() == 0

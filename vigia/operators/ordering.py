@@ -187,10 +187,15 @@ def keys_at_ranks(df: DataFrame, group_col: str, order_cols: list[str], ranks: D
 def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Column] | None = None,
                    group_cols: list[str] | tuple = (), descending: bool = False,
                    n_buckets: int | None = None, index_col: str | None = "_idx",
-                   max_groups: int | None = None) -> DataFrame:
+                   max_groups: int | None = None, following: dict[str, Column] | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` (name -> expression) and a 0-based
     row index ``index_col`` within ``group_cols`` in ``order_cols`` order.
 
+    ``following`` (name -> expression) adds the expression's value at the next
+    row, null at the last row of a group.  The offsets table carries the first
+    row of each range over to the range before, so no second pass and no join
+    on an index is needed.
+
     ``descending`` orders every order column descending.  Rows with equal
     order keys get consecutive indexes in arbitrary order, like
     ``row_number``; callers pass unique keys.
@@ -201,7 +206,7 @@ def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Colum
     otherwise it is joined normally and AQE decides from runtime sizes.
     """
     group_cols = list(group_cols)
-    values = dict(values or {})
+    values, following = dict(values or {}), dict(following or {})
     n = n_buckets or default_bins(df.sparkSession)
     ocols = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     if isinstance(df.schema[order_cols[0]].dataType, StringType):
@@ -217,17 +222,25 @@ def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Colum
     local = {k: F.sum(f"_v_{k}").over(w) for k in values}
     if index_col:
         local[index_col] = F.count(F.lit(1)).over(w) - 1
+    if following:
+        b = b.withColumn("_f", F.struct(*[v.alias(k) for k, v in following.items()]))
+        local["_next"] = F.lead("_f").over(Window.partitionBy(*group_cols, "_bucket").orderBy(*ocols))
     b = b.withColumns(local)
 
     tot_cols = [F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values]
     if index_col:
         tot_cols.append(F.count(F.lit(1)).alias("_t__n"))
+    if following:
+        first = F.max_by if descending else F.min_by
+        tot_cols.append(first("_f", F.struct(*order_cols)).alias("_first"))
     totals = b.groupBy(*group_cols, "_bucket").agg(*tot_cols)
     wo = (Window.partitionBy(*group_cols).orderBy("_bucket")
           .rowsBetween(Window.unboundedPreceding, -1))
     offs = totals.select(*group_cols, "_bucket",
                          *[F.coalesce(F.sum(f"_t_{k}").over(wo), F.lit(0)).alias(f"_o_{k}") for k in values],
-                         *([F.coalesce(F.sum("_t__n").over(wo), F.lit(0)).alias("_o__n")] if index_col else []))
+                         *([F.coalesce(F.sum("_t__n").over(wo), F.lit(0)).alias("_o__n")] if index_col else []),
+                         *([F.lead("_first").over(Window.partitionBy(*group_cols).orderBy("_bucket")).alias("_o__first")]
+                           if following else []))
     groups = 1 if not group_cols else max_groups
     if groups is not None and groups * (n + 3) <= _OFFSET_BROADCAST_ROWS:
         offs = F.broadcast(offs)
@@ -241,8 +254,9 @@ def running_totals(df: DataFrame, order_cols: list[str], values: dict[str, Colum
     fixes = {k: F.col(k) + F.col(f"_o_{k}") for k in values}
     if index_col:
         fixes[index_col] = F.col(index_col) + F.col("_o__n")
+    fixes.update({k: F.coalesce("_next", "_o__first").getField(k) for k in following})
     out = out.withColumns(fixes)
-    drop = ["_bucket"] + [f"_v_{k}" for k in values] + [f"_o_{k}" for k in values] + (["_o__n"] if index_col else [])
+    drop = ["_bucket", "_f", "_next", "_o__first"] + [f"_v_{k}" for k in values] + [f"_o_{k}" for k in values] + (["_o__n"] if index_col else [])
     return out.drop(*drop)
 
 

@@ -7,43 +7,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigia.functions import rates
-from vigia.operators.ordering import keys_at_ranks
+from vigia.operators.quantiles import ACCURACY, exact_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
+# exact mean (DECIMAL sum): a mean that sits on a rounding tie does not depend on the order in which partitions are added
+_MOMENTS = {"count": F.count, "mean": lambda v: F.avg(v.cast("decimal(38,12)")), "std": F.stddev_samp, "min": F.min,
+            "max": F.max}
+
 
 def profile_numeric(df: DataFrame, cols: list[str], n_bins: int | None = None) -> DataFrame:
     """One row per column with the statistics of a describe(): count, mean,
     sample standard deviation, min, 25/50/75 % (linear interpolation between
-    the two closest ranks, exact), max.
+    the two closest ranks, exact), max.  A column without values has no row.
 
-    Exact quartiles without sorting or collecting a column: values are
-    unpivoted to ``(column, value)`` and only the (at most six) values at the
-    interpolation ranks are selected per column with
-    :func:`vigia.operators.ordering.keys_at_ranks` (histogram, then a sort of
-    a few bins).  Moments are plain aggregates.
+    Moments and quartile sketches of all columns are one aggregate row; exact
+    quartiles take two more scans (:func:`vigia.operators.quantiles.exact_quantiles`).
+    ``n_bins`` sets the accuracy of the sketch, not that of the result.
     """
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("s")) \
-        .select("s.column", "s.value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    moments = long.groupBy("column").agg(
-        # exact mean (DECIMAL sum): a mean that sits on a rounding tie does not
-        # depend on the order in which partitions are added up
-        F.count(F.lit(1)).alias("count"), F.avg(F.col("value").cast("decimal(38,12)")).alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    pos = [(q, (F.col("count") - 1) * F.lit(q)) for q in QUARTILES]
-    ranks = moments.select("column", F.explode(F.array_distinct(F.array(
-        *[F.floor(p) for _, p in pos], *[F.ceil(p) for _, p in pos]))).alias("r"))
-    vals = keys_at_ranks(long, "column", ["value"], ranks, n_bins=n_bins) \
-        .select("column", "r", F.col("key.value").alias("v"))
-    lookup = vals.groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("_m"))
-    out = moments.join(F.broadcast(lookup), "column", "left")       # one row per profiled column
-    quart = {}
-    for q, p in pos:
-        lo = F.element_at(F.col("_m"), F.floor(p).cast("long"))
-        hi = F.element_at(F.col("_m"), F.ceil(p).cast("long"))
-        quart[f"p{int(q * 100)}"] = lo + (hi - lo) * (p - F.floor(p))
-    out = out.withColumns(quart)
+    row, quart = exact_quantiles(df, cols, QUARTILES, _MOMENTS, accuracy=n_bins or ACCURACY)
+    rows = [(c, row[f"count{i}"], row[f"mean{i}"], row[f"std{i}"], row[f"min{i}"],
+             *[quart[c, q] for q in QUARTILES], row[f"max{i}"]) for i, c in enumerate(cols) if row[f"count{i}"]]
+    out = df.sparkSession.createDataFrame(
+        rows, "column string, count bigint, mean decimal(38,16), std double, min double, p25 double, p50 double, "
+              "p75 double, max double")
     return out.select("column", "count", F.round("mean", 6).cast("double").alias("mean"),
                       F.round("std", 6).alias("std"), "min", F.round("p25", 6).alias("p25"),
                       F.round("p50", 6).alias("p50"), F.round("p75", 6).alias("p75"), "max")

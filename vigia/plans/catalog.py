@@ -674,6 +674,45 @@ def csv_round_trip(spark, sf_dir):
     return io.load_table(spark, path, fmt="csv", schema=df.schema)
 
 
+CHECKED_SCHEMA = "o_orderkey bigint, o_totalprice decimal(15,2), o_orderdate date, o_orderpriority string"
+
+
+def checked_copies(spark, sf_dir):
+    """Orders as a CSV, a JSON and a Parquet folder; the records of status P do not parse: in the CSV copy their price
+    has a currency before it, in the JSON copy their closing brace is missing.  Returns format -> path."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", F.col("o_totalprice").cast("decimal(15,2)").alias("o_totalprice"),
+        F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority",
+        (F.col("o_orderstatus") == "P").alias("broken"))
+    k, p, d, q = (F.col(c).cast("string") for c in ("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"))
+    csv = F.concat_ws(",", k, F.when(F.col("broken"), F.concat(F.lit("USD "), p)).otherwise(p), d, q)
+    js = F.concat(F.lit('{"o_orderkey":'), k, F.lit(',"o_totalprice":'), p, F.lit(',"o_orderdate":"'), d,
+                  F.lit('","o_orderpriority":"'), q, F.when(F.col("broken"), F.lit('"')).otherwise(F.lit('"}')))
+    paths = {f: f"{io.scratch_path(spark, 'orders')}.{f}" for f in ("csv", "json", "parquet")}
+    o.select(csv.alias("value")).write.text(paths["csv"])
+    o.select(js.alias("value")).write.text(paths["json"])
+    io.export(o.drop("broken"), paths["parquet"])
+    return paths
+
+
+@register
+def load_checked(spark, sf_dir):
+    """Three copies of one table read by suffix alone, unparsable records parted from the good ones: per format the
+    number and sums of the good rows, and the number, characters and located files of the bad ones."""
+    out = None
+    for fmt, path in checked_copies(spark, sf_dir).items():
+        good, bad = io.load_checked(spark, path, CHECKED_SCHEMA, header=False)
+        g = good.agg(F.count(F.lit(1)).alias("n_good"), F.sum("o_orderkey").alias("key_sum"),
+                     F.sum((F.col("o_totalprice") * 100).cast("long")).alias("cents"),
+                     F.min("o_orderdate").alias("first_day"), F.count_distinct("o_orderpriority").alias("n_priorities"))
+        b = bad.agg(F.count(F.lit(1)).alias("n_bad"),
+                    F.coalesce(F.sum(F.char_length("line")), F.lit(0)).cast("long").alias("bad_chars"),
+                    F.count_if(F.contains("file", F.lit(f".{fmt}/"))).alias("n_located"))
+        one = attach_row(g, b).withColumn("format", F.lit(fmt))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register
 def export_filtered(spark, sf_dir):
     """The filtered case view exported as parquet partitioned by class, read back."""

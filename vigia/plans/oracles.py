@@ -566,6 +566,21 @@ from vigia.plans.sqlparts import half_up  # noqa: E402
 
 ORACLES = {k: half_up(v) for k, v in ORACLES.items()}
 
+ORACLES["load_checked"] = """
+WITH o AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(15,2)) AS p, CAST(o_orderdate AS DATE) AS d,
+                  o_orderpriority AS q, o_orderstatus = 'P' AS broken FROM orders),
+t AS (SELECT *, concat_ws(',', k, 'USD ' || p, d, q) AS csv_line,
+             '{"o_orderkey":' || k || ',"o_totalprice":' || p || ',"o_orderdate":"' || d || '","o_orderpriority":"' || q || '"' AS json_line
+      FROM o),
+f AS (SELECT 'csv' AS format, *, broken AS bad, csv_line AS line FROM t
+      UNION ALL SELECT 'json', *, broken, json_line FROM t
+      UNION ALL SELECT 'parquet', *, false, '' FROM t)
+SELECT format, COUNT(*) FILTER (NOT bad) AS n_good, CAST(SUM(k) FILTER (NOT bad) AS BIGINT) AS key_sum,
+       CAST(SUM(CAST(p * 100 AS BIGINT)) FILTER (NOT bad) AS BIGINT) AS cents, MIN(d) FILTER (NOT bad) AS first_day,
+       COUNT(DISTINCT q) FILTER (NOT bad) AS n_priorities, COUNT(*) FILTER (bad) AS n_bad,
+       CAST(coalesce(SUM(length(line)) FILTER (bad), 0) AS BIGINT) AS bad_chars, COUNT(*) FILTER (bad) AS n_located
+FROM f GROUP BY format
+"""
 ORACLES["station_list"] = with_exposure("SELECT DISTINCT Estacion FROM general WHERE Estacion IS NOT NULL")
 ORACLES["station_detail"] = half_up(ORACLES["rate_global"].replace(
     "FROM general)", "FROM general WHERE Estacion = 'NATION_1')").replace(

@@ -11,7 +11,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from vigia.session import checkpoint_dir
 
@@ -49,6 +50,35 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, schema: S
     return r.load(path)
 
 
+def load_checked(spark: SparkSession, path: str, schema: StructType | str, fmt: str | None = None,
+                 header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Read a table of text records and part the ones that do not parse:
+    ``(good, bad)``.  ``good`` has the columns of ``schema``; ``bad`` has one
+    row per unparsable record with ``file`` and ``line`` (its text).
+
+    A record is bad if a value is not of its column's type, or a line has too
+    few or too many fields, or is no JSON object.  Blank lines are no records.
+    The text is parsed once: both parts are folders of one written table, so
+    neither read parses again nor sees the other's rows.  Parquet files carry
+    typed values; their ``bad`` part is empty and nothing is written."""
+    fmt = fmt or format_of(path)
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    none_bad = StructType([StructField("file", StringType()), StructField("line", StringType())])
+    if fmt == "parquet":
+        return load_table(spark, path, fmt, schema), spark.createDataFrame([], none_bad)
+    marks = [StructField("_line", StringType()), StructField("_file", StringType()), StructField("_ok", IntegerType())]
+    r = spark.read.format(fmt).schema(StructType([*schema.fields, marks[0]])) \
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+    if fmt == "csv":
+        r = r.option("header", str(header).lower())
+    rows = r.load(path).withColumns({"_file": F.col("_metadata.file_path"), "_ok": F.col("_line").isNull().cast("int")})
+    out = scratch_path(spark, "checked")
+    rows.write.partitionBy("_ok").parquet(out)
+    both = spark.read.schema(StructType([*schema.fields, *marks])).parquet(out)
+    good = both.filter(F.col("_ok") == 1).select(*[F.col(f"`{c}`") for c in schema.names])
+    return good, both.filter(F.col("_ok") == 0).select(F.col("_file").alias("file"), F.col("_line").alias("line"))
+
+
 def export(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
            mode: str = "overwrite", header: bool = True) -> str:
     """Write ``df`` (one file set per task, optionally partitioned into
