@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -367,6 +368,48 @@ def test_composition_equals_running_in_turn():
         assert got == c and state == ((one, two), three)
 
 
+def clause_by_clause(s, text):
+    """Evidence by parsing every clause, whether or not it holds a term."""
+    return sum((np.array(s.clause(c)) for c in re.split(r"[.!?;\n]+", text.lower())), np.zeros(8))
+
+
+def test_evidence_equals_parsing_every_clause():
+    s = toxicity.Scorer({"idio": (5.0, False), "scum": (4.0, True), "trottel": (3.0, True)}, -3.0, list(toxicity.PATTERNS.values()))
+    r, seen = random.Random(8), 0
+    pieces = ["idiot", "idiots", "xidiot", "scum", "scumbag", "Trottel", "kill", "skill", "not", "you", "said", '"', ".", "!?", "\n",
+              ";", "...", "day", "é", "1", "_", "’", "don't", "İ"]
+    for _ in range(3000):
+        text = "".join(r.choice(pieces) + r.choice([" ", " ", " ", ""]) for _ in range(r.randrange(40)))
+        assert np.allclose(s.evidence(text), clause_by_clause(s, text)), text
+        seen += s.evidence(text).any()
+    assert seen > 1000
+
+
+def test_evidence_of_long_texts_is_linear():
+    """Every clause, and every part of one endless clause, is searched once."""
+    s = toxicity.Scorer({"idio": (5.0, False)}, -3.0, list(toxicity.PATTERNS.values()))
+    took = []
+    for n in (20_000, 160_000):
+        text = "they call him an idiot and walk on. " * n
+        start = time.process_time()
+        assert s.evidence(text).sum() == 5.0 * n
+        assert s.evidence(text.replace(".", "")).max() == 5.0
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * took[0]  # eight times the text; a search back to the start would take 64 times
+
+
+def test_lexicon_keeps_every_term_beyond_chance(spark):
+    """6,000 words, each in three toxic texts of its own and nowhere else: all are kept, none twice."""
+    words = ["".join(chr(97 + (i // 26 ** k) % 26) for k in range(4)) * 2 for i in range(6000)]
+    rows = [(w + "=", 40, 0) for w in words]
+    counts = spark.createDataFrame(rows, "term string, n1 long, n0 long")
+    got = toxicity._lexicon(counts, 8000, 24000)
+    assert set(got) == set(words) and all(whole for _, whole in got.values())
+    # a stem of the same texts as a kept, longer and heavier term adds nothing; one of far more texts does
+    counts = spark.createDataFrame([("idiot=", 100, 0), ("idio", 110, 9), ("trot", 300, 30), ("trottel=", 90, 0)], "term string, n1 long, n0 long")
+    assert set(toxicity._lexicon(counts, 8000, 24000)) == {"idiot", "trot", "trottel"}
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}

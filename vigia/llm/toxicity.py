@@ -99,6 +99,8 @@ def _target(near, x):
 
 SYMBOLS = "wIHTNRQ"
 GRAMMAR = Transducer(0, _negation).then(Transducer(False, _report)).then(Transducer(0, _target))
+#: Symbol of each word of a closed class; where classes share a word the later one here has it.
+_CLOSED = {w: x for x, words in (("Q", "\"“”«»„"), ("R", REPORTERS), ("T", TARGETS), ("N", NEGATORS), ("H", THREATS)) for w in words}
 _EMIT = {"I": 0, "It": 1, "In": 2, "Ir": 3, "H": 4, "Ht": 5, "Hn": 6, "Hr": 7}
 
 
@@ -125,44 +127,34 @@ class Scorer:
             best = max(best, self.stems.get(word[:n], 0.0))
         return best
 
-    def clause(self, clause: str) -> np.ndarray:
+    def clause(self, clause: str) -> list[float]:
         """Heaviest match of each pattern in one clause."""
-        out, state = np.zeros(len(_NAMES)), self.start
+        out, state = [0.0] * len(_NAMES), self.start
         for word in WORD.findall(clause):
             weight = self.term(word)
-            if weight:
-                x = "I"
-            elif word in THREATS:
-                x, weight = "H", THREAT_WEIGHT
-            elif word in NEGATORS:
-                x = "N"
-            elif word in TARGETS:
-                x = "T"
-            elif word in REPORTERS:
-                x = "R"
-            else:
-                x = "Q" if word in "\"“”«»„" else "w"
+            x = "I" if weight else _CLOSED.get(word, "w")
             state, mark = self.table[state, x]
             k = _EMIT.get(mark)
             if k is not None:
-                out[k] = max(out[k], weight)
+                out[k] = max(out[k], weight or THREAT_WEIGHT)
         return out
 
     def evidence(self, text: str | None) -> np.ndarray:
         """Sum over the clauses of the whole text.  Clauses without a term are not parsed: they match no pattern."""
-        total = np.zeros(len(_NAMES))
+        total = [0.0] * len(_NAMES)
         if not text:
-            return total
-        low, done = text.lower(), -1
+            return np.array(total)
+        low, done = text.lower(), 0
         for end, n in self.find.iter(low):
             at = end - n + 1
             if at < done or (at and low[at - 1].isalpha()):
                 continue
-            a = max(low.rfind(c, 0, at) for c in ".!?;\n") + 1
+            # a clause begins after the last one read, so no letter is searched twice
+            a = max(done, max(low.rfind(c, done, at) for c in ".!?;\n") + 1)
             m = CLAUSE_END.search(low, at)
             done = m.start() if m else len(low)
-            total += self.clause(low[a:done])
-        return total
+            total = [x + y for x, y in zip(total, self.clause(low[a:done]))]
+        return np.array(total)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.bias + saturate(evidence) @ self.weights, -30, 30)))
@@ -262,7 +254,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def _lexicon(counts: DataFrame, n1: int, n0: int) -> dict[str, tuple[float, bool]]:
     """Terms whose counts among toxic texts cannot be chance: the likelihood ratio of the counts is above twice the
     logarithm of the number of terms tried, so that less than one chance term is expected.  Heavier terms come first,
-    then shorter ones: a stem stands for all its extensions, unless a heavier extension holds most of its texts."""
+    then shorter ones: a stem stands for all its extensions, unless a heavier extension holds most of its texts.  All
+    such terms are kept; their number is bounded by the words of the bounded sample."""
     if not n1 or not n0:
         return {}
     tried = max(2, counts.count())
@@ -272,17 +265,18 @@ def _lexicon(counts: DataFrame, n1: int, n0: int) -> dict[str, tuple[float, bool
     ratio = 2 * (part(a, (a + b) * share) + part(b, (a + b) * (1 - share)))
     weight = F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0))
     rows = counts.select("term", "n1", ratio.alias("g"), weight.alias("weight")).filter(
-        (F.col("g") > 2 * math.log(tried)) & (F.col("weight") > 3.0)).orderBy(F.desc("g"), "term").limit(5000).collect()
+        (F.col("g") > 2 * math.log(tried)) & (F.col("weight") > 3.0)).collect()
     out: dict[str, tuple[float, bool]] = {}
-    held: dict[str, int] = {}
+    held: dict[str, int] = {}  # the most texts of a kept term, for each beginning of the term
     top = lambda r: min(float(r["weight"]), MAX_WEIGHT)
     for r in sorted(rows, key=lambda r: (-top(r), len(r["term"]), r["term"])):
         whole = r["term"].endswith("=")
         t = r["term"].rstrip("=")
         covered = any(t[:n] in out and not out[t[:n]][1] for n in range(1, len(t) + 1))
-        blurred = any(x.startswith(t) and n >= 0.8 * r["n1"] for x, n in held.items())
-        if not covered and not blurred:
-            out[t], held[t] = (top(r), whole), int(r["n1"])
+        if not covered and held.get(t, 0) < 0.8 * r["n1"]:
+            out[t] = (top(r), whole)
+            for n in range(1, len(t) + 1):
+                held[t[:n]] = max(held.get(t[:n], 0), int(r["n1"]))
     return out
 
 
