@@ -164,3 +164,21 @@ def test_a_rewritten_case_table_is_fitted_anew(spark, tmp_path, monkeypatch):
     lineitem.filter("l_orderkey % 2 = 0").write.mode("overwrite").parquet(f"{sf}/lineitem.parquet")
     again = md.holdout_metrics(catalog.trained(spark, str(sf), "lr")).first()
     assert len(fits) == 2 and again.n_train < first.n_train
+
+
+def test_duckdb_repeats_the_areas_of_the_folds(spark, tmp_path):
+    """Areas from all pairs of a positive and a negative of the written fold predictions, ties counted half."""
+    rows = [(i, float(i % 7), float((i * 13) % 29), int((i % 7) + (i * 13) % 29 > 15 + i % 9)) for i in range(300)]
+    t = md.train(spark.createDataFrame(rows, "k long, a double, b double, con_incapacidad int"), "con_incapacidad", "lr", ["k"])
+    pred = md.cv_predictions(t)
+    pred.write.parquet(f"{tmp_path}/pred")
+    got = sorted(md.cv_auc(pred).collect())
+    want = duckdb.sql(f"""
+        WITH p AS (SELECT * FROM read_parquet('{tmp_path}/pred/*.parquet'))
+        SELECT a.fold, AVG(CASE WHEN a.p1 > b.p1 THEN 1.0 WHEN a.p1 = b.p1 THEN 0.5 ELSE 0 END)
+        FROM p a JOIN p b ON a.fold = b.fold AND a.label = 1 AND b.label = 0 GROUP BY 1 ORDER BY 1""").fetchall()
+    assert [r.fold for r in got] == [f for f, _ in want] == [0, 1, 2, 3, 4]
+    assert all(r.auc == pytest.approx(a, abs=1e-6) for r, (_, a) in zip(got, want))
+    mean = sum(a for _, a in want) / 5
+    assert all(r.cv_mean == pytest.approx(mean, abs=1e-6) for r in got)
+    assert pred.count() == pred.select("k").distinct().count() == 300

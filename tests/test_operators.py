@@ -249,6 +249,50 @@ def test_dictionary_and_unseen(spark):
     assert (e[0].x, e[0].is_unseen) == (2.0, False) and (e[1].x, e[1].is_unseen) == (0.0, True)
 
 
+def test_dictionary_is_dense_over_many_ranges(spark):
+    """Values in the order of their code points, whatever range they fall in; a null comes first."""
+    names = [None, "", "a", "Z", "é", "\U0001F600", "\uffff", *[f"v{i}" for i in range(3000)]]
+    df = spark.createDataFrame([(n, names[i // 2]) for i, n in enumerate(names)] * 2, "x string, y string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ft.label_dictionary(df, ["x", "y"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for c in ("x", "y"):
+        mine = {r.valor: r.codigo for r in got if r.columna == c}
+        have = {r[c] for r in df.select(c).collect()}
+        want = sorted(have, key=lambda v: (v is not None, (v or "").encode()))
+        assert mine == {v: i for i, v in enumerate(want)}
+    assert ft.label_dictionary(df.limit(0), ["x"]).count() == 0
+
+
+@pytest.mark.parametrize("value_bytes", [1 << 20, 0])
+def test_encode_in_one_lookup(spark, value_bytes):
+    """One value or one join: the same codes, every row once, repeated and null values included."""
+    rows = [(i, f"a{i % 50}" if i % 11 else None, f"a{i % 7}" if i % 3 else "hot", "" if i % 2 else "é") for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, x string, y string, z string")
+    df = df.unionByName(df.filter("k < 5"))
+    d = ft.label_dictionary(df.filter("k >= 100"), ["x", "y", "z"]).filter("valor is not null and valor != 'a6'")
+    codes = {(r.columna, r.valor): r.codigo for r in d.collect()}
+    got = ft.encode(df, d, ["x", "y", "z"], value_bytes=value_bytes)
+    assert got.columns == ["k", "x", "y", "z", "is_unseen"] and got.count() == 405
+    raw = {r[0]: r[1:] for r in rows}
+    for r in got.collect():
+        want = [codes.get((c, v)) for c, v in zip("xyz", raw[r.k])]
+        assert [r.x, r.y, r.z] == [float(w or 0) for w in want] and r.is_unseen == (None in want)
+    empty = ft.encode(df, d.limit(0), ["x"], value_bytes=value_bytes)
+    assert {(r.x, r.is_unseen) for r in empty.collect()} == {(0.0, True)}
+    assert ft.encode(df.limit(0), d, ["x"], value_bytes=value_bytes).count() == 0
+
+
+def test_median_of_seniority_is_exact(spark):
+    years = ["1", "2", "4", "40", "x", None, "NO REGISTRA"]
+    for some, want in ((years, 3.0), (years[:3], 2.0), (["x", None], 5.0)):
+        raw = _register(spark, [("Leves", "T", "E", "F", "C1", y, "n", "p", "a", "m", "0") for y in some])
+        got = [r.antiguedad for r in cs.prepare(raw, seniority_median=True).collect()]
+        assert sorted(got) == sorted(float(y) if y and y.isdigit() else want for y in some)
+
+
 @pytest.mark.parametrize("n0,n1", [(7, 5), (100, 37), (3, 3), (1, 10)])
 def test_split_allocation_and_membership(spark, n0, n1):
     rows = [(i, 0) for i in range(n0)] + [(1000 + i, 1) for i in range(n1)]

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigia.functions import text as T
-from vigia.session import attach_row
+from vigia.operators.quantiles import exact_quantiles
+from vigia.session import materialize
 
 # Register column names as exported (accented), their plain
 # spelling, and the model column names, in register order.
@@ -91,7 +92,8 @@ def prepare(raw: DataFrame, keep: list[str] | tuple = (), trim: bool = True,
       columns, otherwise absent columns are skipped (days default to 0);
     * days: text -> number, unparsable -> 0;
     * seniority: trimmed text, sentinels/unparsable -> 5 (or first the median
-      of the parsable values with ``seniority_median``);
+      of the parsable values with ``seniority_median``, which computes the
+      table once and reads the median by :func:`exact_quantiles`);
     * targets: ``con_incapacidad = days > 0``, ``incapacidad_alta = days >= 5``;
     * categories: null -> "Sin informacion", trimmed (``trim``).
     ``keep`` passes extra columns (e.g. the case key) through unchanged.
@@ -114,10 +116,9 @@ def prepare(raw: DataFrame, keep: list[str] | tuple = (), trim: bool = True,
             cols[c] = T.category(c, trim)
     m = m.withColumns(cols)
     if seniority_median and "antiguedad" in m.columns:
-        med = m.agg(F.median("antiguedad").alias("_med"))       # one-row aggregate
-        m = (attach_row(m, med)
-              .withColumn("antiguedad", F.coalesce("antiguedad", "_med", F.lit(T.SENIORITY_DEFAULT)))
-              .drop("_med"))
+        m = materialize(m)                                      # the median's scans and the caller read one copy
+        med = exact_quantiles(m, ["antiguedad"], (0.5,))[1]["antiguedad", 0.5]
+        m = m.withColumn("antiguedad", F.coalesce("antiguedad", F.lit(T.SENIORITY_DEFAULT if med is None else med)))
     m = m.withColumns({"con_incapacidad": (F.col(DAYS) > 0).cast("int"),
                        "incapacidad_alta": (F.col(DAYS) >= HIGH_LEAVE_DAYS).cast("int")})
     order = [*keep] + [c for c in ["clasificacion", "tipo", "estacion", "genero", "cargo", "antiguedad",

@@ -2,9 +2,9 @@
 split, balanced class weights and stratified folds.
 
 Scale notes.  Dictionaries are built from ``distinct`` values (a partial
-aggregate per task) and numbered per column; only the dictionary — bounded by
-the category domains, checked before broadcasting — meets the case table, in
-broadcast hash joins with no shuffle of the cases.  Split and folds need a row
+aggregate per task), numbered by ranges of (column, value) with offsets; one
+lookup codes all columns of a case, in a value of checked size or, beyond it,
+by one join.  Split and folds need a row
 number within each class; a plain ``row_number() OVER (PARTITION BY label)``
 would sort each class in a single task; both select their cut keys from a
 histogram instead (:func:`vigia.operators.ordering.keys_at_ranks`) and then
@@ -17,38 +17,96 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigia.operators.ordering import hash_bins, keys_at_ranks
-from vigia.session import attach_row, bounded_broadcast, materialize
+from vigia.session import attach_row, materialize
 
-DICT_BROADCAST_ROWS = 5_000_000
+#: Bytes of text of a dictionary (with 16 for each entry) up to which it travels with the tasks as one value.
+DICT_VALUE_BYTES = 4 << 20
+#: Entries that share a cell of the lookup on average.
+CELL_ENTRIES = 2
 
 
 def label_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(columna, valor, codigo)``: per column the sorted distinct values
-    numbered 0..k-1 (code-point order, like sorting Python strings)."""
+    numbered 0..k-1 (code-point order, like sorting Python strings; a null
+    value comes first).
+
+    The distinct values of all columns are cut into ranges of (column, value);
+    each range is sorted by its own task and written once with the rows'
+    positions in it.  A small table (a row per column and range) gives each
+    range the number of values before it."""
     vals = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("columna"), F.col(c).cast("string").alias("valor")) for c in cols])).alias("s")) \
         .select("s.columna", "s.valor").distinct()
-    w = Window.partitionBy("columna").orderBy("valor")
-    return vals.withColumn("codigo", (F.row_number().over(w) - 1).cast("int"))
-
-
-def encode(df: DataFrame, dictionary: DataFrame, cols: list[str], unseen_flag: str | None = "is_unseen") -> DataFrame:
+    order = [F.col("columna"), F.col("valor")]
+    at = F.monotonically_increasing_id()                      # range in the upper 31 bits, position in the lower 33
+    placed = materialize(vals.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    ranges = placed.groupBy("columna", "_range").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("columna").orderBy("_range")
+                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("columna", "_range", (before - F.col("_first")).alias("_shift"))
+    # as many rows as ranges and columns together
+    return placed.join(F.broadcast(ranges), ["columna", "_range"]) \
+                 .select("columna", "valor", (F.col("_at") + F.col("_shift")).cast("int").alias("codigo"))
+
+
+def _cell_of(columna: Column, valor: Column, cells: int) -> Column:
+    return F.pmod(F.xxhash64(columna, valor), F.lit(cells))
+
+
+def _codes_by_value(df: DataFrame, dictionary: DataFrame, cols: list[str], entries: int) -> DataFrame:
+    """The codes from one value that holds the whole dictionary: an array of
+    cells by hash, each a map of a few entries, so a lookup compares a few
+    entries and no row of ``df`` moves."""
+    cells = max(1, entries // CELL_ENTRIES)
+    c, v = F.col("columna"), F.col("valor")
+    entry = F.struct(F.struct(c.alias("c"), v.alias("v")).alias("key"), F.col("codigo").alias("value"))
+    filled = dictionary.filter(v.isNotNull()).select(_cell_of(c, v, cells).alias("cell"), entry.alias("e"))
+    # every cell has a row, so that its place in the sorted array is its number
+    every = df.sparkSession.range(cells).select(F.col("id").alias("cell"), F.lit(None).cast(filled.schema["e"].dataType).alias("e"))
+    held = filled.unionByName(every).groupBy("cell").agg(F.collect_list("e").alias("es"))
+    maps = F.transform(F.array_sort(F.collect_list(F.struct("cell", "es"))), lambda x: F.map_from_entries(x["es"]))
+    looked = held.agg(maps.alias("maps")).scalar()
+
+    def code(c: str) -> Column:
+        v = F.col(c).cast("string")
+        own = F.get(looked, _cell_of(F.lit(c), v, cells).cast("int"))
+        return F.try_element_at(own, F.struct(F.lit(c).alias("c"), v.alias("v")))
+    return df.withColumns({f"_c{i}": code(c) for i, c in enumerate(cols)})
+
+
+def _codes_by_join(df: DataFrame, dictionary: DataFrame, cols: list[str]) -> DataFrame:
+    """The codes of all columns by one join of (row, column, value) with the
+    dictionary, for dictionaries of any size."""
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))    # written once: the numbers stay
+    each = rows.select("_row", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("columna"),
+                                                            F.col(c).cast("string").alias("valor"))
+                                                   for i, c in enumerate(cols)])).alias("s")).select("_row", "s.*")
+    got = each.join(dictionary, ["columna", "valor"]).groupBy("_row").agg(
+        *[F.max(F.when(F.col("i") == i, F.col("codigo"))).alias(f"_c{i}") for i in range(len(cols))])
+    return rows.join(got, "_row", "left").drop("_row")
+
+
+def encode(df: DataFrame, dictionary: DataFrame, cols: list[str], unseen_flag: str | None = "is_unseen",
+           value_bytes: int = DICT_VALUE_BYTES) -> DataFrame:
     """Replace each category by its code; a value not in the dictionary gets
-    code 0 and raises ``unseen_flag``.  Codes are plain doubles without ML
-    attribute metadata, so tree learners treat them as ordered numbers."""
-    # the dictionary is computed once (checkpoint), then size-checked and broadcast
-    dct = bounded_broadcast(materialize(dictionary), DICT_BROADCAST_ROWS)
-    out = df
-    for i, c in enumerate(cols):
-        d = dct.filter(F.col("columna") == F.lit(c)).select(F.col("valor").alias(f"_v{i}"),
-                                                             F.col("codigo").alias(f"_c{i}"))
-        out = out.join(d, out[c].cast("string") == d[f"_v{i}"], "left").drop(f"_v{i}")
-    flag = None
-    for i in range(len(cols)):
-        u = F.col(f"_c{i}").isNull()
-        flag = u if flag is None else (flag | u)
+    code 0 and raises ``unseen_flag``, and so does a null.  Codes are plain
+    doubles without ML attribute metadata, so tree learners treat them as
+    ordered numbers.
+
+    One lookup serves all columns: up to ``value_bytes`` the dictionary is one
+    value that travels with the tasks, beyond that there is one join."""
+    d = dictionary.filter(F.col("columna").isin(cols)) if cols else dictionary.limit(0)
+    size = d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("valor") + 16).alias("b")).first()
+    if (size["b"] or 0) <= value_bytes:
+        out = _codes_by_value(df, d, cols, size["n"])
+    else:
+        out = _codes_by_join(df, d, cols)
     if unseen_flag:
-        out = out.withColumn(unseen_flag, flag if flag is not None else F.lit(False))
+        flag = F.lit(False)
+        for i in range(len(cols)):
+            flag = flag | F.col(f"_c{i}").isNull()
+        out = out.withColumn(unseen_flag, flag)
     out = out.withColumns({c: F.coalesce(F.col(f"_c{i}"), F.lit(0)).cast("double") for i, c in enumerate(cols)})
     return out.drop(*[f"_c{i}" for i in range(len(cols))])
 

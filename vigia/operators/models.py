@@ -195,14 +195,11 @@ def holdout_metrics(t: Trained) -> DataFrame:
                     F.round("auc", 6).alias("auc"), "accuracy", "precision_1", "recall_1", "f1_1"))
 
 
-def cv_auc(t: Trained, n_folds: int = 5) -> DataFrame:
-    """AUC of each fold scored by a model fitted on the other folds (weights
-    recomputed per fit), with the mean and the population std of the AUCs."""
-    def one_fold(f):
-        m = fit(t.data, t.algo, F.col("fold") != f, t.feats, t.max_bins)
-        pred = p_class1(m.transform(t.data.filter(F.col("fold") == f)))
-        a = mt.roc_auc(pred.select(F.col("label").cast("int").alias("label"), F.col("p1").alias("score")))
-        return a.select(F.lit(f).alias("fold"), "auc")
+def cv_predictions(t: Trained, n_folds: int = 5) -> DataFrame:
+    """Every case with its fold, label and ``p1`` by a model fitted on the
+    other folds (weights recomputed per fit): one assembled matrix, filtered
+    per fold, and one table of predictions."""
+    keys = [c for c in t.data.columns if c not in ("label", "is_test", "fold", "features")]
 
     # the fold fits are independent Spark jobs: submit a few concurrently so
     # the scheduler interleaves their tasks (like CrossValidator's parallelism);
@@ -210,11 +207,21 @@ def cv_auc(t: Trained, n_folds: int = 5) -> DataFrame:
     # (setting ``vigia.cv.parallelism``, default 2) to keep the heap safe
     par = int(t.data.sparkSession.conf.get("vigia.cv.parallelism", str(CV_PARALLELISM)))
     with ThreadPoolExecutor(max_workers=max(1, min(n_folds, par))) as pool:
-        parts = list(pool.map(one_fold, range(n_folds)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = materialize(out)                    # n_folds rows; computed once
+        fitted = list(pool.map(lambda f: fit(t.data, t.algo, F.col("fold") != f, t.feats, t.max_bins), range(n_folds)))
+    out = None
+    for f, m in enumerate(fitted):
+        part = p_class1(m.transform(t.data.filter(F.col("fold") == f))).select(*keys, "fold", "label", "p1")
+        out = part if out is None else out.unionByName(part)
+    return materialize(out)
+
+
+def cv_auc(predictions: DataFrame, n_folds: int = 5) -> DataFrame:
+    """AUC of each fold of :func:`cv_predictions` (null where a fold lacks a
+    class), with the mean and the population std of the AUCs."""
+    pred = predictions.select("fold", F.col("label").cast("int").alias("label"), F.col("p1").alias("score"))
+    each = mt.roc_auc_by(pred, "fold", max_groups=n_folds).select("fold", "auc")
+    folds = predictions.sparkSession.range(n_folds).select(F.col("id").cast("int").alias("fold"))
+    out = materialize(folds.join(F.broadcast(each), "fold", "left"))      # n_folds rows; computed once
     s = out.agg(F.avg("auc").alias("cv_mean"), F.stddev_pop("auc").alias("cv_std"))
     return attach_row(out, s).select("fold", F.round("auc", 6).alias("auc"),
                                                 F.round("cv_mean", 6).alias("cv_mean"),

@@ -337,7 +337,7 @@ def encoded_with_dictionary(spark, sf_dir, keep=(), fit_on: str = "all"):
         src = m = materialize(cases_model(spark, sf_dir, keep=keep))
     else:
         raise ValueError(f"fit_on must be 'all' or 'train', not {fit_on!r}")
-    dictionary = materialize(ft.label_dictionary(src, cs.CATEGORICAL))
+    dictionary = ft.label_dictionary(src, cs.CATEGORICAL)
     return ft.encode(m, dictionary, cs.CATEGORICAL), dictionary
 
 
@@ -495,9 +495,36 @@ def train_lr_metrics(spark, sf_dir):
     return md.holdout_metrics(trained(spark, sf_dir, "lr"))
 
 
+def fold_predictions(spark, sf_dir, algo: str = "rf"):
+    """The fold predictions of a learner, made once for the content of the case tables."""
+    paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in CASE_TABLES]
+    return memo.remembered(spark, paths, {"fold_predictions": algo, "target": TARGET, "settings": md.settings(algo)},
+                           lambda: md.cv_predictions(trained(spark, sf_dir, algo)),
+                           lambda rows, path: rows.write.parquet(path), spark.read.parquet)
+
+
 @register
 def cv_auc(spark, sf_dir):
-    return md.cv_auc(trained(spark, sf_dir, "rf"))
+    return md.cv_auc(fold_predictions(spark, sf_dir))
+
+
+@register
+def cv_checks(spark, sf_dir):
+    """Per fold the cases and positives scored by the model of the other folds, and whether all have a probability, no
+    case is scored twice, ``cv_auc`` tells the fold's area and its mean, and the area of the reversed scores is the rest."""
+    pred = fold_predictions(spark, sf_dir)
+    told = md.cv_auc(pred)
+    per = pred.groupBy("fold").agg(F.min(F.col("p1").between(0, 1)).alias("probabilities_ok"))
+    rows = pred.select("fold", F.col("label").cast("int").alias("label"), F.col("p1").alias("score"), (-F.col("p1")).alias("back"))
+    area = mt.roc_auc_by(rows, "fold", max_groups=5)
+    back = mt.roc_auc_by(rows, "fold", score="back", max_groups=5).select("fold", F.col("auc").alias("back"))
+    twice = pred.groupBy(*tpch.CASE_KEY).agg(F.count(F.lit(1)).alias("c")).agg((F.max("c") == 1).alias("once"))
+    mean = area.agg(F.avg("auc").alias("mean"))
+    both = area.join(told.withColumnRenamed("auc", "told"), "fold").join(back, "fold").join(per, "fold")
+    return attach_row(attach_row(both, twice), mean).select(
+        "fold", F.col("n").alias("n_scored"), "n_positive", "probabilities_ok", F.col("once").alias("once_ok"),
+        ((F.abs(F.col("auc") - F.col("told")) < 1e-6) & (F.abs(F.col("auc") + F.col("back") - 1) < 1e-9)).alias("auc_ok"),
+        (F.abs(F.col("mean") - F.col("cv_mean")) < 1e-6).alias("mean_ok"))
 
 
 @register

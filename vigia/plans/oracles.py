@@ -386,7 +386,7 @@ SELECT label, train AS n, CAST(SUM(train) OVER () AS DOUBLE) / (CAST(COUNT(*) OV
        AS weight FROM alloc
 """)
 
-ORACLES["cv_fold_sizes"] = with_cases("""
+_FOLDS = """
 , r AS (SELECT con_incapacidad AS label,
                row_number() OVER (PARTITION BY con_incapacidad
                                   ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS rn
@@ -398,7 +398,15 @@ f AS (SELECT label, fold, floor((c_before + c + 4 - fold) / 5) - floor((c_before
       FROM c0, (SELECT CAST(range AS INTEGER) AS fold FROM range(5))),
 u AS (SELECT label, fold, SUM(n) OVER (PARTITION BY label ORDER BY fold) AS upto FROM f),
 rf AS (SELECT r.label, (SELECT CAST(COUNT(*) AS INTEGER) FROM u WHERE u.label = r.label AND u.upto <= r.rn) AS fold FROM r)
-SELECT fold, label, COUNT(*) AS n FROM rf GROUP BY fold, label
+"""
+
+ORACLES["cv_fold_sizes"] = with_cases(_FOLDS + "SELECT fold, label, COUNT(*) AS n FROM rf GROUP BY fold, label")
+
+# the areas themselves are the learner's; a test lets DuckDB repeat them from the written fold predictions
+ORACLES["cv_checks"] = with_cases(_FOLDS + """
+SELECT fold, COUNT(*) AS n_scored, CAST(SUM(label) AS BIGINT) AS n_positive, TRUE AS probabilities_ok, TRUE AS once_ok,
+       TRUE AS auc_ok, TRUE AS mean_ok
+FROM rf GROUP BY fold
 """)
 
 # --- evaluation on the score proxy -----------------------------------------------------------

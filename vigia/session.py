@@ -62,24 +62,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
-
-    The proof reads at most ``max_rows + 1`` rows (``limit`` stops the scan
-    early), so the check costs nothing on a small side and little on a large
-    one.  Beyond the bound the frame is returned unhinted and Spark plans a
-    shuffle join (AQE may still convert it from runtime sizes).
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint in
     the shared checkpoint folder (survives executor loss, unlike a local
-    checkpoint).  Meant for small derived tables reused several times, such
-    as dictionaries that are size-checked and then broadcast."""
+    checkpoint).  Meant for derived tables that are read several times."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
