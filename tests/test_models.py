@@ -121,3 +121,55 @@ def test_null_features_count_as_zero(spark):
     df = spark.createDataFrame(rows, "k long, a double, con_incapacidad int")
     data, feats, _ = md.assemble(df, "con_incapacidad", ["k"])
     assert feats == ["a"] and all(r.features[0] == 0.0 for r in data.filter("k % 5 = 0").collect())
+
+
+def _labelled(spark, n=600):
+    from pyspark.ml.feature import VectorAssembler
+    rows = [(i, float(i % 10), float((i * 7) % 13), float((i * i) % 17), float(i % 10 + (i * 7) % 13 > 9 + i % 4), 1.0 + (i % 10 + (i * 7) % 13 > 9 + i % 4))
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, label double, w double")
+    return VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df).select("k", "label", "w", "features")
+
+
+def test_forest_is_that_of_the_rows_however_they_lie(spark, monkeypatch):
+    """Bags follow from the rows, so partitions and passes do not matter, and nothing is kept with the rows."""
+    from vigia.operators.forest import fit_forest
+    from vigia.operators.model_tables import node_table
+    monkeypatch.setattr(md, "RF_PARAMS", dict(numTrees=9, maxDepth=5))
+    d, est = _labelled(spark), md.build_estimator("rf")
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    tables = [sorted(map(tuple, node_table(m, ["a", "b", "c"]).collect()), key=str) for m in (
+        fit_forest(d.repartition(2), est, 3), fit_forest(d.repartition(7, "k"), est, 3), fit_forest(d, est, 3, pass_bytes=3000))]
+    assert tables[0] == tables[1] == tables[2] and len({r[0] for r in tables[0]}) == 9
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+    hit = fit_forest(d, est, 3).transform(d).filter("prediction = label").count()
+    assert hit > 540
+
+
+def test_forest_nodes_hold_the_rows_that_reach_them(spark, monkeypatch):
+    """Every leaf has the bag weights of the rows that walk to it, and every split the best gain of its candidates."""
+    import numpy as np
+    from vigia.operators import forest as fo
+    monkeypatch.setattr(md, "RF_PARAMS", dict(numTrees=3, maxDepth=4))
+    d, est = _labelled(spark), md.build_estimator("rf")
+    from vigia.operators.model_tables import node_table
+    nodes = {(r.tree, r.node): r for r in node_table(fo.fit_forest(d, est, 3), ["a", "b", "c"]).collect()}
+    rows = d.select(F.xxhash64("k", "label", "features").alias("h"), "label", "features").collect()
+    x, y = np.array([r.features.toArray() for r in rows]), np.array([r.label for r in rows])
+    h = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    for t in range(3):
+        w = fo.bag_weights(h, t, md.SEED).astype(float) * np.where(y == 1, 2.0, 1.0)
+        assert 0.8 < fo.bag_weights(h, t, md.SEED).mean() < 1.2
+        todo = [(0, np.ones(len(x), bool))]
+        while todo:
+            i, here = todo.pop()
+            n = nodes[t, i]
+            assert n.rows == pytest.approx(w[here].sum()) and n.value * n.rows == pytest.approx(w[here & (y == 1)].sum())
+            if n.feature >= 0:
+                def gini(m):
+                    s = w[m].sum()
+                    return 0.0 if s == 0 else s * (1 - (w[m & (y == 1)].sum() / s) ** 2 - (w[m & (y == 0)].sum() / s) ** 2)
+                gains = [(gini(here) - gini(here & (x[:, n.feature] <= v)) - gini(here & (x[:, n.feature] > v))) / n.rows for v in np.unique(x[:, n.feature])]
+                assert n.gain == pytest.approx(max(gains))
+                side = x[:, n.feature] <= n.threshold
+                todo += [(n.left, here & side), (n.right, here & ~side)]
