@@ -173,3 +173,7 @@ def test_forest_nodes_hold_the_rows_that_reach_them(spark, monkeypatch):
                 assert n.gain == pytest.approx(max(gains))
                 side = x[:, n.feature] <= n.threshold
                 todo += [(n.left, here & side), (n.right, here & ~side)]
+
+
+def test_booster_keeps_no_node_numbers():
+    assert md.build_estimator("gbt").getCacheNodeIds() is False
