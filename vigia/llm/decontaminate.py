@@ -114,6 +114,9 @@ def _block_values(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.n
     return out
 
 
+_byte_tables = _block_values  # its earlier name
+
+
 def _near(prints: np.ndarray, known: np.ndarray, blocks: list, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, item, distance) of all pairs within the radius, each once, by window."""
     pairs = []
