@@ -177,3 +177,55 @@ def test_forest_nodes_hold_the_rows_that_reach_them(spark, monkeypatch):
 
 def test_booster_keeps_no_node_numbers():
     assert md.build_estimator("gbt").getCacheNodeIds() is False
+
+
+def test_rows_of_a_fit_are_hashed_and_written_once(spark, monkeypatch):
+    """The split's hash is computed with the copy of the cases and read from there, and the rows that a fit keeps are
+    written where they stay: saving the fit writes the learner only."""
+    from vigia.operators import features as ft
+    from vigia.sources.files import scratch_path
+    plans, wrote = [], []
+    told, write = ft.keys_at_ranks, md.written
+    monkeypatch.setattr(ft, "keys_at_ranks", lambda df, *a, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or told(df, *a, **k))
+    monkeypatch.setattr(md, "written", lambda df, path=None: wrote.append(path) or write(df, path))
+    path = scratch_path(spark, "once")
+    t = md.train(_separable(spark), "con_incapacidad", "lr", ["k"], path=path)
+    assert len(plans) == 2 and not any("md5" in p for p in plans)       # the split's cuts and those of the folds
+    assert wrote == [None, f"{path}/data", f"{path}/test_pred"]
+    files = lambda: sorted(f for x in ("data", "test_pred") for f in spark.read.parquet(f"{path}/{x}").inputFiles())
+    before = files()
+    md.save_trained(t, path)
+    assert files() == before
+    back = md.load_trained(path)
+    assert md.holdout_metrics(back).first() == md.holdout_metrics(t).first()
+    again = scratch_path(spark, "again")
+    md.save_trained(t, again)                                           # elsewhere the rows are copied
+    assert spark.read.parquet(f"{again}/data").count() == t.data.count() == 400
+
+
+def test_split_and_folds_by_a_kept_hash_are_those_of_the_key(spark):
+    """Flags by a hash column and by the hash itself agree, with null and repeated keys; a row before a key is told by the
+    first column as by the whole key."""
+    from vigia.operators import features as ft
+    rows = [(None if i % 11 == 0 else i // 2, None if i % 7 == 0 else i % 5, i % 3 % 2) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:20], "a long, b int, y int").withColumn("at", ft.split_hash(["a", "b"], 42))
+    own = ft.stratified_folds(ft.stratified_split(df, "y", ["a", "b"]), "y", ["a", "b"])
+    kept = ft.stratified_folds(ft.stratified_split(df, "y", ["a", "b"], order="at"), "y", ["a", "b"])
+    assert sorted(map(str, own.collect())) == sorted(map(str, kept.collect()))
+    assert {r.fold for r in kept.collect()} == {0, 1, 2, 3, 4} and "lambda" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    for cut in ((17, 3), (17, None), (None, 2), (None, None)):
+        key = F.struct(F.lit(cut[0]).cast("long").alias("a"), F.lit(cut[1]).cast("int").alias("b"))
+        got = df.select(ft.before_key(key, ["a", "b"]).alias("x"), (F.struct("a", "b") < key).alias("y"))
+        assert got.filter(~F.col("x").eqNullSafe(F.col("y"))).count() == 0
+
+
+def test_categories_with_visible_ends_are_trimmed_like_the_others(spark):
+    from vigia.functions import text as T
+    ends = ["", " ", "\t", "\u00a0", "\u3000", "\x1f", "\x7f", "!", "~", "a", "\u00e9", "\u4fe1", "\U0001f600"]
+    vals = [a + m + b for a in ends for m in ("", "x", "x y", "\u00e9") for b in ends]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*vals, None])], "i int, v string")
+    got = {r.i: r.c for r in df.select("i", T.category("v").alias("c")).collect()}
+    for i, v in enumerate(vals):
+        assert got[i] == v.strip(), repr(v)
+    assert got[len(vals)] == T.MISSING_CATEGORY
+    assert "CASE WHEN" in df.select(T.category("v"))._jdf.queryExecution().optimizedPlan().toString()
