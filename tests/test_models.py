@@ -229,3 +229,46 @@ def test_categories_with_visible_ends_are_trimmed_like_the_others(spark):
         assert got[i] == v.strip(), repr(v)
     assert got[len(vals)] == T.MISSING_CATEGORY
     assert "CASE WHEN" in df.select(T.category("v"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_forest_of_many_bins_and_small_chunks(spark, monkeypatch):
+    """More than 256 values take bins of two bytes; the chunks' size does not matter."""
+    from pyspark.ml.feature import VectorAssembler
+    from vigia.operators import forest as fo
+    from vigia.operators.model_tables import node_table
+    monkeypatch.setattr(md, "RF_PARAMS", dict(numTrees=5, maxDepth=4))
+    rows = [(i, float(i % 331), float(i % 3), float(i % 331 > 290), 1.0) for i in range(900)]
+    d = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.createDataFrame(rows, "k long, a double, b double, label double, w double")).select("k", "label", "w", "features")
+    one = fo.fit_forest(d, md.build_estimator("rf"), 2)
+    assert one.transform(d).filter("prediction = label").count() > 890
+    monkeypatch.setattr(fo, "CHUNK_ROWS", 50)
+    two = fo.fit_forest(d.repartition(3, "k"), md.build_estimator("rf"), 2)
+    assert sorted(map(str, node_table(one, ["a", "b"]).collect())) == sorted(map(str, node_table(two, ["a", "b"]).collect()))
+
+
+def test_trees_are_scored_without_the_learner(spark, monkeypatch):
+    """Fold and test scores of a forest are those of the learner, which is not asked."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+    monkeypatch.setattr(md, "RF_PARAMS", dict(numTrees=9, maxDepth=4))
+    asked, transform = [], RandomForestClassificationModel.transform
+    monkeypatch.setattr(RandomForestClassificationModel, "transform", lambda m, *a: asked.append(1) or transform(m, *a))
+    t = md.train(_separable(spark), "con_incapacidad", "rf", ["k"])
+    assert md.cv_predictions(t).count() == 400 and not asked
+    told = {r.k: r for r in md.p_class1(t.model.transform(t.data)).select("k", "p1", "prediction").collect()}
+    for r in t.test_pred.collect():
+        assert r.p1 == pytest.approx(told[r.k].p1, abs=1e-12) and r.prediction == told[r.k].prediction
+
+
+def test_learners_share_the_assembled_rows(spark, tmp_path, monkeypatch):
+    import shutil
+
+    from vigia.plans import catalog
+    for t in catalog.CASE_TABLES:
+        shutil.copyfile(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    monkeypatch.setattr(md, "GBT_PARAMS", dict(maxIter=2, maxDepth=2, stepSize=0.1))
+    made, assemble = [], md.assemble
+    monkeypatch.setattr(md, "assemble", lambda *a, **k: made.append(1) or assemble(*a, **k))
+    fits = [catalog.trained(spark, str(tmp_path), algo) for algo in ("lr", "gbt", "lr")]
+    assert len(made) == 1 and len({t.data_path for t in fits}) == 1
+    assert len({(t.data.count(), tuple(t.feats), t.max_bins) for t in fits}) == 1
