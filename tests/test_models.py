@@ -231,6 +231,25 @@ def test_categories_with_visible_ends_are_trimmed_like_the_others(spark):
     assert "CASE WHEN" in df.select(T.category("v"))._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_booster_grows_the_trees_of_the_learner(spark, monkeypatch):
+    """Same splits, rows and steps as MLlib's booster, however the rows lie, across written margins; no row is cached."""
+    from pyspark.ml.classification import GBTClassifier
+    from vigia.operators import booster as bo
+    from vigia.operators import forest as fo
+    from vigia.operators.model_tables import node_table
+    d, feats = _labelled(spark), ["a", "b", "c"]
+    est = GBTClassifier(labelCol="label", featuresCol="features", maxIter=12, maxDepth=4, stepSize=0.1, seed=42)
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    own = bo.fit_booster(d, est, 3)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept and own.getNumTrees == 12 > 2 * bo.KEEP_TREES
+    key = lambda r: (r.tree, r.feature, r.threshold or 0.0, r.rows, round(r.value, 6))
+    got, want = (sorted(map(key, node_table(m, feats).collect())) for m in (own, est.fit(d)))
+    assert [x[:4] for x in got] == [x[:4] for x in want] and [x[4] for x in got] == pytest.approx([x[4] for x in want], abs=1e-6)
+    monkeypatch.setattr(fo, "CHUNK_ROWS", 37)
+    again = bo.fit_booster(d.repartition(5, "k"), est, 3)
+    assert sorted(map(str, node_table(again, feats).collect())) == sorted(map(str, node_table(own, feats).collect()))
+
+
 def test_forest_of_many_bins_and_small_chunks(spark, monkeypatch):
     """More than 256 values take bins of two bytes; the chunks' size does not matter."""
     from pyspark.ml.feature import VectorAssembler
